@@ -103,7 +103,7 @@ def js_distance(p: Column, q: Column) -> Column:
 def with_distances(counts: DataFrame, chosen: DataFrame) -> DataFrame:
     """Add ``js_chars`` and ``js_words``, the distances to references made of the ``chosen`` rows."""
     share = lambda c, cols: F.round(F.try_divide(1e6 * F.col(c), sum(F.col(x) for x in cols))).cast("long")
-    refs = chosen.groupBy("k").agg(*[F.sum(share(c, cols)).alias("r_" + c) for cols in (CHAR_COLS, WORD_COLS) for c in cols])
+    refs = cut(chosen.groupBy("k").agg(*[F.sum(share(c, cols)).alias("r_" + c) for cols in (CHAR_COLS, WORD_COLS) for c in cols]))  # written, so its size is known to the join
     return counts.join(refs, "k", "left").select(*counts.columns, *[
         js_distance(*[F.array(*[F.col(p + c).cast("double") for c in cols]) for p in ("", "r_")]).alias(f"js_{k}")
         for k, cols in (("chars", CHAR_COLS), ("words", WORD_COLS))

@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lattiq.llm.common import table
+from lattiq.llm.mixing import mix, taken
 from lattiq.llm.quality_rules import quality_rules
-from lattiq.llm.sql import quality_rules_sql
+from lattiq.llm.sql import mixing_sql, quality_rules_sql
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken(mix(table(spark, sf_dir, "documents")))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,11 +22,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_mixing": op2_mixing,
         "op4_quality_rules": op4_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_mixing": mixing_sql(),
         "op4_quality_rules": quality_rules_sql(),
     }

@@ -29,7 +29,7 @@ def quality_rules_sql(min_words: int = 50, trim: float = 0.13, chars: float = 0.
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text,'') AS t, coalesce(lang,'und') AS k,
     regexp_extract_all(coalesce(text,''), '{WORD_RE}') AS ws, {known} AS known,
-    list_filter(string_split(coalesce(text,''), chr(10)), x -> regexp_matches(x, '{WORD_RE}')) AS ls FROM documents),
+    list_filter(string_split(coalesce(text,''), chr(10)), lambda x: regexp_matches(x, '{WORD_RE}')) AS ls FROM documents),
 tri AS (SELECT rid, i, ws[i] AS a, ws[i+1] AS b, ws[i+2] AS c FROM (SELECT rid, ws, unnest(range(1, len(ws)-1)) AS i FROM d)),
 rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM tri) WHERE n > 1),
 cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i+1, i+2]) AS p FROM rep) GROUP BY rid),
@@ -37,8 +37,8 @@ b AS (SELECT d.*, len(ws) AS n_words, len(array_to_string(ws, '')) AS word_chars
     {n_re(chr(92) + 'p{Lu}')} AS upper, {n_re('[0-9.,;:!?' + "''" + '"()-]')} AS mark, len(ls)-len(list_distinct(ls)) AS n_dup_lines,
     coalesce(cov.n, 0) AS n_repeat_words FROM d LEFT JOIN cov USING (rid)),
 h AS (SELECT *, length(t)-word_chars AS blank, word_chars-upper-symbol-mark AS other,
-    {', '.join(f"len(list_filter(ws, x -> x = known[{i + 1}])) AS w{i}" for i in range(N_COMMON))},
-    n_words-len(list_filter(ws, x -> list_contains(known, x))) AS wo,
+    {', '.join(f"len(list_filter(ws, lambda x: x = known[{i + 1}])) AS w{i}" for i in range(N_COMMON))},
+    n_words-len(list_filter(ws, lambda x: list_contains(known, x))) AS wo,
     (n_words < 50 OR 100*n_repeat_words > 50*n_words) AS base_failed FROM b),
 r1 AS (SELECT k, {ref} FROM h WHERE NOT base_failed GROUP BY k),
 d1 AS ({dist('r1')}),
@@ -47,3 +47,42 @@ d2 AS ({dist('r2')})
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, symbol::BIGINT AS n_symbols,
     n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
     NOT base_failed AND NOT coalesce(n_words >= {min_words} AND (jc > {chars} OR jw > {words}), false) AS kept FROM d2"""
+
+
+def mixing_sql(weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 64, seed: int = 42) -> str:
+    """The same packing, permutations and join, over rows that are exploded without regard to size."""
+    from lattiq.llm.mixing import P31, round_constants
+
+    def mix31(x: str, a: int, b: int) -> str:
+        mod = lambda v: f"(({v}) % {P31} + {P31}) % {P31}"
+        return f"((((({mod(x)}) * {a} + {b}) % {P31}) + (({mod(f'floor(({x})::DOUBLE / {P31})::BIGINT')}) * {b | 1}) % {P31}) % {P31})"
+
+    (a0, b0, *_), = round_constants(seed, 1)
+    perm, last = "", "s0"
+    for j, (a, b, c, e) in enumerate(round_constants(seed + 1)):
+        turn = f"(({mix31('key', a, b)} * 65536 + {mix31('key', c, e)}) % n_blocks)"
+        perm += f"""t{j} AS (SELECT *, (({turn} - x) % n_blocks + n_blocks) % n_blocks AS y FROM {last}),
+s{j + 1} AS (SELECT src, n_blocks, key, CASE WHEN ({mix31('greatest(x, y) + key * 7919', e, a)} // 65536) % 2 = 1 THEN y ELSE x END AS x FROM t{j}),
+"""
+        last = f"s{j + 1}"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text, len(regexp_extract_all(coalesce(text,''), '{WORD_RE}'))::BIGINT AS size FROM documents),
+tot AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src FROM tot),
+w AS (SELECT *, [{', '.join(f'{float(x)}' for x in weights)}][src % {len(weights)} + 1]::DOUBLE AS weight, source_size * {float(cap)}::DOUBLE AS most FROM o),
+l AS (SELECT *, most / weight AS ratio,
+    ((SELECT sum(source_size) FROM w) * {float(share)}::DOUBLE - coalesce(sum(most) OVER b, 0)) / ((SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER b, 0)) AS lv
+    FROM w WINDOW b AS (ORDER BY most / weight, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT *, coalesce(least(most, weight * (SELECT lv FROM l WHERE lv <= ratio ORDER BY ratio, src LIMIT 1)), most) AS target,
+    ceil(source_size::DOUBLE / {block})::BIGINT AS n_blocks FROM l),
+n AS (SELECT *, least(round(target / {block})::BIGINT, n_blocks * {int(cap)}) AS n_slots FROM s),
+r AS (SELECT src, n_blocks, unnest(range(0, n_slots)) AS r FROM n WHERE n_slots > 0),
+s0 AS (SELECT src, n_blocks, src * 1009 + r // n_blocks + 1 AS key, r % n_blocks AS x FROM r),
+{perm}times AS (SELECT src, x AS block, count(*) AS times FROM {last} GROUP BY src, x),
+placed AS (SELECT d.*, n.src, n.source_size, n.target,
+    coalesce(sum(d.size) OVER (PARTITION BY n.src ORDER BY {mix31('coalesce(doc_id,-1)', a0, b0)}, doc_id NULLS FIRST, d.size, rid
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS st FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source),
+p AS (SELECT *, unnest(range(st // {block}, (st + size - 1) // {block} + 1)) AS block FROM placed WHERE size > 0),
+got AS (SELECT rid, sum(times * (least((p.block + 1) * {block} - st, size) - greatest(p.block * {block} - st, 0))) AS taken
+    FROM p JOIN times USING (src, block) GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN got USING (rid)"""
