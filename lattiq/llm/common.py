@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +75,7 @@ def chunks(batch: pa.RecordBatch, col: str, limit: int = 4 << 20) -> Iterator[pa
     """
     if batch.num_rows == 0:
         return
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(col)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(col)), 0).to_pylist()
     first, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > limit:
