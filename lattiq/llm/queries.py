@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattiq.llm import line_dedup
 from lattiq.llm.common import table
 from lattiq.llm.mixing import mix, taken
 from lattiq.llm.quality_rules import quality_rules
 from lattiq.llm.simhash import simhash
-from lattiq.llm.sql import mixing_sql, quality_rules_sql
+from lattiq.llm.sql import line_dedup_sql, mixing_sql, quality_rules_sql
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("js_chars", "js_words")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = line_dedup.insert(line_dedup.empty(spark), docs)
+    return line_dedup.dedup_lines(docs, index).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -31,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": op2_mixing,
         "op4_quality_rules": op4_quality_rules,
+        "op6_line_dedup": op6_line_dedup,
         "op7_simhash": op7_simhash,
     }
 
@@ -39,4 +47,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_mixing": mixing_sql(),
         "op4_quality_rules": quality_rules_sql(),
+        "op6_line_dedup": line_dedup_sql(),
     }

@@ -86,3 +86,15 @@ p AS (SELECT *, unnest(range(st // {block}, (st + size - 1) // {block} + 1)) AS
 got AS (SELECT rid, sum(times * (least((p.block + 1) * {block} - st, size) - greatest(p.block * {block} - st, 0))) AS taken
     FROM p JOIN times USING (src, block) GROUP BY rid)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN got USING (rid)"""
+
+
+def line_dedup_sql(min_docs: int = 5, min_chars: int = 40) -> str:
+    blanks = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text,''), chr(10)) AS ls FROM documents),
+l AS (SELECT rid, doc_id, i, ls[i] AS line, translate(trim(ls[i], {blanks}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT rid, doc_id, ls, unnest(range(1, len(ls)+1)) AS i FROM d)),
+k AS (SELECT key, max(doc_id) AS last_doc FROM l WHERE length(key) >= {min_chars} GROUP BY key HAVING count(DISTINCT doc_id) >= {min_docs}),
+m AS (SELECT l.*, k.key IS NOT NULL AND l.doc_id IS DISTINCT FROM k.last_doc AS gone FROM l LEFT JOIN k USING (key))
+SELECT min(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY rid"""
