@@ -7,18 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm import line_dedup
+from lattiq.llm import chat, line_dedup
 from lattiq.llm.common import table
 from lattiq.llm.mixing import mix, taken
 from lattiq.llm.quality_rules import quality_rules
 from lattiq.llm.simhash import simhash
-from lattiq.llm.sql import line_dedup_sql, mixing_sql, quality_rules_sql
+from lattiq.llm.sql import chat_sql, line_dedup_sql, mixing_sql, quality_rules_sql
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(mix(table(spark, sf_dir, "documents")))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hostile = spark.createDataFrame(chat.HOSTILE, "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_chats(own.unionByName(hostile)))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("js_chars", "js_words")
 
@@ -37,6 +43,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": op2_mixing,
+        "op3_chat_format": op3_chat_format,
         "op4_quality_rules": op4_quality_rules,
         "op6_line_dedup": op6_line_dedup,
         "op7_simhash": op7_simhash,
@@ -46,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mixing": mixing_sql(),
+        "op3_chat_format": chat_sql(),
         "op4_quality_rules": quality_rules_sql(),
         "op6_line_dedup": line_dedup_sql(),
     }
