@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm import chat, line_dedup
+from lattiq.llm import ann, chat, language_id, line_dedup
 from lattiq.llm.common import table
 from lattiq.llm.mixing import mix, taken
 from lattiq.llm.quality_rules import quality_rules
@@ -40,6 +40,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(rows, rows.where(F.pmod("vec_id", F.lit(20)) == 0))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs, ~language_id.held_out(F.col("doc_id")))
+    return language_id.predict(docs, model).select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": op2_mixing,
@@ -47,6 +58,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op6_line_dedup": op6_line_dedup,
         "op7_simhash": op7_simhash,
+        "op8_ann_search": op8_ann_search,
+        "op10_language_id": op10_language_id,
     }
 
 
