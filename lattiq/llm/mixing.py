@@ -143,7 +143,8 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float
         "place": permuted(F.col("first") + F.col("i"), F.col("all_slots"), F.lit(0).cast("long"), F.col("t2")),
     })
     slots = slots.select(F.floor(F.col("place") / shard_slots).alias("shard"), (F.col("place") % shard_slots).alias("slot"), "src", "epoch", "block")
-    return Mix(sources, slots, pieces.join(slots, ["src", "block"], "left"))
+    # The planner sees the few source rows behind the slots, not how many slots they make: never broadcast them.
+    return Mix(sources, slots, pieces.join(slots.hint("merge"), ["src", "block"], "left"))
 
 
 def shard_counts(m: Mix) -> DataFrame:
