@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm import ann, chat, language_id, line_dedup
+from lattiq.llm import ann, chat, language_id, line_dedup, quality_classifier, toxicity
 from lattiq.llm.common import table
 from lattiq.llm.mixing import mix, taken
 from lattiq.llm.quality_rules import quality_rules
@@ -29,6 +29,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("js_chars", "js_words")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     index = line_dedup.insert(line_dedup.empty(spark), docs)
@@ -45,6 +50,13 @@ def op8_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.where(F.pmod("vec_id", F.lit(20)) == 0))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources are the hosts; a source's languages are its paths."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.judged(docs, model, host=docs["source"], path=docs["lang"])
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs, ~language_id.held_out(F.col("doc_id")))
@@ -56,9 +68,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": op2_mixing,
         "op3_chat_format": op3_chat_format,
         "op4_quality_rules": op4_quality_rules,
+        "op5_toxicity": op5_toxicity,
         "op6_line_dedup": op6_line_dedup,
         "op7_simhash": op7_simhash,
         "op8_ann_search": op8_ann_search,
+        "op9_quality_classifier": op9_quality_classifier,
         "op10_language_id": op10_language_id,
     }
 
