@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm import ann, chat, language_id, line_dedup, quality_classifier, toxicity
+from lattiq.llm import ann, chat, language_id, line_dedup, quality_classifier, sentencepiece, toxicity
 from lattiq.llm.common import table
 from lattiq.llm.mixing import mix, taken
 from lattiq.llm.quality_rules import quality_rules
@@ -15,6 +15,13 @@ from lattiq.llm.simhash import simhash
 from lattiq.llm.sql import chat_sql, line_dedup_sql, mixing_sql, quality_rules_sql
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:
+    """Encodes all documents, decodes the ids, and gives digests of both; the texts' own digest shows the round trip."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = sentencepiece.read_model(model_file or sentencepiece.default_model())
+    return sentencepiece.digests(sentencepiece.decode(sentencepiece.encode(docs, model), model))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(mix(table(spark, sf_dir, "documents")))
 
@@ -65,6 +72,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
         "op2_mixing": op2_mixing,
         "op3_chat_format": op3_chat_format,
         "op4_quality_rules": op4_quality_rules,
