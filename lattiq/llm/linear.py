@@ -37,6 +37,7 @@ class SparseLogistic:
 
     def fit(self, rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, epochs: int = 8, rate: float = 0.3, seed: int = 1) -> SparseLogistic:
         if not len(y):
+            self.b = -30.0  # nothing is known of the category, so nothing is in it
             return self
         rng = np.random.default_rng(seed)
         seen = np.bincount(np.concatenate(rows), minlength=1 << BITS) >= MIN_ROWS
