@@ -9,6 +9,7 @@ from lattiq.errors import HoldoutError, PanelError
 from lattiq.operators import cells as C
 from lattiq.operators import metrics as M
 from lattiq.operators import uncertainty as U
+from lattiq.sources.sinks import cut
 
 MAPPING = {1: "persistence", 2: "persistence", 3: "seasonal_naive", 4: "persistence"}
 
@@ -49,12 +50,12 @@ def planning_summary(latest: DataFrame, focus=(1, 2), *, check: bool = True) ->
 
 def evaluate_final(holdout_panel: DataFrame, latest_panel: DataFrame, development: DataFrame, *, evaluation: dict, config: dict) -> dict[str, DataFrame]:
     """The nine result tables.  Call only after the holdout marker is written."""
-    dev = C.select_by_horizon(development, MAPPING, name="final_baseline")
-    q = U.calibration_quantiles(dev, development_end=config["development_end"]).persist()
-    held = integrity(final_forecasts(holdout_panel, q, evaluation=evaluation, origins=config["holdout_origins"], target_end=config["holdout_target_end"])).persist()
+    dev = cut(C.select_by_horizon(development, MAPPING, name="final_baseline"))
+    q = cut(U.calibration_quantiles(dev, development_end=config["development_end"]))
+    held = integrity(cut(final_forecasts(holdout_panel, q, evaluation=evaluation, origins=config["holdout_origins"], target_end=config["holdout_target_end"])))
     overall = M.overall_metrics(held)
     M.assert_covered(overall)
-    latest = latest_forecasts(latest_panel, q, evaluation=evaluation, origin=config["latest_origin"], target_end=config["latest_target_end"], snapshot=config["snapshot"], revision=config["revision"]).persist()
+    latest = cut(latest_forecasts(latest_panel, q, evaluation=evaluation, origin=config["latest_origin"], target_end=config["latest_target_end"], snapshot=config["snapshot"], revision=config["revision"]))
     return {
         "calibration_quantiles": q, "holdout_forecasts": held, "holdout_metrics": overall, "holdout_entity_metrics": M.entity_metrics(held), "holdout_origin_metrics": M.origin_metrics(held),
         "holdout_volume_metrics": M.volume_metrics(held), "holdout_interval_metrics": U.interval_metrics(held, pooled=True), "latest_forecasts": latest, "latest_planning_summary": planning_summary(latest),

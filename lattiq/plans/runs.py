@@ -20,6 +20,7 @@ from lattiq.operators.quality import quality_checks, verdict
 from lattiq.operators.rollup import RAW, entity_quarters, master_units, typed_records, unit_quarters
 from lattiq.plans import lineage as N
 from lattiq.sources.delimited import FileSpec, scan, scan_until, validate_raw_file
+from lattiq.sources.sinks import cut
 
 
 def build_dataset(spark: SparkSession, config: dict, files: dict[str, tuple[str, FileSpec]], runs_root: str | Path, *, names: dict[str, str], root: str | Path = ".") -> dict:
@@ -53,7 +54,7 @@ def development_tables(panel: DataFrame, config: dict, audit: dict | None = None
     origins = C.origin_labels(ev["validation_origins"], horizons=horizons, before=ev["holdout_origins"]["start"])
     end = shift(ev["validation_origins"]["end"], max(horizons))
     cells = C.forecast_cells(P.validate_panel(panel), origins=origins, target_end=end, horizons=horizons, **_evaluation(config))
-    f = C.baseline_forecasts(cells, panel).persist()
+    f = cut(C.baseline_forecasts(cut(cells), panel))
     if 4 in horizons and not C.same_at(f, 4).where("not agree").isEmpty():
         raise ContractError("the baselines disagree four quarters ahead")
     overall = M.overall_metrics(f).persist()
@@ -85,19 +86,21 @@ def selection_tables(panel: DataFrame, config: dict, candidate: dict) -> dict[st
     last = panel.agg(F.max("quarter")).first()[0]
     if last is not None and last > period_start(end):
         raise SelectionError(f"selection was given values after {end}")
-    cells = C.forecast_cells(P.validate_panel(panel), origins=C.origin_labels(block), target_end=end, **_evaluation(config)).persist()
-    base = C.baseline_forecasts(cells, panel).persist()
+    panel = cut(P.validate_panel(panel))
+    cells = cut(C.forecast_cells(panel, origins=C.origin_labels(block), target_end=end, **_evaluation(config)))
+    base = cut(C.baseline_forecasts(cells, panel))
     response = candidate.get("response", "log")
-    x = X.panel_features(panel, modeling_start=ev["modeling_start"]).persist()
+    x = cut(X.panel_features(panel, modeling_start=ev["modeling_start"]))
     got = R.rolling_candidates(x, cells, alphas=candidate["alphas"], modeling_start=ev["modeling_start"], response=response)
-    f = got["forecasts"].persist()
+    f = cut(got["forecasts"])
     overall = M.overall_metrics(base)
     comparators = M.comparator_table(overall, Z.MAPPING)
-    by_alpha = M.with_errors(f).groupBy("alpha", "horizon").agg(*M.record()).join(comparators.select("horizon", "comparator_model", "comparator_wape"), "horizon").persist()
-    chosen = R.select_alpha(by_alpha).persist()
-    best = f.join(F.broadcast(chosen.where("selected").select("alpha")), "alpha").persist()  # one row
-    pairs = R.pair_with_comparator(best, base, Z.MAPPING).persist()
-    intervals = U.prequential_intervals(best, warmup_origins=candidate.get("warmup_origins", 8)).persist()
+    by_alpha = M.with_errors(f).groupBy("alpha", "horizon").agg(*M.record()).join(comparators.select("horizon", "comparator_model", "comparator_wape"), "horizon")
+    by_alpha = cut(by_alpha)
+    chosen = cut(R.select_alpha(by_alpha))
+    best = cut(f.join(F.broadcast(chosen.where("selected").select("alpha")), "alpha"))  # one row
+    pairs = cut(R.pair_with_comparator(best, base, Z.MAPPING))
+    intervals = U.prequential_intervals(best, warmup_origins=candidate.get("warmup_origins", 8))
     acf = U.residual_acf(best)
     boot = candidate["bootstrap"]
     return {

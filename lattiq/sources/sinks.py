@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,3 +69,13 @@ def metadata(spark: SparkSession, path: str) -> dict:
     fs, p = _fs(spark, path)
     return {"path": path, "rows": df.count(), "schema": [[f.name, f.dataType.simpleString()] for f in df.schema], "schema_sha256": schema_fingerprint(df),
             "bytes": fs.getContentSummary(p).getLength(), "content_sha256": content_hash(df)}
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as it stands now, in the folder that the cluster shares: later plans start here instead of carrying its own."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        if sc.master.split("[")[0] != "local":
+            raise ContractError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lattiq-"))
+    return df.checkpoint()

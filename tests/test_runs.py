@@ -2,10 +2,10 @@ import json
 
 import pytest
 
-from lattiq.errors import ContractError, HoldoutError
+from lattiq.errors import ContractError, HoldoutError, SelectionError
 from lattiq.functions.periods import quarters
 from lattiq.functions.text import to_double, to_int
-from lattiq.operators.rollup import RAW
+from lattiq.operators.rollup import RAW, entity_quarters, typed_records, unit_quarters
 from lattiq.plans import lineage as N
 from lattiq.plans import runs
 from lattiq.sources.delimited import FileSpec, bad_lines, inspect_unquoted, read_header, scan, validate_raw_file
@@ -119,19 +119,32 @@ def test_holdout_opens_once(tmp_path):
         N.claim_holdout(tmp_path, procedure_sha256="x", open_holdout=True, passed_run_id="other")
 
 
-def test_all_runs(spark, tmp_path):
+def series(tmp_path):
     rows = [record(str(u), e, "A", q[:4], q[-1], 100 * u + i + (7 * i * u) % 5) for u, e in ((1, "AA"), (2, "BB")) for i, q in enumerate(quarters("2016Q1", "2023Q3"))]
     files = {"records": (write(tmp_path / "q.txt", rows), FileSpec(COLUMNS)), "master": (write(tmp_path / "m.txt", [["1", "AA", "C"], ["2", "BB", "C"]], ("UNIT_ID", "ENTITY", "DOMAIN")), FileSpec(("UNIT_ID", "ENTITY", "DOMAIN")))}
     config = {"quality_expectations": {"unit_quarter_rows": len(rows)}, "evaluation": {
         "modeling_start": "2016Q1", "forecast_horizons": [1, 2, 3, 4], "eligibility": {"minimum_non_null_history": 8, "required_consecutive_recent_observations": 4},
         "validation_origins": {"start": "2018Q4", "end": "2020Q1", "count": 6}, "holdout_origins": {"start": "2021Q2", "end": "2021Q3", "count": 2}}}
+    return rows, files, config
+
+
+def test_selection_tables(spark, tmp_path):
+    rows, _, config = series(tmp_path)
+    panel = entity_quarters(unit_quarters(typed_records(spark.createDataFrame([tuple(map(str, r)) for r in rows], list(RAW)))))
+    candidate = {"selection_origins": {"start": "2018Q4", "end": "2019Q3", "count": 4}, "confirmation_origins": {"start": "2019Q4", "end": "2020Q1", "count": 2}, "alphas": [1.0, 100.0], "warmup_origins": 1,
+                 "bootstrap": {"block_length": 2, "replications": 20, "seed": 1}}
+    t = runs.selection_tables(panel.where("quarter <= date'2020-07-01'"), config, candidate)
+    assert len(t) == 19 and t["bootstrap_skill"].count() == 5 and t["candidate_forecasts"].count() == 2 * 4 * 4 * 2
+    assert t["alpha_summary"].where("selected").count() == 1
+    with pytest.raises(SelectionError):
+        runs.selection_tables(panel, config, candidate)
+
+
+def test_final_run_opens_the_holdout_once(spark, tmp_path):
+    rows, files, config = series(tmp_path)
     root = tmp_path / "runs"
     runs.build_dataset(spark, config, files, root, names=NAMES)
     runs.run_baselines(spark, config, root)
-    candidate = {"selection_origins": {"start": "2018Q4", "end": "2019Q3", "count": 4}, "confirmation_origins": {"start": "2019Q4", "end": "2020Q1", "count": 2}, "alphas": [1.0, 100.0], "warmup_origins": 1,
-                 "bootstrap": {"block_length": 2, "replications": 20, "seed": 1}}
-    m = runs.run_selection(spark, config, candidate, root)
-    assert m["outputs"]["bootstrap_skill"]["rows"] == 5 and m["outputs"]["candidate_forecasts"]["rows"] == 2 * 4 * 4 * 2
     final = {"models_by_horizon": {"1": "persistence", "2": "persistence", "3": "seasonal_naive", "4": "persistence"}, "intervals": {"coverages": [0.8, 0.95]}, "development_calibration_origins": {"start": "2018Q4", "end": "2020Q1"},
              "holdout_origins": {"start": "2021Q2", "end": "2021Q3", "count": 2, "target_end": "2022Q3"}, "latest_forecast": {"origin": "2023Q3", "target_end": "2024Q3", "revision_status": "revisable"}, "reporting": {"operational_focus_horizons": [1, 2]}}
     with pytest.raises(HoldoutError):
