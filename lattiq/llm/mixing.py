@@ -8,8 +8,9 @@
    shards of ``shard_slots`` slots by a pseudorandom permutation of all slots.  The
    source counts of a shard are therefore one multinomial draw given the corpus totals
    (the multivariate hypergeometric law): each shard varies as in sampling, while
-   each source's total is its target to within half a block and no block is
-   taken more often than ``cap`` allows.
+   each source's total is its target to within two blocks and no block is
+   taken more often than ``cap`` allows.  (Whole passes over a source are counted exactly; the
+   rest is rounded to blocks, of which a source's last one is short.)
 3. *Map.*  Slot ``r`` of a source takes block ``perm(r mod blocks)`` under a pseudorandom
    permutation of that source's block indices, another one for each epoch.
 4. *Join* slots and packed blocks by (source, block index).
@@ -73,6 +74,7 @@ class Mix:
     sources: DataFrame  # source, src, source_size, weight, target, n_blocks, n_slots
     slots: DataFrame  # shard, slot, src, epoch, block
     rows: DataFrame  # a row for each piece of a document and each slot that takes it (null slot: not taken)
+    docs: DataFrame  # the documents with their places: (src, bucket, nth) names a row
 
 
 def targets(totals: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -103,30 +105,34 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float
     one_space = F.regexp_replace(F.coalesce(text, F.lit("")), F.lit(r"[\x09-\x0D]"), F.lit(" "))
     sized = docs.select(
         column(docs, id_col).cast("long").alias("doc_id"), column(docs, source_col).cast("string").alias("source"), text.alias("text"),
-        F.size(F.array_remove(F.split(one_space, " "), "")).cast("long").alias("size"),
+        F.size(F.array_remove(F.split(one_space, " "), "")).cast("long").alias("size"), F.xxhash64(text).alias("tie"),
     ).withColumn("h", mix31(F.coalesce("doc_id", F.lit(-1)), a, b)).withColumn("bucket", F.floor(F.col("h") / (1 << 19)))
 
     # One row for each source and bucket, then the streams' prefix sums over buckets.
     totals = cut(sized.groupBy("source", "bucket").agg(F.sum("size").alias("n")))
     sources = targets(totals.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, cap).withColumns({
-        "n_blocks": F.ceil(F.col("source_size") / block), "n_slots": F.round(F.col("target") / block).cast("long"),
-    }).withColumn("n_slots", F.least("n_slots", F.col("n_blocks") * int(cap)))
+        "n_blocks": F.ceil(F.col("source_size") / block), "whole": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)),
+    }).withColumn("n_slots", F.col("whole") * F.col("n_blocks") + F.round((F.col("target") - F.col("whole") * F.col("source_size")) / block).cast("long")).drop("whole")
     sources = cut(sources.withColumn("first", F.coalesce(F.sum("n_slots").over(Window.orderBy("src").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
     ahead = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.join(F.broadcast(sources.select("source", "src")) if sources.count() <= 10_000 else sources.select("source", "src"), totals["source"].eqNullSafe(sources["source"])).select(
         totals["source"], "src", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
 
     rows = sized.join(base, sized["source"].eqNullSafe(base["source"]) & (sized["bucket"] == base["bucket"])).select(
-        "doc_id", sized["source"], "src", "text", "size", sized["bucket"], "base", "h")
-    within = Window.partitionBy("src", "bucket").orderBy("h", "doc_id", "size", F.xxhash64("text"))
+        "doc_id", sized["source"], "src", "text", "size", sized["bucket"], "base", "h", "tie")
+    within = Window.partitionBy("src", "bucket").orderBy("h", "doc_id", "size", "tie")
     rows = rows.withColumns({
         "nth": F.row_number().over(within),
         "start": F.col("base") + F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    }).drop("base", "h")
+    }).drop("base", "h", "tie")
     span = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))
-    pieces = rows.select("*", F.explode_outer(span).alias("block"))
+    # Tokens stay beside the exploded numbers only until each piece is cut out of them, within the same task.
+    tokens = rows.select("*", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1)).alias("tokens")).drop("text")
+    pieces = tokens.select("*", F.explode_outer(span).alias("block"))
     lo, hi = F.greatest(F.col("block") * block - F.col("start"), F.lit(0)), F.least((F.col("block") + 1) * block - F.col("start"), F.col("size"))
     pieces = pieces.withColumns({"at": lo, "n_words": F.when(F.col("block").isNotNull(), hi - lo)})
+    piece = F.array_join(F.slice("tokens", F.col("at").cast("int") + 1, F.col("n_words").cast("int")), "")
+    pieces = pieces.withColumn("piece", piece).drop("tokens")
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     total = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -144,7 +150,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float
     })
     slots = slots.select(F.floor(F.col("place") / shard_slots).alias("shard"), (F.col("place") % shard_slots).alias("slot"), "src", "epoch", "block")
     # The planner sees the few source rows behind the slots, not how many slots they make: never broadcast them.
-    return Mix(sources, slots, pieces.join(slots.hint("merge"), ["src", "block"], "left"))
+    return Mix(sources, slots, pieces.join(slots.hint("merge"), ["src", "block"], "left"), rows)
 
 
 def shard_counts(m: Mix) -> DataFrame:
@@ -155,12 +161,7 @@ def shard_counts(m: Mix) -> DataFrame:
 def packed(m: Mix) -> DataFrame:
     """The training blocks' pieces: (shard, slot, src, part of the text) in reading order of ``start``."""
     return m.rows.where("slot is not null").select(
-        "shard", "slot", "src", "block", "epoch", "doc_id", (F.col("start") + F.col("at")).alias("start"), "n_words", _piece().alias("text"))
-
-
-def _piece() -> Column:
-    words = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1))
-    return F.array_join(F.slice(words, F.col("at").cast("int") + 1, F.col("n_words").cast("int")), "")
+        "shard", "slot", "src", "block", "epoch", "doc_id", (F.col("start") + F.col("at")).alias("start"), "n_words", F.col("piece").alias("text"))
 
 
 def taken(m: Mix) -> DataFrame:
@@ -170,10 +171,16 @@ def taken(m: Mix) -> DataFrame:
     return d.join(m.sources, "src").select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_documents(m: Mix, others: DataFrame | None = None) -> DataFrame:
-    """The mix as documents: for each document and epoch, the text of its pieces that are taken."""
-    d = m.rows.where("slot is not null").groupBy("doc_id", "source", "src", "bucket", "nth", "epoch").agg(
-        F.array_sort(F.collect_list(F.struct("at", "n_words"))).alias("parts"), F.first("text").alias("text"))
-    words = d.withColumn("tokens", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1)))
-    cutout = F.transform("parts", lambda p: F.array_join(F.slice("tokens", p["at"].cast("int") + 1, p["n_words"].cast("int")), ""))
-    return words.select("doc_id", "source", "nth", "epoch", F.array_join(cutout, "").alias("text"), F.size("tokens").alias("n_tokens"))
+def mixed_documents(m: Mix) -> DataFrame:
+    """The mix as documents: for each document and epoch, the text of its pieces that are taken.
+
+    Which pieces these are is worked out without the texts, which then move once, to their parts.
+    """
+    key = ["src", "bucket", "nth"]
+    parts = m.rows.where("slot is not null").groupBy(*key, "epoch").agg(F.array_sort(F.collect_list(F.struct("at", "n_words"))).alias("parts"))
+    parts = parts.groupBy(*key).agg(F.collect_list(F.struct("epoch", "parts")).alias("epochs"))  # a document has few epochs
+    d = m.docs.join(parts, key).select("doc_id", "source", "nth", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1)).alias("tokens"), F.explode("epochs").alias("e"))
+    cutout = F.transform("e.parts", lambda p: F.array_join(F.slice("tokens", p["at"].cast("int") + 1, p["n_words"].cast("int")), ""))
+    # Naming the tokens outside of the lambda as well keeps the planner from finding them anew for each part.
+    text = F.when(F.size("tokens") > 0, F.array_join(cutout, ""))
+    return d.select("doc_id", "source", "nth", "e.epoch", text.alias("text"), F.size("tokens").alias("n_tokens"))

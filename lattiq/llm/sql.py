@@ -75,7 +75,7 @@ l AS (SELECT *, most / weight AS ratio,
     FROM w WINDOW b AS (ORDER BY most / weight, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s AS (SELECT *, coalesce(least(most, weight * (SELECT lv FROM l WHERE lv <= ratio ORDER BY ratio, src LIMIT 1)), most) AS target,
     ceil(source_size::DOUBLE / {block})::BIGINT AS n_blocks FROM l),
-n AS (SELECT *, least(round(target / {block})::BIGINT, n_blocks * {int(cap)}) AS n_slots FROM s),
+n AS (SELECT *, wh * n_blocks + round((target - wh * source_size) / {block})::BIGINT AS n_slots FROM (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS wh FROM s)),
 r AS (SELECT src, n_blocks, unnest(range(0, n_slots)) AS r FROM n WHERE n_slots > 0),
 s0 AS (SELECT src, n_blocks, src * 1009 + r // n_blocks + 1 AS key, r % n_blocks AS x FROM r),
 {perm}times AS (SELECT src, x AS block, count(*) AS times FROM {last} GROUP BY src, x),
