@@ -28,6 +28,7 @@ import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ LITERAL = "\ud800"
 UNKNOWN_COST = 10.0
 SIDE_BY_SIDE = 32
 CACHE = 400_000
+FILTER_BITS = 21
 
 
 @dataclass
@@ -61,7 +63,7 @@ class Vocabulary:
         self._tables()
 
     def _tables(self) -> None:
-        """Sorted 64-bit hashes of the pieces, with ids and scores, for searching many strings at once."""
+        """Sorted 64-bit hashes of the pieces, a small filter of their beginnings, and the pieces' bytes end to end."""
         names = list(self.ids)
         h = np.array([poly(p) for p in names], np.uint64)
         order = np.argsort(h)
@@ -70,6 +72,13 @@ class Vocabulary:
         self.hash_scores = np.array([self.scores[names[i]] for i in order])
         if len(np.unique(h)) != len(h):
             raise ValueError("two pieces share a hash")
+        begins = np.array([poly(b) for b in {p[:n] for p in names for n in range(1, len(p) + 1)}], np.uint64)
+        self.begins = np.zeros(1 << FILTER_BITS, np.uint8)  # 1: some piece may begin like this; 2: this may be a piece
+        self.begins[(begins >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] |= 1
+        self.begins[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] |= 2
+        self.pool = np.frombuffer(b"".join(self.pieces), np.uint8)
+        self.sizes = np.array([len(p) for p in self.pieces])
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
 
 PRIME = 0x100000001B3
@@ -153,40 +162,63 @@ def piece_ids(v: Vocabulary, piece: str) -> list[int]:
     return [v.bytes_[b] for b in (MARK if piece == LITERAL else piece).encode()]
 
 
-def side_by_side(v: Vocabulary, segments: list[str]) -> list[list[int]]:
+def side_by_side(v: Vocabulary, segments: list[str]) -> list[np.ndarray]:
     """The same recurrence for many segments of at most SIDE_BY_SIDE characters, one column of positions at a time."""
     n, width = len(segments), max(map(len, segments))
     lengths = np.array([len(s) for s in segments])
     c = np.zeros((n, width), np.uint64)
     flat = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
     c[np.arange(width) < lengths[:, None]] = flat
-    best = np.full((n, width + 1), -np.inf)
-    best[:, 0] = 0
-    back, ids = np.zeros((n, width + 1), np.int8), np.full((n, width + 1), -1, np.int32)
+    best = np.full((width + 1, n), -np.inf)
+    best[0] = 0
+    back, ids = np.zeros((width + 1, n), np.int8), np.full((width + 1, n), -1, np.int32)
+    single = np.array([v.bytes_[b] for b in range(128)], np.int32)
+    c = np.ascontiguousarray(c.T)
     for start in range(width):
-        h = np.full(n, 1469598103934665603, np.uint64)
         rows = np.flatnonzero(lengths > start)
+        h = np.full(len(rows), 1469598103934665603, np.uint64)
         for end in range(start + 1, min(width, start + v.longest) + 1):
-            rows = rows[lengths[rows] >= end]
+            h = (h ^ c[end - 1, rows]) * np.uint64(PRIME) + np.uint64(0x9E3779B97F4A7C15)
+            kind = v.begins[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
+            may = np.flatnonzero(kind & 2)
+            at = np.minimum(np.searchsorted(v.hashes, h[may]), len(v.hashes) - 1)
+            sure = v.hashes[at] == h[may]
+            may, at = may[sure], at[sure]
+            if end == start + 1 and len(may) < len(rows):  # characters that are no piece
+                other = np.ones(len(rows), bool)
+                other[may] = False
+                r = rows[other]
+                total = best[start, r] + v.unknown
+                up = total > best[end, r]
+                r, total = r[up], total[up]
+                code = c[start, r]
+                best[end, r], back[end, r], ids[end, r] = total, start, np.where(code < 128, single[np.minimum(code, 127).astype(np.int64)], -1)
+            r = rows[may]
+            total = best[start, r] + v.hash_scores[at]
+            up = total > best[end, r]
+            r = r[up]
+            best[end, r], back[end, r], ids[end, r] = total[up], start, v.hash_ids[at[up]]
+            keep = (kind & 1 > 0) & (lengths[rows] > end)
+            rows, h = rows[keep], h[keep]
             if not len(rows):
                 break
-            h[rows] = (h[rows] ^ c[rows, end - 1]) * np.uint64(PRIME) + np.uint64(0x9E3779B97F4A7C15)
-            at = np.minimum(np.searchsorted(v.hashes, h[rows]), len(v.hashes) - 1)
-            hit = v.hashes[at] == h[rows]
-            score = np.where(hit, v.hash_scores[at], v.unknown if end == start + 1 else -np.inf)
-            total = best[rows, start] + score
-            better = total > best[rows, end]
-            up = rows[better]
-            best[up, end], back[up, end], ids[up, end] = total[better], start, np.where(hit, v.hash_ids[at], -1)[better]
-    out = []
-    for i, s in enumerate(segments):
-        own: list[int] = []
-        end = len(s)
+    # All paths are walked back together, one piece a step.
+    at, every, steps, froms = lengths.copy(), np.arange(n), [], []
+    while at.any():
+        live = at > 0
+        steps.append(np.where(live, ids[at, every], 0))
+        froms.append(at)
+        at = np.where(live, back[at, every], 0).astype(np.int64)
+    path = np.stack(steps[::-1], 1) if steps else np.zeros((n, 0), np.int32)
+    count = sum((f > 0).astype(np.int64) for f in froms) if froms else np.zeros(n, np.int64)
+    out = [path[i, len(steps) - count[i] :] for i in range(n)]
+    for i in np.flatnonzero((path == -1).any(1)):  # unknown characters of several bytes
+        own, end = [], int(lengths[i])
         while end:
-            start = int(back[i, end])
-            own += [int(ids[i, end])] if ids[i, end] >= 0 else piece_ids(v, s[start:end])[::-1]
+            start = int(back[end, i])
+            own += [int(ids[end, i])] if ids[end, i] >= 0 else piece_ids(v, segments[i][start:end])[::-1]
             end = start
-        out.append(own[::-1])
+        out[i] = np.array(own[::-1], np.int32)
     return out
 
 
@@ -202,26 +234,35 @@ def encode_texts(v: Vocabulary, texts: list[str]) -> list[np.ndarray]:
     """The ids of texts."""
     cache = v.cache
     split = [SEGMENT.findall(normalise(t)) if v.one_way else [normalise(t)] for t in texts]
-    new = list({s for own in split for s in own if s not in cache})
+    new = list(set(chain.from_iterable(split)).difference(cache))
     if len(cache) + len(new) > CACHE:
         cache.clear()
-        new = list({s for own in split for s in own})
+        new = list(set(chain.from_iterable(split)))
     short = [s for s in new if len(s) <= SIDE_BY_SIDE and LITERAL not in s]
     short.sort(key=len)
     for at in range(0, len(short), 8192):
         part = short[at : at + 8192]
         for s, own in zip(part, side_by_side(v, part), strict=True):
-            cache[s] = np.array(own, np.int32).tobytes()
+            cache[s] = own.tobytes()
     long = {s: np.array([i for part in streaming(v, s) for i in part], np.int32).tobytes() for s in new if len(s) > SIDE_BY_SIDE or LITERAL in s}
     if long:
         return [np.frombuffer(b"".join([long[s] if s in long else cache[s] for s in own]), np.int32) for own in split]
-    return [np.frombuffer(b"".join([cache[s] for s in own]), np.int32) for own in split]
+    return [np.frombuffer(b"".join(map(cache.__getitem__, own)), np.int32) for own in split]
+
+
+def decode_many(v: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+    """The texts of ids that stand end to end, ``counts`` of them each; the blank that encoding put in front is taken off."""
+    size = v.sizes[ids]
+    ends = np.cumsum(size)
+    raw = v.pool[np.arange(int(size.sum())) + np.repeat(v.starts[ids] - (ends - size), size)].tobytes()
+    cuts = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
+    texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
 def decode_ids(v: Vocabulary, ids: np.ndarray) -> str:
-    """The text of ids; the blank that encoding put in front is taken off."""
-    text = b"".join([v.pieces[i] for i in ids]).decode("utf-8", "replace")
-    return text[1:] if text.startswith(" ") else text
+    """The text of one sequence of ids."""
+    return decode_many(v, np.asarray(ids, np.int64), np.array([len(ids)]))[0]
 
 
 def encode(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,16 +290,14 @@ def decode(encoded: DataFrame, model: bytes, *, id_col: str = "doc_id", ids_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(model=held.value)
-        table = v.pieces
         for batch in batches:
             at, size = 0, batch.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             while at < batch.num_rows:
                 stop = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), 500_000)) + at)
                 part = batch.slice(at, stop - at)
                 ids = part.column("ids")
-                ends = np.r_[0, np.cumsum(size[at:stop])]
-                flat = [table[i] for i in ids.flatten().to_pylist()]
-                text = [None if not ok else _unmark(b"".join(flat[a:b])) for ok, a, b in zip(ids.is_valid().to_pylist(), ends[:-1], ends[1:], strict=True)]
+                found = decode_many(v, ids.flatten().to_numpy().astype(np.int64), size[at:stop])
+                text = [t if ok else None for t, ok in zip(found, ids.is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(text, pa.string())], ["doc_id", "ids", "text"])
                 at = stop
 
@@ -266,11 +305,6 @@ def decode(encoded: DataFrame, model: bytes, *, id_col: str = "doc_id", ids_col:
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
 
 
-def _unmark(raw: bytes) -> str:
-    text = raw.decode("utf-8", "replace")
-    return text[1:] if text.startswith(" ") else text
-
-
 def default_model() -> str:
     """The public 32k model file of this machine, where it is installed."""
     return "/opt/tokenizers/piece_bpe_32k.model"
