@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm import line_dedup, mixing, quality_classifier, sentencepiece, simhash
+from lattiq.llm import line_dedup, mixing, near_copies, quality_classifier, sentencepiece
 from lattiq.llm.common import shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,9 +33,9 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    found = simhash.simhash(docs)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
+    """Of each group of near copies (5-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
+    found = near_copies.near_copies(docs)
+    stay = found.groupBy("component").agg(F.min("id").alias("doc_id")).select("doc_id")
     return docs.join(stay, "doc_id", "left_semi").select(*COLUMNS)
 
 
