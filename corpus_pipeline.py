@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattiq.llm import line_dedup, mixing, near_copies, quality_classifier, sentencepiece
-from lattiq.llm.common import shared_folder, table
+from lattiq.llm.common import cut, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -33,10 +33,20 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (5-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
-    found = near_copies.near_copies(docs)
-    stay = found.groupBy("component").agg(F.min("id").alias("doc_id")).select("doc_id")
-    return docs.join(stay, "doc_id", "left_semi").select(*COLUMNS)
+    """Of each group of near copies (5-word shingles, similarity 0.8 or more) one row stays: that with the smallest id.
+
+    Rows are told apart by their content, not by their ids: rows without an id stay like others, but give way
+    to copies that have one; rows of one id are copies only if their texts are; of rows that are equal throughout one stays.
+    """
+    docs = docs.select(*COLUMNS)
+    d = docs.withColumn("_row", F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]))
+    found = near_copies.near_copies(d, id_col="_row", text_col="text")
+    ids = d.select("_row", "doc_id").join(found.groupBy("id", "component").agg(F.count("*").alias("n")), F.col("_row") == F.col("id"))
+    first = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row", "n")).alias("first"))
+    stay = cut(first.select("first._row", "first.n"))
+    alone = d.join(stay.where("n = 1"), "_row", "left_semi")
+    repeated = d.join(stay.where("n > 1"), "_row", "left_semi").groupBy("_row").agg(*[F.first(c).alias(c) for c in COLUMNS])
+    return alone.unionByName(repeated).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

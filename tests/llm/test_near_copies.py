@@ -68,3 +68,13 @@ def test_blocks_link_all_close_pairs(block, width):
         label = [label[i] if x == label[j] else x for x in label]
     want = groups(family(n_groups=3, copies=9))
     assert all((label[i] == label[j]) == (want[i] == want[j]) for i in want for j in want)
+
+
+def test_rows_without_an_id_and_repeated_ids(spark):
+    rng = random.Random(4)
+    t = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(6)]
+    row = lambda i, x: (i, x, "en", "s", 1)
+    rows = [row(None, t[0]), row(None, t[1]), row(5, t[1]), row(7, t[2]), row(7, t[3]), row(8, t[4]), row(8, t[4]), row(8, t[4] + " more"), row(None, t[5]), row(None, t[5])]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    left = sorted(((r.doc_id or 0), r.text.removesuffix(" more")) for r in got)
+    assert left == sorted([(0, t[0]), (5, t[1]), (7, t[2]), (7, t[3]), (8, t[4]), (0, t[5])])
