@@ -7,7 +7,8 @@ size is checked: fewer bits for more languages), and a batch of texts is scored
 its n-grams' rows and summing them by text in numpy.
 
 The training rows are a bounded sample: about ``max_per_lang`` texts a language, chosen by a hash of
-the id with a rate set by the language's count.  Whole texts are read throughout.
+the id with a rate set by the language's count.  Whole texts are read throughout.  Every language is
+learned; more than ``MAX_LANGS``, for which the matrix has no room at 10 bits, are an error.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text when
 there is no training row.  The score is the winner's posterior probability with the likelihood
@@ -32,6 +33,8 @@ LETTER = re.compile(r"[^\W\d_]")
 ORDERS = (1, 2, 3)
 #: The broadcast matrix has at most this many bytes.
 MATRIX_BYTES = 32 << 20
+#: So many languages fit into it at 10 bits.
+MAX_LANGS = MATRIX_BYTES // 4 >> 10
 
 
 def gram_buckets(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,14 +68,16 @@ def fit(docs: DataFrame, training: Column, *, bits: int = 15, max_per_lang: int
     """Learn from the rows of ``docs`` where ``training`` holds and text and lang are not null."""
     rows = docs.where(training).where(column(docs, text_col).isNotNull() & column(docs, lang_col).isNotNull())
     rows = rows.select(column(docs, id_col).cast("string").alias("id"), blob(column(docs, text_col)).alias("t"), column(docs, lang_col).cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     langs = sorted(sizes)
     if not langs:
         return Model([], bits, np.zeros((1 << bits, 0), np.float32), np.zeros(0))
     while bits > 10 and (len(langs) * 4 << bits) > MATRIX_BYTES:
         bits -= 1
-    rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, max_per_lang / n))) for k, n in sizes.items()], F.lit(0.0))
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < rate * (1 << 20))
+    rates = docs.sparkSession.createDataFrame([(k, min(1.0, max_per_lang / n)) for k, n in sizes.items()], "lang string, rate double")
+    chosen = rows.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("rate") * (1 << 20)).select("id", "t", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(langs), 1 << bits), np.int64)
