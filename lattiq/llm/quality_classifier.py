@@ -72,7 +72,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, rounds: int = 3
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_per_class: int = 5000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, float]:
-    """(weights, prior log odds) from at most about ``max_per_class`` labelled rows a class, chosen by a hash of the id."""
+    """(weights, prior log odds) from at most about ``max_per_class`` labelled rows a class, chosen by a hash of the id.
+
+    The prior is that of all labels; the weights' constant is moved from the sample's prior to it.
+    """
     one = labels.select(column(labels, id_col).cast("long").alias("id"), column(labels, label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     one = one.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("id", "y")
     sizes = {r["y"]: r["n"] for r in one.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -91,8 +94,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_per_class: int = 5000, id_col
         return np.zeros(N_FEATURES), 0.0
     x, y = np.array(rows["x"].tolist()), rows["y"].to_numpy(float)
     order = np.lexsort([*x.T, y])  # the same sums whatever order the rows came in
-    prior = float(np.log(y.mean() / (1 - y.mean())))
-    return fit_logistic(x[order], y[order]), prior
+    weights, prior = fit_logistic(x[order], y[order]), float(np.log(sizes[1] / sizes[0]))
+    weights[0] += prior - float(np.log(y.mean() / (1 - y.mean())))
+    return weights, prior
 
 
 def evidence(weights: np.ndarray, prior: float):

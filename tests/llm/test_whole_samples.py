@@ -1,9 +1,10 @@
-"""Fitted text operators use all languages."""
+"""Fitted text operators use all languages and all labels' prior."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattiq.llm import language_id
+from lattiq.llm import language_id, quality_classifier
 
 
 def test_more_than_a_thousand_languages_are_learned(spark):
@@ -17,3 +18,14 @@ def test_too_many_languages_are_an_error(spark, monkeypatch):
     d = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(3)], "doc_id long, text string, lang string")
     with pytest.raises(ValueError):
         language_id.fit(d, F.lit(True))
+
+
+def test_prior_is_that_of_all_labels(spark):
+    text = lambda y, i: " ".join(f"word{k}{i}" for k in range(60)) if y else "BUY!! " * 60
+    data = [(i, text(i % 7 > 0, i), int(i % 7 > 0)) for i in range(1400)]
+    d = spark.createDataFrame(data, "doc_id long, text string, quality int")
+    w, prior = quality_classifier.fit(d.drop("quality"), d.select("doc_id", "quality"), max_per_class=100)
+    assert abs(prior - np.log(6)) < 1e-9
+    whole, _ = quality_classifier.fit(d.drop("quality"), d.select("doc_id", "quality"))
+    x = np.array([quality_classifier.features(text(1, 1).encode()), quality_classifier.features(text(0, 0).encode())])
+    assert ((x @ w > 0) == (x @ whole > 0)).all()
