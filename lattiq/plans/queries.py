@@ -19,6 +19,7 @@ from lattiq.operators import rollup as L
 from lattiq.operators import uncertainty as U
 from lattiq.plans import tables as T
 from lattiq.plans.sql import oracles
+from lattiq.sources.sinks import cut
 
 START = T.EVALUATION["modeling_start"]
 ORIGINS = quarters(T.VALIDATION["start"], T.VALIDATION["end"])
@@ -70,14 +71,18 @@ def _candidates(s, d, response="log", alphas=(0.1, 1.0, 10.0, 100.0)):
     return R.rolling_candidates(_features(s, d), _cells(s, d), alphas=alphas, modeling_start=START, response=response, check=False)
 
 
-def _alpha(s, d):
-    m = M.with_errors(_candidates(s, d)["forecasts"]).groupBy("alpha", "horizon").agg(*M.record())
+def _alpha(s, d, forecasts=None):
+    f = _candidates(s, d)["forecasts"] if forecasts is None else forecasts
+    m = M.with_errors(f).groupBy("alpha", "horizon").agg(*M.record())
     t = M.comparator_table(M.overall_metrics(_baseline(s, d)), Z.MAPPING).select("horizon", "comparator_wape")
     return R.select_alpha(m.join(t, "horizon"), check=False)
 
 
 def _pairs(s, d):
-    return R.pair_with_comparator(_candidates(s, d, alphas=(1.0,))["forecasts"], _baseline(s, d), Z.MAPPING, check=False)
+    """The forecasts under the penalty that is selected, beside the comparator's."""
+    f = cut(_candidates(s, d)["forecasts"])
+    best = f.join(F.broadcast(_alpha(s, d, f).where("selected").select("alpha")), "alpha")  # one row
+    return R.pair_with_comparator(best, _baseline(s, d), Z.MAPPING, check=False)
 
 
 def _changes(s, d):
@@ -168,7 +173,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ridge_training_diagnostics": lambda s, d: _candidates(s, d)["diagnostics"],
     "ridge_diagnostic_summary": lambda s, d: R.diagnostic_summary(_candidates(s, d, alphas=(1.0,))["forecasts"]),
     "alpha_selection": _alpha,
-    "bootstrap_skill": lambda s, d: U.bootstrap_skill(_pairs(s, d), block_length=4, replications=200, seed=20),
+    "bootstrap_skill": lambda s, d: U.bootstrap_skill(_pairs(s, d), block_length=4, replications=2000, seed=20),
 }
 
 
