@@ -81,11 +81,14 @@ def train(x: np.ndarray, books: int = 8, words: int = 64, rounds: int = 6, seed:
         left = left - c[np.argmin((c * c).sum(1) - 2 * left @ c.T, axis=1)]
         out.append(c)
     q = Quantiser(np.stack(out))
-    codes = q.encode(x[:4096]).astype(np.int64) + np.arange(books) * words
-    hot = np.zeros((len(codes), books * words), np.float32)
-    np.put_along_axis(hot, codes, 1, axis=1)
-    ridge = hot.T @ hot + 1e-1 * np.eye(books * words, dtype=np.float32)
-    flat = q.flat + np.linalg.solve(ridge, hot.T @ (x[: len(codes)] - hot @ q.flat))
+    ridge, rest = 1e-1 * np.eye(books * words, dtype=np.float32), np.zeros_like(q.flat)
+    for i in range(0, len(x), 4096):  # all rows, some at a time
+        part = x[i : i + 4096]
+        hot = np.zeros((len(part), books * words), np.float32)
+        np.put_along_axis(hot, q.encode(part).astype(np.int64) + np.arange(books) * words, 1, axis=1)
+        ridge += hot.T @ hot
+        rest += hot.T @ (part - hot @ q.flat)
+    flat = q.flat + np.linalg.solve(ridge, rest)
     return Quantiser(flat.reshape(q.codebooks.shape).astype(np.float32))
 
 

@@ -1,10 +1,10 @@
-"""Fitted text operators use all languages and all labels' prior."""
+"""Fitted text operators use all languages, all labels' prior and the whole sample."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattiq.llm import language_id, quality_classifier
+from lattiq.llm import ann, language_id, quality_classifier
 
 
 def test_more_than_a_thousand_languages_are_learned(spark):
@@ -29,3 +29,12 @@ def test_prior_is_that_of_all_labels(spark):
     whole, _ = quality_classifier.fit(d.drop("quality"), d.select("doc_id", "quality"))
     x = np.array([quality_classifier.features(text(1, 1).encode()), quality_classifier.features(text(0, 0).encode())])
     assert ((x @ w > 0) == (x @ whole > 0)).all()
+
+
+def test_codebooks_are_solved_on_all_rows(monkeypatch):
+    seen = []
+    encode = ann.Quantiser.encode
+    monkeypatch.setattr(ann.Quantiser, "encode", lambda self, x, *a: (seen.append(x.copy()), encode(self, x, *a))[1])
+    x = np.random.default_rng(1).normal(size=(5000, 8)).astype(np.float32)
+    ann.train(x, books=2, words=8, rounds=1)
+    assert (np.concatenate(seen) == x).all()
