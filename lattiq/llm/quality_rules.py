@@ -8,7 +8,7 @@ reference is too large.  Short documents are guarded: below ``min_words`` words
 a histogram says too little, so the distances are not consulted.
 
 Defined results: a null or empty text has zero words and fails the base rules;
-a null language is a group of its own (``und``) with no common words; repeated
+a null language is a group of its own, apart from any language that has a name, with no common words; repeated
 rows give repeated results; extra columns are ignored; an empty table gives an
 empty result.
 """
@@ -103,8 +103,8 @@ def js_distance(p: Column, q: Column) -> Column:
 def with_distances(counts: DataFrame, chosen: DataFrame) -> DataFrame:
     """Add ``js_chars`` and ``js_words``, the distances to references made of the ``chosen`` rows."""
     share = lambda c, cols: F.round(F.try_divide(1e6 * F.col(c), sum(F.col(x) for x in cols))).cast("long")
-    refs = cut(chosen.groupBy("k").agg(*[F.sum(share(c, cols)).alias("r_" + c) for cols in (CHAR_COLS, WORD_COLS) for c in cols]))  # written, so its size is known to the join
-    return counts.join(refs, "k", "left").select(*counts.columns, *[
+    refs = cut(chosen.groupBy(F.col("lang").alias("k")).agg(*[F.sum(share(c, cols)).alias("r_" + c) for cols in (CHAR_COLS, WORD_COLS) for c in cols]))  # written, so its size is known to the join
+    return counts.join(refs, F.col("lang").eqNullSafe(F.col("k")), "left").select(*counts.columns, *[
         js_distance(*[F.array(*[F.col(p + c).cast("double") for c in cols]) for p in ("", "r_")]).alias(f"js_{k}")
         for k, cols in (("chars", CHAR_COLS), ("words", WORD_COLS))
     ])
@@ -120,7 +120,7 @@ def quality_rules(docs: DataFrame, *, min_words: int = 50, trim: float = 0.13, m
     documents farther than ``trim`` from the first reference are left out of the second,
     so that junk does not move what junk is held against.
     """
-    counts = cut(base_counts(docs, id_col, text_col, lang_col)).withColumn("k", F.coalesce("lang", F.lit("und")))
+    counts = cut(base_counts(docs, id_col, text_col, lang_col))
     near = with_distances(counts, counts.where("not base_failed")).where("not base_failed").where(F.col("js_chars") <= trim)
     d = with_distances(counts, near)
     far = (F.col("n_words") >= min_words) & ((F.col("js_chars") > max_char_distance) | (F.col("js_words") > max_word_distance))

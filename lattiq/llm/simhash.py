@@ -159,8 +159,10 @@ def near_links(classes: DataFrame, *, radius: int = 3, limit: int = 4096, fp: st
         part = got.where("bucket is null").select("a", "b")
         links = part if links is None else links.unionByName(part)
         large = got.where("bucket is not null")
-        if level >= 64 or large.isEmpty():
+        if large.isEmpty():
             return links
+        if level >= 64:  # cannot happen while fingerprints are distinct: by then every bit is fixed
+            raise RuntimeError("buckets are still too large after 64 splits")
         todo, level = large.select("bucket", F.col("a").alias("fp"), F.col("b").alias("rep")), level + 1
 
 

@@ -24,10 +24,10 @@ def quality_rules_sql(min_words: int = 50, trim: float = 0.13, chars: float = 0.
     ref = ", ".join(f"sum(round(1e6*{c}/nullif({tot(cols)},0))::BIGINT)::DOUBLE AS {c}" for cols in (cc, wc) for c in cols)
     dist = lambda src: (
         f"SELECT c.*, {js(cc).replace('r.', 'rr.')} AS jc, {js(wc).replace('r.', 'rr.')} AS jw FROM h c "
-        f"LEFT JOIN (SELECT k AS rk, {', '.join(f'{c} AS r_{c}' for c in cc + wc)} FROM {src}) q ON c.k=q.rk"
+        f"LEFT JOIN (SELECT k AS rk, {', '.join(f'{c} AS r_{c}' for c in cc + wc)} FROM {src}) q ON c.k IS NOT DISTINCT FROM q.rk"
     ).replace("rr.", "q.r_")
     return f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text,'') AS t, coalesce(lang,'und') AS k,
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text,'') AS t, lang AS k,
     regexp_extract_all(coalesce(text,''), '{WORD_RE}') AS ws, {known} AS known,
     list_filter(string_split(coalesce(text,''), chr(10)), lambda x: regexp_matches(x, '{WORD_RE}')) AS ls FROM documents),
 tri AS (SELECT rid, i, ws[i] AS a, ws[i+1] AS b, ws[i+2] AS c FROM (SELECT rid, ws, unnest(range(1, len(ws)-1)) AS i FROM d)),

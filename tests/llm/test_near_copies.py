@@ -4,8 +4,7 @@ import random
 
 import pytest
 
-import corpus_pipeline
-from lattiq.llm import near_copies
+from lattiq.llm import near_copies, pipeline
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -46,10 +45,10 @@ def family(n_groups=12, copies=6, seed=3):
 
 def test_stage_finds_copies_at_five_words_and_four_fifths(spark):
     rows = [*family(), (1000, None, "en", "s", 0), (1001, " \n", "en", "s", 2), (1002, "two words", "en", "s", 9)]
-    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "")
+    got = pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "")
     want = {i for i, c in groups(rows).items() if i == c}
     assert {r.doc_id for r in got.collect()} == want
-    assert got.columns == corpus_pipeline.COLUMNS
+    assert got.columns == pipeline.COLUMNS
 
 
 def test_large_buckets_are_searched_whole(spark):
@@ -75,6 +74,6 @@ def test_rows_without_an_id_and_repeated_ids(spark):
     t = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(6)]
     row = lambda i, x: (i, x, "en", "s", 1)
     rows = [row(None, t[0]), row(None, t[1]), row(5, t[1]), row(7, t[2]), row(7, t[3]), row(8, t[4]), row(8, t[4]), row(8, t[4] + " more"), row(None, t[5]), row(None, t[5])]
-    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    got = pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "").collect()
     left = sorted(((r.doc_id or 0), r.text.removesuffix(" more")) for r in got)
     assert left == sorted([(0, t[0]), (5, t[1]), (7, t[2]), (7, t[3]), (8, t[4]), (0, t[5])])

@@ -4,8 +4,7 @@ import os
 
 import pytest
 
-import corpus_pipeline
-from lattiq.llm import quality_classifier, sentencepiece, simhash
+from lattiq.llm import pipeline, quality_classifier, sentencepiece, simhash
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -14,12 +13,12 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables he
 def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = [docs]
-    for name, stage in corpus_pipeline.STAGES:
+    for name, stage in pipeline.STAGES:
         stage(spark, out[-1], SF).write.parquet(str(tmp_path / name))
         out.append(spark.read.parquet(str(tmp_path / name)))
     first, good, lines, near, mixed, ids = out
     for d in out[1:-1]:
-        assert d.columns == corpus_pipeline.COLUMNS
+        assert d.columns == pipeline.COLUMNS
     w, prior = quality_classifier.fit(first, spark.read.parquet(f"{SF}/labels.parquet"))
     judged = {r.doc_id: r.kept for r in quality_classifier.judged(first, (w, prior), host=first["source"], path=first["lang"]).collect()}
     assert {r.doc_id for r in good.collect()} == {k for k, v in judged.items() if v}
