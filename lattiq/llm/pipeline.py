@@ -51,9 +51,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in proportion to their weights: a document for each time that parts of one are taken."""
-    d = mixing.mixed_documents(mixing.mix(docs))
-    langs = docs.groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    return d.join(langs, "doc_id", "left").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    d = mixing.mixed_documents(mixing.mix(docs, carry=("lang",)))
+    return d.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

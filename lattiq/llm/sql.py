@@ -49,8 +49,8 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, sym
     NOT base_failed AND NOT coalesce(n_words >= {min_words} AND (jc > {chars} OR jw > {words}), false) AS kept FROM d2"""
 
 
-def mixing_sql(weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 64, seed: int = 42) -> str:
-    """The same packing, permutations and join, over rows that are exploded without regard to size."""
+def mixing_sql(weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 64, shard_slots: int = 4096, seed: int = 42) -> str:
+    """The same packing, draws, permutations and join, over rows that are exploded without regard to size."""
     from lattiq.llm.mixing import P31, round_constants
 
     def mix31(x: str, a: int, b: int) -> str:
@@ -62,30 +62,45 @@ def mixing_sql(weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, block: i
     for j, (a, b, c, e) in enumerate(round_constants(seed + 1)):
         turn = f"(({mix31('key', a, b)} * 65536 + {mix31('key', c, e)}) % n_blocks)"
         perm += f"""t{j} AS (SELECT *, (({turn} - x) % n_blocks + n_blocks) % n_blocks AS y FROM {last}),
-s{j + 1} AS (SELECT src, n_blocks, key, CASE WHEN ({mix31('greatest(x, y) + key * 7919', e, a)} // 65536) % 2 = 1 THEN y ELSE x END AS x FROM t{j}),
+s{j + 1} AS (SELECT src, r, n_blocks, key, CASE WHEN ({mix31('greatest(x, y) + key * 7919', e, a)} // 65536) % 2 = 1 THEN y ELSE x END AS x FROM t{j}),
 """
         last = f"s{j + 1}"
     return f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text, len(regexp_extract_all(coalesce(text,''), '{WORD_RE}'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(doc_id, ('0x' || substr(md5(coalesce(text,'')), 1, 7))::BIGINT) AS own,
+    len(regexp_extract_all(coalesce(text,''), '{WORD_RE}'))::BIGINT AS size FROM documents),
 tot AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 o AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src FROM tot),
 w AS (SELECT *, [{', '.join(f'{float(x)}' for x in weights)}][src % {len(weights)} + 1]::DOUBLE AS weight, source_size * {float(cap)}::DOUBLE AS most FROM o),
 l AS (SELECT *, most / weight AS ratio,
     ((SELECT sum(source_size) FROM w) * {float(share)}::DOUBLE - coalesce(sum(most) OVER b, 0)) / ((SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER b, 0)) AS lv
     FROM w WINDOW b AS (ORDER BY most / weight, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-s AS (SELECT *, coalesce(least(most, weight * (SELECT lv FROM l WHERE lv <= ratio ORDER BY ratio, src LIMIT 1)), most) AS target,
-    ceil(source_size::DOUBLE / {block})::BIGINT AS n_blocks FROM l),
-n AS (SELECT *, wh * n_blocks + round((target - wh * source_size) / {block})::BIGINT AS n_slots FROM (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS wh FROM s)),
+s AS (SELECT * EXCLUDE (most), coalesce(least(most, weight * (SELECT lv FROM l WHERE lv <= ratio ORDER BY ratio, src LIMIT 1)), most) AS target,
+    least({block}, greatest(ceil(source_size::DOUBLE / 128), 1))::BIGINT AS width FROM l),
+sw AS (SELECT *, ceil(source_size::DOUBLE / width)::BIGINT AS n_blocks, round(target - wh * source_size)::BIGINT AS rest
+    FROM (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS wh FROM s)),
+n AS (SELECT *, ceil(rest::DOUBLE / width)::BIGINT AS part, wh * n_blocks + ceil(rest::DOUBLE / width)::BIGINT AS n_slots FROM sw),
+f AS (SELECT *, coalesce(sum(n_slots) OVER (ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS fst FROM n),
+g AS (SELECT unnest(range(0, (SELECT sum(n_slots) FROM n)::BIGINT)) AS g),
+u AS (SELECT g // {shard_slots} AS shard, g % {shard_slots} AS slot,
+    floor(('0x' || substr(md5('{seed}:' || g // {shard_slots} || ':' || g % {shard_slots}), 1, 13))::BIGINT / {1 << 52}.0::DOUBLE * (SELECT sum(n_slots) FROM n)::DOUBLE)::BIGINT AS pos FROM g),
+dr AS (SELECT shard, src, row_number() OVER (PARTITION BY src ORDER BY shard, slot) - 1 AS r FROM u JOIN f ON pos >= fst AND pos < fst + n_slots),
+lack AS (SELECT src, n_slots, drawn, coalesce(sum(greatest(n_slots - drawn, 0)) OVER (ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
+    FROM (SELECT n.src, n_slots, count(dr.src) AS drawn FROM n LEFT JOIN dr USING (src) GROUP BY n.src, n_slots)),
+pl AS (SELECT shard, src, r FROM dr JOIN n USING (src) WHERE r < n_slots UNION ALL
+    SELECT (SELECT ceil(sum(n_slots) / {shard_slots}.0) FROM n)::BIGINT + (ahead + r - drawn) // {shard_slots}, src, r
+    FROM (SELECT src, ahead, drawn, unnest(range(drawn, n_slots)) AS r FROM lack WHERE n_slots > drawn)),
 r AS (SELECT src, n_blocks, unnest(range(0, n_slots)) AS r FROM n WHERE n_slots > 0),
-s0 AS (SELECT src, n_blocks, src * 1009 + r // n_blocks + 1 AS key, r % n_blocks AS x FROM r),
-{perm}times AS (SELECT src, x AS block, count(*) AS times FROM {last} GROUP BY src, x),
-placed AS (SELECT d.*, n.src, n.source_size, n.target,
-    coalesce(sum(d.size) OVER (PARTITION BY n.src ORDER BY {mix31('coalesce(doc_id,-1)', a0, b0)}, doc_id NULLS FIRST, d.size, rid
+s0 AS (SELECT src, r, n_blocks, src * 1009 + r // n_blocks + 1 AS key, r % n_blocks AS x FROM r),
+{perm}slots AS (SELECT p.shard, p.src, z.x AS block, CASE WHEN part > 0 AND p.r = n_slots - 1 THEN rest - (part - 1) * width END AS upto
+    FROM pl p JOIN {last} z USING (src, r) JOIN n USING (src)),
+placed AS (SELECT d.*, n.src, n.source_size, n.target, n.width,
+    coalesce(sum(d.size) OVER (PARTITION BY n.src ORDER BY {mix31('own', a0, b0)}, doc_id NULLS FIRST, d.size, rid
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS st FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source),
-p AS (SELECT *, unnest(range(st // {block}, (st + size - 1) // {block} + 1)) AS block FROM placed WHERE size > 0),
-got AS (SELECT rid, sum(times * (least((p.block + 1) * {block} - st, size) - greatest(p.block * {block} - st, 0))) AS taken
-    FROM p JOIN times USING (src, block) GROUP BY rid)
-SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN got USING (rid)"""
+p AS (SELECT *, unnest(range(st // width, (st + size - 1) // width + 1)) AS block FROM placed WHERE size > 0),
+got AS (SELECT rid, shard, greatest(least(t - f, coalesce(upto - (f - p.block * width), t - f)), 0) AS w
+    FROM (SELECT *, greatest(block * width, st) AS f, least((block + 1) * width, st + size) AS t FROM p) p JOIN slots USING (src, block)),
+sums AS (SELECT rid, sum(w) AS taken, min(shard) FILTER (WHERE w > 0) AS first_shard, max(shard) FILTER (WHERE w > 0) AS last_shard FROM got GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_shard::BIGINT AS first_shard, last_shard::BIGINT AS last_shard FROM placed LEFT JOIN sums USING (rid)"""
 
 
 def line_dedup_sql(min_docs: int = 5, min_chars: int = 40) -> str:
