@@ -3,32 +3,32 @@
 Pieces and their scores are read from a model file (its path is a parameter).  A text becomes the
 pieces whose scores add up to most, with unknown characters as bytes, as the unigram
 reading of SentencePiece defines it; the supplied file's scores are merge ranks, and they
-are used as they stand.  Sums are in double precision (the library's are in single).
+are used as they stand.  Sums are in double precision (the library's are in single); of equal sums the
+one whose last piece is longest wins.
 
-Streaming: the search goes through the text once and keeps only positions that pieces can still
-reach back to (the longest piece's length) plus what is not decided yet.  When the
-backpointer paths of all positions that can still be extended meet in one boundary, what lies before it
-is decided whatever follows, and its ids are given out.
+``search`` goes through its input once, one character a step.  It keeps the best sums of the positions that a
+piece can still reach back to (as many as the longest piece has characters), and for each of
+them the position where its path stood when the search last looked.  Every ``LOOK`` steps it looks whether the paths of all positions
+that can still be extended meet in one boundary; what lies before it is decided whatever follows: its ids are
+given out and its backpointers' places are used again.  Time is linear in the input; memory is
+that window, plus the backpointers of what is not decided yet.
 
-A boundary that no piece of the vocabulary can span (as between a word and the blank that starts
-the next one) is such a meeting point by itself.  Texts are cut there first, and the
-distinct short segments of a batch run the same recurrence side by side in numpy; a segment
-that is too long for this goes through the streaming search.  Segments' ids are kept in a bounded cache.
+Many streams run side by side in numpy, one a lane.  Texts are dealt to lanes in stretches of
+about ``STRETCH`` characters that end before a word: no piece of the vocabulary spans that boundary, so all
+paths meet there.  A run without such a boundary, however long, stays in its lane.
 
 Normalisation is the model's identity: blanks become U+2581 with one put in front.  The character
 U+2581 itself is encoded as bytes, so that decoding gives back every text exactly.
 
 Defined results: a null text has null ids, an empty one none; null ids decode to null; repeated rows
-repeat; extra columns are ignored.
+repeat; extra columns are ignored; texts of any length are encoded whole, about ``PORTION`` characters at a time.
 """
 
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import chain
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +41,13 @@ MARK = "▁"
 #: Stands for a U+2581 that was in the text: a lone surrogate, which no text can hold.
 LITERAL = "\ud800"
 UNKNOWN_COST = 10.0
-SIDE_BY_SIDE = 32
-CACHE = 400_000
-FILTER_BITS = 21
+LOOK = 64
+STRETCH = 512
+PORTION = 1 << 20
+#: What ``search`` gives for a character that is no piece.
+UNKNOWN = -1
+#: Pieces are found by the top bits of their hashes.
+SLOT_BITS = 21
 
 
 @dataclass
@@ -56,32 +60,53 @@ class Vocabulary:
     pieces: list[bytes]  # by id: what it decodes to
     unknown: float
     longest: int
-    cache: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self):
         self.one_way = not any(MARK in p.lstrip(MARK) for p in self.ids)  # no piece spans "x▁"
-        self._tables()
-
-    def _tables(self) -> None:
-        """Sorted 64-bit hashes of the pieces, a small filter of their beginnings, and the pieces' bytes end to end."""
         names = list(self.ids)
         h = np.array([poly(p) for p in names], np.uint64)
-        order = np.argsort(h)
-        self.hashes = h[order]
-        self.hash_ids = np.array([self.ids[names[i]] for i in order], np.int32)
-        self.hash_scores = np.array([self.scores[names[i]] for i in order])
         if len(np.unique(h)) != len(h):
             raise ValueError("two pieces share a hash")
-        begins = np.array([poly(b) for b in {p[:n] for p in names for n in range(1, len(p) + 1)}], np.uint64)
-        self.begins = np.zeros(1 << FILTER_BITS, np.uint8)  # 1: some piece may begin like this; 2: this may be a piece
-        self.begins[(begins >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] |= 1
-        self.begins[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] |= 2
+        may = np.zeros(1 << SLOT_BITS, bool)
+        may[self.slot(h, 0)] = True
+        self.may = np.packbits(may, bitorder="little")  # a bit for each slot: some piece may have this hash
+        # Slots by the top bits; pieces whose slot is taken stand in a second table, kept by other bits, or a third.
+        self.tables, left = [], np.arange(len(h))
+        ids, scores = np.array([self.ids[p] for p in names], np.int32), np.array([self.scores[p] for p in names])
+        while len(left):
+            slot = self.slot(h[left], len(self.tables))
+            _, first = np.unique(slot, return_index=True)
+            table = np.full(1 << SLOT_BITS, len(first), np.int32)
+            table[slot[first]] = np.arange(len(first))
+            own = left[first]
+            self.tables.append((table, np.append(h[own], np.uint64(0)), np.append(ids[own], np.int32(0)), np.append(scores[own], 0.0)))
+            left = np.delete(left, first)
         self.pool = np.frombuffer(b"".join(self.pieces), np.uint8)
         self.sizes = np.array([len(p) for p in self.pieces])
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-
-PRIME = 0x100000001B3
+    @staticmethod
+    def slot(h: np.ndarray, k: int) -> np.ndarray:
+        return ((h >> np.uint64(64 - SLOT_BITS - 7 * k)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
+
+    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces (flat places), with their scores and ids."""
+        h = h.ravel()
+        slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
+        may = np.flatnonzero(self.may[slot >> np.uint32(3)] >> (slot.astype(np.uint8) & np.uint8(7)) & np.uint8(1))
+        h = h[may]
+        places, scores, ids = [], [], []
+        for k, (table, own, own_ids, own_scores) in enumerate(self.tables):
+            at = table[self.slot(h, k)]
+            hit = np.flatnonzero(own[at] == h)
+            at = at[hit]
+            places.append(may[hit])
+            scores.append(own_scores[at])
+            ids.append(own_ids[at])
+        return np.concatenate(places), np.concatenate(scores), np.concatenate(ids)
+
+
+PRIME = 0xD6E8FEB86659FD93
 _M64 = (1 << 64) - 1
 
 
@@ -116,138 +141,230 @@ def load(model_file: str | None = None, model: bytes | None = None) -> Vocabular
     return Vocabulary(ids, scores, single, out, min(scores.values()) - UNKNOWN_COST, max(map(len, ids)))
 
 
-def streaming(v: Vocabulary, text: str) -> Iterator[list[int]]:
-    """The ids of a normalised text, part by part, each as soon as it is decided."""
-    n, longest = len(text), v.longest
-    best: dict[int, float] = {0: 0.0}  # by position: the best sum of scores up to it
-    back: dict[int, int] = {}  # and where its last piece starts
+SEED, STEP = np.uint64(1469598103934665603), np.uint64(0x9E3779B97F4A7C15)
+
+
+def search(v: Vocabulary, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pieces of streams, as they are decided: (place in ``codes`` of a piece's last character, id or UNKNOWN).
+
+    Stream i is ``codes[starts[i] : starts[i] + lengths[i]]``; longer ones come first.
+    """
+    width, n = v.longest + 1, len(starts)
+    row = np.zeros(width, np.int64)  # the position that each row of the window stands for
+    sums, hashes = np.full((width, n), -np.inf), np.zeros((width, n), np.uint64)
+    root = np.zeros((width, n), np.int64)  # where a position's path stood at the last look
+    sums[0] = 0
+    held = 4 * max(LOOK, width)  # places for backpointers: a power of two times this
+    back, ids = np.zeros((held, n), np.uint8), np.zeros((held, n), np.int32)
+    done = np.zeros(n, np.int64)
+    active, ended, every = n, n, np.arange(n)  # streams [active, ended) are at their end but not given out yet
+
+    for t in range(int(lengths[0]) if n else 0):
+        while active and lengths[active - 1] <= t:
+            active -= 1
+        new = (t + 1) % width
+        hashes[t % width, :active] = SEED
+        h = hashes[:, :active]
+        h ^= codes[starts[:active] + t].astype(np.uint64)
+        h *= np.uint64(PRIME)
+        h += STEP
+        places, score, piece = v.look_up(h)
+        at, lane = np.divmod(places, active)
+        total = np.full((width, active), -np.inf)
+        total[at, lane] = sums[at, lane] + score
+        found = np.zeros((width, active), np.int32)
+        found[at, lane] = piece
+        single = total[t % width] == -np.inf
+        total[t % width, single] = sums[t % width, :active][single] + v.unknown
+        found[t % width, single] = UNKNOWN
+        # Of equal sums the earliest beginning wins; in the window it stands right after the newest row.
+        order = np.r_[new + 1 : width, 0 : new]
+        best = order[np.argmax(total[order], axis=0)]
+        lanes = every[:active]
+        sums[new, :active] = total[best, lanes]
+        root[new, :active] = root[best, lanes]
+        row[new] = t + 1
+        place = (t + 1) % held
+        back[place, :active] = t + 1 - row[best]
+        ids[place, :active] = found[best, lanes]
+
+        if (t + 1) % LOOK and t + 1 < lengths[0]:
+            continue
+        over = np.arange(active, ended) if active < ended else np.zeros(0, np.int64)
+        last = t + 1 == lengths[0]
+        if last:  # all that is left ends here or before
+            over, near = np.arange(ended), np.zeros(0, np.int64)
+        elif t + 1 >= width:
+            live = np.delete(root[:, :active], (t + 2) % width, axis=0)  # all rows that a later piece can begin at
+            near = np.flatnonzero((live == live[0]).all(0))
+        else:
+            near = np.zeros(0, np.int64)
+        to = np.r_[root[new, near], lengths[over]]
+        who = np.r_[near, over].astype(np.int64)
+        if len(who):
+            yield _walk(back, ids, held, starts, done, who, to)
+            done[who] = to
+        ended = active
+        if last:
+            return
+        root[:, near] = row[:, None]
+        # Where paths have not met for long, their backpointers need more places.
+        while active and t + 1 - int(done[:active].min()) + 2 * LOOK + width > held:
+            p = np.arange(max(0, t + 2 - held), t + 2)
+            wider = [np.zeros((2 * held, active), x.dtype) for x in (back, ids)]
+            for x, old in zip(wider, (back, ids), strict=True):
+                x[p % (2 * held)] = old[p % held, :active]
+            (back, ids), held = wider, 2 * held
+
+
+def search_one(v: Vocabulary, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same search for one stream, in plain Python: it is the faster one where few streams are left."""
+    longest, score_of, id_of, unknown = v.longest, v.scores.get, v.ids, v.unknown
+    sums, root, width, n = {0: 0.0}, {0: 0}, v.longest + 1, len(text)
+    back: dict[int, int] = {}
     done = 0
     for end in range(1, n + 1):
         top, at = None, end - 1
-        for start in range(max(done, end - longest), end):
-            s = v.scores.get(text[start:end])
+        for start in range(max(0, end - longest), end):
+            s = score_of(text[start:end])
             if s is None:
                 if start != end - 1:
                     continue
-                s = v.unknown
-            total = best[start] + s
-            if top is None or total > top:
-                top, at = total, start
-        best[end], back[end] = top, at
-        # Positions from which a later piece can start are live; where their paths meet, all before is decided.
-        if end == n or end - done >= 2 * longest:
-            live = {end} if end == n else set(range(end - longest + 1, end + 1))
-            while len(live) > 1:
-                last = max(live)
-                live.remove(last)
-                live.add(back[last] if last > done else done)
-            meet = live.pop()
-            if meet > done:
-                cuts = [meet]
-                while cuts[-1] > done:
-                    cuts.append(back[cuts[-1]])
-                ids: list[int] = []
-                for a, b in zip(cuts[:0:-1], cuts[-2::-1], strict=True):
-                    ids += piece_ids(v, text[a:b])
-                yield ids
-                for p in range(done, meet):
-                    best.pop(p, None)
-                    back.pop(p, None)
-                done = meet
-
-
-def piece_ids(v: Vocabulary, piece: str) -> list[int]:
-    if piece in v.ids:
-        return [v.ids[piece]]
-    return [v.bytes_[b] for b in (MARK if piece == LITERAL else piece).encode()]
-
-
-def side_by_side(v: Vocabulary, segments: list[str]) -> list[np.ndarray]:
-    """The same recurrence for many segments of at most SIDE_BY_SIDE characters, one column of positions at a time."""
-    n, width = len(segments), max(map(len, segments))
-    lengths = np.array([len(s) for s in segments])
-    c = np.zeros((n, width), np.uint64)
-    flat = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
-    c[np.arange(width) < lengths[:, None]] = flat
-    best = np.full((width + 1, n), -np.inf)
-    best[0] = 0
-    back, ids = np.zeros((width + 1, n), np.int8), np.full((width + 1, n), -1, np.int32)
-    single = np.array([v.bytes_[b] for b in range(128)], np.int32)
-    c = np.ascontiguousarray(c.T)
-    for start in range(width):
-        rows = np.flatnonzero(lengths > start)
-        h = np.full(len(rows), 1469598103934665603, np.uint64)
-        for end in range(start + 1, min(width, start + v.longest) + 1):
-            h = (h ^ c[end - 1, rows]) * np.uint64(PRIME) + np.uint64(0x9E3779B97F4A7C15)
-            kind = v.begins[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
-            may = np.flatnonzero(kind & 2)
-            at = np.minimum(np.searchsorted(v.hashes, h[may]), len(v.hashes) - 1)
-            sure = v.hashes[at] == h[may]
-            may, at = may[sure], at[sure]
-            if end == start + 1 and len(may) < len(rows):  # characters that are no piece
-                other = np.ones(len(rows), bool)
-                other[may] = False
-                r = rows[other]
-                total = best[start, r] + v.unknown
-                up = total > best[end, r]
-                r, total = r[up], total[up]
-                code = c[start, r]
-                best[end, r], back[end, r], ids[end, r] = total, start, np.where(code < 128, single[np.minimum(code, 127).astype(np.int64)], -1)
-            r = rows[may]
-            total = best[start, r] + v.hash_scores[at]
-            up = total > best[end, r]
-            r = r[up]
-            best[end, r], back[end, r], ids[end, r] = total[up], start, v.hash_ids[at[up]]
-            keep = (kind & 1 > 0) & (lengths[rows] > end)
-            rows, h = rows[keep], h[keep]
-            if not len(rows):
-                break
-    # All paths are walked back together, one piece a step.
-    at, every, steps, froms = lengths.copy(), np.arange(n), [], []
-    while at.any():
-        live = at > 0
-        steps.append(np.where(live, ids[at, every], 0))
-        froms.append(at)
-        at = np.where(live, back[at, every], 0).astype(np.int64)
-    path = np.stack(steps[::-1], 1) if steps else np.zeros((n, 0), np.int32)
-    count = sum((f > 0).astype(np.int64) for f in froms) if froms else np.zeros(n, np.int64)
-    out = [path[i, len(steps) - count[i] :] for i in range(n)]
-    for i in np.flatnonzero((path == -1).any(1)):  # unknown characters of several bytes
-        own, end = [], int(lengths[i])
-        while end:
-            start = int(back[end, i])
-            own += [int(ids[end, i])] if ids[end, i] >= 0 else piece_ids(v, segments[i][start:end])[::-1]
-            end = start
-        out[i] = np.array(own[::-1], np.int32)
-    return out
-
-
-#: Cuts before each run of blank marks: with one_way no piece spans these places.
-SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+                s = unknown
+            s += sums[start]
+            if top is None or s > top:
+                top, at = s, start
+        sums[end], back[end], root[end] = top, at, root[at]
+        if end >= width:
+            del sums[end - width], root[end - width]
+        if end % LOOK and end < n:
+            continue
+        live = {end} if end == n else {root[p] for p in range(max(0, end - longest + 1), end + 1)}
+        to = live.pop()
+        if live:
+            continue
+        if to > done:
+            cuts = [to]
+            while cuts[-1] > done:
+                cuts.append(back.pop(cuts[-1]))
+            yield np.array(cuts[:-1], np.int64) - 1, np.array([id_of.get(text[a:b], UNKNOWN) for a, b in zip(cuts[1:], cuts[:-1], strict=True)], np.int32)
+        for p in range(done, to):
+            back.pop(p, None)
+        done = to
+        root = {p: p for p in root}
+
+
+def _walk(back, ids, held, starts, done, who, to) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of streams ``who`` between ``done`` and ``to``; all paths are walked back together, one piece a step."""
+    places, found = [], []
+    to = to.copy()
+    while len(who := who[live := to > done[who]]):
+        to = to[live]
+        places.append(starts[who] + to - 1)
+        found.append(ids[to % held, who])
+        to = to - back[to % held, who]
+    return (np.concatenate(places), np.concatenate(found)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int32))
 
 
 def normalise(text: str) -> str:
     return MARK + text.replace(MARK, LITERAL).replace(" ", MARK) if text else ""
 
 
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def stretches(v: Vocabulary, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where stretches begin: at each text's beginning, and in each STRETCH characters at the first boundary that no piece spans."""
+    begins = np.r_[0, ends[:-1]]
+    begins = begins[begins < ends]
+    if not v.one_way or not len(codes):
+        return begins
+    mark = codes == ord(MARK)
+    cuts = np.flatnonzero(mark[1:] & ~mark[:-1]) + 1
+    cell = cuts // STRETCH
+    cuts = cuts[np.r_[True, cell[1:] != cell[:-1]]] if len(cuts) else cuts
+    return np.unique(np.r_[begins, cuts])
+
+
+def bytes_of(v: Vocabulary, code: int) -> list[int]:
+    """The ids of a character that is no piece."""
+    return [v.bytes_[b] for b in (MARK if chr(code) == LITERAL else chr(code)).encode()]
+
+
+def expanded(v: Vocabulary, codes: np.ndarray, places: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids in order, with unknown characters as bytes, and how many ids stand at each place."""
+    n = np.ones(len(places), np.int64)
+    other = np.flatnonzero(found == UNKNOWN)
+    if not len(other):
+        return found, n
+    kinds, which = np.unique(codes[places[other]], return_inverse=True)
+    own = [np.array(bytes_of(v, int(c)), np.int32) for c in kinds]
+    n[other] = np.array([len(x) for x in own])[which]
+    out = np.repeat(found, n)
+    first = np.cumsum(n) - n
+    for k, x in enumerate(own):
+        out[first[other[which == k]][:, None] + np.arange(len(x))] = x
+    return out, n
+
+
+def portion(v: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of normalised texts, end to end, and how many each text has."""
+    codes, ends = codes_of("".join(texts)), np.cumsum([len(t) for t in texts])
+    begins = stretches(v, codes, ends)
+    lengths = np.diff(np.r_[begins, len(codes)])
+    here = np.full(len(codes), UNKNOWN - 1, np.int32)
+    alone = lengths > 8 * STRETCH  # a run without a boundary
+    for first, n in zip(begins[alone], lengths[alone], strict=True):
+        for places, found in search_one(v, codes[first : first + n].tobytes().decode("utf-32-le", "surrogatepass")):
+            here[first + places] = found
+    begins, lengths = begins[~alone], lengths[~alone]
+    order = np.argsort(-lengths, kind="stable")
+    for places, found in search(v, codes, begins[order], lengths[order]):
+        here[places] = found
+    places = np.flatnonzero(here >= UNKNOWN)
+    ids, n = expanded(v, codes, places, here[places])
+    sums = np.r_[0, np.cumsum(n)]
+    upto = sums[np.searchsorted(places, ends)] if len(texts) else np.zeros(0, np.int64)
+    return ids, np.diff(np.r_[0, upto])
+
+
+def portions(v: Vocabulary, text: str) -> Iterator[str]:
+    """A normalised text in portions that end where no piece spans, of at least PORTION characters."""
+    at = 0
+    while len(text) - at > PORTION and v.one_way:
+        cut = at + PORTION
+        while (cut := text.find(MARK, cut)) > 0 and text[cut - 1] == MARK:
+            cut += 1
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 def encode_texts(v: Vocabulary, texts: list[str]) -> list[np.ndarray]:
     """The ids of texts."""
-    cache = v.cache
-    split = [SEGMENT.findall(normalise(t)) if v.one_way else [normalise(t)] for t in texts]
-    new = list(set(chain.from_iterable(split)).difference(cache))
-    if len(cache) + len(new) > CACHE:
-        cache.clear()
-        new = list(set(chain.from_iterable(split)))
-    short = [s for s in new if len(s) <= SIDE_BY_SIDE and LITERAL not in s]
-    short.sort(key=len)
-    for at in range(0, len(short), 8192):
-        part = short[at : at + 8192]
-        for s, own in zip(part, side_by_side(v, part), strict=True):
-            cache[s] = own.tobytes()
-    long = {s: np.array([i for part in streaming(v, s) for i in part], np.int32).tobytes() for s in new if len(s) > SIDE_BY_SIDE or LITERAL in s}
-    if long:
-        return [np.frombuffer(b"".join([long[s] if s in long else cache[s] for s in own]), np.int32) for own in split]
-    return [np.frombuffer(b"".join(map(cache.__getitem__, own)), np.int32) for own in split]
+    parts = [(i, p) for i, t in enumerate(texts) for p in portions(v, normalise(t))]
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    first = 0
+    while first < len(parts):
+        stop, size = first, 0
+        while stop < len(parts) and (stop == first or size + len(parts[stop][1]) <= 2 * PORTION):
+            size += len(parts[stop][1])
+            stop += 1
+        ids, n = portion(v, [p for _, p in parts[first:stop]])
+        for (i, _), own in zip(parts[first:stop], np.split(ids, np.cumsum(n)[:-1]), strict=True):
+            out[i].append(own)
+        first = stop
+    return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
+
+
+def streaming(v: Vocabulary, text: str) -> Iterator[list[int]]:
+    """The ids of one normalised text in order, part by part, each as soon as it is decided."""
+    codes = codes_of(text)
+    for places, found in search_one(v, text):
+        yield expanded(v, codes, places[::-1], found[::-1])[0].tolist()
 
 
 def decode_many(v: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> list[str]:
@@ -272,7 +389,7 @@ def encode(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(model=held.value)
         for batch in batches:
-            for part in chunks(batch, "t", 1 << 20):
+            for part in chunks(batch, "t", 2 * PORTION):
                 texts = part.column("t").to_pylist()
                 rows = encode_texts(v, [(t or b"").decode("utf-8", "replace") for t in texts])
                 ends = np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32)

@@ -392,9 +392,44 @@ def test_streaming_commits_early_and_exactly(model):
                 best[end] = max(best[end], best[start] + s)
     ids = [i for p in parts for i in p]
     score = {i: v.scores[p] for p, i in v.ids.items()}
+    codes = sentencepiece.codes_of(text)
+    looks = [len(places) for places, _ in sentencepiece.search(v, codes, np.zeros(1, np.int64), np.array([n]))]
+    assert len(looks) > 5 and max(looks) < 100
     assert len(parts) > 5 and sum(score[i] for i in ids) == best[n]
 
 
+def test_lanes_and_the_single_search_agree(model, monkeypatch):
+    v = sentencepiece.load(model=model)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcthe in  éß中▁=,.!0xñ") for _ in range(rng.randrange(0, 3000))) for _ in range(30)] + ["=" * 5000, "ab" * 3000, " " * 2000, "", "the " * 3000]
+    single = [[i for part in sentencepiece.streaming(v, sentencepiece.normalise(t)) for i in part] for t in texts]
+    assert [x.tolist() for x in sentencepiece.encode_texts(v, texts)] == single
+    monkeypatch.setattr(sentencepiece, "STRETCH", 10**6)  # whole texts in lanes, whose backpointers need more and more places
+    assert [x.tolist() for x in sentencepiece.encode_texts(v, texts)] == single
+    monkeypatch.setattr(sentencepiece, "PORTION", 700)  # texts in many portions
+    assert [x.tolist() for x in sentencepiece.encode_texts(v, texts)] == single
+
+
+@pytest.mark.parametrize("unit", ["a", "=", "中", "the"])
+def test_long_unbroken_runs_take_linear_time(model, unit):
+    import time
+
+    v = sentencepiece.load(model=model)
+    took = []
+    for n in (50_000, 200_000):
+        began = time.process_time()
+        ids = sentencepiece.encode_texts(v, [unit * (n // len(unit))])[0]
+        took.append(time.process_time() - began)
+    assert sentencepiece.decode_ids(v, ids) == unit * (200_000 // len(unit))
+    assert took[1] < 10 * took[0] + 1
+
+
+def test_equal_sums_take_the_longest_last_piece():
+    v = sentencepiece.Vocabulary({"a": 0, "b": 1, "ab": 2, "abab": 3, "▁": 4}, {"a": -1.0, "b": -1.0, "ab": -2.0, "abab": -4.0, "▁": -1.0}, list(range(10, 266)), [b""] * 266, -50.0, 4)
+    assert sentencepiece.encode_texts(v, ["abab"])[0].tolist() == [4, 3]
+    assert [i for p in sentencepiece.streaming(v, "▁abab") for i in p] == [4, 3]
+
+
 def test_encode_decode_round_trip(docs, model, nothing):
     odd = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame([(70, "▁ x▁y  \n\t"), (71, "a" * 5000), (72, "中文\x00é" * 50)], "doc_id long, text string"))
     enc = sentencepiece.encode(odd, model)
