@@ -2,15 +2,15 @@
 
 A text is lower-cased and padded with a blank at both ends; its 1-, 2- and 3-grams are hashed to
 ``2**bits`` buckets.  Training counts buckets by language in each task (one dense matrix a
-task) and adds them up by (language, bucket).  The log-probability matrix is broadcast (its
-size is checked: fewer bits for more languages), and a batch of texts is scored by gathering
-its n-grams' rows and summing them by text in numpy.
+task) and adds them up by (language, bucket).  The log-probability matrix is broadcast, and texts are
+scored by gathering their n-grams' rows and summing them by text in numpy, ``SPAN`` characters
+and ``CELLS`` matrix cells at a time, so memory does not follow a text's length or the number of languages.
 
 The training rows are a bounded sample: about ``max_per_lang`` texts a language, chosen by a hash of
 the id with a rate set by the language's count.  Whole texts are read throughout.  Every language is
-learned; more than ``MAX_LANGS``, for which the matrix has no room at 10 bits, are an error.
+learned; more than the matrix has room for (``MATRIX_BYTES``; 512 at 15 bits) are an error, which fewer ``bits`` avoid.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text when
+Defined results: a null text, or one without a letter (Unicode category L), is ``und`` with score 0; so is every text when
 there is no training row.  The score is the winner's posterior probability with the likelihood
 taken by its geometric mean over n-grams, so it stays comparable across lengths.  Repeated rows
 repeat; ties go to the language first by code point; extra columns are ignored.
@@ -18,41 +18,65 @@ repeat; ties go to the language first by code point; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattiq.llm.common import blob, chunks, column
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 ORDERS = (1, 2, 3)
 #: The broadcast matrix has at most this many bytes.
-MATRIX_BYTES = 32 << 20
-#: So many languages fit into it at 10 bits.
-MAX_LANGS = MATRIX_BYTES // 4 >> 10
-
-
-def gram_buckets(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram buckets of texts, one after another, and each text's first place among them."""
-    padded = [f" {t.lower()} " for t in texts]
-    ends = np.cumsum([len(t) for t in padded])
-    c = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    left = np.repeat(ends, [len(t) for t in padded]) - np.arange(len(c))  # characters up to the text's end
+MATRIX_BYTES = 64 << 20
+#: Characters and matrix cells that are held at a time.
+SPAN, CELLS = 1 << 18, 1 << 22
+
+
+def spans(text: str) -> Iterator[tuple[str, int]]:
+    """A padded text in parts: (characters, how many of them begin n-grams here); the rest begin theirs in the next part."""
+    padded = f" {text.lower()} "
+    for at in range(0, len(padded), SPAN):
+        part = padded[at : at + SPAN + ORDERS[-1] - 1]
+        yield part, min(SPAN, len(padded) - at)
+
+
+def gram_buckets(parts: list[tuple[str, int]], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram buckets of parts of texts, one after another, and each part's number of them."""
+    sizes = np.array([len(t) for t, _ in parts])
+    ends = np.cumsum(sizes)
+    c = np.frombuffer("".join(t for t, _ in parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    left = np.repeat(ends, sizes) - np.arange(len(c))  # characters up to the part's end
+    begins = left > np.repeat(sizes - [n for _, n in parts], sizes)
     h, grams, keep = np.zeros(len(c), np.uint64), [], []
     for n in ORDERS:
         shifted = np.zeros(len(c), np.uint64)
         shifted[: len(c) - n + 1] = c[n - 1 :]
         h = (h * np.uint64(0x9E3779B97F4A7C15) + shifted + np.uint64(n)) * np.uint64(0xBF58476D1CE4E5B9)
         grams.append((h >> np.uint64(64 - bits)).astype(np.int32))
-        keep.append(left >= n)
+        keep.append(begins & (left >= n))
     grams, keep = np.stack(grams, 1).ravel(), np.stack(keep, 1).ravel()
-    starts = np.r_[0, ends[:-1]] * len(ORDERS)
-    return grams[keep], np.r_[0, np.cumsum(keep)][starts].astype(np.int64)
+    upto = np.r_[0, np.cumsum(keep)][ends * len(ORDERS)]
+    return grams[keep], np.diff(np.r_[0, upto])
+
+
+def batches_of(texts: list[str]) -> Iterator[tuple[list[int], list[tuple[str, int]]]]:
+    """Parts of texts, some SPAN characters at a time, with the places of their texts."""
+    who, parts, size = [], [], 0
+    for i, t in enumerate(texts):
+        for part in spans(t):
+            who.append(i)
+            parts.append(part)
+            size += part[1]
+            if size >= SPAN:
+                yield who, parts
+                who, parts, size = [], [], 0
+    if parts:
+        yield who, parts
 
 
 @dataclass(frozen=True)
@@ -68,14 +92,13 @@ def fit(docs: DataFrame, training: Column, *, bits: int = 15, max_per_lang: int
     """Learn from the rows of ``docs`` where ``training`` holds and text and lang are not null."""
     rows = docs.where(training).where(column(docs, text_col).isNotNull() & column(docs, lang_col).isNotNull())
     rows = rows.select(column(docs, id_col).cast("string").alias("id"), blob(column(docs, text_col)).alias("t"), column(docs, lang_col).cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    most = MATRIX_BYTES // (4 << bits)
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most + 1).collect()}
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} languages; their matrix has room at fewer bits than {bits}")
     langs = sorted(sizes)
     if not langs:
         return Model([], bits, np.zeros((1 << bits, 0), np.float32), np.zeros(0))
-    while bits > 10 and (len(langs) * 4 << bits) > MATRIX_BYTES:
-        bits -= 1
     rates = docs.sparkSession.createDataFrame([(k, min(1.0, max_per_lang / n)) for k, n in sizes.items()], "lang string, rate double")
     chosen = rows.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("rate") * (1 << 20)).select("id", "t", "lang")
 
@@ -84,10 +107,11 @@ def fit(docs: DataFrame, training: Column, *, bits: int = 15, max_per_lang: int
         place = {k: i for i, k in enumerate(langs)}
         for batch in batches:
             for part in chunks(batch, "t", 1 << 20):
-                texts = [t.decode("utf-8", "replace") for t in part.column("t").to_pylist()]
-                grams, starts = gram_buckets(texts, bits)
-                own = np.repeat([place[x] for x in part.column("lang").to_pylist()], np.diff(np.r_[starts, len(grams)]))
-                total += np.bincount(own << bits | grams, minlength=total.size).reshape(total.shape)
+                texts, lang = [t.decode("utf-8", "replace") for t in part.column("t").to_pylist()], [place[x] for x in part.column("lang").to_pylist()]
+                for who, parts in batches_of(texts):
+                    grams, n = gram_buckets(parts, bits)
+                    cells, n = np.unique(np.repeat([lang[i] for i in who], n) << bits | grams, return_counts=True)
+                    total.reshape(-1)[cells] += n
         lang, bucket = np.nonzero(total)
         for i in range(0, len(lang), 100_000):
             at = slice(i, i + 100_000)
@@ -103,12 +127,19 @@ def fit(docs: DataFrame, training: Column, *, bits: int = 15, max_per_lang: int
 def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
     lang, score = ["und"] * len(texts), [0.0] * len(texts)
     at = [i for i, t in enumerate(texts) if t and model.langs and LETTER.search(t)]
+    logs, count = np.zeros((len(at), len(model.langs))), np.zeros(len(at))
+    step = max(1, CELLS // max(1, len(model.langs)))
+    for who, parts in batches_of([texts[i] for i in at]):
+        grams, n = gram_buckets(parts, model.bits)
+        owner = np.repeat(who, n)
+        count += np.bincount(owner, minlength=len(at))
+        for i in range(0, len(grams), step):
+            own = owner[i : i + step]  # in order of texts
+            first = np.r_[0, np.flatnonzero(np.diff(own)) + 1]
+            logs[own[first]] += np.add.reduceat(model.matrix[grams[i : i + step]].astype(np.float64), first, axis=0)
     if at:
-        grams, starts = gram_buckets([texts[i] for i in at], model.bits)
-        n = np.diff(np.r_[starts, len(grams)])[:, None]
-        logs = np.add.reduceat(model.matrix[grams].astype(np.float64), starts, axis=0)
         best = np.argmax(logs + model.prior, axis=1)
-        p = np.exp((logs - logs[np.arange(len(at)), best][:, None]) / np.sqrt(n))  # damped: grams overlap and depend on one another
+        p = np.exp((logs - logs[np.arange(len(at)), best][:, None]) / np.sqrt(count)[:, None])  # damped: grams overlap and depend on one another
         p /= p.sum(1, keepdims=True)
         for k, i in enumerate(at):
             lang[i], score[i] = model.langs[best[k]], float(p[k, best[k]])

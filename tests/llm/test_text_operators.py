@@ -286,6 +286,36 @@ def test_language_id(spark, nothing):
     assert language_id.predict(d, language_id.fit(nothing, F.lit(True))).where("lang_pred <> 'und'").isEmpty()
 
 
+def test_language_id_against_plain_counts(spark, monkeypatch):
+    """Multinomial naive Bayes with a Python dictionary of n-gram counts; as many buckets as there need be to keep n-grams apart."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(7)
+    vocab = {"en": ["the", "and", "thing", "with"], "de": ["der", "und", "schön", "nicht"], "fr": ["été", "les", "dans", "où"]}
+    data = [(i, " ".join(rng.choices(vocab["en"] + vocab[k], k=rng.randrange(1, 6))), k) for i, k in enumerate(["en", "de", "fr", "en"] * 30)]
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    bits = 19
+    model = language_id.fit(d, F.lit(True), bits=bits)
+    grams = lambda t: [f" {t.lower()} "[i : i + n] for n in (1, 2, 3) for i in range(len(t) + 3 - n)]
+    counts, sizes = {}, Counter(k for *_, k in data)
+    for _, t, k in data:
+        counts.setdefault(k, Counter()).update(grams(t))
+    total = {k: sum(c.values()) + 0.5 * 2**bits for k, c in counts.items()}
+    monkeypatch.setattr(language_id, "SPAN", 7)
+    monkeypatch.setattr(language_id, "CELLS", 50)
+    texts = [t for _, t, _ in data] + ["½ ² 12", "Ⅷ", "ª", "中"]
+    for t, lang, score in zip(texts, *language_id.predict_texts(model, texts), strict=True):
+        if t in ("½ ² 12", "Ⅷ"):  # number characters are no letters
+            assert (lang, score) == ("und", 0.0)
+            continue
+        logs = {k: sum(math.log((counts[k][g] + 0.5) / total[k]) for g in grams(t)) for k in counts}
+        best = max(sorted(logs), key=lambda k: round(logs[k] + math.log(sizes[k] / len(data)), 4))
+        assert lang == best
+        p = {k: math.exp((v - logs[best]) / math.sqrt(len(grams(t)))) for k, v in logs.items()}
+        assert abs(score - p[best] / sum(p.values())) < 1e-3
+
+
 def test_ann_against_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(700, 16)).astype(np.float32)

@@ -10,11 +10,11 @@ from lattiq.llm import ann, language_id, quality_classifier
 def test_more_than_a_thousand_languages_are_learned(spark):
     n = 1200
     d = spark.range(n).selectExpr("id as doc_id", "concat(char(65 + id % 26), ' text ', id) as text", "concat('l', id) as lang")
-    assert len(language_id.fit(d, F.lit(True)).langs) == n
+    assert len(language_id.fit(d, F.lit(True), bits=13).langs) == n
 
 
 def test_too_many_languages_are_an_error(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "MAX_LANGS", 2)
+    monkeypatch.setattr(language_id, "MATRIX_BYTES", 2 * 4 << 15)
     d = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(3)], "doc_id long, text string, lang string")
     with pytest.raises(ValueError):
         language_id.fit(d, F.lit(True))
