@@ -1,20 +1,21 @@
 """Approximate nearest neighbours by inner product, with additive quantisation.
 
-A vector is coded as a sum of ``books`` full-dimensional codewords, one from each codebook.
+A vector is coded as a sum of ``books`` full-dimensional codewords, one from each codebook (many small
+codebooks: at the same number of bits they lose less than few large ones, and cost less to search).
 Codebooks start as residual k-means on a bounded sample and are then solved jointly by least
 squares against beam-search codes.  Every vector is encoded by beam search; its code and
 the ratio of its norm to its reconstruction's are stored.  A query makes one lookup table (its inner
-product with all codewords); a block's scores are sums of table entries times that ratio,
-and the best are scored again exactly, in double precision, on the original vectors.
+product with all codewords, two codebooks joined in one entry); a row's score is a sum of table entries times that ratio.
+The ``rerank`` best rows of all are scored again exactly, in double precision, on the original vectors.
 
 All rows are indexed.  Equal vectors are one class, of which the smallest ids are kept: as many as a
-result can hold, so nothing that could be returned is lost.  Index blocks and query blocks
-meet by block number, never as single rows; ties at the cut are kept, so that equal
-codes do not crowd out exact neighbours.
+result can hold, so nothing that could be returned is lost.  Index blocks (codes only) and query blocks
+meet as blocks, never as single rows; ties at the cut are kept, so that equal
+codes do not crowd out exact neighbours.  Vectors move once, and a query's once for each row of its shortlist.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or are not of the
-commonest length take no part; a query's own row is no candidate, other rows of the same vector are;
-repeated ids are one row; fewer candidates than ``k`` are all returned; an empty table gives no rows.
+commonest length take no part; rows without an id take no part; a query's own row is no candidate, other rows of the same vector are;
+repeated ids are one row; fewer candidates than ``k`` are all returned; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,31 +42,25 @@ class Quantiser:
     def flat(self) -> np.ndarray:
         return self.codebooks.reshape(-1, self.codebooks.shape[2])
 
-    def encode(self, x: np.ndarray, beam: int = 8) -> np.ndarray:
-        """Codes (n, books) by beam search: at each book the ``beam`` best sums so far are kept."""
-        books, words, _ = self.codebooks.shape
-        flat = self.flat
-        gram, xc = flat @ flat.T, x @ flat.T
-        n = len(x)
-        codes = np.zeros((n, 1, 0), np.int64)
-        cost = np.zeros((n, 1), np.float32)  # squared error less the vector's squared norm
-        for m in range(books):
-            own = slice(m * words, (m + 1) * words)
-            step = (np.diagonal(gram)[own] - 2 * xc[:, own])[:, None, :] + cost[:, :, None]
-            for j in range(m):
-                step = step + 2 * gram[j * words + codes[:, :, j], own]
-            step = step.reshape(n, -1)
+    def encode(self, x: np.ndarray, beam: int = 4) -> np.ndarray:
+        """Codes (n, books) by beam search: at each book the ``beam`` best sums so far are kept, as what they leave of the vector."""
+        n, dim = x.shape
+        left, codes = x[:, None, :], np.zeros((n, 1, 0), np.uint8)
+        for c in self.codebooks:
+            held = left.shape[1]
+            step = ((c * c).sum(1) - 2 * (left.reshape(-1, dim) @ c.T).reshape(n, held, -1) + (left * left).sum(2)[:, :, None]).reshape(n, -1)
             width = min(beam, step.shape[1])
             best = np.argpartition(step, width - 1, axis=1)[:, :width]
-            cost = np.take_along_axis(step, best, 1)
-            codes = np.concatenate([np.take_along_axis(codes, (best // words)[:, :, None], 1), (best % words)[:, :, None]], axis=2)
-        return np.take_along_axis(codes, cost.argmin(1)[:, None, None], 1)[:, 0].astype(np.uint8)
+            of, word = best // len(c), best % len(c)
+            left = np.take_along_axis(left, of[:, :, None], 1) - c[word]
+            codes = np.concatenate([np.take_along_axis(codes, of[:, :, None], 1), word[:, :, None].astype(np.uint8)], axis=2)
+        return codes[np.arange(n), (left * left).sum(2).argmin(1)]
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return sum(self.codebooks[m][codes[:, m]] for m in range(len(self.codebooks)))
 
 
-def train(x: np.ndarray, books: int = 8, words: int = 64, rounds: int = 6, seed: int = 7) -> Quantiser:
+def train(x: np.ndarray, books: int = 64, words: int = 16, rounds: int = 6, seed: int = 7) -> Quantiser:
     """Residual k-means, then one joint least-squares solution for all codebooks given beam-search codes."""
     rng = np.random.default_rng(seed)
     x = x.astype(np.float32)
@@ -92,9 +87,24 @@ def train(x: np.ndarray, books: int = 8, words: int = 64, rounds: int = 6, seed:
     return Quantiser(flat.reshape(q.codebooks.shape).astype(np.float32))
 
 
+def scores(q: np.ndarray, codebooks: np.ndarray, codes: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """Scores (queries, rows) by lookup tables; codes are (rows, books)."""
+    books, words, dim = codebooks.shape
+    tables = (codebooks.reshape(-1, dim) @ q.T).reshape(books, words, -1)
+    if books % 2 == 0 and words <= 16:  # two codebooks at once
+        tables = (tables[0::2, :, None] + tables[1::2, None, :]).reshape(books // 2, words * words, -1)
+        codes = codes[:, 0::2].astype(np.int64) * words + codes[:, 1::2]
+    out = np.zeros((len(codes), q.shape[0]), np.float32)
+    for table, code in zip(tables, codes.T, strict=True):
+        out += table[code]
+    return np.ascontiguousarray((out * ratio[:, None]).T)
+
+
 def usable(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, v): the rows that take part, each id once."""
-    v = column(rows, vector_col).cast("array<double>")
+    """(id, v): the rows that take part, each id once; v keeps single precision where the table has it."""
+    v = column(rows, vector_col)
+    if rows.schema[vector_col].dataType.simpleString() != "array<float>":
+        v = v.cast("array<double>")
     d = rows.select(column(rows, id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     d = d.where(~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0))
@@ -102,22 +112,22 @@ def usable(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     return d.where(F.size("v") == (dims["n"] if dims else 0)).groupBy("id").agg(F.min("v").alias("v"))
 
 
-def _blocks(d: DataFrame, order: str, rows_a_block: int, n_rows: int) -> DataFrame:
-    """Add ``block``: about ``rows_a_block`` rows each, by a hash of ``order``."""
-    return d.withColumn("block", F.pmod(F.xxhash64(order), F.lit(max(1, -(-n_rows // rows_a_block)))).cast("int"))
+def matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """A column of equally long lists, in double precision."""
+    flat = batch.column(name).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(batch.num_rows, -1)
 
 
-def search(rows: DataFrame, queries: DataFrame, *, k: int = 20, rerank: int = 160, sample: int = 8192, books: int = 8, words: int = 64,
-           block_rows: int = 16_384, query_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, *, k: int = 20, rerank: int = 64, sample: int = 8192, books: int = 64, words: int = 16,
+           block_rows: int = 65_536, query_rows: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest rows by inner product, ties to the smaller id.
 
     ``queries`` are rows of the same table.  ``sample`` bounds the rows that the codebooks are fitted on.
+    Blocks are smaller than ``block_rows`` where that gives tasks to all cores; results do not depend on them.
     """
     spark = rows.sparkSession
     d = cut(usable(rows, id_col, vector_col))
-    n_all = d.count()
-    schema = "query_id long, vec_id long, score double"
-    if not n_all:
+    if d.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # Classes of equal vectors: a result holds at most k rows of one, and may have to skip the query itself.
     place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
@@ -126,65 +136,57 @@ def search(rows: DataFrame, queries: DataFrame, *, k: int = 20, rerank: int = 16
     rate = min(1.0, 1.1 * sample / n)
     fitted = classes.where(F.pmod(F.xxhash64("first"), F.lit(1 << 20)) < int(rate * (1 << 20))).select("v", "first").orderBy(F.xxhash64("first")).limit(sample).toPandas()
     model = spark.sparkContext.broadcast(train(np.array(fitted["v"].tolist()), books, words))
-    wanted = d.join(queries.select(column(queries, id_col).cast("long").alias("id")).distinct(), "id", "left_semi")
-    n_queries = wanted.count()
-
-    def pack(key: str, of: str):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(of)
-            x = np.array(pdf["v"].tolist(), np.float64)
-            out = {"block": [pdf["block"].iloc[0]], "ids": [list(pdf[key])], "x": [x.tobytes()]}
-            if key == "ids":
-                x32 = x.astype(np.float32)
-                codes = np.concatenate([model.value.encode(x32[i : i + 2048]) for i in range(0, len(x32), 2048)])
+    wanted = cut(d.join(queries.select(column(queries, id_col).cast("long").alias("id")).distinct(), "id", "left_semi"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n_q = max(1, -(-wanted.count() // query_rows))
+    n_i = max(1, -(-n // min(block_rows, max(1024, n * n_q // (2 * tasks)))))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x = matrix(part, "v").astype(np.float32)
+                codes = model.value.encode(x)
                 norm = np.linalg.norm(model.value.decode(codes), axis=1)
-                ratio = np.divide(np.linalg.norm(x32, axis=1), norm, out=np.ones_like(norm), where=norm > 0)
-                out |= {"codes": [codes.tobytes()], "ratio": [ratio.astype(np.float32).tobytes()]}
-            return pd.DataFrame(out)
-        return run
-
-    n_q = max(1, -(-n_queries // query_rows))
-    index = _blocks(classes, "first", block_rows, n).groupBy("block").applyInPandas(pack("ids", "first"), "block int, ids array<array<long>>, x binary, codes binary, ratio binary")
-    asked = _blocks(wanted, "id", query_rows, n_queries).groupBy("block").applyInPandas(pack("id", "id"), "block int, ids array<long>, x binary")
-    # Blocks meet by the query block's number: an index block is sent to each query block.
-    pairs = cut(index).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).join(
-        cut(asked).select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x")), "q")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = model.value.flat
+                ratio = np.divide(np.linalg.norm(x, axis=1), norm, out=np.ones_like(norm), where=norm > 0)
+                yield pa.RecordBatch.from_arrays([part.column("first"), pa.array([c.tobytes() for c in codes]), pa.array(ratio.astype(np.float32))], ["first", "code", "ratio"])
+
+    def pack_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("first")
+        return pd.DataFrame({"i": pdf["i"].iloc[:1], "firsts": [pdf["first"].to_numpy().tobytes()], "codes": [b"".join(pdf["code"])], "ratio": [pdf["ratio"].to_numpy(np.float32).tobytes()]})
+
+    def pack_queries(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        return pd.DataFrame({"q": pdf["q"].iloc[:1], "ids": [pdf["id"].to_numpy().tobytes()], "x": [np.array(pdf["v"].tolist(), np.float32).tobytes()]})
+
+    block = lambda of, n: F.pmod(F.xxhash64(of), F.lit(n)).cast("int")
+    index = classes.select("first", "v").mapInArrow(code, "first long, code binary, ratio float").withColumn("i", block("first", n_i))
+    index = cut(index.groupBy("i").applyInPandas(pack_rows, "i int, firsts binary, codes binary, ratio binary"))
+    asked = cut(wanted.withColumn("q", block("id", n_q)).groupBy("q").applyInPandas(pack_queries, "q int, ids binary, x binary"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    pairs = index.withColumn("q", every(n_q)).hint("merge").join(asked.withColumn("i", every(n_i)).hint("merge"), ["q", "i"])
+
+    def shortlist(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                q_ids = np.array(r["q_ids"])
-                q = np.frombuffer(r["q_x"], np.float64).reshape(len(q_ids), -1)
-                x = np.frombuffer(r["x"], np.float64).reshape(len(r["ids"]), -1)
-                codes = np.frombuffer(r["codes"], np.uint8).reshape(len(x), -1).astype(np.int64)
-                ratio = np.frombuffer(r["ratio"], np.float32)
-                one = np.array([i[0] for i in r["ids"]])
-                single = all(len(i) == 1 for i in r["ids"])
+                ids, firsts, ratio = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["firsts"], np.int64), np.frombuffer(r["ratio"], np.float32)
+                q, codes = np.frombuffer(r["x"], np.float32).reshape(len(ids), -1), np.frombuffer(r["codes"], np.uint8).reshape(len(firsts), -1)
                 for at in range(0, len(q), 64):
-                    lookup = flat @ q[at : at + 64].astype(np.float32).T  # (words, queries)
-                    rough = np.zeros((len(x), lookup.shape[1]), np.float32)
-                    for m in range(books):
-                        rough += lookup[m * words + codes[:, m]]
-                    rough = np.ascontiguousarray((rough * ratio[:, None]).T)
-                    bound = np.partition(rough, max(0, len(x) - rerank), axis=1)[:, max(0, len(x) - rerank)]
-                    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                    for i in range(len(rough)):
-                        near = np.flatnonzero(rough[i] >= bound[i])
-                        exact = (x[near] * q[at + i]).sum(1)
-                        if single:
-                            ids, exact = one[near], exact
-                        else:
-                            ids = np.concatenate([r["ids"][j] for j in near])
-                            exact = np.repeat(exact, [len(r["ids"][j]) for j in near])
-                        keep = ids != q_ids[at + i]
-                        ids, exact = ids[keep], exact[keep]
-                        best = np.lexsort((ids, -exact))[:k]
-                        found.append((np.full(len(best), q_ids[at + i]), ids[best], exact[best]))
-                    a, b, c = map(np.concatenate, zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], ["query_id", "vec_id", "score"])
-
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = pairs.repartition(tasks, "q", "block").mapInArrow(score, schema)
+                    rough = scores(q[at : at + 64], model.value.codebooks, codes, ratio)
+                    cut_ = max(0, len(firsts) - rerank)
+                    who, what = np.nonzero(rough >= np.partition(rough, cut_, axis=1)[:, cut_, None])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + who]), pa.array(firsts[what]), pa.array(rough[who, what])], ["query_id", "first", "rough"])
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                yield pa.RecordBatch.from_arrays([part.column("query_id"), part.column("ids"), pa.array((matrix(part, "v") * matrix(part, "x")).sum(1))], ["query_id", "ids", "score"])
+
+    best = Window.partitionBy("query_id").orderBy(F.desc("rough"))
+    near = pairs.repartition(tasks, "q", "i").mapInArrow(shortlist, "query_id long, first long, rough float").withColumn("place", F.rank().over(best)).where(F.col("place") <= rerank)
+    near = near.join(wanted.select(F.col("id").alias("query_id"), F.col("v").alias("x")), "query_id").select("query_id", "first", "x")
+    found = near.join(classes, "first").select("query_id", "ids", "v", "x").mapInArrow(exact, "query_id long, ids array<long>, score double")
+    found = found.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -323,7 +323,7 @@ def test_ann_against_brute_force(spark):
     data = [(i, x[i].tolist(), 0.5) for i in range(700)] + [(800, None, 0.1), (801, [0.0] * 16, 0.1), (802, [float("nan")] * 16, 0.1), (803, [1.0, None] * 8, 0.1), (804, [1.0] * 3, 0.1), (5, x[5].tolist(), 0.5), (820, [float("inf")] * 16, 0.1)]
     d = spark.createDataFrame(data, "vec_id long, embedding array<float>, score double")
     got = {}
-    for r in ann.search(d, d.where("vec_id % 20 = 0"), words=32, block_rows=256, rerank=120).collect():
+    for r in ann.search(d, d.where("vec_id % 20 = 0"), block_rows=256, query_rows=9).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     assert set(got) == set(range(0, 700, 20))
     hit = 0
@@ -339,6 +339,35 @@ def test_ann_against_brute_force(spark):
     assert ann.search(d.limit(0), d.limit(0)).count() == 0
 
 
+def test_lookup_tables_are_inner_products():
+    rng = np.random.default_rng(2)
+    x, q = rng.normal(size=(300, 12)).astype(np.float32), rng.normal(size=(7, 12)).astype(np.float32)
+    for books, words in ((6, 8), (3, 8), (4, 32)):
+        m = ann.train(x, books, words, rounds=2)
+        codes = m.encode(x)
+        assert np.allclose(ann.scores(q, m.codebooks, codes, np.full(300, 2, np.float32)), 2 * q @ m.decode(codes).T, atol=1e-4)
+        greedy = m.encode(x, beam=1)
+        error = lambda c: ((m.decode(c) - x) ** 2).sum()
+        assert error(codes) <= error(greedy)
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_recall_on_the_larger_table(spark):
+    """All of the table's queries against brute force."""
+    d = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    pdf = d.select("vec_id", "embedding").toPandas().drop_duplicates("vec_id")
+    ids, x = pdf["vec_id"].to_numpy(), np.array(pdf["embedding"].tolist(), np.float64)
+    got = {}
+    for r in ann.search(d, d.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(ids[np.lexsort((ids, -s))[:20]]) & got[ids[q]])
+    assert hit / (20 * len(got)) >= 0.95
+
+
 @pytest.fixture(scope="module")
 def judged_docs(spark):
     rng = random.Random(3)
