@@ -1,7 +1,8 @@
 """Quality by hierarchical empirical Bayes: document evidence under host and path posteriors.
 
 1. A linear classifier, fitted on a bounded sample of labelled rows, gives each document's log
-   odds of being good.  Less the labels' prior log odds, that is the document's evidence.
+   odds of being good.  It reads shares that tell how clean a text looks and, given these, its hashed words: the
+   words' weights correct what the shares miss.  Less the labels' prior log odds, that is the document's evidence.
 2. Grouped sums of the documents' probabilities give each path's and each host's rate.
    A host's posterior rate is its rate shrunk toward the global one, a path's is shrunk toward its
    host's; how strongly follows from the spread between groups (method of moments), so
@@ -12,22 +13,25 @@ Groups are summed on the map side; a host with a third of all rows is one row a
 posteriors are joined back by path; the table is written first, so the join knows its size.
 
 Defined results: a null text counts as an empty one; null hosts and paths are groups of their own;
-repeated rows repeat; without usable labels every document has the prior 0.5 and is kept; an
+repeated rows repeat; a text's words are a set, so ties and order cannot change its evidence; a very long text is read whole, in
+memory that follows its own length; without usable labels every document has the prior 0.5 and is kept; an
 empty table gives an empty result; extra columns are ignored or, in ``keep_good``, carried.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattiq.llm.common import BLANK_BYTES, blob, chunks, column, cut
-from lattiq.llm.linear import sigmoid
+from lattiq.llm.linear import Rows, SparseLogistic, sigmoid, word_features
 
 SYMBOLS = b"#*$%&|<>"
 MARKS = re.compile(rb"[!?]{2,}|[#*$%&|<>]+")
@@ -71,8 +75,22 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, rounds: int = 3
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_per_class: int = 5000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, float]:
-    """(weights, prior log odds) from at most about ``max_per_class`` labelled rows a class, chosen by a hash of the id.
+@dataclass(frozen=True)
+class Classifier:
+    weights: np.ndarray  # of the shares
+    words: SparseLogistic | None
+    prior: float  # log odds of all labels
+
+    def evidence(self, texts: list[bytes | None]) -> np.ndarray:
+        """The log odds that each text adds to the prior, kept within 15."""
+        z = np.array([features(t) for t in texts]).reshape(-1, N_FEATURES) @ self.weights - self.prior
+        if self.words is not None:
+            z = z + self.words.logit(Rows.of([word_features((t or b"").decode("utf-8", "replace")) for t in texts]), np.zeros((len(texts), 0)))
+        return np.clip(z, -15, 15)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, max_per_class: int = 5000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Classifier:
+    """Fit on at most about ``max_per_class`` labelled rows a class, chosen by a hash of the id.
 
     The prior is that of all labels; the weights' constant is moved from the sample's prior to it.
     """
@@ -86,29 +104,38 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_per_class: int = 5000, id_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "t"):
-                x = [features(t) for t in part.column("t").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
+                texts = part.column("t").to_pylist()
+                buckets = [word_features((t or b"").decode("utf-8", "replace")).astype(np.int32).tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("y"), pa.array([features(t) for t in texts], pa.list_(pa.float64())), pa.array(buckets, pa.binary())], ["y", "x", "f"])
 
-    rows = d.join(F.broadcast(chosen), "id").mapInArrow(run, "y int, x array<double>").toPandas()
+    rows = d.join(F.broadcast(chosen), "id").mapInArrow(run, "y int, x array<double>, f binary").toPandas()
     if rows["y"].nunique() < 2:
-        return np.zeros(N_FEATURES), 0.0
+        return Classifier(np.zeros(N_FEATURES), None, 0.0)
     x, y = np.array(rows["x"].tolist()), rows["y"].to_numpy(float)
-    order = np.lexsort([*x.T, y])  # the same sums whatever order the rows came in
-    weights, prior = fit_logistic(x[order], y[order]), float(np.log(sizes[1] / sizes[0]))
+    order = np.lexsort([rows["f"].map(hash_of).to_numpy(), *x.T, y])  # the same sums whatever order the rows came in
+    x, y, found = x[order], y[order], rows["f"].to_numpy()[order]
+    weights, prior = fit_logistic(x, y), float(np.log(sizes[1] / sizes[0]))
+    buckets = Rows.of([np.frombuffer(f, np.int32).astype(np.int64) for f in found])
+    words = SparseLogistic().fit(buckets, np.zeros((len(y), 0)), y, offset=x @ weights)
     weights[0] += prior - float(np.log(y.mean() / (1 - y.mean())))
-    return weights, prior
+    return Classifier(weights, words, prior)
+
+
+def hash_of(x: bytes) -> int:
+    return zlib.crc32(x)
 
 
-def evidence(weights: np.ndarray, prior: float):
+def evidence(model: Classifier):
     """An Arrow function from texts to the log odds that the classifier adds to its prior."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "_t"):
-                z = np.array([features(t) for t in part.column("_t").to_pylist()]).reshape(-1, N_FEATURES) @ weights - prior
+                z = held.value.evidence(part.column("_t").to_pylist())
                 at = part.schema.names.index("_t")
                 keep = [i for i in range(part.num_columns) if i != at]
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], pa.array(np.clip(z, -15, 15))], names=[*[part.schema.names[i] for i in keep], "_z"])
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], pa.array(z)], names=[*[part.schema.names[i] for i in keep], "_z"])
 
+    held = SparkSession.active().sparkContext.broadcast(model)
     return run
 
 
@@ -143,22 +170,19 @@ def posteriors(scored: DataFrame, prior: float) -> DataFrame:
     return cut(both.select("host", "path", "host_rate", ((F.col("s") + b * F.col("host_rate")) / (F.col("n") + b)).alias("path_rate")))
 
 
-def judged(docs: DataFrame, model: tuple[np.ndarray, float], *, host: Column, path: Column, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def judged(docs: DataFrame, model: Classifier, *, host: Column, path: Column, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """(doc_id, evidence, host_rate, path_rate, quality, kept) for each row; with ``carry``, the row itself as ``row``."""
-    weights, prior = model
     d = docs.select(host.cast("string").alias("host"), path.cast("string").alias("path"), column(docs, id_col).alias("doc_id"), blob(column(docs, text_col)).alias("_t"),
                     *([F.struct(*[column(docs, c) for c in docs.columns]).alias("row")] if carry else []))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema if f.name != "_t")
-    scored = d.mapInArrow(evidence(weights, prior), f"{kinds}, _z double").withColumnRenamed("_z", "z")
-    if not carry:
-        scored = cut(scored)
-    slim = d.select("host", "path", "_t").mapInArrow(evidence(weights, prior), "host string, path string, _z double").withColumnRenamed("_z", "z") if carry else scored
-    rates = posteriors(slim, prior).withColumnsRenamed({"host": "h", "path": "p"})
+    # Written once, so that no text is scored twice: first for the rates, then for its own verdict.
+    scored = cut(d.mapInArrow(evidence(model), f"{kinds}, _z double").withColumnRenamed("_z", "z"))
+    rates = posteriors(scored.select("host", "path", "z"), model.prior).withColumnsRenamed({"host": "h", "path": "p"})
     out = scored.join(rates, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left")
     quality = 1 / (1 + F.exp(-(F.col("z") + logit(F.coalesce("path_rate", F.lit(0.5))))))
     return out.select("doc_id", F.col("z").alias("evidence"), "host_rate", "path_rate", quality.alias("quality"), (quality >= threshold).alias("kept"), *(["row"] if carry else []))
 
 
-def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], **options) -> DataFrame:
+def keep_good(docs: DataFrame, model: Classifier, **options) -> DataFrame:
     """The rows of ``docs``, all columns, whose document is kept."""
     return judged(docs, model, carry=True, **options).where("kept").select("row.*")

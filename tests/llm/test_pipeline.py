@@ -19,8 +19,8 @@ def test_stages(spark, tmp_path):
     first, good, lines, near, mixed, ids = out
     for d in out[1:-1]:
         assert d.columns == pipeline.COLUMNS
-    w, prior = quality_classifier.fit(first, spark.read.parquet(f"{SF}/labels.parquet"))
-    judged = {r.doc_id: r.kept for r in quality_classifier.judged(first, (w, prior), host=first["source"], path=first["lang"]).collect()}
+    model = quality_classifier.fit(first, spark.read.parquet(f"{SF}/labels.parquet"))
+    judged = {r.doc_id: r.kept for r in quality_classifier.judged(first, model, host=first["source"], path=first["lang"]).collect()}
     assert {r.doc_id for r in good.collect()} == {k for k, v in judged.items() if v}
     held = {}
     text = {r.doc_id: r.text for r in good.collect()}

@@ -410,10 +410,101 @@ def test_toxicity(judged_docs):
     got = toxicity.predict(docs, toxicity.fit(docs, labels)).collect()
     truth = {r.doc_id: r.toxic for r in labels.where("toxic is not null").collect()}
     assert len(got) == docs.count() and all(r.toxic == bool(truth[r.doc_id]) for r in got if r.doc_id in truth and r.doc_id < 240)
-    assert not next(r for r in got if r.doc_id == 900).toxic and all(0 <= r.p_heavy <= 1 for r in got)
+    assert not next(r for r in got if r.doc_id == 900).toxic and all(0 <= r.p_severe <= 1 for r in got)
     assert toxicity.predict(docs, toxicity.fit(docs, labels.limit(0))).where("toxic").isEmpty()
 
 
+def plain_logit(m, buckets, dense):
+    return sum(m.w[b] for b in buckets) + sum(x * y for x, y in zip(dense, m.d, strict=True)) + m.b
+
+
+def test_toxicity_against_plain_python(judged_docs, monkeypatch):
+    """Row by row: the chain's probabilities, and that later models were trained with out-of-fold ones."""
+    docs, labels = judged_docs
+    trained = []
+    fit = toxicity.SparseLogistic.fit
+    monkeypatch.setattr(toxicity.SparseLogistic, "fit", lambda self, rows, dense, y, **o: (trained.append((len(y), dense.copy(), np.array(y))), fit(self, rows, dense, y, **o))[1])
+    chain = toxicity.fit(docs, labels)
+    sigma = lambda z: 1 / (1 + np.exp(-max(-30, min(30, z))))
+    for r in toxicity.predict(docs, chain).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        buckets, p = toxicity.word_features(r.text or ""), []
+        for m in chain.models:
+            p.append(sigma(plain_logit(m, buckets, p)))
+        odds = p[1] / (1 - p[1]) * np.exp(chain.shift)
+        assert np.allclose([r.p_junk, r.p_toxic, r.p_severe], [p[0], odds / (1 + odds), p[2]], atol=1e-9) and r.toxic == (r.p_toxic >= 0.5)
+    # Four folds and the whole for each category but the last, which has no folds; whole fits see one more column each.
+    n = max(k for k, *_ in trained)
+    whole = [x for k, x, _ in trained if k == n]
+    assert [x.shape[1] for x in whole] == [0, 1, 2]
+    rows = sorted(docs.select("doc_id", "text").where("text is not null").join(labels.where("toxic is not null"), "doc_id").collect(), key=lambda r: r.doc_id)
+    assert len(rows) == n
+    each = [toxicity.word_features(r.text) for r in rows]
+    junk = np.array([1 - r.quality for r in rows])
+    for f in range(4):  # the junk column of rows in fold f comes from a model that saw the other folds only
+        rest = [i for i in range(n) if i % 4 != f]
+        m = fit(toxicity.SparseLogistic(0), toxicity.Rows.of([each[i] for i in rest]), np.zeros((len(rest), 0)), junk[rest])
+        assert np.allclose(whole[1][f::4, 0], [sigma(plain_logit(m, each[i], [])) for i in range(n) if i % 4 == f], atol=1e-9)
+
+
+def test_toxic_words_are_learned_without_lists(spark):
+    rng = random.Random(2)
+    base = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "ru") for b in ("ta", "se", "vi", "no", "zu")]
+    text = lambda bad: " ".join(rng.choices(base, k=30) + rng.sample(["zorg", "blarg", "fnord"], bad))
+    data = [(i, text(i % 4 if i % 3 == 0 else 0), int(i % 3 == 0 and i % 4 > 0)) for i in range(1200)] + [(5000, "fnord " * 200_000, 1), (5001, "ka ta " * 100_000, 0), (5002, text(0), 0), (5002, text(0), 0)]
+    d = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    labels = d.where("doc_id < 1000").selectExpr("doc_id", "toxic", "1 as quality")
+    got = toxicity.predict(d, toxicity.fit(d, labels)).collect()
+    truth = {i: bool(t) for i, _, t in data}
+    assert len(got) == len(data) and np.mean([r.toxic == truth[r.doc_id] for r in got if r.doc_id >= 1000]) > 0.98
+    severe = {r.doc_id: r.p_severe >= 0.5 for r in got}
+    assert np.mean([severe[i] for i in range(1000, 1200) if i % 3 == 0 and i % 4 == 3]) > np.mean([severe[i] for i in range(1000, 1200) if i % 3 == 0 and i % 4 == 1])
+
+
+def test_quality_against_plain_python(judged_docs):
+    """Evidence row by row; then rates, strengths and posteriors by dictionaries."""
+    docs, labels = judged_docs
+    model = quality_classifier.fit(docs, labels)
+    assert np.abs(model.words.w).max() > 0
+    rows_ = docs.collect()
+    got = quality_classifier.judged(docs, model, host=docs["source"], path=docs["lang"]).collect()
+    z = {}
+    for r in rows_:
+        own = sum(a * b for a, b in zip(quality_classifier.features(None if r.text is None else r.text.encode()), model.weights, strict=True)) - model.prior
+        z[r.doc_id] = max(-15, min(15, own + plain_logit(model.words, toxicity.word_features(r.text or ""), [])))
+    paths, hosts = {}, {}
+    for r in rows_:
+        p = round(1e6 / (1 + np.exp(-(z[r.doc_id] + model.prior)))) / 1e6
+        for group, key in ((paths, (r.source, r.lang)), (hosts, r.source)):
+            n, s = group.get(key, (0, 0.0))
+            group[key] = (n + 1, s + p)
+    overall = sum(s for _, s in hosts.values()) / len(rows_)
+
+    def strength(groups):  # (n, rate, toward)
+        total = sum(n for n, *_ in groups)
+        between = max((sum(n * (r - t) ** 2 for n, r, t in groups) - sum(t * (1 - t) for _, _, t in groups)) / total, 1e-9)
+        return min(max(sum(n * t * (1 - t) for n, _, t in groups) / total / between, 1.0), 1e4)
+
+    a = strength([(n, s / n, overall) for n, s in hosts.values()])
+    host = {k: (s + a * overall) / (n + a) for k, (n, s) in hosts.items()}
+    b = strength([(n, s / n, host[k[0]]) for k, (n, s) in paths.items()])
+    path = {k: (s + b * host[k[0]]) / (n + b) for k, (n, s) in paths.items()}
+    place = {r.doc_id: (r.source, r.lang) for r in rows_}
+    for r in got:
+        k = place[r.doc_id]
+        assert abs(r.evidence - z[r.doc_id]) < 1e-9 and abs(r.host_rate - host[k[0]]) < 1e-5 and abs(r.path_rate - path[k]) < 1e-5
+        q = 1 / (1 + np.exp(-(z[r.doc_id] + np.log(path[k] / (1 - path[k])))))
+        assert abs(r.quality - q) < 1e-4 and r.kept == (r.quality >= 0.5)
+
+
+def test_a_very_long_text_and_ties_have_one_quality(spark, judged_docs):
+    docs, labels = judged_docs
+    model = quality_classifier.fit(docs, labels)
+    words = ["river1", "stone2", "morning3", "quietly4"] * 50_000
+    d = spark.createDataFrame([(1, " ".join(words), "en", "h", 1), (2, " ".join(words), "en", "h", 2), (2, " ".join(words), "en", "h", 2)], "doc_id long, text string, lang string, source string, z int")
+    got = quality_classifier.judged(d, model, host=d["source"], path=d["lang"]).collect()
+    assert len(got) == 3 and len({r.quality for r in got}) == 1
+
+
 @pytest.fixture(scope="module")
 def model():
     try:

@@ -24,11 +24,11 @@ def test_prior_is_that_of_all_labels(spark):
     text = lambda y, i: " ".join(f"word{k}{i}" for k in range(60)) if y else "BUY!! " * 60
     data = [(i, text(i % 7 > 0, i), int(i % 7 > 0)) for i in range(1400)]
     d = spark.createDataFrame(data, "doc_id long, text string, quality int")
-    w, prior = quality_classifier.fit(d.drop("quality"), d.select("doc_id", "quality"), max_per_class=100)
-    assert abs(prior - np.log(6)) < 1e-9
-    whole, _ = quality_classifier.fit(d.drop("quality"), d.select("doc_id", "quality"))
-    x = np.array([quality_classifier.features(text(1, 1).encode()), quality_classifier.features(text(0, 0).encode())])
-    assert ((x @ w > 0) == (x @ whole > 0)).all()
+    part = quality_classifier.fit(d.drop("quality"), d.select("doc_id", "quality"), max_per_class=100)
+    assert abs(part.prior - np.log(6)) < 1e-9
+    whole = quality_classifier.fit(d.drop("quality"), d.select("doc_id", "quality"))
+    x = [text(1, 1).encode(), text(0, 0).encode()]
+    assert ((part.evidence(x) > -part.prior) == (whole.evidence(x) > -whole.prior)).all()
 
 
 def test_codebooks_are_solved_on_all_rows(monkeypatch):
