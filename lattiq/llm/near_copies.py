@@ -3,14 +3,23 @@
 A text's A-Z are lower-cased and its words cut at the six ASCII blanks, as for SimHash; a shingle is its XXH64.
 Texts of the same set are one class before anything else is done.
 
-Candidates are classes that agree on one of ``BANDS`` bands of ``ROWS`` min-hashes: two sets of similarity s miss
+Candidates come from two searches.  SimHash's covering tables find all classes whose fingerprints (of 5-word shingles) are
+within ``RADIUS`` bits.  At 0.8 most pairs are about ten bits apart, which no covering by tables of useful size
+reaches; so classes that agree on one of ``BANDS`` bands of ``ROWS`` min-hashes are candidates as well: two sets of similarity s miss
 each other with probability (1 - s^4)^24, at most 4 in a million at 0.8 and less above; that is the one
 thing here which is not certain.  Candidates are checked exactly, on their whole sets, so no pair
 below 0.8 is linked.  A bucket's sets meet in one task, which counts what each two have in common by matrix
 products, block by block, and gives a spanning forest of the close pairs: rows never outnumber the members, all
-pairs not linked by then are checked, and nothing is capped.  A bucket's work still grows with the square of its members.
+pairs not linked by then are checked, and nothing is capped.
 
-Defined results: fewer than five words are one shingle; null, empty and blank texts are copies of each other.
+A bucket of more than ``LIMIT`` sets or ``BYTES`` bytes never meets as a whole.  All its sets are compared with one of them, the
+pivot, in as many tasks as there need be.  Sets within 0.2 of the pivot (Jaccard distance is a metric) are linked through it; only those of
+the others that are within 0.4 can be close to any of these, and meet them in blocks.  What is not
+linked to the pivot is a bucket of its own: after ``ROUNDS`` rounds it is cut into blocks that meet two by two.  So tasks are bounded, and a large group of
+near copies costs one comparison a set; the work that is left grows with the square of the sets that share a band but are no copies.
+
+Defined results: fewer than five words are one shingle; null, empty and blank texts are copies of each other; a very long
+text is one set like any other; repeated rows and ties share a component; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,10 +34,15 @@ from pyspark.sql import functions as F
 
 from lattiq.llm.common import blob, chunks, column, cut
 from lattiq.llm.components import components
+from lattiq.llm.simhash import fingerprint_of, near_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
+RADIUS = 3
+LIMIT, BYTES, ROUNDS = 1024, 32 << 20, 3
+#: A large bucket is compared with its pivot by so many tasks.
+SALTS = 64
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -64,15 +78,16 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, bands) for each row: key names the text's set."""
+    """(id, key, fp, bands) for each row: key names the text's set, fp is its SimHash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "t"):
                 sets = [shingles(t) for t in part.column("t").to_pylist()]
                 keys = [xxhash.xxh64_intdigest(s.tobytes(), 1) - (1 << 63) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(keys, pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["id", "key", "bands"])
+                fps = np.array([fingerprint_of(s) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(keys, pa.int64()), pa.array(fps), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["id", "key", "fp", "bands"])
 
-    return docs.select(column(docs, id_col).cast("long").alias("id"), blob(column(docs, text_col)).alias("t")).mapInArrow(run, "id long, key long, bands array<long>")
+    return docs.select(column(docs, id_col).cast("long").alias("id"), blob(column(docs, text_col)).alias("t")).mapInArrow(run, "id long, key long, fp long, bands array<long>")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -154,6 +169,58 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close(keys, sets)
 
 
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (bucket, key, x, pivot, px): each set's similarity to its pivot."""
+    for batch in batches:
+        for part in chunks(batch, "x"):
+            near = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(p, np.uint64)) for x, p in zip(part.column("x").to_pylist(), part.column("px").to_pylist(), strict=True)]
+            size = np.array([len(x) for x in part.column("x").to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("bucket"), part.column("key"), part.column("pivot"), pa.array(near, pa.float64()), pa.array(size)], ["bucket", "key", "pivot", "near", "bytes"])
+
+
+def _blocks(n: str, size: str):
+    return F.greatest(F.ceil(F.col(n) / LIMIT), F.ceil(F.col(size) / BYTES), F.lit(1)).cast("int")
+
+
+def _own(n):
+    return F.pmod(F.xxhash64("key"), n).cast("int")
+
+
+def split_large(buckets: DataFrame, held: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Links (a, b) to pivots, and buckets of bounded size in place of the large ones.  ``held`` has each key's set x."""
+    size = held.select("key", F.length("x").cast("long").alias("bytes"))
+    links, done, todo = [], [], buckets
+    for round_ in range(ROUNDS + 1):
+        sized = todo.join(size, "key").groupBy("bucket").agg(F.min("key").alias("pivot"), F.count("*").alias("n"), F.sum("bytes").alias("total"))
+        large = cut(sized.where((F.col("n") > LIMIT) | (F.col("total") > BYTES)))
+        if large.isEmpty():
+            done.append(todo)
+            break
+        done.append(todo.join(large.select("bucket"), "bucket", "left_anti"))
+        members = todo.join(large, "bucket")
+        if round_ == ROUNDS:  # each two blocks of what is left meet
+            m = members.withColumn("blocks", F.greatest(_blocks("n", "total"), F.lit(2))).withColumn("i", _own(F.col("blocks")))
+            m = m.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i <> j")
+            done.append(m.select(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"), "key"))
+            break
+        pivots = large.join(held, F.col("pivot") == F.col("key")).select("bucket", "pivot", F.col("x").alias("px"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        met = members.select("bucket", "key", _own(F.lit(SALTS)).alias("salt")).join(held, "key").hint("merge").join(pivots.hint("merge"), ["bucket", "salt"])
+        met = cut(met.select("bucket", "key", "x", "pivot", "px").mapInArrow(_compare, "bucket long, key long, pivot long, near double, bytes long"))
+        core, fringe = F.col("near") >= SIMILARITY, (F.col("near") < SIMILARITY) & (F.col("near") >= 2 * SIMILARITY - 1)
+        links.append(met.where(core & (F.col("key") != F.col("pivot"))).select(F.col("key").alias("a"), F.col("pivot").alias("b")))
+        parts = met.groupBy("bucket").agg(F.count_if(core).alias("nc"), F.sum(F.when(core, F.col("bytes"))).alias("bc"), F.count_if(fringe).alias("nf"), F.coalesce(F.sum(F.when(fringe, F.col("bytes"))), F.lit(0)).alias("bf"))
+        parts = parts.where("nf > 0").select("bucket", _blocks("nc", "bc").alias("c"), _blocks("nf", "bf").alias("f"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        c = met.where(core).join(parts, "bucket").select("bucket", "key", _own(F.col("c")).alias("i"), every("f").alias("j"))
+        f = met.where(fringe).join(parts, "bucket").select("bucket", "key", _own(F.col("f")).alias("j"), every("c").alias("i"))
+        done.append(c.unionByName(f).select(F.xxhash64("bucket", F.lit(round_), "i", "j").alias("bucket"), "key"))
+        todo = met.where(~core).select(F.xxhash64("bucket", F.lit("rest")).alias("bucket"), "key")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return links, out
+
+
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component) for every row of ``docs``: rows of a component are joined by near copies.
 
@@ -163,8 +230,14 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     made = cut(classes(docs, id_col, text_col))
     found = made.select("id", "key")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    keyed = made.groupBy("key").agg(F.first("bands").alias("bands")).select(F.explode("bands").alias("bucket"), "key")
-    buckets = cut(keyed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_buckets, "bucket long, key long").distinct())
+    sets_ = made.groupBy("key").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    # Candidates by fingerprint: sets of one fingerprint, and fingerprints within RADIUS bits.
+    prints = cut(made.groupBy("fp").agg(F.min("key").alias("rep")))
+    same = made.select("fp", "key").distinct().join(prints, "fp").where("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b"))
+    pair = same.unionByName(near_links(prints, radius=RADIUS)).distinct().select(F.xxhash64("a", "b").alias("bucket"), F.explode(F.array("a", "b")).alias("key"))
+    keyed = sets_.select(F.explode("bands").alias("bucket"), "key")
+    buckets = keyed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_buckets, "bucket long, key long").distinct()
+    buckets = cut(buckets.unionByName(pair))
     held = found.join(buckets.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,6 +249,10 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     texts = docs.select(column(docs, id_col).cast("long").alias("id"), blob(column(docs, text_col)).alias("t"))
     held = cut(texts.join(held, "id", "left_semi").select("t").mapInArrow(sets, "key long, x binary").dropDuplicates(["key"]))
+    links, buckets = split_large(buckets, held)
     met = buckets.join(held, "key").select("bucket", "key", "x").repartition(n, "bucket").sortWithinPartitions("bucket")
-    joined = components(met.mapInArrow(_links, "a long, b long"))
+    joined = met.mapInArrow(_links, "a long, b long")
+    for x in links:
+        joined = joined.unionByName(x)
+    joined = components(joined)
     return found.join(joined, F.col("key") == F.col("node"), "left").select("id", F.coalesce("component", "key").alias("component"))

@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next stage's ``docs``.
+
+Defined results, for each stage: rows without an id are documents like others (line dedup takes them
+for one document, as its operator says; near-dedup lets them give way to copies that have an id); null and empty texts are
+judged as empty ones, lose no line, are near copies of each other and take no part in the mix; rows that
+repeat are one near copy, while different texts of one id stay apart; ties go to the smaller id; very long texts go through whole; extra
+columns, whatever their names, do not pass the first stage; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -35,6 +41,9 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (5-word shingles, similarity 0.8 or more) one row stays: that with the smallest id.
 
+    Candidates are what SimHash's covering search links and, as most pairs at 0.8 differ in more bits than it covers, rows that
+    share a band of min-hashes; all are checked exactly (see ``near_copies``).
+
     Rows are told apart by their content, not by their ids: rows without an id stay like others, but give way
     to copies that have one; rows of one id are copies only if their texts are; of rows that are equal throughout one stays.
     """

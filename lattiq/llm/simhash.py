@@ -43,7 +43,11 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*[words[i:] for i in range(shingle)]))
-    h = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64)
+    return fingerprint_of(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """The SimHash of hash values: a bit is set if over half of them have it."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):  # a very long text is unpacked piece by piece
         ones += np.unpackbits(h[i : i + (1 << 16), None].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)

@@ -51,8 +51,25 @@ def test_stage_finds_copies_at_five_words_and_four_fifths(spark):
     assert got.columns == pipeline.COLUMNS
 
 
-def test_large_buckets_are_searched_whole(spark):
-    rows = family(n_groups=2, copies=20, seed=8)
+def boilerplate(n=24, seed=5):
+    """Texts that share half of their words and are no copies; every third has a near copy."""
+    rng = random.Random(seed)
+    shared = [f"s{rng.randrange(5000)}" for _ in range(80)]
+    out = []
+    for i in range(n):
+        own = [f"o{rng.randrange(50000)}" for _ in range(60)]
+        out.append((2000 + 2 * i, " ".join(shared + own), "en", "s", 1))
+        if i % 3 == 0:
+            own[rng.randrange(60)] = "changed"
+            out.append((2001 + 2 * i, " ".join(shared + own), "en", "s", 1))
+    return out
+
+
+@pytest.mark.parametrize("limit, rounds", [(1024, 3), (4, 2), (5, 0)])
+def test_large_buckets_are_searched_whole(spark, monkeypatch, limit, rounds):
+    monkeypatch.setattr(near_copies, "LIMIT", limit)
+    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+    rows = family(n_groups=2, copies=20, seed=8) + boilerplate()
     got = near_copies.near_copies(spark.createDataFrame(rows, DOCS)).collect()
     label = groups(rows)
     assert len(got) == len(rows)
