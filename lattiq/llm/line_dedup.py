@@ -6,7 +6,8 @@ State, all tables in the shared folder:
 * ``counts``: (key, n_docs, last_doc), the exact reference counts of the keys.
 * ``filters``: (shard, n, table), one cuckoo filter a shard, holding the keys that at least
   ``min_docs`` documents hold.  A filter can forget: when deletions bring a key
-  under the bound, its fingerprint is taken out again.
+  under the bound, its fingerprint is taken out again.  The number of shards follows the number of
+  these keys: beyond ``SHARD_KEYS`` a shard it is doubled, so a shard, and the task that makes it, is bounded.
 
 ``insert`` and ``delete`` change counts by the postings of the documents that come or go,
 and filters by the keys that cross the bound.  ``shared_lines`` asks the filters
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ from lattiq.llm.common import BLANK_BYTES, blob, chunks, column, cut
 SLOTS, KICKS = 4, 500
 #: Filters travel to the tasks by broadcast up to this many bytes; beyond it, keys travel to the filters.
 BROADCAST_BYTES = 32 << 20
+#: A shard holds about so many keys at most (16 MB of keys in the task that makes it).
+SHARD_KEYS = 1 << 20
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -71,26 +74,35 @@ class CuckooFilter:
         mark, one, two = self.places(keys)
         return (self.table[one] == mark[:, None]).any(1) | (self.table[two] == mark[:, None]).any(1)
 
+    def _fill(self, bucket: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """Put marks where their buckets have free slots; returns the places of those that found none."""
+        order = np.argsort(bucket, kind="stable")
+        b = bucket[order]
+        nth = np.arange(len(b)) - np.searchsorted(b, b)  # the how manieth of its bucket
+        free = self.table[b] == 0
+        hit = free & (np.cumsum(free, axis=1) == (nth + 1)[:, None])
+        row, slot = np.nonzero(hit)
+        self.table[b[row], slot] = mark[order[row]]
+        return np.sort(order[~hit.any(1)])
+
     def insert(self, keys: np.ndarray) -> bool:
         """Add distinct keys; False if the table is too full, and then it must be built anew, larger."""
-        for mark, one, two in zip(*self.places(keys), strict=True):
-            for b in (one, two):
+        mark, one, two = self.places(keys)
+        left = self._fill(one, mark)  # nearly all keys find room at once
+        mark, two = mark[left], two[left]
+        left = self._fill(two, mark)
+        mark, two = mark[left], two[left]
+        for mark, b in zip(mark, two, strict=True):
+            for k in range(KICKS):
+                slot = k % SLOTS
+                mark, self.table[b, slot] = self.table[b, slot], mark
+                b = self.other(b, mark)
                 free = np.flatnonzero(self.table[b] == 0)
                 if len(free):
                     self.table[b, free[0]] = mark
                     break
             else:
-                b = two
-                for k in range(KICKS):
-                    slot = k % SLOTS
-                    mark, self.table[b, slot] = self.table[b, slot], mark
-                    b = self.other(b, mark)
-                    free = np.flatnonzero(self.table[b] == 0)
-                    if len(free):
-                        self.table[b, free[0]] = mark
-                        break
-                else:
-                    return False
+                return False
         return True
 
     def delete(self, keys: np.ndarray) -> None:
@@ -146,7 +158,7 @@ def _shard(shards: int):
 def _refilter(index: LineIndex, rising: DataFrame, falling: DataFrame) -> DataFrame:
     """The shards' filters after keys have risen to the bound or fallen under it; a shard's filter is made in one task.
 
-    The keys of a shard come in Arrow batches of bounded size.  A table that gets too full is
+    A shard's keys, at most about SHARD_KEYS, are one pandas group.  A table that gets too full is
     made anew, twice as large, from all keys of its shard at the bound.
     """
     changes = rising.select(_shard(index.shards).alias("shard"), "key", F.lit(True).alias("up")).unionByName(
@@ -218,7 +230,13 @@ def delete(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
 
 
 def _with_filters(index: LineIndex, rising: DataFrame, falling: DataFrame) -> LineIndex:
-    return LineIndex(index.postings, index.counts, _refilter(index, rising.select("key"), falling.select("key")), index.min_docs, index.min_chars, index.shards)
+    at_bound = index.counts.where(F.col("n_docs") >= index.min_docs)
+    shards, n = index.shards, at_bound.count()
+    while n > shards * SHARD_KEYS:
+        shards *= 2
+    if shards > index.shards:  # all keys are dealt anew
+        index, rising, falling = replace(index, shards=shards, filters=index.filters.limit(0)), at_bound, falling.limit(0)
+    return replace(index, filters=_refilter(index, rising.select("key"), falling.select("key")))
 
 
 def known(index: LineIndex, rows: DataFrame) -> DataFrame:
@@ -246,9 +264,12 @@ def known(index: LineIndex, rows: DataFrame) -> DataFrame:
         hit = CuckooFilter(0, bytes(box["table"].iloc[0])).has(word(own["key"])) if len(box) and len(own) else np.zeros(len(own), bool)
         return own.loc[hit, ["key", "n"]]
 
-    # Keys are counted before they travel, so that a common line is one row to its shard.
+    # Keys are counted before they travel, so that a common line is one row to its shard; a shard's keys come in parts of bounded size.
     keys = rows.groupBy("shard", "key").agg(F.count("*").alias("n"))
-    hits = index.filters.groupBy("shard").cogroup(keys.groupBy("shard")).applyInPandas(probe, "key binary, n long")
+    most = max(1, -(-keys.count() // (index.shards * SHARD_KEYS)))
+    keys = keys.withColumn("part", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(most)))
+    filters = index.filters.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long"))))
+    hits = filters.groupBy("shard", "part").cogroup(keys.groupBy("shard", "part")).applyInPandas(probe, "key binary, n long")
     return rows.join(hits.select("key"), "key", "left_semi").drop("shard")
 
 

@@ -192,6 +192,18 @@ def test_cuckoo_filter():
     assert not small.insert(keys)
 
 
+def test_shards_follow_the_keys(spark, monkeypatch):
+    lines = [f"shared line number {k}, and it is long enough to be counted here" for k in range(12)]
+    d = spark.createDataFrame([(i, "\n".join(lines[i % 3 :] + [f"own {i}"])) for i in range(20)], "doc_id long, text string")
+    kept = lambda index: sorted(map(str, line_dedup.dedup_lines(d, index).select("doc_id", "kept_text").collect()))
+    want = kept(line_dedup.insert(line_dedup.empty(spark), d))
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 2)
+    index = line_dedup.insert(line_dedup.insert(line_dedup.empty(spark, shards=1), d.where("doc_id < 9")), d.where("doc_id >= 9"))
+    assert index.shards == 8 and index.filters.agg(F.sum("n")).first()[0] == 12 and kept(index) == want
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    assert kept(index) == want
+
+
 def test_keys_travel_to_filters_beyond_the_broadcast_bound(docs, spark, monkeypatch):
     index = line_dedup.insert(line_dedup.empty(spark, shards=4), docs)
     want = sorted(map(str, line_dedup.shared_lines(index, index.postings).collect()))
