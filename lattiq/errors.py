@@ -17,6 +17,10 @@ class SelectionError(ValueError):
     """Candidate selection would see what it must not."""
 
 
+class DiagnosticError(SelectionError):
+    """Diagnostics of a selection were given forecasts from after it."""
+
+
 class HoldoutError(ValueError):
     """The one-time holdout would be opened again, or otherwise than locked."""
 

@@ -11,6 +11,7 @@ from lattiq.operators import metrics as M
 from lattiq.operators import uncertainty as U
 from lattiq.sources.sinks import cut
 
+PROCEDURE = "horizon_specific_naive_baseline_v1"
 MAPPING = {1: "persistence", 2: "persistence", 3: "seasonal_naive", 4: "persistence"}
 
 
@@ -26,14 +27,14 @@ def integrity(forecasts: DataFrame, *, latest: bool = False) -> DataFrame:
     return forecasts
 
 
-def final_forecasts(panel: DataFrame, quantiles: DataFrame, *, evaluation: dict, origins: list[str], target_end: str, mapping=MAPPING, name: str = "final_baseline", check: bool = True) -> DataFrame:
+def final_forecasts(panel: DataFrame, quantiles: DataFrame, *, evaluation: dict, origins: list[str], target_end: str, mapping=MAPPING, coverages=U.COVERAGES, name: str = "final_baseline", check: bool = True) -> DataFrame:
     d = C.forecast_cells(panel, origins=origins, target_end=target_end, check=check, **evaluation)
     d = C.select_by_horizon(C.baseline_forecasts(d, panel, check=check), mapping, name=name, check=check)
-    return M.with_errors(U.frozen_intervals(d, quantiles, check=check))
+    return M.with_errors(U.frozen_intervals(d, quantiles, coverages, check=check))
 
 
-def latest_forecasts(panel: DataFrame, quantiles: DataFrame, *, evaluation: dict, origin: str, target_end: str, snapshot: str, revision: str, check: bool = True) -> DataFrame:
-    d = final_forecasts(panel, quantiles, evaluation=evaluation, origins=[origin], target_end=target_end, check=check)
+def latest_forecasts(panel: DataFrame, quantiles: DataFrame, *, evaluation: dict, origin: str, target_end: str, snapshot: str, revision: str, mapping=MAPPING, coverages=U.COVERAGES, check: bool = True) -> DataFrame:
+    d = final_forecasts(panel, quantiles, evaluation=evaluation, origins=[origin], target_end=target_end, mapping=mapping, coverages=coverages, check=check)
     d = d.withColumns({"source_snapshot": F.lit(snapshot), "revision_status": F.lit(revision)})
     return integrity(d, latest=True) if check else d
 
@@ -49,14 +50,16 @@ def planning_summary(latest: DataFrame, focus=(1, 2), *, check: bool = True) ->
 
 
 def evaluate_final(holdout_panel: DataFrame, latest_panel: DataFrame, development: DataFrame, *, evaluation: dict, config: dict) -> dict[str, DataFrame]:
-    """The nine result tables.  Call only after the holdout marker is written."""
-    dev = cut(C.select_by_horizon(development, MAPPING, name="final_baseline"))
-    q = cut(U.calibration_quantiles(dev, development_end=config["development_end"]))
-    held = integrity(cut(final_forecasts(holdout_panel, q, evaluation=evaluation, origins=config["holdout_origins"], target_end=config["holdout_target_end"])))
+    """The nine result tables, for the models (``mapping``) and ``coverages`` that ``config`` names.  Call only after the holdout is opened."""
+    mapping, coverages = config["mapping"], tuple(config["coverages"])
+    own = {"evaluation": evaluation, "mapping": mapping, "coverages": coverages}
+    dev = cut(C.select_by_horizon(development, mapping, name="final_baseline"))
+    q = cut(U.calibration_quantiles(dev, development_end=config["development_end"], coverages=coverages))
+    held = integrity(cut(final_forecasts(holdout_panel, q, origins=config["holdout_origins"], target_end=config["holdout_target_end"], **own)))
     overall = M.overall_metrics(held)
     M.assert_covered(overall)
-    latest = cut(latest_forecasts(latest_panel, q, evaluation=evaluation, origin=config["latest_origin"], target_end=config["latest_target_end"], snapshot=config["snapshot"], revision=config["revision"]))
+    latest = cut(latest_forecasts(latest_panel, q, origin=config["latest_origin"], target_end=config["latest_target_end"], snapshot=config["snapshot"], revision=config["revision"], **own))
     return {
         "calibration_quantiles": q, "holdout_forecasts": held, "holdout_metrics": overall, "holdout_entity_metrics": M.entity_metrics(held), "holdout_origin_metrics": M.origin_metrics(held),
-        "holdout_volume_metrics": M.volume_metrics(held), "holdout_interval_metrics": U.interval_metrics(held, pooled=True), "latest_forecasts": latest, "latest_planning_summary": planning_summary(latest),
+        "holdout_volume_metrics": M.volume_metrics(held), "holdout_interval_metrics": U.interval_metrics(held, coverages, pooled=True), "latest_forecasts": latest, "latest_planning_summary": planning_summary(latest, config["focus"]),
     }

@@ -157,6 +157,8 @@ def diagnostic_summary(forecasts: DataFrame) -> DataFrame:
         F.avg(on("scaled_error")).alias("mean_scaled_error"), F.avg(F.col("floored").cast("double")).alias("floor_rate"), F.count_if(~F.col("seen")).alias("unseen_rows"))
 
 
-def promotion(overall: dict, gates: dict[str, tuple[float, float]]) -> list[dict]:
+def promotion(spark, overall: dict[str, float], gates: dict[str, tuple[float, float]]) -> DataFrame:
     """A row for each gate: its value, bounds, and whether it is met."""
-    return [{"gate": k, "value": overall.get(k), "low": a, "high": b, "met": overall.get(k) is not None and a <= overall[k] <= b} for k, (a, b) in gates.items()]
+    met = lambda v, a, b: v is not None and a <= v <= b
+    rows = [(k, overall.get(k), float(a), float(b), met(overall.get(k), a, b)) for k, (a, b) in gates.items()]
+    return spark.createDataFrame(rows, "gate string, value double, low double, high double, met boolean")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattiq.errors import HoldoutError, PanelError
+from lattiq.errors import DiagnosticError, HoldoutError, PanelError
 from lattiq.functions.periods import index, period_start
 from lattiq.operators.metrics import with_errors
 from lattiq.operators.panel import unique
@@ -179,6 +179,13 @@ def bootstrap_skill(pairs: DataFrame, *, block_length: int, replications: int, s
     return own.unionByName(mean).withColumn("replications", F.lit(replications))
 
 
+def selection_only(forecasts: DataFrame, selection_end: str) -> DataFrame:
+    """The forecasts, once it is sure that none is of an origin after the selection's last one."""
+    if not forecasts.where(F.col("origin_date") > F.lit(period_start(selection_end))).isEmpty():
+        raise DiagnosticError(f"diagnostics of the selection were given origins after {selection_end}")
+    return forecasts
+
+
 def residual_acf(forecasts: DataFrame, *, lags=(1, 4), minimum_pairs: int = 12) -> DataFrame:
     """Correlation of a (entity, horizon)'s errors with those so many quarters before; null with few pairs or a constant side."""
     d = forecasts.where("scored").select("entity", "horizon", "origin_date", (F.col("forecast") - F.col("actual")).alias("x"))

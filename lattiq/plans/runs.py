@@ -19,6 +19,7 @@ from lattiq.operators import uncertainty as U
 from lattiq.operators.quality import quality_checks, verdict
 from lattiq.operators.rollup import RAW, entity_quarters, master_units, typed_records, unit_quarters
 from lattiq.plans import lineage as N
+from lattiq.plans.holdout import Ledger
 from lattiq.sources.delimited import FileSpec, scan, scan_until, validate_raw_file
 from lattiq.sources.sinks import cut
 
@@ -72,7 +73,7 @@ def run_baselines(spark: SparkSession, config: dict, runs_root: str | Path, *, r
     source = N.latest_manifest(spark, runs_root, stage="build", config=config)
     ev = config["evaluation"]
     end = period_start(shift(ev["validation_origins"]["end"], max(ev["forecast_horizons"])))
-    panel = scan_until(spark, str(Path(runs_root) / source["outputs"]["entity_quarter"]["path"]), end)
+    panel = scan_until(spark, f"{runs_root}/{source['outputs']['entity_quarter']['path']}", end)
     tables = development_tables(panel, config, audit)
     return N.write_run({k: (d, _KEYS[k]) for k, d in tables.items()}, runs_root, stage="baselines", config=config, root=root, source_run=source["run_id"])
 
@@ -89,7 +90,10 @@ def selection_tables(panel: DataFrame, config: dict, candidate: dict) -> dict[st
     panel = cut(P.validate_panel(panel))
     cells = cut(C.forecast_cells(panel, origins=C.origin_labels(block), target_end=end, **_evaluation(config)))
     base = cut(C.baseline_forecasts(cells, panel))
-    response = candidate.get("response", "log")
+    if "procedure_id" in candidate:
+        N.check_candidate_config(candidate)
+    response = N.CANDIDATES[candidate["procedure_id"]][0] if "procedure_id" in candidate else candidate.get("response", "log")
+    coverages = tuple(candidate.get("coverages", U.COVERAGES))
     x = cut(X.panel_features(panel, modeling_start=ev["modeling_start"]))
     got = R.rolling_candidates(x, cells, alphas=candidate["alphas"], modeling_start=ev["modeling_start"], response=response)
     f = cut(got["forecasts"])
@@ -100,23 +104,33 @@ def selection_tables(panel: DataFrame, config: dict, candidate: dict) -> dict[st
     chosen = cut(R.select_alpha(by_alpha))
     best = cut(f.join(F.broadcast(chosen.where("selected").select("alpha")), "alpha"))  # one row
     pairs = cut(R.pair_with_comparator(best, base, Z.MAPPING))
-    intervals = U.prequential_intervals(best, warmup_origins=candidate.get("warmup_origins", 8))
-    acf = U.residual_acf(best)
+    intervals = U.prequential_intervals(best, warmup_origins=candidate.get("warmup_origins", 8), coverages=coverages)
+    selected = M.overall_metrics(best).persist()
+    M.assert_covered(selected)
+    shown = U.selection_only(best, block["end"])
+    acf = U.residual_acf(shown)
+    gates = candidate.get("gates")
     boot = candidate["bootstrap"]
     return {
         "cells": cells, "baseline_forecasts": base, "baseline_metrics": overall, "candidate_forecasts": f, "alpha_metrics": by_alpha, "alpha_summary": chosen, "selected_forecasts": intervals,
-        "selected_metrics": M.overall_metrics(best), "selected_entity_metrics": M.entity_metrics(best), "selected_origin_metrics": M.origin_metrics(best), "interval_metrics": U.interval_metrics(intervals),
+        "selected_metrics": selected, "selected_entity_metrics": M.entity_metrics(best), "selected_origin_metrics": M.origin_metrics(best), "interval_metrics": U.interval_metrics(intervals, coverages),
         "coefficients": got["coefficients"], "training_diagnostics": got["diagnostics"], "diagnostic_summary": R.diagnostic_summary(best), "residual_acf": acf, "acf_summary": U.acf_summary(acf),
-        "binned_residuals": U.binned_residuals(best, column="forecast"), "pairs": pairs, "bootstrap_skill": U.bootstrap_skill(pairs, **boot),
+        "binned_residuals": U.binned_residuals(shown, column="forecast"), "pairs": pairs, "bootstrap_skill": U.bootstrap_skill(pairs, **boot),
+        **({"promotion": R.promotion(panel.sparkSession, {f"wape_h{r.horizon}": r.wape for r in selected.collect()}, gates)} if gates else {}),
     }
 
 
+#: What a selection run has looked at: its diagnostics wait for a reader, and nothing after its block was opened.
+SELECTION_STATUS = {"prediction_coverage": "passed", "diagnostic_gate_status": "awaiting_review", "confirmation_opened": False, "holdout_opened": False}
+
+
 def run_selection(spark: SparkSession, config: dict, candidate: dict, runs_root: str | Path, *, root: str | Path = ".") -> dict:
     source = N.latest_manifest(spark, runs_root, stage="build", config=config)
     end = period_start(shift(candidate["selection_origins"]["end"], max(config["evaluation"]["forecast_horizons"])))
-    panel = scan_until(spark, str(Path(runs_root) / source["outputs"]["entity_quarter"]["path"]), end)
+    panel = scan_until(spark, f"{runs_root}/{source['outputs']['entity_quarter']['path']}", end)
+    N.check_candidate_config(candidate)
     tables = selection_tables(panel, config, candidate)
-    return N.write_run({k: (d, d.columns[:3]) for k, d in tables.items()}, runs_root, stage="selection", config=config, root=root, source_run=source["run_id"], candidate_sha256=N.config_hash(candidate))
+    return N.write_run({k: (d, d.columns[:3]) for k, d in tables.items()}, runs_root, stage="selection", config=config, root=root, source_run=source["run_id"], candidate_sha256=N.config_hash(candidate), checks=SELECTION_STATUS)
 
 
 FINAL_TABLES = {"calibration_quantiles", "holdout_forecasts", "holdout_metrics", "holdout_entity_metrics", "holdout_origin_metrics", "holdout_volume_metrics", "holdout_interval_metrics", "latest_forecasts", "latest_planning_summary"}
@@ -132,16 +146,17 @@ def run_final(spark: SparkSession, config: dict, final: dict, runs_root: str | P
         passed = None
     build = N.latest_manifest(spark, runs_root, stage="build", config=config)
     base = N.latest_manifest(spark, runs_root, stage="baselines", config=config, source_run=build["run_id"])
-    claim = N.claim_holdout(runs_root, procedure_sha256=procedure, open_holdout=open_holdout, passed_run_id=passed and passed["run_id"])
-    if claim["mode"] == "reuse":
+    ledger = Ledger(spark, str(runs_root))
+    if ledger.admit(procedure, consent=open_holdout, passed=passed and passed["run_id"]):
         return passed | {"mode": "reuse", "tables": N.load_outputs(spark, runs_root, passed)}
-    path = str(Path(runs_root) / build["outputs"]["entity_quarter"]["path"])  # holdout scans are made after the marker
+    path = f"{runs_root}/{build['outputs']['entity_quarter']['path']}"  # holdout scans are made after the ledger has opened it
     held, latest = final["holdout_origins"], final["latest_forecast"]
     tables = Z.evaluate_final(
         scan_until(spark, path, period_start(held["target_end"])), scan_until(spark, path, period_start(latest["origin"])),
         N.artifact(spark, runs_root, base["outputs"]["forecasts"]), evaluation=_evaluation(config),
         config={"development_end": final["development_calibration_origins"]["end"], "holdout_origins": C.origin_labels(held), "holdout_target_end": held["target_end"],
-                "latest_origin": latest["origin"], "latest_target_end": latest["target_end"], "snapshot": config.get("snapshot", {}).get("checkpoint_id", ""), "revision": latest["revision_status"]})
+                "latest_origin": latest["origin"], "latest_target_end": latest["target_end"], "snapshot": config.get("snapshot", {}).get("checkpoint_id", ""), "revision": latest["revision_status"],
+                "mapping": {int(h): m for h, m in final["models_by_horizon"].items()}, "coverages": final["intervals"]["coverages"], "focus": tuple(final["reporting"]["operational_focus_horizons"])})
     m = N.write_run({k: (d, d.columns[:3]) for k, d in tables.items()}, runs_root, stage="final", config=config, root=root, procedure_sha256=procedure, source_run=build["run_id"])
-    N.complete_holdout(claim["marker_path"], procedure_sha256=procedure, run_id=m["run_id"], manifest_path=m["manifest_path"])
+    ledger.settle(procedure, m["run_id"])
     return m | {"mode": "new", "tables": tables}

@@ -56,5 +56,6 @@ def units(spark: SparkSession, sf_dir: str, entity: str = "segment") -> DataFram
 
 def panel(spark: SparkSession, sf_dir: str, entity: str = "segment") -> DataFrame:
     """The entity-quarter panel; kept, since a forecast reads it several times and it is small."""
-    d = entity_quarters(units(spark, sf_dir, entity)).where("quarter is not null")
+    # The predicate names an aggregate's result, so it stays above it; below, it would parse each record's text many times more.
+    d = entity_quarters(units(spark, sf_dir, entity)).where(F.when(F.col("source_rows") > 0, F.col("quarter").isNotNull()))
     return d.select("entity", "cal_year", "cal_quarter", "period", "quarter", "value").persist()

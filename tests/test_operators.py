@@ -243,3 +243,15 @@ def test_final_and_planning(spark):
         U.calibration_quantiles(dev, development_end="2020Q3")
     other = Z.final_forecasts(p.withColumn("value", p["value"] * 1), tables["calibration_quantiles"], evaluation=EV, origins=["2021Q4"], target_end="2023Q3")
     assert [r.lower_80 for r in other.orderBy("horizon").collect()] == [r.lower_80 for r in tables["holdout_forecasts"].orderBy("horizon").collect()]
+
+
+def test_audit_names_what_differs(spark):
+    from lattiq.operators.metrics import audit
+
+    d = spark.createDataFrame([("persistence", 1, 40, 0.123449, 1.23449), ("persistence", 2, 40, 0.2, 1.0)], "model string, horizon int, scored_cells long, wape double, median_entity_mase double")
+    audit(d, {("persistence", 1): (40, 12.34, 1.234)})
+    for want in ((41, 12.34, 1.234), (40, 12.35, 1.234), (40, 12.34, 1.235)):
+        with pytest.raises(PanelError, match="persistence"):
+            audit(d, {("persistence", 1): want})
+    with pytest.raises(PanelError):
+        audit(d, {("seasonal_naive", 1): (40, 12.34, 1.234)})

@@ -8,6 +8,7 @@ from lattiq.functions.text import to_double, to_int
 from lattiq.operators.rollup import RAW, entity_quarters, typed_records, unit_quarters
 from lattiq.plans import lineage as N
 from lattiq.plans import runs
+from lattiq.plans.holdout import Ledger
 from lattiq.sources.delimited import FileSpec, bad_lines, inspect_unquoted, read_header, scan, validate_raw_file
 from lattiq.sources.sinks import content_hash, publish
 
@@ -105,18 +106,53 @@ def test_configs_and_paths(tmp_path, monkeypatch):
         N.load_config(tmp_path / "c.json", frozen={"a": 2})
 
 
-def test_holdout_opens_once(tmp_path):
+def test_holdout_opens_once(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path))
     with pytest.raises(HoldoutError):
-        N.claim_holdout(tmp_path, procedure_sha256="x", open_holdout=False, passed_run_id=None)
-    c = N.claim_holdout(tmp_path, procedure_sha256="x", open_holdout=True, passed_run_id=None)
-    assert c["mode"] == "new"
-    for other in ({"procedure_sha256": "y", "passed_run_id": "r"}, {"procedure_sha256": "x", "passed_run_id": None}):
+        ledger.admit("x", consent=False, passed=None)
+    with pytest.raises(HoldoutError):
+        ledger.settle("x", "r")
+    assert ledger.admit("x", consent=True, passed=None) is None
+    for other in (("y", "r"), ("x", None)):
+        with pytest.raises(HoldoutError):
+            ledger.admit(other[0], consent=True, passed=other[1])
+    assert ledger.admit("x", consent=False, passed="r") == "r"
+    ledger.settle("x", "r")
+    ledger.settle("x", "r")
+    assert ledger.admit("x", consent=False, passed="r") == "r"
+    for bad in (lambda: ledger.admit("x", consent=True, passed="other"), lambda: ledger.settle("x", "other"), lambda: ledger.settle("y", "r")):
         with pytest.raises(HoldoutError):
-            N.claim_holdout(tmp_path, open_holdout=True, **other)
-    N.complete_holdout(c["marker_path"], procedure_sha256="x", run_id="r", manifest_path="m")
-    assert N.claim_holdout(tmp_path, procedure_sha256="x", open_holdout=True, passed_run_id="r")["mode"] == "reuse"
+            bad()
+    (tmp_path / "holdout" / "opened.json").write_text("{")
     with pytest.raises(HoldoutError):
-        N.claim_holdout(tmp_path, procedure_sha256="x", open_holdout=True, passed_run_id="other")
+        ledger.admit("x", consent=True, passed="r")
+
+
+def test_only_one_runner_opens_the_holdout(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def run(_):
+        try:
+            return Ledger(spark, str(tmp_path)).admit("x", consent=True, passed=None) is None
+        except HoldoutError:
+            return False
+
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(pool.map(run, range(8))) == 1
+
+
+def test_candidate_config_is_frozen():
+    ok = {"procedure_id": "pooled_direct_ridge_log_change_v1", "features": {"numeric": list(N.LOG), "categorical": ["entity", "target_quarter"]}, "alphas": [0.1, 1, 10, 100]}
+    assert N.check_candidate_config(ok) is ok
+    for bad in ({"procedure_id": "other"}, {"features": ok["features"] | {"numeric": ["log_level"]}}, {"alphas": [1.0]}, {"response": "delta"}):
+        with pytest.raises(ContractError):
+            N.check_candidate_config(ok | bad)
+
+
+def test_artifacts_stay_in_the_runs_folder(spark, tmp_path):
+    for path in ("../x.parquet", "/etc/x", "a/../../x", "hdfs://x/y"):
+        with pytest.raises(ContractError, match="leaves"):
+            N.artifact(spark, tmp_path, {"path": path})
 
 
 def series(tmp_path):
@@ -124,7 +160,7 @@ def series(tmp_path):
     files = {"records": (write(tmp_path / "q.txt", rows), FileSpec(COLUMNS)), "master": (write(tmp_path / "m.txt", [["1", "AA", "C"], ["2", "BB", "C"]], ("UNIT_ID", "ENTITY", "DOMAIN")), FileSpec(("UNIT_ID", "ENTITY", "DOMAIN")))}
     config = {"quality_expectations": {"unit_quarter_rows": len(rows)}, "evaluation": {
         "modeling_start": "2016Q1", "forecast_horizons": [1, 2, 3, 4], "eligibility": {"minimum_non_null_history": 8, "required_consecutive_recent_observations": 4},
-        "validation_origins": {"start": "2018Q4", "end": "2020Q1", "count": 6}, "holdout_origins": {"start": "2021Q2", "end": "2021Q3", "count": 2}}}
+        "validation_origins": {"start": "2018Q4", "end": "2020Q1", "count": 6}, "holdout_origins": {"start": "2021Q2", "end": "2021Q3", "count": 2}, "scored_target_end": "2022Q3", "latest_forecast_origin": "2023Q3"}}
     return rows, files, config
 
 
@@ -132,9 +168,9 @@ def test_selection_tables(spark, tmp_path):
     rows, _, config = series(tmp_path)
     panel = entity_quarters(unit_quarters(typed_records(spark.createDataFrame([tuple(map(str, r)) for r in rows], list(RAW)))))
     candidate = {"selection_origins": {"start": "2018Q4", "end": "2019Q3", "count": 4}, "confirmation_origins": {"start": "2019Q4", "end": "2020Q1", "count": 2}, "alphas": [1.0, 100.0], "warmup_origins": 1,
-                 "bootstrap": {"block_length": 2, "replications": 20, "seed": 1}}
+                 "bootstrap": {"block_length": 2, "replications": 20, "seed": 1}, "gates": {"wape_h1": (0, 10), "wape_h2": (5, 10)}}
     t = runs.selection_tables(panel.where("quarter <= date'2020-07-01'"), config, candidate)
-    assert len(t) == 19 and t["bootstrap_skill"].count() == 5 and t["candidate_forecasts"].count() == 2 * 4 * 4 * 2
+    assert len(t) == 20 and {r.gate: r.met for r in t["promotion"].collect()} == {"wape_h1": True, "wape_h2": False} and t["bootstrap_skill"].count() == 5 and t["candidate_forecasts"].count() == 2 * 4 * 4 * 2
     assert t["alpha_summary"].where("selected").count() == 1
     with pytest.raises(SelectionError):
         runs.selection_tables(panel, config, candidate)
@@ -145,12 +181,38 @@ def test_final_run_opens_the_holdout_once(spark, tmp_path):
     root = tmp_path / "runs"
     runs.build_dataset(spark, config, files, root, names=NAMES)
     runs.run_baselines(spark, config, root)
-    final = {"models_by_horizon": {"1": "persistence", "2": "persistence", "3": "seasonal_naive", "4": "persistence"}, "intervals": {"coverages": [0.8, 0.95]}, "development_calibration_origins": {"start": "2018Q4", "end": "2020Q1"},
-             "holdout_origins": {"start": "2021Q2", "end": "2021Q3", "count": 2, "target_end": "2022Q3"}, "latest_forecast": {"origin": "2023Q3", "target_end": "2024Q3", "revision_status": "revisable"}, "reporting": {"operational_focus_horizons": [1, 2]}}
+    final = {"procedure_id": "horizon_specific_naive_baseline_v1", "models_by_horizon": {"1": "persistence", "2": "persistence", "3": "seasonal_naive", "4": "persistence"}, "intervals": {"coverages": [0.8, 0.95]}, "development_calibration_origins": {"start": "2018Q4", "end": "2020Q1"},
+             "holdout_origins": {"start": "2021Q2", "end": "2021Q3", "count": 2, "target_end": "2022Q3"}, "latest_forecast": {"origin": "2023Q3", "target_end": "2024Q3", "revision_status": "revisable"}, "reporting": {"operational_focus_horizons": [1, 2], "reported_horizons": [1, 2, 3, 4]}}
     with pytest.raises(HoldoutError):
         runs.run_final(spark, config, final, root)
     one = runs.run_final(spark, config, final, root, open_holdout=True)
     two = runs.run_final(spark, config, final, root, open_holdout=True)
     assert (one["mode"], two["mode"]) == ("new", "reuse") and one["run_id"] == two["run_id"] and two["tables"]["holdout_forecasts"].count() == 2 * 2 * 4
+    other = {"coverages": {"intervals": {"coverages": [0.9]}}, "mapping": {"models_by_horizon": final["models_by_horizon"] | {"3": "persistence"}}, "procedure": {"procedure_id": "mine"},
+             "latest": {"latest_forecast": final["latest_forecast"] | {"origin": "2023Q2", "target_end": "2024Q2"}}, "target": {"holdout_origins": final["holdout_origins"] | {"target_end": "2022Q2"}}}
+    for change in other.values():
+        with pytest.raises(ContractError):
+            runs.run_final(spark, config, final | change, root, open_holdout=True)
+
+
+def test_diagnostics_refuse_confirmation_rows(spark):
+    from lattiq.errors import DiagnosticError
+    from lattiq.functions.periods import period_start
+    from lattiq.operators.uncertainty import selection_only
+
+    d = spark.createDataFrame([(period_start(q), 1.0) for q in ("2019Q2", "2019Q3")], "origin_date date, forecast double")
+    assert selection_only(d, "2019Q3") is d
+    with pytest.raises(DiagnosticError):
+        selection_only(d, "2019Q2")
+
+
+def test_selection_run_records_what_it_opened(spark, tmp_path, monkeypatch):
+    rows, files, config = series(tmp_path)
+    root = tmp_path / "runs"
+    runs.build_dataset(spark, config, files, root, names=NAMES)
+    monkeypatch.setattr(runs, "selection_tables", lambda panel, *a: {"panel": panel})
+    candidate = {"procedure_id": "pooled_direct_ridge_log_change_v1", "features": {"numeric": list(N.LOG), "categorical": ["entity", "target_quarter"]}, "alphas": [0.1, 1, 10, 100], "selection_origins": {"start": "2018Q4", "end": "2019Q3", "count": 4}}
+    m = runs.run_selection(spark, config, candidate, root)
+    assert m["checks"] == {"prediction_coverage": "passed", "diagnostic_gate_status": "awaiting_review", "confirmation_opened": False, "holdout_opened": False}
     with pytest.raises(ContractError):
-        runs.run_final(spark, config, final | {"intervals": {"coverages": [1.5]}}, root, open_holdout=True)
+        runs.run_selection(spark, config, candidate | {"alphas": [3.0]}, root)
