@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattiq.errors import HoldoutError, PanelError
+from lattiq.functions.ranks import running_sum
 from lattiq.operators import cells as C
 from lattiq.operators import metrics as M
 from lattiq.operators import uncertainty as U
@@ -46,7 +47,10 @@ def planning_summary(latest: DataFrame, focus=(1, 2), *, check: bool = True) ->
     d = latest.where(F.col("horizon").isin(*focus)).groupBy("entity").agg(*cols, F.count_distinct("horizon").alias("n"), F.avg("forecast").alias("near_mean"), F.avg(F.col("upper_80") - F.col("lower_80")).alias("near_width_80"))
     if check and not d.where(F.col("n") != len(focus)).isEmpty():
         raise PanelError("an entity lacks a near forecast")
-    return d.drop("n").withColumn("priority", F.rank().over(Window.orderBy(F.desc("near_mean"))))
+    # Competition ranks: as many as have a larger mean, and one; counted by distinct mean, range by range.
+    means = d.groupBy("near_mean").agg(F.count("*").alias("m"), F.lit(1).alias("all")).withColumn("order", F.coalesce(-F.col("near_mean"), F.lit(float("inf"))))
+    ranks = running_sum(means, ["all"], ["order"], "m").select(F.col("near_mean").alias("mean"), (F.col("upto") - F.col("m") + 1).cast("int").alias("priority"))
+    return d.drop("n").join(ranks, F.col("near_mean").eqNullSafe(F.col("mean"))).drop("mean")
 
 
 def evaluate_final(holdout_panel: DataFrame, latest_panel: DataFrame, development: DataFrame, *, evaluation: dict, config: dict) -> dict[str, DataFrame]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattiq.errors import PanelError
+from lattiq.functions.ranks import running_sum
 
 
 def with_errors(forecasts: DataFrame) -> DataFrame:
@@ -57,14 +58,11 @@ def origin_metrics(forecasts: DataFrame) -> DataFrame:
 def volume_bands(forecasts: DataFrame) -> DataFrame:
     """A band for each observed cell by its actual's rank among all cells (ties share their average rank).
 
-    Ranks are made from counts by distinct value, so that the running sum over
-    values is all that needs one order.
+    Ranks are made from counts by distinct value, whose running sum is made range by range.
     """
     cells = forecasts.where("actual_observed").groupBy("entity", "origin_date", "horizon").agg(F.first("actual").alias("actual"))
-    values = cells.groupBy("actual").agg(F.count("*").alias("n"))
-    below = F.sum("n").over(Window.orderBy("actual").rowsBetween(Window.unboundedPreceding, 0))
-    every = F.sum("n").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rank = values.select("actual", ((below - (F.col("n") - 1) / 2) / every).alias("p"))
+    values = running_sum(cells.groupBy("actual").agg(F.count("*").alias("n"), F.lit(1).alias("all")), ["all"], ["actual"])
+    rank = values.select("actual", ((F.col("upto") - (F.col("n") - 1) / 2) / F.col("cells")).alias("p"))
     band = F.when(F.col("p") <= 0.25, "low").when(F.col("p") <= 0.5, "medium").when(F.col("p") <= 0.75, "high").otherwise("very_high")
     return cells.join(rank, "actual").select("entity", "origin_date", "horizon", band.alias("volume_band"))
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from lattiq.errors import DiagnosticError, HoldoutError, PanelError
 from lattiq.functions.periods import index, period_start
+from lattiq.functions.ranks import running_sum
 from lattiq.operators.metrics import with_errors
 from lattiq.operators.panel import unique
+from lattiq.sources.sinks import cut
 
 COVERAGES = (0.80, 0.95)
 
@@ -40,16 +42,19 @@ def finite_sample_quantile(values: list[float], coverage: float) -> float:
 def order_statistics(rows: DataFrame, value: str, keys: list[str], coverages=COVERAGES) -> DataFrame:
     """(keys, coverage, quantile, cells): conformal quantiles by group, without gathering a group.
 
-    Rows with equal values become one count first; a running sum over the distinct values finds the one
-    that holds the rank.
+    Rows with equal finite values become one count first; a running sum over the distinct values, made range by
+    range, finds the one that holds the rank.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    own = Window.partitionBy(*keys)
-    d = counts.withColumns({"upto": F.sum("n").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "cells": F.sum("n").over(own)})
+    d = running_sum(finite(rows, value).groupBy(*keys, value).agg(F.count("*").alias("n")), keys, [value])
     hit = [F.min(F.when(F.col("upto") >= conformal_rank(F.col("cells"), c), F.col(value))) for c in coverages]
     return _exploded(d.groupBy(*keys, "cells").agg(*[h.alias(f"q{i}") for i, h in enumerate(hit)]), keys, coverages)
 
 
+def finite(rows: DataFrame, value: str) -> DataFrame:
+    """The rows whose value is a finite number; null, NaN and infinity have no place in an order of errors."""
+    return rows.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")))
+
+
 def _exploded(d: DataFrame, keys: list[str], coverages) -> DataFrame:
     x = F.explode(F.array(*[F.struct(F.lit(c).alias("coverage"), F.col(f"q{i}").alias("quantile")) for i, c in enumerate(coverages)])).alias("x")
     return d.select(*keys, "cells", x).select(*keys, "x.coverage", "x.quantile", "cells")
@@ -91,28 +96,46 @@ def frozen_intervals(forecasts: DataFrame, quantiles: DataFrame, coverages=COVER
     return d.withColumn("interval_source", F.when(scaled, "entity_scale").otherwise("pooled_plain")).drop(*lacking)
 
 
+def pool_quantiles(counts: DataFrame, value: str, at: list[int], coverages, name: str) -> DataFrame:
+    """(horizon, nth, <name>_<coverage>...) from (horizon, value, n): n[i] counts the value in the pool of origin at[i].
+
+    As in ``running_sum``, ranges of values are summed on their own first.
+    """
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = cut(counts.repartitionByRange(n, "horizon", value).withColumn("r", F.spark_partition_id()))
+    each = d.select("horizon", "r", value, F.posexplode("n").alias("i", "m")).where("m > 0")
+    sums = each.groupBy("horizon", "i", "r").agg(F.sum("m").alias("own"), F.count("*").alias("values"))
+    by = Window.partitionBy("horizon", "i")
+    sums = sums.select("horizon", "i", "r", "own", F.coalesce(F.sum("own").over(by.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("own").over(by).alias("cells"))
+    # A pool's quantile lies in the one range that its rank falls into; only these ranges are put in order.
+    ranks = F.explode(F.array(*[F.struct(F.lit(suffix(c)).alias("c"), conformal_rank(F.col("cells"), c).alias("rank")) for c in coverages])).alias("x")
+    hit = sums.select("*", ranks).select("horizon", "i", "r", "before", "x.c", "x.rank").where("rank > before").join(
+        sums.select("horizon", "i", "r", (F.col("before") + F.col("own")).alias("upto")), ["horizon", "i", "r"]).where("rank <= upto")
+    found = each.join(hit, ["horizon", "i", "r"])
+    upto = F.col("before") + F.sum("m").over(Window.partitionBy("horizon", "i", "r", "c").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    found = found.withColumn("upto", upto).where("upto >= rank").groupBy("horizon", "i").agg(*[F.min(F.when(F.col("c") == suffix(c), F.col(value))).alias(f"{name}_{suffix(c)}") for c in coverages])
+    nth = F.get(F.array(*[F.lit(k) for k in at]), F.col("i")) if at else F.lit(None).cast("int")
+    return found.withColumn("nth", nth.cast("int")).drop("i")
+
+
 def prequential_intervals(forecasts: DataFrame, *, warmup_origins: int = 8, coverages=COVERAGES) -> DataFrame:
     """Intervals from the scored errors of strictly earlier origins of the same horizon.
 
     For each horizon and origin the pool of earlier errors is summed up once and its
-    order statistics are taken by counting; rows then look up their origin's quantiles.  A row never
-    meets the errors before it one by one.
+    order statistics are taken by counting: distinct values are put in order once, range by range, with a
+    running count for each later origin beside them.  Rows then look up their origin's quantiles; a row never
+    meets the errors before it one by one, and no row is copied for the origins after it.
     """
     if warmup_origins < 1:
         raise PanelError("warm-up takes an origin at least")
     e = with_errors(forecasts)
     origins = e.select("origin_date").distinct().withColumn("nth", F.row_number().over(Window.orderBy("origin_date")))
     past = e.where("scored").join(origins, "origin_date").select("horizon", "nth", "scaled_error", "abs_error")
-    later = origins.where(F.col("nth") > warmup_origins).select(F.col("nth").alias("at"))
+    later = [r.nth for r in origins.where(F.col("nth") > warmup_origins).select("nth").orderBy("nth").collect()]  # as many as there are origins
     out = e.join(origins, "origin_date")
     for value, name in (("scaled_error", "scaled"), ("abs_error", "plain")):
-        # Counted by origin and value before the pools of later origins are formed.
-        n = past.where(F.col(value).isNotNull()).groupBy("horizon", "nth", value).agg(F.count("*").alias("m"))
-        pools = n.join(later, F.col("nth") < F.col("at")).groupBy("horizon", "at", value).agg(F.sum("m").alias("n"))
-        own = Window.partitionBy("horizon", "at")
-        d = pools.withColumns({"upto": F.sum("n").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "cells": F.sum("n").over(own)})
-        q = d.groupBy("horizon", F.col("at").alias("nth")).agg(*[
-            F.min(F.when(F.col("upto") >= conformal_rank(F.col("cells"), c), F.col(value))).alias(f"{name}_{suffix(c)}") for c in coverages])
+        counts = finite(past, value).groupBy("horizon", value).agg(F.array(*[F.count_if(F.col("nth") < at) for at in later]).alias("n") if later else F.array().cast("array<bigint>").alias("n"))
+        q = pool_quantiles(counts, value, later, coverages, name)
         out = out.join(q, ["horizon", "nth"], "left")
     scaled = F.coalesce(F.col("scale") > 0, F.lit(False))
     out = _interval(out, {c: F.when(scaled, F.col(f"scaled_{suffix(c)}") * F.col("scale")).otherwise(F.col(f"plain_{suffix(c)}")) for c in coverages})
@@ -208,8 +231,7 @@ def binned_residuals(forecasts: DataFrame, *, column: str, bins: int = 10) -> Da
     if bins < 2:
         raise PanelError("two bins at least")
     d = forecasts.where("scored").where(F.col(column).isNotNull()).withColumn("error", F.col("forecast") - F.col("actual"))
-    own = Window.partitionBy("horizon")
-    place = F.row_number().over(own.orderBy(column, "origin_date", "entity")) / F.count("*").over(own)
-    d = d.withColumn("bin", F.least(F.lit(bins), F.ceil(place * bins)).cast("int"))
+    place = running_sum(d.withColumn("one", F.lit(1)), ["horizon"], [column, "origin_date", "entity"], "one")
+    d = place.withColumn("bin", F.least(F.lit(bins), F.ceil(F.col("upto") / F.col("cells") * bins)).cast("int"))
     return d.groupBy("horizon", "bin").agg(F.count("*").alias("rows"), F.avg("error").alias("mean_error"), F.avg(F.abs("error")).alias("mean_abs_error"),
                                            F.min(column).alias("diagnostic_min"), F.max(column).alias("diagnostic_max")).withColumn("diagnostic", F.lit(column))
