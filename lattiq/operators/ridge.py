@@ -1,117 +1,147 @@
-"""Pooled ridge candidates, refitted at each origin and horizon for all penalties.
+"""Pooled ridge candidates, refitted at each origin and horizon for all penalties, from sums alone.
 
-This is the one place that needs Python: a singular value decomposition for each (origin, horizon).  It is
-made once and serves every penalty.  A group holds the panel's rows so far for one horizon, which the panel's
-size (entities times quarters) bounds.
+The design has a constant (log response only), standardised numbers, and one-hot columns for the target's quarter and for the entity.
+The entities' block of the normal equations is diagonal, so it is eliminated: for a penalty, an entity with n rows, sums s of
+the other columns and t of the response has the coefficient (t - s.c) / (n + penalty), and takes s s' / (n + penalty) from
+the equations for c.  What is left is eleven equations, whatever the number of entities and rows.
+
+Spark makes all sums: cross products by target date, of which origins take prefixes in time; and one running sum for each
+(entity, horizon), read off at each origin.  Training rows are never copied for an origin and never meet in one task.  Numpy solves eleven
+equations for each (origin, horizon, penalty), of which the calendar bounds the number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattiq.errors import PanelError, SelectionError
 from lattiq.operators.cells import flags
 from lattiq.operators.features import DELTA, LOG, prediction_features, supervised
+from lattiq.sources.sinks import cut
+
+QUARTERS = (1, 2, 3, 4)
+
 
+def solve(gram: np.ndarray, taken: np.ndarray, varied: np.ndarray, penalty: float, intercept: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients of standardised columns with the constant first, the same for raw columns).
 
-def design(train: pd.DataFrame, rows: pd.DataFrame, numeric: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Standardised numbers (population deviation; constant columns stay), then sorted one-hot columns; what training lacks is all zero."""
-    x, z = train[numeric].to_numpy(float), rows[numeric].to_numpy(float)
-    mean, std = x.mean(0), x.std(0)
-    std[std == 0] = 1
-    a, b, names = [(x - mean) / std], [(z - mean) / std], [f"numeric__{c}" for c in numeric]
-    for c in ("entity", "target_quarter"):
-        levels = np.unique(train[c].to_numpy())
-        a.append((train[c].to_numpy()[:, None] == levels).astype(float))
-        b.append((rows[c].to_numpy()[:, None] == levels).astype(float))
-        names += [f"categorical__{c}_{v}" for v in levels]
-    return np.hstack(a), np.hstack(b), names
-
-
-def solve(x: np.ndarray, y: np.ndarray, alphas: Iterable[float], intercept: bool) -> list[tuple[np.ndarray, float]]:
-    """(coefficients, intercept) for each penalty, from one decomposition (the design is rank-deficient)."""
-    mx, my = (x.mean(0), y.mean()) if intercept else (np.zeros(x.shape[1]), 0.0)
-    u, s, vt = np.linalg.svd(x - mx, full_matrices=False)
-    uy = u.T @ (y - my)
-    out = []
-    for alpha in alphas:
-        if not (np.isfinite(alpha) and alpha > 0):
-            raise PanelError("a penalty is positive and finite")
-        w = vt.T @ (np.where(s > 1e-15, s / (s * s + alpha), 0) * uy)
-        out.append((w, float(my - mx @ w)))
-    return out
-
-
-def fit_predict(train: pd.DataFrame, rows: pd.DataFrame, alphas: Iterable[float], response: str = "log") -> list[dict]:
-    """For each penalty: forecasts of ``rows``, coefficients, intercept, whether the floor at zero was met, and entities seen."""
-    numeric = LOG if response == "log" else DELTA
-    if train.empty:
-        raise PanelError("no training rows")
-    if train[[*numeric, "response"]].isna().any().any() or rows[numeric].isna().any().any():
-        raise PanelError("missing model values")
-    alphas = list(alphas)
-    x, z, names = design(train, rows, numeric)
-    seen = rows["entity"].isin(set(train["entity"])).to_numpy()
-    out = []
-    for alpha, (w, b) in zip(alphas, solve(x, train["response"].to_numpy(float), alphas, response == "log"), strict=True):
-        raw = rows[numeric[0]].to_numpy(float) + z @ w + b
-        level = np.maximum(0.0, raw)
-        forecast = np.expm1(level) if response == "log" else level
-        if not np.isfinite(forecast).all():
-            raise PanelError("a forecast is not finite")
-        out.append({"alpha": float(alpha), "forecast": forecast, "floored": raw < 0, "seen": seen, "names": names, "coef": w, "intercept": b})
-    return out
-
-
-def training_diagnostics(train: pd.DataFrame, numeric: list[str]) -> tuple[float, float]:
+    ``gram`` has the cross products of constant, numbers, quarters and response; ``taken`` what the entities take from them.
+    """
+    n, k = gram[0, 0], len(varied)
+    mean = gram[0, 1 : k + 1] / n
+    spread = np.sqrt(np.maximum(np.diag(gram)[1 : k + 1] / n - mean**2, 0))
+    spread[~varied | (spread == 0)] = 1  # constant columns stay
+    to = np.eye(len(gram) - 1)
+    to[np.arange(1, k + 1), np.arange(1, k + 1)] = 1 / spread
+    to[1 : k + 1, 0] = -mean / spread
+    left = gram - taken
+    own = slice(0 if intercept else 1, None)
+    a, b = (to @ left[:-1, :-1] @ to.T)[own, own], (to @ left[:-1, -1])[own]
+    a += penalty * np.diag(np.r_[[0.0] * intercept, [1.0] * (len(to) - 1)])
+    w = np.zeros(len(to))
+    w[own] = np.linalg.solve(a, b)
+    return w, to.T @ w
+
+
+def diagnostics(gram: np.ndarray, varied: np.ndarray) -> tuple[float | None, float | None]:
     """Condition number of the standardised numbers, and their largest absolute correlation."""
-    x = train[numeric].to_numpy(float)
-    x = x[:, x.std(0) > 0]
-    if not x.size:
-        return float("nan"), float("nan")
-    z = (x - x.mean(0)) / x.std(0)
-    r = np.abs(np.corrcoef(z, rowvar=False)) if z.shape[1] > 1 else np.zeros((1, 1))
-    return float(np.linalg.cond(z)), float(np.triu(r, 1).max())
+    at = np.flatnonzero(varied) + 1
+    if not len(at):
+        return None, None
+    mean = gram[0, at] / gram[0, 0]
+    cov = gram[np.ix_(at, at)] / gram[0, 0] - np.outer(mean, mean)
+    r = cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov)))
+    values = np.linalg.eigvalsh(r)
+    return float(np.sqrt(values[-1] / max(values[0], 1e-300))), float(np.abs(np.triu(r, 1)).max())
+
+
+def _products(cols: list[str], over=None) -> list:
+    """Sums of products of all pairs of columns, in the order of an upper triangle."""
+    each = [F.col(a) * F.col(b) for i, a in enumerate(cols) for b in cols[i:]]
+    return [F.sum(x / over if over is not None else x) for x in each]
+
+
+def _systems(rows: DataFrame, sums: DataFrame, outers: list, alphas: list[float], cols: list[str], numeric: list[str]) -> DataFrame:
+    """(outer, horizon, alpha, gram, taken, low, high): upper triangles as arrays, and the numbers' extremes."""
+    many = len(cols) * (len(cols) + 1) // 2
+    by_date = rows.groupBy("horizon", "target_date").agg(*[x.alias(f"g{i}") for i, x in enumerate(_products(cols))], *[f(c).alias(f"{n}_{c}") for c in numeric for f, n in ((F.min, "low"), (F.max, "high"))])
+    at = F.explode(F.array(*[F.lit(o) for o in outers])).alias("outer")
+    grown = by_date.select("*", at).where("target_date <= outer").groupBy("outer", "horizon").agg(  # a row for each two dates and horizon
+        F.array(*[F.sum(f"g{i}") for i in range(many)]).alias("gram"), F.array(*[F.min(f"low_{c}").cast("double") for c in numeric]).alias("low"), F.array(*[F.max(f"high_{c}").cast("double") for c in numeric]).alias("high"))
+    penalties = F.explode(F.array(*map(F.lit, alphas))).alias("alpha")
+    taken = sums.select("*", penalties).groupBy("outer", "horizon", "alpha").agg(F.array(*_products(cols, F.col("one") + F.col("alpha"))).alias("taken"))
+    return grown.join(taken, ["outer", "horizon"])
 
 
 def rolling_candidates(features: DataFrame, cells: DataFrame, *, alphas: Iterable[float], modeling_start: str, response: str = "log", check: bool = True) -> dict[str, DataFrame]:
     """Forecasts, coefficients and training diagnostics for every (penalty, origin, horizon)."""
-    alphas, numeric = [float(a) for a in alphas], LOG if response == "log" else DELTA
-    keys = ["outer", "horizon"]
-    outer = cells.select(F.col("origin_date").alias("outer")).distinct()
+    alphas, numeric, intercept = [float(a) for a in alphas], LOG if response == "log" else DELTA, response == "log"
+    if not alphas or not all(np.isfinite(a) and a > 0 for a in alphas):
+        raise PanelError("a penalty is positive and finite")
+    outers = [r[0] for r in cells.select("origin_date").distinct().orderBy("origin_date").collect()]  # quarters
+    if not outers:
+        raise PanelError("no cells")
+    cols = ["one", *numeric, *[f"quarter_{q}" for q in QUARTERS], "response"]
     rows = supervised(features, modeling_start=modeling_start, response=response)
-    train = rows.select("entity", "horizon", "target_date", *numeric, "target_quarter", "response").join(F.broadcast(outer) if outer.count() <= 10_000 else outer, F.col("target_date") <= F.col("outer"))
+    rows = rows.select("entity", "horizon", "target_date", F.lit(1.0).alias("one"), *[F.col(c).cast("double").alias(c) for c in numeric],
+                       *[(F.col("target_quarter") == q).cast("double").alias(f"quarter_{q}") for q in QUARTERS], "response")
+    # An entity's rows up to each origin: origins stand among its rows as rows of nulls, where the running sums are read off.
+    stops = rows.select("entity", "horizon").distinct().select("entity", "horizon", F.explode(F.array(*[F.lit(o) for o in outers])).alias("target_date"), *[F.lit(None).cast("double").alias(c) for c in cols])
+    upto = Window.partitionBy("entity", "horizon").orderBy(F.col("target_date")).rangeBetween(Window.unboundedPreceding, 0)
+    sums = rows.unionByName(stops).select("entity", "horizon", F.col("target_date").alias("outer"), F.col("one").isNull().alias("stop"), *[F.sum(c).over(upto).alias(c) for c in cols])
+    sums = cut(sums.where("stop and one is not null").drop("stop"))
+    names = [*[f"numeric__{c}" for c in numeric], *[f"categorical__target_quarter_{q}" for q in QUARTERS]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(cols)
+        upper = np.triu_indices(size)
+
+        def square(x) -> np.ndarray:
+            m = np.zeros((size, size))
+            m[upper] = x
+            return m + np.triu(m, 1).T
+
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                gram, varied = square(r["gram"]), np.array(r["low"]) < np.array(r["high"])
+                w, raw = solve(gram, square(r["taken"]), varied, r["alpha"], intercept)
+                condition, correlation = diagnostics(gram, varied)
+                held = np.r_[True, [True] * len(numeric), np.diag(gram)[len(numeric) + 1 : -1] > 0]  # quarters that training has
+                out.append({"outer": r["outer"], "horizon": r["horizon"], "alpha": r["alpha"], "w": w.tolist(), "held": held.tolist(), "raw": raw.tolist(), "rows": int(round(gram[0, 0])), "condition": condition, "correlation": correlation})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    schema = pa.schema([("outer", pa.date32()), ("horizon", pa.int32()), ("alpha", pa.float64()), ("w", pa.list_(pa.float64())), ("held", pa.list_(pa.bool_())), ("raw", pa.list_(pa.float64())), ("rows", pa.int64()), ("condition", pa.float64()), ("correlation", pa.float64())])
+    fits = cut(_systems(rows, sums, outers, alphas, cols, numeric).mapInArrow(run, "outer date, horizon int, alpha double, w array<double>, held array<boolean>, raw array<double>, rows long, condition double, correlation double"))
+    few = F.broadcast(fits)  # a row for each origin, horizon and penalty: the calendar bounds them
+    own = (F.col("response") - sum(F.col(c) * F.get("raw", F.lit(i)) for i, c in enumerate(cols[:-1]))) / (F.col("one") + F.col("alpha"))
+    entities = sums.join(few, ["outer", "horizon"]).select("outer", "horizon", "alpha", "entity", own.alias("own"))
+
     ask = prediction_features(features, cells, response=response, check=check).withColumn("outer", F.col("origin_date"))
-    ask = ask.select(*[F.col(c).alias(c) for c in ("entity", *keys, *numeric, "target_quarter")])  # new columns: both sides stem from one panel
-    schema = "kind string, alpha double, outer date, horizon int, entity string, value double, floored boolean, seen boolean, intercept double, rows long"
-
-    def run(key, t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if p.empty:
-            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-        t = t.sort_values(["target_date", "entity"])
-        parts = []
-        base = {"outer": key[0], "horizon": key[1], "rows": len(t)}
-        for r in fit_predict(t, p, alphas, response):
-            one = {"alpha": r["alpha"], "intercept": r["intercept"], **base}
-            parts.append(pd.DataFrame({"kind": "forecast", "entity": p["entity"], "value": r["forecast"], "floored": r["floored"], "seen": r["seen"]}).assign(**one))
-            parts.append(pd.DataFrame({"kind": "coefficient", "entity": r["names"], "value": r["coef"], "floored": None, "seen": None}).assign(**one))
-        for name, v in zip(("condition", "correlation"), training_diagnostics(t, numeric), strict=True):
-            parts.append(pd.DataFrame({"kind": [name], "entity": None, "value": [v], "floored": None, "seen": None, "alpha": None, "intercept": None}).assign(**base))
-        return pd.concat([x.astype({"floored": object, "seen": object, "alpha": float, "intercept": float}) for x in parts], ignore_index=True)[[c.split()[0] for c in schema.split(", ")]]
-
-    out = train.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInPandas(run, schema).persist()
-    f = out.where("kind = 'forecast'").select("alpha", F.col("outer").alias("origin_date"), "horizon", "entity", F.col("value").alias("forecast"), "floored", "seen", "rows")
-    model = "pooled_ridge_" + response
-    forecasts = flags(cells.join(f, ["entity", "origin_date", "horizon"]).withColumn("model", F.lit(model)))
-    coefficients = out.where("kind = 'coefficient'").select("alpha", F.col("outer").alias("origin_date"), "horizon", F.col("entity").alias("feature"), F.col("value").alias("coefficient"), "intercept")
-    value = lambda k: F.max(F.when(F.col("kind") == k, F.nanvl("value", F.lit(None).cast("double"))))
-    diagnostics = out.where("alpha is null").groupBy(F.col("outer").alias("origin_date"), "horizon").agg(F.max("rows").alias("training_rows"), value("condition").alias("condition"), value("correlation").alias("correlation"))
-    return {"forecasts": forecasts, "coefficients": coefficients, "diagnostics": diagnostics}
+    ask = ask.select(*[F.col(c).alias(c) for c in ("entity", "outer", "horizon", *numeric, "target_quarter")])  # new columns: both sides stem from one panel
+    d = ask.join(few.select("outer", "horizon", "alpha", "raw", "rows"), ["outer", "horizon"], "left").join(entities, ["outer", "horizon", "alpha", "entity"], "left")
+    quarter = F.coalesce(*[F.when(F.col("target_quarter") == q, F.get("raw", F.lit(len(numeric) + q))) for q in QUARTERS])
+    level = F.col(numeric[0]) + F.get("raw", F.lit(0)) + sum(F.col(c) * F.get("raw", F.lit(i + 1)) for i, c in enumerate(numeric)) + quarter + F.coalesce("own", F.lit(0.0))
+    d = d.withColumn("level", F.when(F.col("alpha").isNull(), F.raise_error(F.lit("no training rows")).cast("double")).otherwise(level))
+    floor = F.greatest(F.col("level"), F.lit(0.0))
+    forecast = F.expm1(floor) if response == "log" else floor
+    sound = F.col("level").isNotNull() & ~F.isnan(forecast) & (forecast < float("inf"))
+    f = d.select("alpha", F.col("outer").alias("origin_date"), "horizon", "entity", F.when(sound, forecast).otherwise(F.raise_error(F.lit("a forecast is not finite")).cast("double")).alias("forecast"),
+                 (F.col("level") < 0).alias("floored"), F.col("own").isNotNull().alias("seen"), "rows")
+    forecasts = flags(cells.join(f, ["entity", "origin_date", "horizon"]).withColumn("model", F.lit("pooled_ridge_" + response)))
+    key = [F.col("alpha"), F.col("outer").alias("origin_date"), F.col("horizon")]
+    constant = F.get("w", F.lit(0))
+    shared = fits.select(*key, F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.get("w", F.lit(i + 1)).alias("coefficient"), F.get("held", F.lit(i + 1)).alias("held")) for i, n in enumerate(names)])).alias("x"), constant.alias("intercept"))
+    shared = shared.where("x.held").select("alpha", "origin_date", "horizon", "x.feature", "x.coefficient", "intercept")
+    each = entities.join(few.select("outer", "horizon", "alpha", constant.alias("intercept")), ["outer", "horizon", "alpha"])
+    each = each.select(*key, F.concat(F.lit("categorical__entity_"), "entity").alias("feature"), F.col("own").alias("coefficient"), "intercept")
+    seen = fits.groupBy(F.col("outer").alias("origin_date"), "horizon").agg(F.max("rows").alias("training_rows"), F.max("condition").alias("condition"), F.max("correlation").alias("correlation"))
+    return {"forecasts": forecasts, "coefficients": shared.unionByName(each), "diagnostics": seen}
 
 
 def alpha_summary(metrics: DataFrame) -> DataFrame:

@@ -196,32 +196,53 @@ def test_features_golden(spark):
     assert by(f.where("horizon = 1"), "origin_date")[(dt.date(2019, 10, 1),)]["origin_index"] == 3
 
 
-def train_frame(response):
-    rng = np.random.default_rng(0)
-    cols = X.LOG if response == "log" else X.DELTA
-    t = pd.DataFrame(rng.random((24, 6)) * 3, columns=cols)
-    t["entity"], t["target_quarter"] = ["AA", "BB", "CC"] * 8, [1, 2, 3, 4] * 6
-    t["response"] = t[cols[1]] * .3 + rng.normal(size=24) * .1
-    return t, cols
+def plain_fit(train, ask, numeric, penalty, intercept):
+    """The whole design with a one-hot column for each entity and quarter, solved at once."""
+    x, z = train[numeric].to_numpy(float), ask[numeric].to_numpy(float)
+    mean, std = x.mean(0), x.std(0)
+    std[x.min(0) == x.max(0)] = 1
+    a, b, names = [(x - mean) / std], [(z - mean) / std], [f"numeric__{c}" for c in numeric]
+    for c in ("entity", "target_quarter"):
+        levels = sorted(set(train[c]))
+        a.append((train[c].to_numpy()[:, None] == np.array(levels)).astype(float))
+        b.append((ask[c].to_numpy()[:, None] == np.array(levels)).astype(float))
+        names += [f"categorical__{c}_{v}" for v in levels]
+    x, z, y = np.hstack(a), np.hstack(b), train["response"].to_numpy()
+    mx, my = (x.mean(0), y.mean()) if intercept else (np.zeros(x.shape[1]), 0.0)
+    w = np.linalg.solve((x - mx).T @ (x - mx) + penalty * np.eye(x.shape[1]), (x - mx).T @ (y - my))
+    base = my - mx @ w
+    raw = ask[numeric[0]].to_numpy(float) + z @ w + base
+    varied = a[0][:, x[:, : len(numeric)].std(0) > 0]
+    return np.expm1(np.maximum(0, raw)) if intercept else np.maximum(0, raw), raw < 0, dict(zip(names, w, strict=True)), base, np.linalg.cond(varied), np.triu(np.abs(np.corrcoef(varied, rowvar=False)), 1).max()
 
 
 @pytest.mark.parametrize("response", ["log", "delta"])
-def test_ridge_solves_the_penalised_problem(response):
-    t, cols = train_frame(response)
-    p = pd.concat([t[:2], t[:1].assign(entity="ZZ")])
-    (r,) = R.fit_predict(t, p, [2.0], response)
-    x, z, names = R.design(t, p, cols)
-    y = t.response.to_numpy()
-    mx, my = (x.mean(0), y.mean()) if response == "log" else (0, 0)
-    w = np.linalg.solve((x - mx).T @ (x - mx) + 2.0 * np.eye(x.shape[1]), (x - mx).T @ (y - my))
-    assert np.allclose(w, r["coef"]) and list(r["seen"]) == [True, True, False] and np.isfinite(r["forecast"]).all()
-    assert names[6:9] == ["categorical__entity_AA", "categorical__entity_BB", "categorical__entity_CC"]
-    if response == "delta":
-        assert r["intercept"] == 0
-        a, b = R.fit_predict(t, p, [1.0, 1e9], "delta")
-        assert np.abs(b["forecast"] - p.level_t).max() < 1e-6 < np.abs(a["forecast"] - p.level_t).max()
-    with pytest.raises(PanelError):
-        R.fit_predict(t, p, [0.0], response)
+def test_ridge_solves_the_penalised_problem(spark, response):
+    rng = np.random.default_rng(4)
+    labels = Q.quarters("2015Q1", "2022Q4")
+    rows = [(e, Q.period_start(q), float(round(100 * k + 20 * (i % 4) + 3 * i + rng.normal() * 15))) for k, (e, first) in enumerate([("AA", 0), ("BB", 0), ("CC", 3), ("DD", 14)], 1) for i, q in enumerate(labels) if i >= first]
+    panel = spark.createDataFrame([(e, d.year, (d.month + 2) // 3, Q.period_label(d), d, v) for e, d, v in rows], "entity string, cal_year int, cal_quarter int, period string, quarter date, value double")
+    ev = {"modeling_start": "2015Q1", "minimum_history": 4, "recent_quarters": 4}
+    cells = C.forecast_cells(panel, origins=["2019Q1", "2019Q3", "2021Q2"], target_end="2022Q4", **ev)
+    x = X.panel_features(panel, modeling_start="2015Q1")
+    alphas, numeric = [0.5, 50.0], X.LOG if response == "log" else X.DELTA
+    got = R.rolling_candidates(x, cells, alphas=alphas, modeling_start="2015Q1", response=response)
+    f, coef, diag = (got[k].toPandas() for k in ("forecasts", "coefficients", "diagnostics"))
+    train, ask = X.supervised(x, modeling_start="2015Q1", response=response).toPandas(), X.prediction_features(x, cells, response=response).toPandas()
+    assert len(f) == 2 * len(ask) and not f["seen"].all()
+    for (origin, h), p in ask.groupby(["origin_date", "horizon"]):
+        t = train[(train["horizon"] == h) & (train["target_date"] <= origin)]
+        for alpha in alphas:
+            want, floored, w, base, cond, corr = plain_fit(t, p, numeric, alpha, response == "log")
+            own = f[(f["origin_date"] == origin) & (f["horizon"] == h) & (f["alpha"] == alpha)].set_index("entity").loc[list(p["entity"])]
+            assert np.allclose(own["forecast"], want, rtol=1e-7) and list(own["floored"]) == list(floored) and list(own["seen"]) == [e in set(t["entity"]) for e in p["entity"]]
+            c = coef[(coef["origin_date"] == origin) & (coef["horizon"] == h) & (coef["alpha"] == alpha)]
+            assert set(c["feature"]) == set(w) and np.allclose(c["coefficient"], [w[k] for k in c["feature"]], atol=1e-7) and np.allclose(c["intercept"], base, atol=1e-7)
+        r = diag[(diag["origin_date"] == origin) & (diag["horizon"] == h)].iloc[0]
+        assert r["training_rows"] == len(t) and np.isclose(r["condition"], cond, rtol=1e-5) and np.isclose(r["correlation"], corr, rtol=1e-6)
+    for bad in ([0.0], [float("nan")], []):
+        with pytest.raises(PanelError):
+            R.rolling_candidates(x, cells, alphas=bad, modeling_start="2015Q1", response=response)
 
 
 def test_alpha_selection(spark):
@@ -235,7 +256,7 @@ def test_final_and_planning(spark):
     dev_panel = P.window(p, "2019Q1", "2021Q4")
     dev = C.baseline_forecasts(C.forecast_cells(dev_panel, origins=["2020Q4"], target_end="2021Q4", **EV), dev_panel)
     tables = Z.evaluate_final(P.window(p, "2019Q1", "2022Q4"), p, dev, evaluation=EV, config={
-        "development_end": "2020Q4", "holdout_origins": ["2021Q4"], "holdout_target_end": "2022Q4", "latest_origin": "2023Q3", "latest_target_end": "2024Q3", "snapshot": "s", "revision": "r"})
+        "development_end": "2020Q4", "holdout_origins": ["2021Q4"], "holdout_target_end": "2022Q4", "latest_origin": "2023Q3", "latest_target_end": "2024Q3", "snapshot": "s", "revision": "r", "mapping": Z.MAPPING, "coverages": (0.8, 0.95), "focus": (1, 2)})
     assert set(tables) == {"calibration_quantiles", "holdout_forecasts", "holdout_metrics", "holdout_entity_metrics", "holdout_origin_metrics", "holdout_volume_metrics", "holdout_interval_metrics", "latest_forecasts", "latest_planning_summary"}
     assert tables["holdout_forecasts"].count() == 4 and tables["latest_forecasts"].count() == 4 and tables["holdout_interval_metrics"].count() == 10
     assert tables["latest_planning_summary"].first()["priority"] == 1
