@@ -46,18 +46,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Column names starting with ``names`` that ``df`` does not use yet."""
-    used = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name.lower() in used:
-            name = "_" + name
-        used.add(name.lower())
-        out.append(name)
-    return out
-
-
 def column(df: DataFrame, name: str) -> Column:
     """``df[name]`` also where the name holds dots or back-ticks."""
     return df["`" + name.replace("`", "``") + "`"]
@@ -83,7 +71,3 @@ def chunks(batch: pa.RecordBatch, col: str, limit: int = 4 << 20) -> Iterator[pa
             first, held = i, 0
         held += n + 64
     yield batch.slice(first)
-
-
-def dense_id(df: DataFrame) -> Column:
-    return F.xxhash64(*df.columns)
