@@ -47,12 +47,6 @@ def label(date: Column) -> Column:
     return F.concat(F.year(date).cast("string"), F.lit("Q"), F.quarter(date).cast("string"))
 
 
-def start(label_: Column) -> Column:
-    """The column form of ``period_start``; null where the label is not a quarter."""
-    year, quarter = F.substring(label_, 1, 4).cast("int"), F.substring(label_, 6, 1).cast("int")
-    return F.when(label_.rlike(r"\A[0-9]{4}Q[1-4]\z"), F.make_date(year, quarter * 3 - 2, F.lit(1)))
-
-
 def moved(date: Column, quarters_: Column | int) -> Column:
     return F.add_months(date, (quarters_ if isinstance(quarters_, Column) else F.lit(quarters_)) * 3)
 

@@ -24,5 +24,10 @@ def to_int(c: Column) -> Column:
 
 
 def exact_sum(c: Column, scale: int = 6) -> Column:
-    """A sum that is null only if all is null, and that does not depend on the order of rows."""
-    return F.sum(c.cast(f"decimal(28,{scale})")).cast("double")
+    """A sum that is null only if all is null, and that does not depend on the order of rows.
+
+    Values count to ``scale`` decimals.  Where a group holds one of 1e21 or more, which the decimals cannot
+    hold, its sum is taken in doubles instead.
+    """
+    fits = F.coalesce(F.max(F.abs(c)), F.lit(0.0)) < 1e21
+    return F.when(fits, F.sum(c.try_cast(f"decimal(28,{scale})")).cast("double")).otherwise(F.sum(c))

@@ -186,7 +186,7 @@ def bootstrap_skill(pairs: DataFrame, *, block_length: int, replications: int, s
     """
     spark = pairs.sparkSession
     d = pairs.where("actual is not null and candidate_forecast is not null and comparator_forecast is not null")
-    sums = d.groupBy("horizon", "origin_date").agg(F.sum(F.abs(F.col("candidate_forecast") - F.col("actual"))).alias("a"), F.sum(F.abs(F.col("comparator_forecast") - F.col("actual"))).alias("b"), F.sum("actual").alias("v")).persist()
+    sums = cut(d.groupBy("horizon", "origin_date").agg(F.sum(F.abs(F.col("candidate_forecast") - F.col("actual"))).alias("a"), F.sum(F.abs(F.col("comparator_forecast") - F.col("actual"))).alias("b"), F.sum("actual").alias("v")))
     origins = sorted(r[0] for r in sums.select("origin_date").distinct().collect())
     draws = block_starts(len(origins), block_length=block_length, replications=replications, seed=seed)
     weights = [(r, origins[o], int(n)) for r in range(replications) for o, n in zip(*np.unique(draws[r], return_counts=True), strict=True)]

@@ -36,11 +36,15 @@ def build_dataset(spark: SparkSession, config: dict, files: dict[str, tuple[str,
     master = master_units(pick("master", ["unit_id", "entity", "domain"]))
     units = unit_quarters(records).persist()
     entities = entity_quarters(units).persist()
-    observed = {r.check_name: r.observed_value for r in quality_checks(raw, records, master, units, entities).collect()}  # nineteen rows
-    checks = verdict(observed, config["quality_expectations"])
-    return N.write_run(
-        {"unit_quarter": (units, ["unit_id", "entity", "cal_year", "cal_quarter"]), "entity_quarter": (entities, ["entity", "cal_year", "cal_quarter"])},
-        runs_root, stage="build", config=config, root=root, raw=status, checks=checks, inputs={p: status[k]["sha256"] for k, (p, _) in files.items()})
+    try:
+        observed = {r.check_name: r.observed_value for r in quality_checks(raw, records, master, units, entities).collect()}  # nineteen rows
+        checks = verdict(observed, config["quality_expectations"])
+        return N.write_run(
+            {"unit_quarter": (units, ["unit_id", "entity", "cal_year", "cal_quarter"]), "entity_quarter": (entities, ["entity", "cal_year", "cal_quarter"])},
+            runs_root, stage="build", config=config, root=root, raw=status, checks=checks, inputs={p: status[k]["sha256"] for k, (p, _) in files.items()})
+    finally:
+        for d in (records, units, entities):
+            d.unpersist()
 
 
 def _evaluation(config: dict) -> dict:
@@ -58,7 +62,7 @@ def development_tables(panel: DataFrame, config: dict, audit: dict | None = None
     f = cut(C.baseline_forecasts(cut(cells), panel))
     if 4 in horizons and not C.same_at(f, 4).where("not agree").isEmpty():
         raise ContractError("the baselines disagree four quarters ahead")
-    overall = M.overall_metrics(f).persist()
+    overall = cut(M.overall_metrics(f))
     M.assert_covered(overall)
     if audit:
         M.audit(overall, audit)
@@ -105,7 +109,7 @@ def selection_tables(panel: DataFrame, config: dict, candidate: dict) -> dict[st
     best = cut(f.join(F.broadcast(chosen.where("selected").select("alpha")), "alpha"))  # one row
     pairs = cut(R.pair_with_comparator(best, base, Z.MAPPING))
     intervals = U.prequential_intervals(best, warmup_origins=candidate.get("warmup_origins", 8), coverages=coverages)
-    selected = M.overall_metrics(best).persist()
+    selected = cut(M.overall_metrics(best))
     M.assert_covered(selected)
     shown = U.selection_only(best, block["end"])
     acf = U.residual_acf(shown)

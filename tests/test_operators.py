@@ -276,3 +276,32 @@ def test_audit_names_what_differs(spark):
             audit(d, {("persistence", 1): want})
     with pytest.raises(PanelError):
         audit(d, {("seasonal_naive", 1): (40, 12.34, 1.234)})
+
+
+def test_sums_are_exact_and_huge_values_count(spark):
+    from pyspark.sql import functions as F
+
+    from lattiq.functions.text import exact_sum
+
+    d = spark.createDataFrame([(1, 0.1)] * 10 + [(2, None), (3, 1e25), (3, 5.0), (4, 0.1), (4, None)], "k int, v double")
+    got = {r.k: r.s for r in d.groupBy("k").agg(exact_sum(F.col("v")).alias("s")).collect()}
+    assert got == {1: 1.0, 2: None, 3: 1e25 + 5.0, 4: 0.1}
+
+
+def test_ranges_give_the_same_running_sums(spark):
+    from lattiq.functions.ranks import running_sum
+
+    rng = np.random.default_rng(3)
+    rows = [(int(k), float(v), 1) for k, v in zip(rng.integers(0, 3, 500), rng.permutation(500), strict=True)] + [(9, None, 1)]
+    d = spark.createDataFrame(rows, "k int, v double, n int")
+    for r in running_sum(d, ["k"], ["v"]).collect():
+        own = [x for x in rows if x[0] == r.k]
+        assert r.cells == len(own) and r.upto == (1 if r.v is None else sum(x[1] is None or x[1] <= r.v for x in own))
+
+
+def test_errors_without_a_place_have_no_quantile(spark):
+    from lattiq.operators.uncertainty import order_statistics
+
+    d = spark.createDataFrame([(1, float(i)) for i in range(1, 11)] + [(1, float("nan")), (1, float("inf")), (1, None), (2, float("nan"))], "horizon int, v double")
+    got = {(r.horizon, r.coverage): (r.quantile, r.cells) for r in order_statistics(d, "v", ["horizon"]).collect()}
+    assert got == {(1, 0.8): (9.0, 10), (1, 0.95): (10.0, 10)}
