@@ -3,15 +3,16 @@
 A vector is coded as a sum of ``books`` full-dimensional codewords, one from each codebook (many small
 codebooks: at the same number of bits they lose less than few large ones, and cost less to search).
 Codebooks start as residual k-means on a bounded sample and are then solved jointly by least
-squares against beam-search codes.  Every vector is encoded by beam search; its code and
-the ratio of its norm to its reconstruction's are stored.  A query makes one lookup table (its inner
+squares against beam-search codes.  Every vector is encoded by beam search; its code,
+the ratio of its norm to its reconstruction's and the length of what is left are stored.  A query makes one lookup table (its inner
 product with all codewords, two codebooks joined in one entry); a row's score is a sum of table entries times that ratio.
-The ``rerank`` best rows of all are scored again exactly, in double precision, on the original vectors.
+The ``rerank`` best rows of a block are scored again exactly, in double precision, on the original vectors.  So is every other row whose
+score may, by ``slack`` standard errors (what is left of a row points anywhere, so its share along the query is about its length over the
+root of the dimension), still reach the ``k``-th best of these: a shortlist is as long as it has to be, as in a large group of near copies.
 
 All rows are indexed.  Equal vectors are one class, of which the smallest ids are kept: as many as a
-result can hold, so nothing that could be returned is lost.  Index blocks (codes only) and query blocks
-meet as blocks, never as single rows; ties at the cut are kept, so that equal
-codes do not crowd out exact neighbours.  Vectors move once, and a query's once for each row of its shortlist.
+result can hold, so nothing that could be returned is lost.  Index blocks and query blocks
+meet as blocks, never as single rows: a block of rows moves once for each block of ``query_rows`` queries, and ``k + 1`` rows a query come back.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or are not of the
 commonest length take no part; rows without an id take no part; a query's own row is no candidate, other rows of the same vector are;
@@ -118,8 +119,8 @@ def matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return flat.reshape(batch.num_rows, -1)
 
 
-def search(rows: DataFrame, queries: DataFrame, *, k: int = 20, rerank: int = 64, sample: int = 8192, books: int = 64, words: int = 16,
-           block_rows: int = 65_536, query_rows: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, *, k: int = 20, rerank: int = 64, slack: float = 3.0, sample: int = 8192, books: int = 64, words: int = 16,
+           block_rows: int = 16_384, query_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest rows by inner product, ties to the smaller id.
 
     ``queries`` are rows of the same table.  ``sample`` bounds the rows that the codebooks are fitted on.
@@ -141,52 +142,77 @@ def search(rows: DataFrame, queries: DataFrame, *, k: int = 20, rerank: int = 64
     n_q = max(1, -(-wanted.count() // query_rows))
     n_i = max(1, -(-n // min(block_rows, max(1024, n * n_q // (2 * tasks)))))
 
+    kind = np.float32 if d.schema["v"].dataType.simpleString() == "array<float>" else np.float64
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                x = matrix(part, "v").astype(np.float32)
+                v = matrix(part, "v")
+                x = v.astype(np.float32)
                 codes = model.value.encode(x)
-                norm = np.linalg.norm(model.value.decode(codes), axis=1)
+                found = model.value.decode(codes)
+                norm = np.linalg.norm(found, axis=1)
                 ratio = np.divide(np.linalg.norm(x, axis=1), norm, out=np.ones_like(norm), where=norm > 0)
-                yield pa.RecordBatch.from_arrays([part.column("first"), pa.array([c.tobytes() for c in codes]), pa.array(ratio.astype(np.float32))], ["first", "code", "ratio"])
+                left = np.linalg.norm(x - found * ratio[:, None], axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("first"), pa.array([c.tobytes() for c in codes]), pa.array(ratio.astype(np.float32)), pa.array(left.astype(np.float32)), pa.array([r.tobytes() for r in v.astype(kind)])], ["first", "code", "ratio", "left", "x"])
 
     def pack_rows(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("first")
-        return pd.DataFrame({"i": pdf["i"].iloc[:1], "firsts": [pdf["first"].to_numpy().tobytes()], "codes": [b"".join(pdf["code"])], "ratio": [pdf["ratio"].to_numpy(np.float32).tobytes()]})
+        flat = lambda c, t: [pdf[c].to_numpy(t).tobytes()]
+        return pd.DataFrame({"i": pdf["i"].iloc[:1], "firsts": flat("first", np.int64), "codes": [b"".join(pdf["code"])], "ratio": flat("ratio", np.float32), "left": flat("left", np.float32), "x": [b"".join(pdf["x"])]})
 
     def pack_queries(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        return pd.DataFrame({"q": pdf["q"].iloc[:1], "ids": [pdf["id"].to_numpy().tobytes()], "x": [np.array(pdf["v"].tolist(), np.float32).tobytes()]})
+        return pd.DataFrame({"q": pdf["q"].iloc[:1], "ids": [pdf["id"].to_numpy().tobytes()], "qx": [np.array(pdf["v"].tolist(), kind).tobytes()]})
 
     block = lambda of, n: F.pmod(F.xxhash64(of), F.lit(n)).cast("int")
-    index = classes.select("first", "v").mapInArrow(code, "first long, code binary, ratio float").withColumn("i", block("first", n_i))
-    index = cut(index.groupBy("i").applyInPandas(pack_rows, "i int, firsts binary, codes binary, ratio binary"))
-    asked = cut(wanted.withColumn("q", block("id", n_q)).groupBy("q").applyInPandas(pack_queries, "q int, ids binary, x binary"))
+    index = classes.select("first", "v").mapInArrow(code, "first long, code binary, ratio float, left float, x binary").withColumn("i", block("first", n_i))
+    index = cut(index.groupBy("i").applyInPandas(pack_rows, "i int, firsts binary, codes binary, ratio binary, left binary, x binary"))
+    asked = cut(wanted.withColumn("q", block("id", n_q)).groupBy("q").applyInPandas(pack_queries, "q int, ids binary, qx binary"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     pairs = index.withColumn("q", every(n_q)).hint("merge").join(asked.withColumn("i", every(n_i)).hint("merge"), ["q", "i"])
 
-    def shortlist(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids, firsts, ratio = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["firsts"], np.int64), np.frombuffer(r["ratio"], np.float32)
-                q, codes = np.frombuffer(r["x"], np.float32).reshape(len(ids), -1), np.frombuffer(r["codes"], np.uint8).reshape(len(firsts), -1)
+                ids, firsts = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["firsts"], np.int64)
+                ratio, left = np.frombuffer(r["ratio"], np.float32), np.frombuffer(r["left"], np.float32)
+                q, x = np.frombuffer(r["qx"], kind).reshape(len(ids), -1), np.frombuffer(r["x"], kind).reshape(len(firsts), -1)
+                codes = np.frombuffer(r["codes"], np.uint8).reshape(len(firsts), -1)
                 for at in range(0, len(q), 64):
-                    rough = scores(q[at : at + 64], model.value.codebooks, codes, ratio)
-                    cut_ = max(0, len(firsts) - rerank)
-                    who, what = np.nonzero(rough >= np.partition(rough, cut_, axis=1)[:, cut_, None])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + who]), pa.array(firsts[what]), pa.array(rough[who, what])], ["query_id", "first", "rough"])
+                    out = nearest(q[at : at + 64], x, scores(q[at : at + 64].astype(np.float32), model.value.codebooks, codes, ratio), left, firsts, k + 1, rerank, slack)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + out[0]]), pa.array(firsts[out[1]]), pa.array(out[2])], ["query_id", "first", "score"])
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                yield pa.RecordBatch.from_arrays([part.column("query_id"), part.column("ids"), pa.array((matrix(part, "v") * matrix(part, "x")).sum(1))], ["query_id", "ids", "score"])
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("rough"))
-    near = pairs.repartition(tasks, "q", "i").mapInArrow(shortlist, "query_id long, first long, rough float").withColumn("place", F.rank().over(best)).where(F.col("place") <= rerank)
-    near = near.join(wanted.select(F.col("id").alias("query_id"), F.col("v").alias("x")), "query_id").select("query_id", "first", "x")
-    found = near.join(classes, "first").select("query_id", "ids", "v", "x").mapInArrow(exact, "query_id long, ids array<long>, score double")
-    found = found.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "first")
+    found = pairs.repartition(tasks, "q", "i").mapInArrow(meet, "query_id long, first long, score double").withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
+    found = found.join(classes.select("first", "ids"), "first").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def exact(q: np.ndarray, x: np.ndarray, who: np.ndarray, what: np.ndarray) -> np.ndarray:
+    """Inner products of pairs, in double precision, some pairs at a time."""
+    out = np.empty(len(who))
+    for i in range(0, len(who), 1 << 15):
+        at = slice(i, i + (1 << 15))
+        out[at] = (x[what[at]].astype(np.float64) * q[who[at]].astype(np.float64)).sum(1)
+    return out
+
+
+def nearest(q: np.ndarray, x: np.ndarray, rough: np.ndarray, left: np.ndarray, firsts: np.ndarray, k: int, rerank: int, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of each query's ``k`` best rows of a block, ties to the smaller id."""
+    n = rough.shape[1]
+    top = max(0, n - max(rerank, k))
+    best = np.argpartition(rough, top, axis=1)[:, top:]
+    score = exact(q, x, np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()).reshape(best.shape)
+    least = np.sort(score, axis=1)[:, -min(k, score.shape[1])]
+    reach = (slack / np.sqrt(x.shape[1])) * left
+    may = rough + np.linalg.norm(q, axis=1).astype(np.float32)[:, None] * reach >= least[:, None].astype(np.float32)
+    np.put_along_axis(may, best, True, axis=1)
+    who, what = np.nonzero(may)
+    score = exact(q, x, who, what)
+    order = np.lexsort((firsts[what], -score, who))
+    who, what, score = who[order], what[order], score[order]
+    keep = np.arange(len(who)) - np.searchsorted(who, who) < k
+    return who[keep], what[keep], score[keep]

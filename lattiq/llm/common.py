@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,9 +41,34 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What ``cut`` writes within is deleted at the end: for work whose result has been written by then."""
+    token = _SCRATCH.set([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.get():
+            remove(spark, path)
+        _SCRATCH.reset(token)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: no lineage, no recomputation."""
+    """Write ``df`` to the shared folder and read it back: no lineage, no recomputation.
+
+    The table stays until its ``scratch`` block ends, or, outside of one, as long as the folder.
+    """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    if (held := _SCRATCH.get()) is not None:
+        held.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -69,3 +69,12 @@ def test_nulls_repeats_and_clashing_columns(spark, tmp_path):
     assert sum(len((x or "").split()) for _, x in left if x) * 1.4 < sum(len(r.text.split()) for r in mixed.collect())
     assert {r.lang for r in mixed.where("doc_id = 201").collect()} <= {"en", "de"} and mixed.where("doc_id is null").count() >= 1
     assert ids.count() == mixed.count() and ids.where("n_ids <> size(ids)").isEmpty()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_run_leaves_only_the_last_table(spark):
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(folder))
+    rows = pipeline.run(spark, SF)
+    new = set(os.listdir(folder)) - before
+    assert rows.count() > 100 and len(new) == 1 and [x for x in os.listdir(f"{folder}/{new.pop()}") if not x.startswith(".")] == ["mixing"]

@@ -64,6 +64,23 @@ def test_many_repeated_windows(spark):
         assert r.n_repeat_words == len({i + k for i, t in enumerate(tri) if count[t] > 1 for k in range(3)})
 
 
+def test_null_and_named_unknown_languages_are_apart(spark):
+    rng = random.Random(3)
+    text = lambda k: " ".join(rng.choice(["abc", "def", "ghi", "jkl"] if k else ["A1", "B2", "C3", "D4"]) + rng.choice("abcdefgh") * rng.randrange(1, 4) + str(k * rng.randrange(9)) for _ in range(80))
+    d = spark.createDataFrame([(i, text(i % 2), None if i % 2 else "und") for i in range(60)], "doc_id long, text string, lang string")
+    assert quality_rules.quality_rules(d).where("js_chars > 0.15").isEmpty()  # each near its own reference
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(150_000)]
+    d = spark.createDataFrame([(1, " ".join(words), "en"), (2, " ".join(words), "en"), (3, "x" * 2_000_000, "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(d).collect()}
+    assert got[1].n_words == 150_000 and got[1].word_chars == sum(map(len, words)) and got[3].n_words == 1 and got[3].base_failed
+    found = {r.doc_id: r for r in simhash.simhash(d).collect()}
+    assert found[1].fp == found[2].fp and found[2].component_id == 1 and found[3].component_id == 3
+
+
 def test_mixing_targets_and_caps(docs, nothing):
     assert mixing.taken(mixing.mix(nothing)).count() == 0
     m = mixing.mix(docs, block=8)
