@@ -50,21 +50,19 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """What ``cut`` writes within is deleted at the end: for work whose result has been written by then."""
-    token = _SCRATCH.set([])
+def noted(paths: list[str]) -> Iterator[None]:
+    """The paths of what ``cut`` writes within are added to ``paths``, for the caller to remove."""
+    token = _SCRATCH.set(paths)
     try:
         yield
     finally:
-        for path in _SCRATCH.get():
-            remove(spark, path)
         _SCRATCH.reset(token)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: no lineage, no recomputation.
 
-    The table stays until its ``scratch`` block ends, or, outside of one, as long as the folder.
+    The table stays until one who has ``noted`` it removes it; else as long as the folder.
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     if (held := _SCRATCH.get()) is not None:

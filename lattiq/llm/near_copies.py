@@ -12,10 +12,10 @@ below 0.8 is linked.  A bucket's sets meet in one task, which counts what each t
 products, block by block, and gives a spanning forest of the close pairs: rows never outnumber the members, all
 pairs not linked by then are checked, and nothing is capped.
 
-A bucket of more than ``LIMIT`` sets or ``BYTES`` bytes never meets as a whole.  All its sets are compared with one of them, the
-pivot, in as many tasks as there need be.  Sets within 0.2 of the pivot (Jaccard distance is a metric) are linked through it; only those of
+A bucket of more than ``PIVOT`` sets or ``BYTES`` bytes does not meet as a whole.  All its sets are compared with one of them, the
+pivot (once, however many buckets they share), in as many tasks as there need be.  Sets within 0.2 of the pivot (Jaccard distance is a metric) are linked through it; only those of
 the others that are within 0.4 can be close to any of these, and meet them in blocks.  What is not
-linked to the pivot is a bucket of its own: after ``ROUNDS`` rounds it is cut into blocks that meet two by two.  So tasks are bounded, and a large group of
+linked to the pivot is a bucket of its own: after ``ROUNDS`` rounds, one of over ``LIMIT`` sets is cut into blocks that meet two by two.  So tasks are bounded, and a large group of
 near copies costs one comparison a set; the work that is left grows with the square of the sets that share a band but are no copies.
 
 Defined results: fewer than five words are one shingle; null, empty and blank texts are copies of each other; a very long
@@ -40,9 +40,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 RADIUS = 3
-LIMIT, BYTES, ROUNDS = 1024, 32 << 20, 3
-#: A large bucket is compared with its pivot by so many tasks.
-SALTS = 64
+PIVOT, LIMIT, BYTES, ROUNDS = 32, 1024, 32 << 20, 3
+#: A pivot meets so many sets in one go; more of them are dealt to several.
+MEETS = 256
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -170,12 +170,12 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (bucket, key, x, pivot, px): each set's similarity to its pivot."""
+    """From rows (key, x, pivot, px): each set's similarity to its pivot."""
     for batch in batches:
         for part in chunks(batch, "x"):
             near = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(p, np.uint64)) for x, p in zip(part.column("x").to_pylist(), part.column("px").to_pylist(), strict=True)]
             size = np.array([len(x) for x in part.column("x").to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("bucket"), part.column("key"), part.column("pivot"), pa.array(near, pa.float64()), pa.array(size)], ["bucket", "key", "pivot", "near", "bytes"])
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("pivot"), pa.array(near, pa.float64()), pa.array(size)], ["key", "pivot", "near", "bytes"])
 
 
 def _blocks(n: str, size: str):
@@ -192,7 +192,7 @@ def split_large(buckets: DataFrame, held: DataFrame) -> tuple[list[DataFrame], D
     links, done, todo = [], [], buckets
     for round_ in range(ROUNDS + 1):
         sized = todo.join(size, "key").groupBy("bucket").agg(F.min("key").alias("pivot"), F.count("*").alias("n"), F.sum("bytes").alias("total"))
-        large = cut(sized.where((F.col("n") > LIMIT) | (F.col("total") > BYTES)))
+        large = cut(sized.where((F.col("n") > (PIVOT if round_ < ROUNDS else LIMIT)) | (F.col("total") > BYTES)))
         if large.isEmpty():
             done.append(todo)
             break
@@ -203,11 +203,15 @@ def split_large(buckets: DataFrame, held: DataFrame) -> tuple[list[DataFrame], D
             m = m.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i <> j")
             done.append(m.select(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"), "key"))
             break
-        pivots = large.join(held, F.col("pivot") == F.col("key")).select("bucket", "pivot", F.col("x").alias("px"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        met = members.select("bucket", "key", _own(F.lit(SALTS)).alias("salt")).join(held, "key").hint("merge").join(pivots.hint("merge"), ["bucket", "salt"])
-        met = cut(met.select("bucket", "key", "x", "pivot", "px").mapInArrow(_compare, "bucket long, key long, pivot long, near double, bytes long"))
+        # Each pair of a set and a pivot is compared once.  A pivot of many sets is dealt to several tasks.
+        pairs = cut(members.select("key", "pivot").distinct())
+        pivots = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / MEETS).cast("int").alias("goes"))
+        px = pivots.join(held, F.col("pivot") == F.col("key")).select("pivot", F.col("x").alias("px"), F.explode(F.sequence(F.lit(0), F.col("goes") - 1)).alias("go"))
+        met = pairs.join(pivots, "pivot").select("key", "pivot", _own(F.col("goes")).alias("go")).join(held, "key").hint("merge").join(px.hint("merge"), ["pivot", "go"])
+        near = cut(met.select("key", "x", "pivot", "px").mapInArrow(_compare, "key long, pivot long, near double, bytes long"))
+        met = cut(members.select("bucket", "key", "pivot").join(near, ["key", "pivot"]))
         core, fringe = F.col("near") >= SIMILARITY, (F.col("near") < SIMILARITY) & (F.col("near") >= 2 * SIMILARITY - 1)
-        links.append(met.where(core & (F.col("key") != F.col("pivot"))).select(F.col("key").alias("a"), F.col("pivot").alias("b")))
+        links.append(near.where(core & (F.col("key") != F.col("pivot"))).select(F.col("key").alias("a"), F.col("pivot").alias("b")))
         parts = met.groupBy("bucket").agg(F.count_if(core).alias("nc"), F.sum(F.when(core, F.col("bytes"))).alias("bc"), F.count_if(fringe).alias("nf"), F.coalesce(F.sum(F.when(fringe, F.col("bytes"))), F.lit(0)).alias("bf"))
         parts = parts.where("nf > 0").select("bucket", _blocks("nc", "bc").alias("c"), _blocks("nf", "bf").alias("f"))
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

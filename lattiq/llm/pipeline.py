@@ -1,7 +1,8 @@
 """A corpus pipeline over ``documents``: quality, line dedup, near-dedup, mixing, token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
-and read again as the next stage's ``docs``.
+and read again as the next stage's ``docs``.  A stage's working tables stand in the shared folder while its result is
+written; they are removed when the same thread calls the next stage, so a result must be written before that.
 
 Defined results, for each stage: rows without an id are documents like others (line dedup takes them
 for one document, as its operator says; near-dedup lets them give way to copies that have an id); null and empty texts are
@@ -12,24 +13,48 @@ columns, whatever their names, do not pass the first stage; an empty table stays
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattiq.llm import line_dedup, mixing, near_copies, quality_classifier, sentencepiece
-from lattiq.llm.common import cut, remove, scratch, shared_folder, table
+from lattiq.llm.common import cut, noted, remove, shared_folder, table
+
+#: The working tables of the stage before.
+_LEFT: ContextVar[tuple[str, ...]] = ContextVar("left", default=())
+
+
+def working(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage; it removes the tables that the stage before has worked with, and remembers its own."""
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for path in _LEFT.get():
+            remove(spark, path)
+        own: list[str] = []
+        try:
+            with noted(own):
+                return stage(spark, docs, sf_dir)
+        finally:
+            _LEFT.set(tuple(own))
+
+    return run_stage
+
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@working
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
     return quality_classifier.keep_good(docs, model, host=docs["source"], path=docs["lang"]).select(*COLUMNS)
 
 
+@working
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one of them; a document left without a word goes."""
     index = line_dedup.insert(line_dedup.empty(spark), docs)
@@ -38,6 +63,7 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return d.where(~lost).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
+@working
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (5-word shingles, similarity 0.8 or more) one row stays: that with the smallest id.
 
@@ -58,12 +84,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return alone.unionByName(repeated).select(*COLUMNS)
 
 
+@working
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in proportion to their weights: a document for each time that parts of one are taken."""
     d = mixing.mixed_documents(mixing.mix(docs, carry=("lang",)))
     return d.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
+@working
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix's texts as token ids."""
     model = sentencepiece.read_model(sentencepiece.default_model())
@@ -89,8 +117,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     before = None
     for name, stage in STAGES[:-1]:
-        with scratch(spark):
-            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
         if before is not None:
             remove(spark, before)

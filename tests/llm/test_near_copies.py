@@ -68,6 +68,8 @@ def boilerplate(n=24, seed=5):
 @pytest.mark.parametrize("limit, rounds", [(1024, 3), (4, 2), (5, 0)])
 def test_large_buckets_are_searched_whole(spark, monkeypatch, limit, rounds):
     monkeypatch.setattr(near_copies, "LIMIT", limit)
+    monkeypatch.setattr(near_copies, "PIVOT", min(limit, 32))
+    monkeypatch.setattr(near_copies, "MEETS", 3)
     monkeypatch.setattr(near_copies, "ROUNDS", rounds)
     rows = family(n_groups=2, copies=20, seed=8) + boilerplate()
     got = near_copies.near_copies(spark.createDataFrame(rows, DOCS)).collect()
