@@ -316,7 +316,8 @@ def format_chats(conversations: DataFrame, template: str = CHATML, *, id_col: st
 
     ``loss`` holds the spans of a row's text that the loss counts (code points).
     A conversation's rows reach one task sorted and stream through it turn by turn, so
-    that a conversation that holds a third of all rows still needs no memory.
+    that a conversation that holds a third of all rows still needs no memory.  It is one task's work, since
+    its digests and its ``loop`` follow the turns in order; all other conversations go to other tasks.
 
     Defined results: null text and null role are empty; a null conv_id is one conversation; turns
     that tie are ordered by role, then text, and repeated rows stay; null turns come first; extra

@@ -368,6 +368,24 @@ def test_ann_against_brute_force(spark):
     assert ann.search(d.limit(0), d.limit(0)).count() == 0
 
 
+def test_shortlists_grow_in_a_group_of_near_copies(spark):
+    """Hundreds of rows closer to each other than codes can tell: their order is still the exact one."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[300:700] = x[300] + rng.normal(size=(400, 24)) * 2e-3
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, x[0].tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(d, d.where("vec_id % 20 = 0"), rerank=30, books=8, block_rows=500).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q, found in got.items():
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & found)
+    assert len(got) == 45 and hit / (20 * len(got)) > 0.98
+
+
 def test_lookup_tables_are_inner_products():
     rng = np.random.default_rng(2)
     x, q = rng.normal(size=(300, 12)).astype(np.float32), rng.normal(size=(7, 12)).astype(np.float32)
