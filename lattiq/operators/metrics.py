@@ -80,10 +80,12 @@ def assert_covered(metrics: DataFrame) -> None:
 
 def audit(metrics: DataFrame, expected: dict[tuple[str, int], tuple[int, float, float]]) -> None:
     """Scored cells exactly, WAPE in per cent to two places, median MASE to three."""
-    have = {(r.model, r.horizon): (r.scored_cells, round(r.wape * 100, 2), round(r.median_entity_mase, 3)) for r in metrics.where("wape is not null and median_entity_mase is not null").collect()}
-    bad = [f"{k}: {have.get(k)} instead of {v}" for k, v in expected.items() if have.get(k) != tuple(v)]
+    want = metrics.sparkSession.createDataFrame([(*k, int(c), float(w), float(m)) for k, (c, w, m) in expected.items()], "model string, horizon int, cells long, wape_percent double, mase double")
+    have = metrics.select("model", "horizon", F.col("scored_cells").alias("have_cells"), F.round(F.col("wape") * 100, 2).alias("have_wape"), F.round("median_entity_mase", 3).alias("have_mase"))
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in (("cells", "have_cells"), ("wape_percent", "have_wape"), ("mase", "have_mase"))]
+    bad = want.join(have, ["model", "horizon"], "left").where(~(same[0] & same[1] & same[2])).orderBy("model", "horizon").collect()  # a row for each model and horizon at most
     if bad:
-        raise PanelError("audit: " + "; ".join(bad))
+        raise PanelError("audit: " + "; ".join(f"{r.model}/h{r.horizon}: {(r.have_cells, r.have_wape, r.have_mase)} instead of {(r.cells, r.wape_percent, r.mase)}" for r in bad))
 
 
 def mase_by_model(metrics: DataFrame, models) -> DataFrame:

@@ -94,7 +94,7 @@ def target_summary(dev: DataFrame) -> DataFrame:
         F.min("period").alias("first_period"), F.max("period").alias("last_period"), F.count(v).alias("observed_periods"), F.count_if(v == 0).alias("zero_periods"),
         F.count_if(v > 0).alias("positive_periods"), F.coalesce(F.sum(v), F.lit(0.0)).alias("total"), F.avg(v).alias("mean"), F.median(v).alias("median"),
         F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
-    return d.withColumn("zero_share", F.try_divide("zero_periods", "observed_periods"))
+    return d.withColumn("zero_share", F.try_divide("zero_periods", "observed_periods")).orderBy(F.desc("total"), "entity")  # largest first
 
 
 def calendar_changes(dev: DataFrame, *, threshold: float = 3.5) -> DataFrame:
