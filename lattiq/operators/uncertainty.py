@@ -111,7 +111,7 @@ def pool_quantiles(counts: DataFrame, value: str, at: list[int], coverages, name
     ranks = F.explode(F.array(*[F.struct(F.lit(suffix(c)).alias("c"), conformal_rank(F.col("cells"), c).alias("rank")) for c in coverages])).alias("x")
     hit = sums.select("*", ranks).select("horizon", "i", "r", "before", "x.c", "x.rank").where("rank > before").join(
         sums.select("horizon", "i", "r", (F.col("before") + F.col("own")).alias("upto")), ["horizon", "i", "r"]).where("rank <= upto")
-    found = each.join(hit, ["horizon", "i", "r"])
+    found = each.join(F.broadcast(hit), ["horizon", "i", "r"])  # a row for each horizon, origin and coverage: the calendar bounds them
     upto = F.col("before") + F.sum("m").over(Window.partitionBy("horizon", "i", "r", "c").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     found = found.withColumn("upto", upto).where("upto >= rank").groupBy("horizon", "i").agg(*[F.min(F.when(F.col("c") == suffix(c), F.col(value))).alias(f"{name}_{suffix(c)}") for c in coverages])
     nth = F.get(F.array(*[F.lit(k) for k in at]), F.col("i")) if at else F.lit(None).cast("int")
@@ -123,8 +123,8 @@ def prequential_intervals(forecasts: DataFrame, *, warmup_origins: int = 8, cove
 
     For each horizon and origin the pool of earlier errors is summed up once and its
     order statistics are taken by counting: distinct values are put in order once, range by range, with a
-    running count for each later origin beside them.  Rows then look up their origin's quantiles; a row never
-    meets the errors before it one by one, and no row is copied for the origins after it.
+    array of counts, one for each later origin, beside them.  Rows then look up their origin's quantiles; a row never
+    meets the errors before it one by one, and what is unfolded by origin is summed where it stands and does not travel.
     """
     if warmup_origins < 1:
         raise PanelError("warm-up takes an origin at least")
