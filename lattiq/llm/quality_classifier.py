@@ -108,23 +108,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_per_class: int = 5000, id_col
                 buckets = [word_features((t or b"").decode("utf-8", "replace")).astype(np.int32).tobytes() for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("y"), pa.array([features(t) for t in texts], pa.list_(pa.float64())), pa.array(buckets, pa.binary())], ["y", "x", "f"])
 
-    rows = d.join(F.broadcast(chosen), "id").mapInArrow(run, "y int, x array<double>, f binary").toPandas()
-    if rows["y"].nunique() < 2:
+    rows = d.join(F.broadcast(chosen), "id").mapInArrow(run, "y int, x array<double>, f binary").toArrow()
+    y, found = rows.column("y").to_numpy().astype(float), rows.column("f").to_pylist()
+    if len(np.unique(y)) < 2:
         return Classifier(np.zeros(N_FEATURES), None, 0.0)
-    x, y = np.array(rows["x"].tolist()), rows["y"].to_numpy(float)
-    order = np.lexsort([rows["f"].map(hash_of).to_numpy(), *x.T, y])  # the same sums whatever order the rows came in
-    x, y, found = x[order], y[order], rows["f"].to_numpy()[order]
+    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), N_FEATURES)
+    order = np.lexsort([np.array([zlib.crc32(f) for f in found]), *x.T, y])  # the same sums whatever order the rows came in
+    x, y = x[order], y[order]
     weights, prior = fit_logistic(x, y), float(np.log(sizes[1] / sizes[0]))
-    buckets = Rows.of([np.frombuffer(f, np.int32).astype(np.int64) for f in found])
+    buckets = Rows.of([np.frombuffer(found[i], np.int32) for i in order])
     words = SparseLogistic().fit(buckets, np.zeros((len(y), 0)), y, offset=x @ weights)
     weights[0] += prior - float(np.log(y.mean() / (1 - y.mean())))
     return Classifier(weights, words, prior)
 
 
-def hash_of(x: bytes) -> int:
-    return zlib.crc32(x)
-
-
 def evidence(model: Classifier):
     """An Arrow function from texts to the log odds that the classifier adds to its prior."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -92,9 +92,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_per_class: int = 2500, id_col
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(buckets, pa.binary()), part.column("y"), part.column("junk")], ["id", "f", "y", "junk"])
 
     # The labelled ids are few and bounded, so they go to the texts.
-    found = d.join(F.broadcast(chosen), "id").mapInArrow(features, "id long, f binary, y int, junk int").toPandas().sort_values(["id", "f"])
-    rows, toxic = Rows.of([np.frombuffer(f, np.int32).astype(np.int64) for f in found["f"]]), found["y"].to_numpy(np.int64)
-    chain = fit_chain(rows, np.stack([found["junk"].to_numpy(np.int64), toxic, severe(rows, toxic)], 1))
+    found = d.join(F.broadcast(chosen), "id").mapInArrow(features, "id long, f binary, y int, junk int").toArrow()
+    buckets, ids = found.column("f").to_pylist(), found.column("id").to_pylist()
+    order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], buckets[i])), np.int64)
+    rows, toxic, junk = Rows.of([np.frombuffer(buckets[i], np.int32) for i in order]), *(found.column(c).to_numpy().astype(np.int64)[order] for c in ("y", "junk"))
+    chain = fit_chain(rows, np.stack([junk, toxic, severe(rows, toxic)], 1))
     odds = lambda a, b: np.log(max(a, 0.5) / max(b, 0.5))
     return Chain(chain.models, float(odds(sizes.get(1, 0), sizes.get(0, 0)) - odds(toxic.sum(), (1 - toxic).sum())))
 
