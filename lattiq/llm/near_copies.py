@@ -40,7 +40,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 RADIUS = 3
-PIVOT, LIMIT, BYTES, ROUNDS = 32, 1024, 32 << 20, 3
+PIVOT, LIMIT, BYTES, ROUNDS = 1024, 1024, 32 << 20, 3
 #: A pivot meets so many sets in one go; more of them are dealt to several.
 MEETS = 256
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
