@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm import ann, chat, language_id, line_dedup, quality_classifier, sentencepiece, toxicity
+from lattiq.llm import ann, byte_bpe, chat, language_id, line_dedup, quality_classifier, sentencepiece, toxicity
 from lattiq.llm.common import table
 from lattiq.llm.mixing import mix, taken
 from lattiq.llm.quality_rules import quality_rules
@@ -70,6 +70,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str, rank_file: str | None = None) -> DataFrame:
+    """Encodes all documents, decodes the ids, and gives digests of both."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    how = (byte_bpe.read_ranks(rank_file or byte_bpe.default_ranks()), byte_bpe.default_pattern())
+    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, *how), *how))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -82,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ann_search": op8_ann_search,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_language_id": op10_language_id,
+        "op11_byte_bpe": op11_byte_bpe,
     }
 
 
