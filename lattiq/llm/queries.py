@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from lattiq.llm import ann, byte_bpe, chat, language_id, line_dedup, quality_classifier, sentencepiece, toxicity
 from lattiq.llm.common import table
+from lattiq.llm.filter_audit import audit
 from lattiq.llm.mixing import mix, taken
 from lattiq.llm.quality_rules import quality_rules
 from lattiq.llm.simhash import simhash
-from lattiq.llm.sql import chat_sql, line_dedup_sql, mixing_sql, quality_rules_sql
+from lattiq.llm.sql import chat_sql, filter_audit_sql, line_dedup_sql, mixing_sql, quality_rules_sql
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:
@@ -77,6 +78,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str, rank_file: str | None = None
     return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, *how), *how))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_classifier": op9_quality_classifier,
         "op10_language_id": op10_language_id,
         "op11_byte_bpe": op11_byte_bpe,
+        "op12_filter_audit": op12_filter_audit,
     }
 
 
@@ -99,4 +105,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_chat_format": chat_sql(),
         "op4_quality_rules": quality_rules_sql(),
         "op6_line_dedup": line_dedup_sql(),
+        "op12_filter_audit": filter_audit_sql(),
     }

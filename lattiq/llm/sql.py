@@ -126,3 +126,27 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
     coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
     sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
     sum(24 + length({name}) + length({esc}))::BIGINT AS formatted_chars FROM c GROUP BY conv_id"""
+
+
+def filter_audit_sql(min_words: int = 50, distinct: int = 65, upper: int = 5) -> str:
+    """Every order is gone through document mask by document mask; no transform, no closed form."""
+    letters = "(VALUES ('A'), ('B'), ('C'), ('D'), ('E'))"
+    place = lambda x: f"CASE WHEN contains(fails, '{x}') THEN strpos(filter_order, '{x}') ELSE 6 END"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD_RE}') AS ws FROM documents),
+f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS first_id, part, len(ws) < {min_words} AS a, 100 * len(list_distinct(ws)) < {distinct} * len(ws) AS b,
+    100 * len(regexp_extract_all(t, '[A-Z]')) > {upper} * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d FROM d),
+l AS (SELECT doc_id, max((coalesce(quality, 0) = 1)::INT) AS good, max((coalesce(toxic, 0) = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+m AS (SELECT part, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END
+    || CASE WHEN coalesce(f.doc_id > first_id, false) THEN 'E' ELSE '' END AS fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM f LEFT JOIN l USING (doc_id)),
+n AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, fails),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM {letters} a(x), {letters} b(x), {letters} c(x), {letters} d(x), {letters} e(x)
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+w AS (SELECT n.*, filter_order, least({', '.join(map(place, 'ABCDE'))}) AS removed_at FROM n, o),
+s AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS filter,
+    sum(n) FILTER (WHERE removed_at > step) AS kept, sum(n) FILTER (WHERE removed_at = step) AS removed,
+    sum(n) FILTER (WHERE removed_at < step AND contains(fails, substr(filter_order, step, 1))) AS redundant, sum(n) FILTER (WHERE fails = substr(filter_order, step, 1)) AS unique_fails,
+    sum(good) FILTER (WHERE removed_at = step) AS good_lost, sum(toxic) FILTER (WHERE removed_at = step) AS toxic_lost
+    FROM w, (SELECT unnest(range(1, 6))::INT AS step) GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, {', '.join(f'coalesce({c}, 0)::BIGINT AS {c}' for c in ('kept', 'removed', 'redundant', 'unique_fails', 'good_lost', 'toxic_lost'))},
+    coalesce(sum(removed) OVER (PARTITION BY part, filter), 0)::BIGINT AS shapley FROM s"""
