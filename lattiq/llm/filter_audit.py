@@ -25,6 +25,7 @@ from __future__ import annotations
 import itertools
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,22 +73,32 @@ def labelled(rows: DataFrame, labels: DataFrame, *, id_col: str = "doc_id") -> D
     return both.unionByName(rows.where("doc_id is null").withColumns({"good": F.lit(0), "toxic": F.lit(0)}))
 
 
+def _over_sets(value: Callable[[Column], Column]) -> Column:
+    """The array of ``value`` by set."""
+    return F.transform(F.array(*map(F.lit, SETS)), value)
+
+
+def _total(value: Callable[[Column], Column]) -> Column:
+    """The sum of ``value`` over all sets."""
+    return F.aggregate(F.array(*map(F.lit, SETS)), F.lit(0).cast("long"), lambda acc, s: acc + value(s))
+
+
+def _sign(a: Column, b: Column) -> Column:
+    return 1 - 2 * (F.bit_count(a.bitwiseAND(b)) % 2)
+
+
 def parity_sums(rows: DataFrame) -> DataFrame:
     """(part, good, toxic, sums): 32 signed sums for each part and label."""
-    sign = lambda s: 1 - 2 * (F.bit_count(F.col("mask").bitwiseAND(F.lit(s))) % 2)
-    sums = rows.groupBy("part", "good", "toxic").agg(*[F.sum(sign(s)).cast("long").alias(f"s{s}") for s in SETS])
+    sums = rows.groupBy("part", "good", "toxic").agg(*[F.sum(_sign(F.col("mask"), F.lit(s))).cast("long").alias(f"s{s}") for s in SETS])
     return sums.select("part", "good", "toxic", F.array(*[f"s{s}" for s in SETS]).alias("sums"))
 
 
 def cells(sums: DataFrame) -> DataFrame:
     """(part, all, good, toxic): for each part, arrays of the number of documents by mask."""
-    def inverse(m: int) -> Column:
-        terms = [F.get("sums", F.lit(s)) * (1 - 2 * ((m & s).bit_count() % 2)) for s in SETS]
-        return F.shiftright(sum(terms[1:], terms[0]), len(FILTERS))  # exact: the sum is a multiple of 32
-
-    by = sums.select("part", "good", "toxic", F.array(*[inverse(m) for m in SETS]).alias("n"))
-    total = lambda weight: F.array(*[F.sum(F.get("n", F.lit(m)) * weight).cast("long") for m in SETS])
-    return by.groupBy("part").agg(total(F.lit(1)).alias("all"), total(F.col("good")).alias("good"), total(F.col("toxic")).alias("toxic"))
+    n = _over_sets(lambda m: F.shiftright(_total(lambda s: F.get("sums", s) * _sign(m, s)), len(FILTERS)))  # exact: the total is a multiple of 32
+    by = sums.select("part", F.struct("good", "toxic", n.alias("n")).alias("label")).groupBy("part").agg(F.collect_list("label").alias("labels"))  # four at most
+    over = lambda weight: _over_sets(lambda m: F.aggregate("labels", F.lit(0).cast("long"), lambda acc, x: acc + F.get(x["n"], m) * weight(x)))
+    return by.select("part", over(lambda x: F.lit(1)).alias("all"), over(lambda x: x["good"]).alias("good"), over(lambda x: x["toxic"]).alias("toxic"))
 
 
 def orders() -> list[tuple[str, int, int, int, int]]:
@@ -102,20 +113,18 @@ def orders() -> list[tuple[str, int, int, int, int]]:
 def audit(docs: DataFrame, labels: DataFrame, **cols: str) -> DataFrame:
     """One row for each part, order and step, with counts; see the module's text."""
     found = cells(parity_sums(labelled(masks(docs, **cols), labels)))
-    share = math.factorial(len(FILTERS))
-    in_cells = lambda a, test: sum((F.get(a, F.lit(m)) for m in SETS if test(m)), F.lit(0).cast("long"))
-    passing = lambda a: F.array(*[in_cells(a, lambda m, s=s: not m & s) for s in SETS])
-    shapley = F.array(*[
-        sum((F.get("all", F.lit(m)) * (share // m.bit_count()) for m in SETS if m >> f & 1), F.lit(0).cast("long")) for f in range(len(FILTERS))
-    ])
-    alone = F.array(*[F.get("all", F.lit(1 << f)) for f in range(len(FILTERS))])
-    failing = F.array(*[in_cells("all", lambda m, f=f: m >> f & 1) for f in range(len(FILTERS))])
-    found = found.select("part", *[passing(k).alias(k) for k in ("all", "good", "toxic")], shapley.alias("shapleys"), alone.alias("alone"), failing.alias("failing"))
+    each = F.array(*[F.lit(1 << f) for f in range(len(FILTERS))])
+    cell = lambda m, when, a="all": F.when(when, F.get(a, m)).otherwise(0)
+    passing = lambda a: _over_sets(lambda s: _total(lambda m: cell(m, m.bitwiseAND(s) == 0, a)))
+    shapley = F.transform(each, lambda f: _total(lambda m: cell(m, m.bitwiseAND(f) > 0) * (F.lit(math.factorial(len(FILTERS))) / F.greatest(F.bit_count(m), F.lit(1))).cast("int")))
+    failing = F.transform(each, lambda f: _total(lambda m: cell(m, m.bitwiseAND(f) > 0)))
+    alone = F.transform(each, lambda f: F.get("all", f))
+    found = found.select("part", *[passing(k).alias(f"{k}_passing") for k in ("all", "good", "toxic")], shapley.alias("shapleys"), failing.alias("failing"), alone.alias("alone"))
     fields = ("filter_order", "step", "f", "before", "upto")
     table = F.lit(json.dumps([dict(zip(fields, o, strict=True)) for o in orders()]))
     d = found.select("*", F.inline(F.from_json(table, "array<struct<filter_order string, step int, f int, before int, upto int>>")))
-    lost = lambda a: F.get(a, "before") - F.get(a, "upto")
+    lost = lambda a: F.get(f"{a}_passing", "before") - F.get(f"{a}_passing", "upto")
     return d.select(
-        "part", "filter_order", "step", F.get("all", "upto").alias("kept"), lost("all").alias("removed"), (F.get("failing", "f") - lost("all")).alias("redundant"),
+        "part", "filter_order", "step", F.get("all_passing", "upto").alias("kept"), lost("all").alias("removed"), (F.get("failing", "f") - lost("all")).alias("redundant"),
         F.get("alone", "f").alias("unique_fails"), lost("good").alias("good_lost"), lost("toxic").alias("toxic_lost"), F.get("shapleys", "f").alias("shapley"),
     )
