@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm import ann, byte_bpe, chat, language_id, line_dedup, quality_classifier, sentencepiece, toxicity
+from lattiq.llm import ann, byte_bpe, chat, language_id, lexical, line_dedup, quality_classifier, sentencepiece, toxicity
 from lattiq.llm.common import table
 from lattiq.llm.filter_audit import audit
 from lattiq.llm.mixing import mix, taken
 from lattiq.llm.quality_rules import quality_rules
 from lattiq.llm.simhash import simhash
-from lattiq.llm.sql import chat_sql, filter_audit_sql, line_dedup_sql, mixing_sql, quality_rules_sql
+from lattiq.llm.sql import chat_sql, filter_audit_sql, lexical_sql, line_dedup_sql, mixing_sql, quality_rules_sql
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:
@@ -82,6 +82,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -96,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_language_id": op10_language_id,
         "op11_byte_bpe": op11_byte_bpe,
         "op12_filter_audit": op12_filter_audit,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
@@ -106,4 +111,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": quality_rules_sql(),
         "op6_line_dedup": line_dedup_sql(),
         "op12_filter_audit": filter_audit_sql(),
+        "op13_lexical_search": lexical_sql(),
     }

@@ -150,3 +150,21 @@ s AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS filter,
     FROM w, (SELECT unnest(range(1, 6))::INT AS step) GROUP BY part, filter_order, step)
 SELECT part, filter_order, step, {', '.join(f'coalesce({c}, 0)::BIGINT AS {c}' for c in ('kept', 'removed', 'redundant', 'unique_fails', 'good_lost', 'toxic_lost'))},
     coalesce(sum(removed) OVER (PARTITION BY part, filter), 0)::BIGINT AS shapley FROM s"""
+
+
+def lexical_sql(k: int = 20) -> str:
+    """Every document is scored for every item."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    terms = lambda t: rf"regexp_extract_all(translate(coalesce({t}, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {terms('text')} AS ts FROM documents),
+q AS (SELECT row_number() OVER () AS qid, item_id, {terms('text')} AS ts FROM benchmark),
+qt AS (SELECT qid, item_id, term, count(*) AS times FROM (SELECT qid, item_id, unnest(ts) AS term FROM q) GROUP BY qid, item_id, term),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0),
+p AS (SELECT rid, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT rid, doc_id, len(ts)::BIGINT AS n, unnest(ts) AS term FROM d)
+    WHERE term IN (SELECT term FROM qt) GROUP BY rid, doc_id, n, term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+x AS (SELECT rid, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms))) AS worth FROM p JOIN w USING (term), s),
+r AS (SELECT qid, item_id, rid, doc_id, sum(worth * times)::BIGINT AS score FROM x JOIN qt USING (term) GROUP BY qid, item_id, rid, doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM r WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM o WHERE rank <= {k}"""
