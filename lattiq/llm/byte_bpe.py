@@ -30,6 +30,7 @@ import base64
 import functools
 import itertools
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,6 +46,7 @@ PORTION = 1 << 20
 REMEMBERED = 1 << 19
 LONG = 64
 NEVER = 1 << 40
+PAIR_BITS = 24
 #: Letters and numbers (code points) that the pattern's library, which knows Unicode 16, does not take for such, and that ``regex`` does.
 NEWER_LETTERS = """558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB
 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81
@@ -80,17 +82,29 @@ class Pieces:
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        #: Every prefix of a token: its rank, or None where it is no token.
-        self.reach: dict[bytes, int | None] = {t[:n]: None for t in ranks for n in range(1, len(t))}
-        self.reach.update(ranks)
+        #: The tokens as a tree: byte -> (the token that ends here or -1, the tree of what can follow or None).
+        self.tree: dict[int, tuple[int, dict | None]] = {}
+        for t, rank in ranks.items():
+            self._plant(t, rank)
         self.sides: dict[int, tuple[list, list] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        #: What ``fits`` found, by a << PAIR_BITS | b.
+        self.pairs: dict[int, bool] = {}
         #: Bytes searched from so far.
         self.steps = 0
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks single bytes: {missing[:5]}")
 
+    def _plant(self, token: bytes, rank: int) -> None:
+        node = self.tree
+        for b in token[:-1]:
+            own, below = node.get(b, (-1, None))
+            if below is None:
+                below = {}
+                node[b] = (own, below)
+            node = below
+        node[token[-1]] = (rank, node.get(token[-1], (-1, None))[1])
+
     def history(self, token: int) -> tuple[list, list] | None:
         """How merging the token's own bytes goes, seen from its left end and from its right end.
 
@@ -119,9 +133,6 @@ class Pieces:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether merging the bytes of a and b ends in [a, b]: their own merges run in order of rank, and none across the seam comes first."""
-        known = self.pairs.get((a, b))
-        if known is not None:
-            return known
         one, two = self.history(a), self.history(b)
         ok = one is not None and two is not None
         i = j = 0
@@ -138,7 +149,7 @@ class Pieces:
                 j += 1
         if len(self.pairs) >= REMEMBERED:
             self.pairs.clear()
-        self.pairs[(a, b)] = ok
+        self.pairs[a << PAIR_BITS | b] = ok
         return ok
 
     def extend(self, piece: bytes, last: list[int], old: np.ndarray | None = None, shift: int = 0, after: int = 0) -> list[int]:
@@ -146,19 +157,27 @@ class Pieces:
 
         ``old`` holds the entries of the old piece that the last byte was in; byte i was its byte i - ``shift`` from byte ``after`` on.
         """
-        n, had = len(piece), len(last)
+        n, had, tree, pairs = len(piece), len(last), self.tree, self.pairs
         if had >= n:
             return last[:n]
         last = last + [-1] * (n - had)
         same = 0
         for s in range(max(0, had - self.longest), n):
-            before = last[s - 1] if s else -1
-            for e in range(s + 1, n + 1):
-                token = self.reach.get(piece[s:e], NEVER)
-                if token == NEVER:
+            before = last[s - 1] << PAIR_BITS if s else -1
+            node = tree
+            for e in range(s, n):
+                hit = node.get(piece[e])
+                if hit is None:
+                    break
+                token, node = hit
+                if token >= 0 and e >= had and last[e] < 0:
+                    ok = pairs.get(before | token) if s else self.alone(token)
+                    if ok is None:
+                        ok = self.fits(last[s - 1], token)
+                    if ok:
+                        last[e] = token
+                if node is None:
                     break
-                if token is not None and e > had and last[e - 1] < 0 and (self.fits(before, token) if s else self.alone(token)):
-                    last[e - 1] = token
             if old is not None and s >= had:
                 same = same + 1 if s >= after and 0 <= s - shift < len(old) and old[s - shift] == last[s] else 0
                 if same > self.longest:
@@ -187,8 +206,7 @@ class Tokenizer:
     """A vocabulary with a pattern."""
 
     def __init__(self, ranks: bytes, pattern: str):
-        pairs = (line.split() for line in ranks.splitlines() if line)
-        self.pieces = Pieces({base64.b64decode(t): int(r) for t, r in pairs})
+        self.pieces = Pieces(vocabulary(ranks))
         # White space is what Unicode calls so, as in the library's regular expressions.
         pattern = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.plain = regex.compile(pattern, regex.V1)
@@ -197,9 +215,7 @@ class Tokenizer:
             pattern = pattern.replace(rf"\p{{{kind}}}", rf"[\p{{{kind}}}--[{ranges}]]")
         self.exact = regex.compile(pattern, regex.V1)
         self.late = re.compile(f"[{FIRST_NEWER}-\U0010ffff]")
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.top = max(self.pieces.bytes_of, default=0)
-        self.table = [self.pieces.bytes_of.get(i, b"") for i in range(self.top + 1)]
+        self._forget()
 
     def pattern_for(self, text: str) -> regex.Pattern:
         return self.exact if self.late.search(text) else self.plain
@@ -223,28 +239,61 @@ class Tokenizer:
                 at = len(text)
             yield found
 
-    def _new(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.pieces.encode(piece.encode()))
+    def _new(self, piece: str) -> int:
+        """Encode a piece into the pool; gives its number there."""
+        self.pool.extend(self.pieces.encode(piece.encode()))
+        self.begins.append(len(self.pool))
+        number = len(self.begins) - 2
         if len(piece) <= LONG:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[piece] = ids
-        return ids
+            self.known[piece] = number
+        return number
 
     def encode(self, text: str) -> np.ndarray:
         out = []
         for found in self.split(text):
-            ids = list(map(self.known.get, found))
-            if None in ids:
-                ids = [x or self._new(p) for x, p in zip(ids, found, strict=True)]
-            out.append(np.fromiter(itertools.chain.from_iterable(ids), np.int32))
+            if len(self.begins) > REMEMBERED or len(self.pool) > 4 * REMEMBERED:
+                self._forget()
+            at = np.fromiter(map(self.known.get, found, itertools.repeat(-1)), np.int64, len(found))
+            for i in np.flatnonzero(at < 0).tolist():
+                at[i] = self.known.get(found[i], -1)
+                if at[i] < 0:
+                    at[i] = self._new(found[i])
+            begins = np.frombuffer(self.begins, np.int64)
+            out.append(gathered(np.frombuffer(self.pool, np.int32), begins[at], begins[at + 1] - begins[at]))
+            del begins  # the pool grows again
         return out[0] if len(out) == 1 else np.concatenate([np.zeros(0, np.int32), *out])
 
-    def decode(self, ids: list[int]) -> bytes:
-        """Ids outside the vocabulary are an error."""
-        if ids and (min(ids) < 0 or max(ids) > self.top):
-            raise ValueError("an id is outside the vocabulary")
-        return b"".join(map(self.table.__getitem__, ids))
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.begins = array("i"), array("q", [0])
+
+
+def gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``pool`` end to end."""
+    ends = np.cumsum(sizes)
+    return pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+
+
+def vocabulary(ranks: bytes) -> dict[bytes, int]:
+    """A rank file's tokens."""
+    return {base64.b64decode(t): int(r) for t, r in (line.split() for line in ranks.splitlines() if line)}
+
+
+@functools.lru_cache(maxsize=2)
+def tokens(ranks: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens' bytes end to end, where each rank's begin and how many they are."""
+    by = {r: t for t, r in vocabulary(ranks).items()}
+    own = [by.get(i, b"") for i in range(max(by, default=-1) + 1)]
+    sizes = np.array([len(t) for t in own], np.int64)
+    return np.frombuffer(b"".join(own), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def decode_ids(table: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray) -> np.ndarray:
+    """The bytes of ids; ids outside the vocabulary are an error."""
+    pool, starts, sizes = table
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(sizes)):
+        raise ValueError("an id is outside the vocabulary")
+    return gathered(pool, starts[ids], sizes[ids])
 
 
 @functools.lru_cache(maxsize=2)
@@ -342,20 +391,26 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, *, id_col: str = "doc_id
     return _through(d, ranks, pattern, "t", lambda tok, part: [_ids_of([tok.encode(_string(t)) for t in part.column("t").to_pylist()])], {"ids": "array<int>"})
 
 
-def decode(encoded: DataFrame, ranks: bytes, pattern: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, ranks: bytes, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, ids, bytes) for every row of ``encoded``."""
     d = encoded.select(column(encoded, id_col).alias("doc_id"), column(encoded, ids_col).cast("array<int>").alias("ids"))
     held = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(held.value, pattern)
+        table = tokens(held.value)
         for batch in batches:
-            at, upto = 0, np.cumsum(batch.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            n = batch.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at, upto = 0, np.cumsum(n)
             while at < batch.num_rows:
                 stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PORTION)))
                 part = batch.slice(at, stop - at)
-                found = [None if x is None else tok.decode(x) for x in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(found, pa.binary())], ["doc_id", "ids", "bytes"])
+                ids = part.column("ids")
+                flat = ids.flatten().to_numpy()
+                found = decode_ids(table, flat)
+                sizes = np.r_[0, np.cumsum(table[2][flat])][np.r_[0, np.cumsum(n[at:stop])]].astype(np.int32)
+                known = pa.array(ids.is_valid().to_numpy(zero_copy_only=False))
+                text = pa.Array.from_buffers(pa.binary(), len(ids), [known.buffers()[1], pa.py_buffer(sizes), pa.py_buffer(found)])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, text], ["doc_id", "ids", "bytes"])
                 at = stop
 
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>, bytes binary")

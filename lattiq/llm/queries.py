@@ -74,8 +74,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_byte_bpe(spark: SparkSession, sf_dir: str, rank_file: str | None = None) -> DataFrame:
     """Encodes all documents, decodes the ids, and gives digests of both."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    how = (byte_bpe.read_ranks(rank_file or byte_bpe.default_ranks()), byte_bpe.default_pattern())
-    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, *how), *how))
+    ranks = byte_bpe.read_ranks(rank_file or byte_bpe.default_ranks())
+    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, ranks, byte_bpe.default_pattern()), ranks))
 
 
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
