@@ -39,6 +39,7 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <
 BLOCK_DOCS = 1 << 16
 BLOCK_BYTES = 32 << 20
 FAN_BITS = 4
+WIDTH = 64
 #: A query chunk that is sent to all tasks has about so many terms; an index limited to the queries' terms has at most so many.
 CHUNK_TERMS = 500_000
 NO_ID = 1 << 63
@@ -49,7 +50,7 @@ def terms_of(text: bytes | None) -> list[bytes]:
 
 
 _POSTINGS = "block long, n_docs long, n_terms long, ids binary, no_id int, sizes binary, terms array<binary>, dfs array<int>, at binary, tf binary"
-_TREES = "ids binary, no_id int, terms array<binary>, at binary, sat binary, nodes array<binary>, tops array<binary>, firsts array<binary>"
+_TREES = "ids binary, no_id int, terms array<binary>, levels int, node binary, top binary, first binary"
 
 
 def _block(number: int, docs: list[tuple[int | None, int, np.ndarray]], names: list[bytes]) -> dict:
@@ -67,7 +68,7 @@ def _block(number: int, docs: list[tuple[int | None, int, np.ndarray]], names: l
     }
 
 
-def postings(docs: DataFrame, *, terms: list[bytes] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def postings(docs: DataFrame, *, terms: list[bytes] | None = None, block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index of all rows that have a term, a row a block; with ``terms``, these terms' postings alone (lengths count all)."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(terms)
@@ -90,7 +91,7 @@ def postings(docs: DataFrame, *, terms: list[bytes] | None = None, id_col: str =
                 words = terms_of(text)
                 if not words:
                     continue
-                if block and (len(block) >= BLOCK_DOCS or size + len(text) > BLOCK_BYTES):
+                if block and (len(block) >= block_docs or size + len(text) > block_bytes):
                     yield close()
                     number, block, size = number + 1, [], 0
                     table.clear()
@@ -134,18 +135,22 @@ def with_trees(index: DataFrame, n: int, size: int) -> DataFrame:
                 m = np.array([100 - 25 + 25 * int(x) * n // size for x in np.frombuffer(row["sizes"], np.int64)], np.int64)
                 sat = (1_000_000_000 * tf) // (1000 * tf + 12 * m[at])
                 node, top, term = at, sat, np.repeat(np.arange(len(row["terms"])), row["dfs"])
-                nodes, tops, firsts = [], [], []
+                nodes, tops, firsts, begin, levels = [node], [top], [], 0, 0
                 over = max(len(m) - 1, 0)
-                while not nodes or over:
+                while not levels or over:
                     over >>= FAN_BITS
                     node = node >> FAN_BITS
-                    first = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (term[1:] != term[:-1])])[: len(node)]
+                    first = np.flatnonzero((node != np.r_[-1, node[:-1]]) | (term != np.r_[-1, term[:-1]]))
                     top = np.maximum.reduceat(top, first) if len(first) else top
-                    firsts.append(np.r_[first, len(node)].astype(np.int32).tobytes())
+                    firsts.append(begin + first)
+                    begin += len(node)
                     node, term = node[first], term[first]
-                    nodes.append(node.astype(np.int32).tobytes())
-                    tops.append(top.astype(np.int64).tobytes())
-                out = {k: row[k] for k in ("ids", "no_id", "terms", "at")} | {"sat": sat.tobytes(), "nodes": nodes, "tops": tops, "firsts": firsts}
+                    nodes.append(node)
+                    tops.append(top)
+                    levels += 1
+                firsts.append(np.array([begin]))
+                out = {k: row[k] for k in ("ids", "no_id", "terms")} | {"levels": levels}
+                out |= {k: np.concatenate(x).astype(np.int32).tobytes() for k, x in (("node", nodes), ("top", tops), ("first", firsts))}
                 yield pa.RecordBatch.from_pylist([out], schema=schema)
 
     return index.select("ids", "no_id", "sizes", "terms", "dfs", "at", "tf").mapInArrow(run, _TREES)
@@ -153,59 +158,76 @@ def with_trees(index: DataFrame, n: int, size: int) -> DataFrame:
 
 @dataclass
 class Block:
-    """One block of the index, ready to be searched."""
+    """One block of the index, ready to be searched.
+
+    ``node`` and ``top`` hold all postings (a document's place, its saturation), then the entries of each level up to the roots, one a term.
+    Entry i's children begin at ``first[i - postings]`` and end where the next entry's begin.
+    """
 
     ids: np.ndarray
     no_id: int
-    at: np.ndarray
-    sat: np.ndarray
-    nodes: list[np.ndarray]
-    tops: list[np.ndarray]
-    firsts: list[np.ndarray]
+    levels: int
+    node: np.ndarray
+    top: np.ndarray
+    first: np.ndarray
+    roots: int
 
     @classmethod
     def read(cls, row: dict) -> Block:
-        many = lambda k, kind: [np.frombuffer(x, kind) for x in row[k]]
-        return cls(np.frombuffer(row["ids"], np.int64), row["no_id"], np.frombuffer(row["at"], np.int32), np.frombuffer(row["sat"], np.int64),
-                   many("nodes", np.int32), many("tops", np.int64), many("firsts", np.int32))
+        node, top, first = (np.frombuffer(row[k], np.int32).astype(np.int64) for k in ("node", "top", "first"))
+        return cls(np.frombuffer(row["ids"], np.int64), row["no_id"], row["levels"], node, top, first, len(node) - len(row["terms"]))
 
     def order_of(self, place: int) -> int:
         """What documents of equal scores are ordered by."""
         return int(self.ids[place]) if place < len(self.ids) - self.no_id else NO_ID
 
     def search(self, terms: np.ndarray, weights: np.ndarray, best: list[tuple[int, int]], k: int) -> int:
-        """Put the block's documents among the ``best`` k, a heap of (score, -order), worst first; gives the number of ranges opened."""
-        level = len(self.nodes) - 1
-        fan = (1 << FAN_BITS) - 1
-        queue = [(-int((weights * self.tops[level][terms]).sum()), self.order_of(0), 0, level, terms, weights)]  # at the root an entry is a term
+        """Put the block's documents among the ``best`` k, a heap of (score, -order), worst first; gives the number of ranges opened.
+
+        The ranges at the head of the queue are opened some at a time: one at first, ``WIDTH`` at most.
+        """
+        fan, postings = 1 << FAN_BITS, len(self.node) - (len(self.first) - 1)
+        entries = terms + self.roots
+        queue = [(-int((weights * self.top[entries]).sum()), self.order_of(0), 0, self.levels - 1, entries, weights)]
         opened = 0
         while queue:
-            bound, least, node, level, entries, weights = heapq.heappop(queue)
-            if len(best) == k and (-bound, -least) <= best[0]:
+            heads = []
+            while queue and len(heads) < min(WIDTH, opened + 1) and (len(best) < k or (-queue[0][0], -queue[0][1]) > best[0]):
+                heads.append(heapq.heappop(queue))
+            if not heads:
                 break
-            opened += 1
-            first = self.firsts[level][entries]
-            n = self.firsts[level][entries + 1] - first
+            opened += len(heads)
+            entries, weights = np.concatenate([h[4] for h in heads]), np.concatenate([h[5] for h in heads])
+            first = self.first[entries - postings]
+            n = self.first[entries - postings + 1] - first
             ends = np.cumsum(n)
             below = np.arange(ends[-1]) + np.repeat(first - (ends - n), n)
             weight = np.repeat(weights, n)
-            places = self.nodes[level - 1][below] if level else self.at[below]
-            slots = places & fan
-            sums = np.zeros(fan + 1, np.int64)
-            np.add.at(sums, slots, weight * (self.tops[level - 1] if level else self.sat)[below])
-            for slot in np.flatnonzero(sums >= (best[0][0] if len(best) == k else 1)).tolist():
-                child, score = (node << FAN_BITS) | slot, int(sums[slot])
-                if level == 0:
-                    found = (score, -self.order_of(child))
-                    if len(best) < k:
-                        heapq.heappush(best, found)
-                    elif found > best[0]:
-                        heapq.heapreplace(best, found)
-                else:
-                    least = self.order_of(child << (FAN_BITS * level))
-                    if len(best) < k or (score, -least) > best[0]:
-                        mine = slots == slot
-                        heapq.heappush(queue, (-score, least, child, level - 1, below[mine], weight[mine]))
+            slots = np.repeat(np.repeat(np.arange(len(heads)) * fan, [len(h[4]) for h in heads]), n) + (self.node[below] & (fan - 1))
+            sums = np.zeros(len(heads) * fan, np.int64)
+            np.add.at(sums, slots, weight * self.top[below])
+            passing = sums >= (best[0][0] if len(best) == k else 1)
+            leaf = np.repeat([h[3] == 0 for h in heads], fan)
+            for slot in np.flatnonzero(passing & leaf).tolist():
+                found = (int(sums[slot]), -self.order_of((heads[slot >> FAN_BITS][2] << FAN_BITS) | (slot & (fan - 1))))
+                if len(best) < k:
+                    heapq.heappush(best, found)
+                elif found > best[0]:
+                    heapq.heapreplace(best, found)
+            inner = passing & ~leaf
+            if not inner.any():
+                continue
+            mine = np.flatnonzero(inner[slots])
+            mine = mine[np.argsort(slots[mine], kind="stable")]
+            own = slots[mine]
+            starts = np.flatnonzero(own != np.r_[-1, own[:-1]])
+            below, weight = below[mine], weight[mine]
+            for a, b, slot in zip(starts.tolist(), [*starts[1:].tolist(), len(own)], own[starts].tolist(), strict=True):
+                _, _, node, level, _, _ = heads[slot >> FAN_BITS]
+                child, bound = (node << FAN_BITS) | (slot & (fan - 1)), int(sums[slot])
+                least = self.order_of(child << (FAN_BITS * level))
+                if len(best) < k or (bound, -least) > best[0]:
+                    heapq.heappush(queue, (-bound, least, child, level - 1, below[a:b], weight[a:b]))
         return opened
 
 
@@ -245,7 +267,7 @@ def best_documents(trees: DataFrame, terms: DataFrame, *, k: int) -> DataFrame:
         names, number = _numbered(q.column("term").to_pylist())
         rows = q.column("query").to_numpy()
         starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, np.int64)
-        ends, weights, items = np.r_[starts[1:], len(rows)], q.column("weight").to_numpy(), q.column("item_id")
+        ends, weights, items = np.r_[starts[1:], len(rows)][: len(starts)], q.column("weight").to_numpy(), q.column("item_id")
         best: list[list[tuple[int, int]]] = [[] for _ in starts]
         for batch in batches:
             for row in batch.to_pylist():
@@ -272,7 +294,7 @@ def _numbered(terms: list[bytes]) -> tuple[dict[bytes, int], np.ndarray]:
     return dict(names), number
 
 
-def search(docs: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, *, k: int = 20, block_docs: int = BLOCK_DOCS, chunk_terms: int = CHUNK_TERMS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(item_id, rank, doc_id, score): the ``k`` highest-scoring documents of every query, higher scores first, then smaller ids.
 
     The index holds the queries' terms alone where these are few enough to be sent to all tasks; its results are the same.
@@ -280,12 +302,12 @@ def search(docs: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "d
     terms = query_terms(queries, id_col=item_col, text_col=item_text_col)
     distinct = terms.select("term").distinct()
     n_distinct, n_bytes, n_all = terms.agg(F.count_distinct("term"), F.coalesce(F.sum(F.length("term")), F.lit(0)), F.count("*")).first()
-    few = n_distinct <= CHUNK_TERMS and n_bytes <= 64 << 20
-    index = cut(postings(docs, terms=distinct.toArrow().column("term").to_pylist() if few else None, id_col=id_col, text_col=text_col))
+    few = n_distinct <= chunk_terms and n_bytes <= 64 << 20
+    index = cut(postings(docs, terms=distinct.toArrow().column("term").to_pylist() if few else None, block_docs=block_docs, id_col=id_col, text_col=text_col))
     n, size = statistics(index)
     trees = with_trees(index, n, size)
     scored = cut(weighted(terms, index, n))
-    chunks = max(1, -(-n_all // CHUNK_TERMS))
+    chunks = max(1, -(-n_all // chunk_terms))
     found = None
     for i in range(chunks):
         part = best_documents(trees, scored.where(F.pmod(F.xxhash64("query"), F.lit(chunks)) == i), k=k)
