@@ -15,8 +15,8 @@ first, so that only lines they know are joined to the exact counts; what a filte
 wrongly knows, the counts refuse.  ``insert`` then ``delete`` of the same documents gives the
 same decisions as never having seen them.
 
-Defined results: a null or empty text is one empty line; a null doc_id is a document of its own
-that counts for no other; rows that repeat a doc_id count once toward the number of documents, and each gets its own
+Defined results: a null or empty text is one empty line; a row without a doc_id counts toward no key and is never the last
+to hold one, so it loses every line whose key ``min_docs`` other documents hold; rows that repeat a doc_id count once toward the number of documents, and each gets its own
 row; lines under ``min_chars`` code points are never dropped; extra columns are ignored;
 an empty table gives an empty state and no rows.
 """
@@ -194,11 +194,11 @@ def _counts(rows: DataFrame) -> DataFrame:
 
 
 def insert(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-    """The index with the lines of ``docs``.  Pairs (key, doc_id) that it has already change nothing."""
-    new = postings(docs, index.min_chars, id_col, text_col).distinct()
+    """The index with the lines of ``docs``.  Pairs (key, doc_id) that it has already change nothing; rows without an id are not indexed."""
+    new = postings(docs.where(column(docs, id_col).isNotNull()), index.min_chars, id_col, text_col).distinct()
     first = index.postings.isEmpty()
     if not first:
-        new = new.join(index.postings, (new["key"] == index.postings["key"]) & new["doc_id"].eqNullSafe(index.postings["doc_id"]), "left_anti")
+        new = new.join(index.postings, ["key", "doc_id"], "left_anti")
     new = cut(new)
     added = _counts(new)
     if first:
@@ -217,10 +217,9 @@ def insert(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col:
 
 def delete(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
     """The index without the documents in the one column of ``doc_ids``."""
-    gone = doc_ids.select(F.col(doc_ids.columns[0]).cast("long").alias("doc_id")).distinct()
-    same = index.postings["doc_id"].eqNullSafe(gone["doc_id"])
-    left = cut(index.postings.join(gone, same, "left_anti"))
-    touched = index.postings.join(gone, same, "left_semi").select("key").distinct()
+    gone = doc_ids.select(column(doc_ids, doc_ids.columns[0]).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    left = cut(index.postings.join(gone, "doc_id", "left_anti"))
+    touched = index.postings.join(gone, "doc_id", "left_semi").select("key").distinct()
     now = _counts(left.join(touched, "key", "left_semi"))
     was = index.counts.join(touched, "key", "left_semi").select("key", F.col("n_docs").alias("was"))
     falling = cut(was.join(now, "key", "left").where(F.col("was") >= index.min_docs).where(F.coalesce("n_docs", F.lit(0)) < index.min_docs).select("key"))
@@ -276,13 +275,21 @@ def known(index: LineIndex, rows: DataFrame) -> DataFrame:
 def shared_lines(index: LineIndex, rows: DataFrame) -> DataFrame:
     """(doc_id, key) of the lines to drop: their key is in ``min_docs`` documents, and this is not the last one."""
     exact = index.counts.where(F.col("n_docs") >= index.min_docs).select("key", "last_doc")
-    return known(index, rows).join(exact, "key").where(~F.col("doc_id").eqNullSafe(F.col("last_doc"))).select("doc_id", "key")
+    return known(index, rows).join(exact, "key").where(F.col("doc_id") != F.col("last_doc")).select("doc_id", "key")
 
 
 def dedup_lines(docs: DataFrame, index: LineIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``index`` holds, with ``kept_text``, ``n_lines`` and ``n_dropped`` added."""
-    drops = shared_lines(index, index.postings).groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set("key").alias("_drop_keys"))
-    d = docs.join(drops, column(docs, id_col).cast("long").eqNullSafe(F.col("_drop_id")), "left")
+    """The rows of ``docs`` that ``index`` holds, with ``kept_text``, ``n_lines`` and ``n_dropped`` added.
+
+    Rows without an id go by their text's hash, so they spread over the tasks; two texts that share one lose the same keys, those that each has of them.
+    """
+    drops = shared_lines(index, index.postings).select(F.col("doc_id").alias("_drop_id"), F.lit(False).alias("_no_id"), "key")
+    number, text_hash = column(docs, id_col).cast("long"), F.xxhash64(column(docs, text_col))
+    nameless = postings(docs.where(number.isNull()).select(text_hash.alias("doc_id"), column(docs, text_col).alias("text")), index.min_chars).distinct()
+    counted = index.counts.where(F.col("n_docs") >= index.min_docs)
+    lost = known(index, nameless).join(counted.select("key"), "key").select(F.col("doc_id").alias("_drop_id"), F.lit(True).alias("_no_id"), "key")
+    drops = drops.unionByName(lost).groupBy("_drop_id", "_no_id").agg(F.collect_set("key").alias("_drop_keys"))
+    d = docs.join(drops, (F.coalesce(number, text_hash) == F.col("_drop_id")) & (number.isNull() == F.col("_no_id")), "left")
     keep = [c for c in docs.columns]
     min_chars = index.min_chars
 

@@ -108,7 +108,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_per_class: int = 5000, id_col
                 buckets = [word_features((t or b"").decode("utf-8", "replace")).astype(np.int32).tobytes() for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("y"), pa.array([features(t) for t in texts], pa.list_(pa.float64())), pa.array(buckets, pa.binary())], ["y", "x", "f"])
 
-    rows = d.join(F.broadcast(chosen), "id").mapInArrow(run, "y int, x array<double>, f binary").toArrow()
+    # Of rows that repeat a labelled id one is fitted: that with the text of the smallest hash.
+    one_each = d.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t", "y")).alias("r"))
+    rows = one_each.select("r.t", "r.y").mapInArrow(run, "y int, x array<double>, f binary").toArrow()
     y, found = rows.column("y").to_numpy().astype(float), rows.column("f").to_pylist()
     if len(np.unique(y)) < 2:
         return Classifier(np.zeros(N_FEATURES), None, 0.0)

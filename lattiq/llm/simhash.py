@@ -14,7 +14,8 @@ scheme under another random map, which covers its pairs again; each level fixes
 half of the bits still free, so this ends.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; fewer
-than three words are one shingle; repeated rows each get a row; extra columns are
+than three words are one shingle; repeated rows each get a row; a row without an id links like any other, and the chain through it
+holds, but it names no component: component_id is the smallest id of the component, null if none of its rows has one; extra columns are
 ignored; an empty table gives no rows.
 """
 
@@ -151,7 +152,7 @@ def _search(radius: int, limit: int):
 
 
 def near_links(classes: DataFrame, *, radius: int = 3, limit: int = 4096, fp: str = "fp", rep: str = "rep") -> DataFrame:
-    """Links (a, b) between the ``rep`` of distinct fingerprints: every pair within ``radius`` bits is connected through them."""
+    """Links (a, b) between the ``rep`` (never null) of distinct fingerprints: every pair within ``radius`` bits is connected through them."""
     spark = classes.sparkSession
     todo = classes.select(F.lit(0).cast("long").alias("bucket"), F.col(fp).alias("fp"), F.col(rep).alias("rep"))
     links, level = None, 0
@@ -173,6 +174,9 @@ def near_links(classes: DataFrame, *, radius: int = 3, limit: int = 4096, fp: st
 def simhash(docs: DataFrame, *, radius: int = 3, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``; component_id is the smallest doc_id reachable by links."""
     found = cut(fingerprints(docs, id_col, text_col))
-    classes = cut(found.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    named = classes.join(components(near_links(classes, radius=radius, limit=limit)), F.col("rep") == F.col("node"), "left")
-    return found.join(named.select("fp", F.coalesce("component", "rep").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
+    classes = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = cut(classes.withColumn("rep", F.col("fp")))  # a class goes by its fingerprint: its rows may have no id
+    linked = components(near_links(classes, radius=radius, limit=limit))
+    named = classes.join(linked, F.col("rep") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "rep").alias("component"))
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return found.join(named.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

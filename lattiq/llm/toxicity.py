@@ -11,7 +11,7 @@ Training reads a bounded sample: at most about ``max_per_class`` labelled rows o
 by a hash of the id; the driver gets their buckets (at most 2**18 a text, four bytes each).  Prediction reads every whole text.
 
 Defined results: a null or empty text has no words and gets the models' prior, which is not
-toxic unless most labels are; without labels nothing is toxic; repeated rows repeat, and their predictions too; labels that
+toxic unless most labels are; without labels nothing is toxic; repeated rows repeat, and their predictions too; of rows that repeat a labelled id one is fitted; labels that
 are null or disagree are left out of training; ties cannot change a sum, as a text's buckets are a set; extra columns are ignored.
 """
 
@@ -91,8 +91,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_per_class: int = 2500, id_col
                 buckets = [word_features(t.decode("utf-8", "replace")).astype(np.int32).tobytes() for t in part.column("t").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(buckets, pa.binary()), part.column("y"), part.column("junk")], ["id", "f", "y", "junk"])
 
-    # The labelled ids are few and bounded, so they go to the texts.
-    found = d.join(F.broadcast(chosen), "id").mapInArrow(features, "id long, f binary, y int, junk int").toArrow()
+    # The labelled ids are few and bounded, so they go to the texts; an id that repeats is fitted once, with the text of the smallest hash.
+    one_each = d.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t", "y", "junk")).alias("r"))
+    found = one_each.select("id", "r.t", "r.y", "r.junk").mapInArrow(features, "id long, f binary, y int, junk int").toArrow()
     buckets, ids = found.column("f").to_pylist(), found.column("id").to_pylist()
     order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], buckets[i])), np.int64)
     rows, toxic, junk = Rows.of([np.frombuffer(buckets[i], np.int32) for i in order]), *(found.column(c).to_numpy().astype(np.int64)[order] for c in ("y", "junk"))
