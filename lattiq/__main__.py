@@ -12,21 +12,20 @@ from __future__ import annotations
 
 import argparse
 import json
-from pathlib import Path
 
 from lattiq.operators.rollup import RAW
 from lattiq.plans import lineage, runs
 from lattiq.sources.delimited import FileSpec
 
 
-def raw_files(config: dict, data_root: Path) -> tuple[dict[str, tuple[str, FileSpec]], dict[str, str]]:
+def raw_files(config: dict, data_root: str) -> tuple[dict[str, tuple[str, FileSpec]], dict[str, str]]:
     """Paths and declarations of the raw files, and the columns that hold the operators' fields."""
     files = {}
     for name in ("records", "master"):
         declared = dict(config["files"][name])
-        path = Path(declared.pop("path"))
+        path = lineage.under(data_root, declared.pop("path"))
         spec = {{"bytes": "bytes_"}.get(k, k): v for k, v in declared.items()}
-        files[name] = (str(path if path.is_absolute() else data_root / path), FileSpec(**spec | {"columns": tuple(spec["columns"])}))
+        files[name] = (path, FileSpec(**spec | {"columns": tuple(spec["columns"])}))
     return files, {c: config.get("names", {}).get(c, c.upper()) for c in RAW}
 
 
@@ -36,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--project", default="configs/project.json", help="the project's config")
     p.add_argument("--candidate", default="configs/candidate.json", help="for selection: the candidate's config")
     p.add_argument("--final", default="configs/final.json", help="for final: the locked procedure's config")
+    p.add_argument("--audit", help="for baselines: a JSON file of frozen figures, a list of [model, horizon, scored cells, WAPE in per cent, median MASE]")
     p.add_argument("--root", default=".", help="what relative paths start from")
     p.add_argument("--open-holdout", action="store_true", help="for final: open the holdout, which can be done once")
     return p
@@ -49,12 +49,12 @@ def main(argv: list[str] | None = None, spark=None) -> dict:
         from pyspark.sql import SparkSession
 
         spark = SparkSession.builder.appName("lattiq").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    where = {"runs_root": str(paths["runs_root"]), "root": a.root}
+    where = {"runs_root": paths["runs_root"], "root": a.root}
     if a.run == "build":
         files, names = raw_files(config, paths["data_root"])
         m = runs.build_dataset(spark, config, files, names=names, **where)
     elif a.run == "baselines":
-        m = runs.run_baselines(spark, config, **where)
+        m = runs.run_baselines(spark, config, audit=lineage.load_audit(a.audit) if a.audit else None, **where)
     elif a.run == "selection":
         m = runs.run_selection(spark, config, lineage.load_config(a.candidate, required=("procedure_id", "alphas", "selection_origins", "confirmation_origins", "features", "bootstrap")), **where)
     else:

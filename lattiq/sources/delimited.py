@@ -34,9 +34,9 @@ def scan(spark: SparkSession, path: str, spec: FileSpec) -> DataFrame:
                           nullValue="", emptyValue="", mode="FAILFAST", enforceSchema=False)
 
 
-def scan_until(spark: SparkSession, path: str, last, date: str = "quarter") -> DataFrame:
-    """Parquet rows up to a date; the filter reaches the scan, so later values are never read."""
-    return spark.read.parquet(path).where(F.col(date) <= F.lit(last))
+def until(table: DataFrame, last, date: str = "quarter") -> DataFrame:
+    """A table's rows up to a date.  Where the table is partitioned by it, the folders of later dates are not opened."""
+    return table.where(F.col(date) <= F.lit(last))
 
 
 def sha256_file(path: str | Path, chunk: int = 1 << 20) -> str:

@@ -50,3 +50,34 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     """The names of a folder's folders, in order."""
     fs, p = _at(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """The names of a folder's files, in order."""
+    fs, p = _at(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isFile()) if fs.exists(p) else []
+
+
+def listing(spark: SparkSession, path: str) -> dict[str, tuple[int, int]]:
+    """Length and time of change (ms) of all data files under a folder, by their path in it; names that start with _ or . are no data."""
+    fs, p = _at(spark, path)
+    if not fs.exists(p):
+        return {}
+    base, out, found = fs.makeQualified(p).toUri().getPath().rstrip("/") + "/", {}, fs.listFiles(p, True)
+    while found.hasNext():
+        s = found.next()
+        name = s.getPath().toUri().getPath().removeprefix(base)
+        if not name.rsplit("/", 1)[-1].startswith(("_", ".")):
+            out[name] = (s.getLen(), s.getModificationTime())
+    return dict(sorted(out.items()))
+
+
+def size_of(spark: SparkSession, path: str) -> int | None:
+    """A file's length; None if there is no such file."""
+    fs, p = _at(spark, path)
+    return fs.getFileStatus(p).getLen() if fs.exists(p) and fs.getFileStatus(p).isFile() else None
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _at(spark, path)
+    fs.delete(p, True)

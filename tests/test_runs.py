@@ -98,7 +98,9 @@ def test_publish_refuses_and_checks(spark, tmp_path):
 def test_configs_and_paths(tmp_path, monkeypatch):
     assert N.config_hash({"a": 1, "_note": 2}) == N.config_hash({"_note": 3, "a": 1}) != N.config_hash({"a": 2})
     monkeypatch.setenv("PROJECT_DATA_ROOT", str(tmp_path / "d"))
-    assert N.resolve_paths({"paths": {"runs_root": "r"}}, tmp_path) == {"data_root": tmp_path / "d", "runs_root": tmp_path / "r"}
+    assert N.resolve_paths({"paths": {"runs_root": "r"}}, tmp_path) == {"data_root": str(tmp_path / "d"), "runs_root": str(tmp_path / "r")}
+    monkeypatch.setenv("PROJECT_RUNS_ROOT", "s3a://bucket/x")
+    assert N.resolve_paths({}, tmp_path)["runs_root"] == "s3a://bucket/x" and N.under("hdfs://h/a/", "./b") == "hdfs://h/a/b" and N.under(".", "b") == "b"
     (tmp_path / "c.json").write_text(json.dumps({"a": 1}))
     with pytest.raises(ContractError):
         N.load_config(tmp_path / "c.json", required=("b",))
@@ -167,11 +169,17 @@ def series(tmp_path):
 def test_selection_tables(spark, tmp_path):
     rows, _, config = series(tmp_path)
     panel = entity_quarters(unit_quarters(typed_records(spark.createDataFrame([tuple(map(str, r)) for r in rows], list(RAW)))))
-    candidate = {"selection_origins": {"start": "2018Q4", "end": "2019Q3", "count": 4}, "confirmation_origins": {"start": "2019Q4", "end": "2020Q1", "count": 2}, "alphas": [1.0, 100.0], "warmup_origins": 1,
+    candidate = {"selection_origins": {"start": "2018Q4", "end": "2019Q3", "count": 4}, "confirmation_origins": {"start": "2019Q4", "end": "2020Q1", "count": 2}, "alphas": [1.0, 100.0], "intervals": {"warmup_origins": 1, "coverages": [0.8, 0.9]}, "tie_tolerance": 10.0,
                  "bootstrap": {"block_length": 2, "replications": 20, "seed": 1}, "gates": {"wape_h1": (0, 10), "wape_h2": (5, 10)}}
     t = runs.selection_tables(panel.where("quarter <= date'2020-07-01'"), config, candidate)
-    assert len(t) == 20 and {r.gate: r.met for r in t["promotion"].collect()} == {"wape_h1": True, "wape_h2": False} and t["bootstrap_skill"].count() == 5 and t["candidate_forecasts"].count() == 2 * 4 * 4 * 2
-    assert t["alpha_summary"].where("selected").count() == 1
+    assert len(t) == 21 and {r.gate: r.met for r in t["promotion"].collect()} == {"wape_h1": True, "wape_h2": False} and t["bootstrap_skill"].count() == 5 and t["candidate_forecasts"].count() == 2 * 4 * 4 * 2
+    assert [r.alpha for r in t["alpha_summary"].where("selected").collect()] == [100.0]  # within so wide a tolerance the largest
+    assert {"lower_90", "upper_90"} <= set(t["selected_forecasts"].columns) and t["selected_forecasts"].where("interval_available_80").count() > 0
+    assert {r.diagnostic for r in t["binned_residuals"].select("diagnostic").distinct().collect()} == {"forecast", *N.LOG}
+    assert t["selected_volume_metrics"].count() > 0
+    for unread in ({"intervals": {"warmup": 1}}, {"coverages": [0.8]}, {"bootstrap": {"block": 2}}):
+        with pytest.raises(ContractError, match="nothing reads"):
+            runs.selection_tables(panel, config, candidate | unread)
     with pytest.raises(SelectionError):
         runs.selection_tables(panel, config, candidate)
 
@@ -179,14 +187,17 @@ def test_selection_tables(spark, tmp_path):
 def test_final_run_opens_the_holdout_once(spark, tmp_path):
     rows, files, config = series(tmp_path)
     root = tmp_path / "runs"
-    runs.build_dataset(spark, config, files, root, names=NAMES)
-    runs.run_baselines(spark, config, root)
+    build = runs.build_dataset(spark, config, files, root, names=NAMES)
+    base = runs.run_baselines(spark, config, root)
+    assert base["checks"] == {"prediction_coverage": "passed", "horizon_four_equality": "passed", "holdout_opened": False, "frozen_baseline_audit": "not_requested"}
+    assert base["started_at_utc"] <= base["finished_at_utc"] and base["duration_seconds"] > 0 and build["duration_seconds"] > 0
     final = {"procedure_id": "horizon_specific_naive_baseline_v1", "models_by_horizon": {"1": "persistence", "2": "persistence", "3": "seasonal_naive", "4": "persistence"}, "intervals": {"coverages": [0.8, 0.95]}, "development_calibration_origins": {"start": "2018Q4", "end": "2020Q1"},
              "holdout_origins": {"start": "2021Q2", "end": "2021Q3", "count": 2, "target_end": "2022Q3"}, "latest_forecast": {"origin": "2023Q3", "target_end": "2024Q3", "revision_status": "revisable"}, "reporting": {"operational_focus_horizons": [1, 2], "reported_horizons": [1, 2, 3, 4]}}
     with pytest.raises(HoldoutError):
         runs.run_final(spark, config, final, root)
     one = runs.run_final(spark, config, final, root, open_holdout=True)
     two = runs.run_final(spark, config, final, root, open_holdout=True)
+    assert one["checks"]["holdout_closed"] and one["baseline_run"] == base["run_id"]
     assert (one["mode"], two["mode"]) == ("new", "reuse") and one["run_id"] == two["run_id"] and two["tables"]["holdout_forecasts"].count() == 2 * 2 * 4
     other = {"coverages": {"intervals": {"coverages": [0.9]}}, "mapping": {"models_by_horizon": final["models_by_horizon"] | {"3": "persistence"}}, "procedure": {"procedure_id": "mine"},
              "latest": {"latest_forecast": final["latest_forecast"] | {"origin": "2023Q2", "target_end": "2024Q2"}}, "target": {"holdout_origins": final["holdout_origins"] | {"target_end": "2022Q2"}}}
@@ -212,7 +223,45 @@ def test_selection_run_records_what_it_opened(spark, tmp_path, monkeypatch):
     runs.build_dataset(spark, config, files, root, names=NAMES)
     monkeypatch.setattr(runs, "selection_tables", lambda panel, *a: {"panel": panel})
     candidate = {"procedure_id": "pooled_direct_ridge_log_change_v1", "features": {"numeric": list(N.LOG), "categorical": ["entity", "target_quarter"]}, "alphas": [0.1, 1, 10, 100], "selection_origins": {"start": "2018Q4", "end": "2019Q3", "count": 4}}
+    with pytest.raises(ContractError, match="no passed run of baselines"):
+        runs.run_selection(spark, config, candidate, root)
+    base = runs.run_baselines(spark, config, root)
     m = runs.run_selection(spark, config, candidate, root)
+    assert m["baseline_run"] == base["run_id"]
     assert m["checks"] == {"prediction_coverage": "passed", "diagnostic_gate_status": "awaiting_review", "confirmation_opened": False, "holdout_opened": False}
     with pytest.raises(ContractError):
         runs.run_selection(spark, config, candidate | {"alphas": [3.0]}, root)
+
+
+def test_a_project_with_frozen_figures_needs_their_audit(spark, tmp_path):
+    rows, files, config = series(tmp_path)
+    config["evaluation"]["baseline_audit"] = True
+    root = tmp_path / "runs"
+    build = runs.build_dataset(spark, config, files, root, names=NAMES)
+    base = runs.run_baselines(spark, config, root)
+    with pytest.raises(ContractError, match="no passed run of baselines"):
+        runs.baseline_manifest(spark, config, root, build)
+    figures = [[r.model, r.horizon, r.scored_cells, round(r.wape * 100, 2), round(r.median_entity_mase, 3)] for r in N.load_outputs(spark, root, base)["metrics"].collect()]
+    (tmp_path / "audit.json").write_text(json.dumps(figures))
+    audited = runs.run_baselines(spark, config, root, audit=N.load_audit(tmp_path / "audit.json"))
+    assert runs.baseline_manifest(spark, config, root, build)["run_id"] == audited["run_id"]
+    (tmp_path / "audit.json").write_text("[1]")
+    with pytest.raises(ContractError):
+        N.load_audit(tmp_path / "audit.json")
+
+
+def test_values_after_the_cutoff_are_not_opened(spark, tmp_path):
+    from lattiq.functions.periods import period_start
+    from lattiq.sources.delimited import until
+
+    rows, files, config = series(tmp_path)
+    m = runs.build_dataset(spark, config, files, tmp_path / "runs", names=NAMES)
+    d = until(N.artifact(spark, tmp_path / "runs", m["outputs"]["entity_quarter"]), period_start("2017Q4"))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(quarter" in plan and d.count() == 16
+    later = [f["path"] for f in m["outputs"]["entity_quarter"]["files"] if f["path"] >= "quarter=2018"]
+    for f in later:  # what is not opened may be anything
+        path = tmp_path / "runs" / m["outputs"]["entity_quarter"]["path"] / m["outputs"]["entity_quarter"]["data"] / f
+        path.write_bytes(b"no parquet")
+        path.with_name(f".{path.name}.crc").unlink(missing_ok=True)
+    assert later and d.count() == 16
