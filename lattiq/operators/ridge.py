@@ -6,20 +6,20 @@ the other columns and t of the response has the coefficient (t - s.c) / (n + pen
 the equations for c.  What is left is eleven equations, whatever the number of entities and rows.
 
 Spark makes all sums: cross products by target date, of which origins take prefixes in time; and one running sum for each
-(entity, horizon), read off at each origin.  Training rows are never copied for an origin and never meet in one task.  Numpy solves eleven
-equations for each (origin, horizon, penalty), of which the calendar bounds the number.
+(entity, horizon), read off at each origin.  Training rows are never copied for an origin and never meet in one task.  The eleven
+equations of each (origin, horizon, penalty), of which the calendar bounds the number, are arrays that expressions eliminate row by row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Callable, Iterable
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattiq.errors import PanelError, SelectionError
+from lattiq.functions.periods import day, shift
 from lattiq.operators.cells import flags
 from lattiq.operators.features import DELTA, LOG, prediction_features, supervised
 from lattiq.sources.sinks import cut
@@ -27,37 +27,98 @@ from lattiq.sources.sinks import cut
 QUARTERS = (1, 2, 3, 4)
 
 
-def solve(gram: np.ndarray, taken: np.ndarray, varied: np.ndarray, penalty: float, intercept: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(coefficients of standardised columns with the constant first, the same for raw columns).
+def _each(n: int, value: Callable[[Column], Column]) -> Column:
+    """The array of ``value`` at 0 to n - 1."""
+    return F.transform(F.array(*map(F.lit, range(n))), value)
+
+
+def _square(upper: Column, size: int) -> Column:
+    """A symmetric matrix, as an array of rows, from its upper triangle."""
+    at = lambda i, j: (i * (2 * size - 1 - i) / 2).cast("int") + j
+    return _each(size, lambda i: _each(size, lambda j: F.get(upper, at(F.least(i, j), F.greatest(i, j)))))
+
+
+def _at(m: Column, i, j) -> Column:
+    return F.get(F.get(m, i if isinstance(i, Column) else F.lit(i)), j if isinstance(j, Column) else F.lit(j))
+
+
+def _inverse_times(m: Column, n: int) -> Column:
+    """The solution of n equations, from an array of rows with the right side last, by elimination row by row.
+
+    The systems are positive definite, so every pivot is positive and none has to be searched for.
+    """
+    def step(a: Column, k: Column) -> Column:
+        pivot = F.transform(F.get(a, k), lambda x: x / _at(a, k, k))
+        return F.transform(a, lambda row, i: F.when(i == k, pivot).otherwise(F.zip_with(row, pivot, lambda x, y: x - F.get(row, k) * y)))
+
+    done = F.aggregate(F.array(*map(F.lit, range(n))), m, step)
+    return F.transform(done, lambda row: F.get(row, F.lit(n)))
+
+
+def _extreme_eigenvalues(m: Column, n: int, sweeps: int = 8) -> Column:
+    """An array of a symmetric matrix's eigenvalues, by rotations that make one pair of entries zero after the other."""
+    def step(a: Column, pair: Column) -> Column:
+        p, q = pair["p"], pair["q"]
+        off = _at(a, p, q)
+        tau = (_at(a, q, q) - _at(a, p, p)) / (2 * off)
+        t = F.when(off == 0, F.lit(0.0)).otherwise(F.when(tau < 0, F.lit(-1.0)).otherwise(F.lit(1.0)) / (F.abs(tau) + F.sqrt(1 + tau * tau)))
+        # One rotation as (cosine, sine), made once and used in rows and columns.
+        turn = F.transform(F.array(t), lambda x: F.struct((1 / F.sqrt(1 + x * x)).alias("c"), (x / F.sqrt(1 + x * x)).alias("s")))
+
+        def rotated(x: Column) -> Column:
+            c, s = x["c"], x["s"]
+            rows = F.transform(a, lambda row, i: F.when(i == p, F.zip_with(F.get(a, p), F.get(a, q), lambda u, v: c * u - s * v)).when(
+                i == q, F.zip_with(F.get(a, p), F.get(a, q), lambda u, v: s * u + c * v)).otherwise(row))
+            return F.transform(rows, lambda row: F.transform(row, lambda u, j: F.when(j == p, c * F.get(row, p) - s * F.get(row, q)).when(j == q, s * F.get(row, p) + c * F.get(row, q)).otherwise(u)))
+
+        return F.get(F.transform(turn, rotated), F.lit(0))
+
+    pairs = [F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for _ in range(sweeps) for p in range(n) for q in range(p + 1, n)]
+    done = F.aggregate(F.array(*pairs), m, step)
+    return F.transform(done, lambda row, i: F.get(row, i))
+
+
+def _fits(systems: DataFrame, size: int, k: int, intercept: bool) -> DataFrame:
+    """``systems`` (gram, taken, low, high by outer, horizon and alpha) with ``w`` (coefficients of standardised columns, the constant first), ``raw``
+    (the same for raw columns) and ``held`` (columns that training has).
 
     ``gram`` has the cross products of constant, numbers, quarters and response; ``taken`` what the entities take from them.
     """
-    n, k = gram[0, 0], len(varied)
-    mean = gram[0, 1 : k + 1] / n
-    spread = np.sqrt(np.maximum(np.diag(gram)[1 : k + 1] / n - mean**2, 0))
-    spread[~varied | (spread == 0)] = 1  # constant columns stay
-    to = np.eye(len(gram) - 1)
-    to[np.arange(1, k + 1), np.arange(1, k + 1)] = 1 / spread
-    to[1 : k + 1, 0] = -mean / spread
-    left = gram - taken
-    own = slice(0 if intercept else 1, None)
-    a, b = (to @ left[:-1, :-1] @ to.T)[own, own], (to @ left[:-1, -1])[own]
-    a += penalty * np.diag(np.r_[[0.0] * intercept, [1.0] * (len(to) - 1)])
-    w = np.zeros(len(to))
-    w[own] = np.linalg.solve(a, b)
-    return w, to.T @ w
-
-
-def diagnostics(gram: np.ndarray, varied: np.ndarray) -> tuple[float | None, float | None]:
-    """Condition number of the standardised numbers, and their largest absolute correlation."""
-    at = np.flatnonzero(varied) + 1
-    if not len(at):
-        return None, None
-    mean = gram[0, at] / gram[0, 0]
-    cov = gram[np.ix_(at, at)] / gram[0, 0] - np.outer(mean, mean)
-    r = cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov)))
-    values = np.linalg.eigvalsh(r)
-    return float(np.sqrt(values[-1] / max(values[0], 1e-300))), float(np.abs(np.triu(r, 1)).max())
+    n, last = size - 1, size - 1
+    d = systems.withColumns({"g": _square(F.col("gram"), size), "t": _square(F.col("taken"), size)})
+    number = lambda i: (i >= 1) & (i <= k)
+    d = d.withColumn("mean", _each(size, lambda i: F.when(number(i), _at(F.col("g"), 0, i) / _at(F.col("g"), 0, 0)).otherwise(0.0)))
+    variance = lambda i: F.greatest(_at(F.col("g"), i, i) / _at(F.col("g"), 0, 0) - F.get("mean", i) * F.get("mean", i), F.lit(0.0))
+    varied = lambda i: F.get("low", i - 1) < F.get("high", i - 1)
+    d = d.withColumn("spread", _each(size, lambda i: F.when(number(i) & varied(i) & (variance(i) > 0), F.sqrt(variance(i))).otherwise(1.0)))  # constant columns stay
+    d = d.withColumn("left", _each(size, lambda i: F.zip_with(F.get("g", i), F.get("t", i), lambda x, y: x - y)))
+    left = lambda i, j: _at(F.col("left"), i, j)
+    centred = lambda i, j: left(i, j) - F.get("mean", j) * left(i, F.lit(0)) - F.get("mean", i) * left(F.lit(0), j) + F.get("mean", i) * F.get("mean", j) * left(F.lit(0), F.lit(0))
+    entry = lambda i, j: centred(i, j) / (F.get("spread", i) * F.get("spread", j)) + F.when((i == j) & (i > 0), F.col("alpha")).otherwise(0.0)
+    if not intercept:  # the constant's equation says zero
+        inner, entry = entry, lambda i, j: F.when((i == 0) | (j == 0), (i == j).cast("double")).otherwise(inner(i, j))
+    equations = _each(n, lambda i: _each(size, lambda j: entry(i, j)))
+    d = d.withColumn("equations", equations).withColumn("w", _inverse_times(F.col("equations"), n))
+    shifted = F.aggregate(F.array(*map(F.lit, range(1, k + 1))), F.get("w", F.lit(0)), lambda acc, i: acc - F.get("mean", i) / F.get("spread", i) * F.get("w", i))
+    raw = F.transform("w", lambda x, i: F.when(i == 0, shifted).otherwise(x / F.get("spread", i)))
+    held = _each(n, lambda i: (i <= k) | (_at(F.col("g"), i, i) > 0))
+    return d.select("outer", "horizon", "alpha", "w", held.alias("held"), raw.alias("raw"), F.round(_at(F.col("g"), 0, 0)).cast("long").alias("rows"))
+
+
+def _diagnostics(grown: DataFrame, size: int, k: int) -> DataFrame:
+    """(outer, horizon, training_rows, condition, correlation): the condition number of the standardised numbers, and their largest absolute correlation."""
+    d = grown.select("outer", "horizon", "low", "high", _square(F.col("gram"), size).alias("g"))
+    g = lambda i, j: _at(F.col("g"), i, j)
+    varied = lambda i: F.get("low", i) < F.get("high", i)
+    cov = lambda i, j: g(i + 1, j + 1) / g(0, 0) - g(0, i + 1) / g(0, 0) * (g(0, j + 1) / g(0, 0))
+    # A constant column stands alone with 1, which lies between the others' extremes.
+    entry = lambda i, j: F.when(i == j, F.lit(1.0)).when(varied(i) & varied(j), cov(i, j) / F.sqrt(cov(i, i) * cov(j, j))).otherwise(0.0)
+    d = d.withColumn("r", _each(k, lambda i: _each(k, lambda j: entry(i, j))))
+    d = d.withColumn("values", F.array_sort(_extreme_eigenvalues(F.col("r"), k)))
+    n_varied = F.aggregate(F.zip_with("low", "high", lambda a, b: (a < b).cast("int")), F.lit(0), lambda a, x: a + x)
+    off = F.array_max(F.flatten(F.transform("r", lambda row, i: F.transform(row, lambda x, j: F.when(i < j, F.abs(x)).otherwise(0.0)))))
+    return d.select("outer", "horizon", F.round(g(0, 0)).cast("long").alias("training_rows"),
+                    F.when(n_varied > 0, F.sqrt(F.get("values", F.lit(k - 1)) / F.greatest(F.get("values", F.lit(0)), F.lit(1e-300)))).alias("condition"), F.when(n_varied > 0, off).alias("correlation"))
 
 
 def _products(cols: list[str], over=None) -> list:
@@ -66,22 +127,32 @@ def _products(cols: list[str], over=None) -> list:
     return [F.sum(x / over if over is not None else x) for x in each]
 
 
-def _systems(rows: DataFrame, sums: DataFrame, outers: list, alphas: list[float], cols: list[str], numeric: list[str]) -> DataFrame:
-    """(outer, horizon, alpha, gram, taken, low, high): upper triangles as arrays, and the numbers' extremes."""
+def _grown(rows: DataFrame, outers: list, cols: list[str], numeric: list[str]) -> DataFrame:
+    """(outer, horizon, gram, low, high) of all training rows: an upper triangle as an array, and the numbers' extremes."""
     many = len(cols) * (len(cols) + 1) // 2
     by_date = rows.groupBy("horizon", "target_date").agg(*[x.alias(f"g{i}") for i, x in enumerate(_products(cols))], *[f(c).alias(f"{n}_{c}") for c in numeric for f, n in ((F.min, "low"), (F.max, "high"))])
     at = F.explode(F.array(*[F.lit(o) for o in outers])).alias("outer")
-    grown = by_date.select("*", at).where("target_date <= outer").groupBy("outer", "horizon").agg(  # a row for each two dates and horizon
+    return by_date.select("*", at).where("target_date <= outer").groupBy("outer", "horizon").agg(  # a row for each two dates and horizon
         F.array(*[F.sum(f"g{i}") for i in range(many)]).alias("gram"), F.array(*[F.min(f"low_{c}").cast("double") for c in numeric]).alias("low"), F.array(*[F.max(f"high_{c}").cast("double") for c in numeric]).alias("high"))
+
+
+def _taken(sums: DataFrame, alphas: list[float], cols: list[str]) -> DataFrame:
+    """(outer, horizon, alpha, taken): what the entities take from the equations."""
     penalties = F.explode(F.array(*map(F.lit, alphas))).alias("alpha")
-    taken = sums.select("*", penalties).groupBy("outer", "horizon", "alpha").agg(F.array(*_products(cols, F.col("one") + F.col("alpha"))).alias("taken"))
-    return grown.join(taken, ["outer", "horizon"])
+    return sums.select("*", penalties).groupBy("outer", "horizon", "alpha").agg(F.array(*_products(cols, F.col("one") + F.col("alpha"))).alias("taken"))
+
+
+def candidate_rows(features: DataFrame, outers: list, *, modeling_start: str) -> DataFrame:
+    """(outer, horizon, candidate_rows): rows of the panel that a fit could learn from if no lag and no label were missing."""
+    d = features.where(F.col("origin_date") >= day(shift(modeling_start, 3))).groupBy("horizon", "target_date").agg(F.count("*").alias("n"))
+    d = d.select("*", F.explode(F.array(*[F.lit(o) for o in outers])).alias("outer")).where("target_date <= outer")
+    return d.groupBy("outer", "horizon").agg(F.sum("n").alias("candidate_rows"))
 
 
 def rolling_candidates(features: DataFrame, cells: DataFrame, *, alphas: Iterable[float], modeling_start: str, response: str = "log", check: bool = True) -> dict[str, DataFrame]:
     """Forecasts, coefficients and training diagnostics for every (penalty, origin, horizon)."""
     alphas, numeric, intercept = [float(a) for a in alphas], LOG if response == "log" else DELTA, response == "log"
-    if not alphas or not all(np.isfinite(a) and a > 0 for a in alphas):
+    if not alphas or not all(math.isfinite(a) and a > 0 for a in alphas):
         raise PanelError("a penalty is positive and finite")
     outers = [r[0] for r in cells.select("origin_date").distinct().orderBy("origin_date").collect()]  # quarters
     if not outers:
@@ -97,27 +168,8 @@ def rolling_candidates(features: DataFrame, cells: DataFrame, *, alphas: Iterabl
     sums = cut(sums.where("stop and one is not null").drop("stop"))
     names = [*[f"numeric__{c}" for c in numeric], *[f"categorical__target_quarter_{q}" for q in QUARTERS]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = len(cols)
-        upper = np.triu_indices(size)
-
-        def square(x) -> np.ndarray:
-            m = np.zeros((size, size))
-            m[upper] = x
-            return m + np.triu(m, 1).T
-
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                gram, varied = square(r["gram"]), np.array(r["low"]) < np.array(r["high"])
-                w, raw = solve(gram, square(r["taken"]), varied, r["alpha"], intercept)
-                condition, correlation = diagnostics(gram, varied)
-                held = np.r_[True, [True] * len(numeric), np.diag(gram)[len(numeric) + 1 : -1] > 0]  # quarters that training has
-                out.append({"outer": r["outer"], "horizon": r["horizon"], "alpha": r["alpha"], "w": w.tolist(), "held": held.tolist(), "raw": raw.tolist(), "rows": int(round(gram[0, 0])), "condition": condition, "correlation": correlation})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    schema = pa.schema([("outer", pa.date32()), ("horizon", pa.int32()), ("alpha", pa.float64()), ("w", pa.list_(pa.float64())), ("held", pa.list_(pa.bool_())), ("raw", pa.list_(pa.float64())), ("rows", pa.int64()), ("condition", pa.float64()), ("correlation", pa.float64())])
-    fits = cut(_systems(rows, sums, outers, alphas, cols, numeric).mapInArrow(run, "outer date, horizon int, alpha double, w array<double>, held array<boolean>, raw array<double>, rows long, condition double, correlation double"))
+    grown = cut(_grown(rows, outers, cols, numeric))
+    fits = cut(_fits(grown.join(_taken(sums, alphas, cols), ["outer", "horizon"]), len(cols), len(numeric), intercept))
     few = F.broadcast(fits)  # a row for each origin, horizon and penalty: the calendar bounds them
     own = (F.col("response") - sum(F.col(c) * F.get("raw", F.lit(i)) for i, c in enumerate(cols[:-1]))) / (F.col("one") + F.col("alpha"))
     entities = sums.join(few, ["outer", "horizon"]).select("outer", "horizon", "alpha", "entity", own.alias("own"))
@@ -140,7 +192,8 @@ def rolling_candidates(features: DataFrame, cells: DataFrame, *, alphas: Iterabl
     shared = shared.where("x.held").select("alpha", "origin_date", "horizon", "x.feature", "x.coefficient", "intercept")
     each = entities.join(few.select("outer", "horizon", "alpha", constant.alias("intercept")), ["outer", "horizon", "alpha"])
     each = each.select(*key, F.concat(F.lit("categorical__entity_"), "entity").alias("feature"), F.col("own").alias("coefficient"), "intercept")
-    seen = fits.groupBy(F.col("outer").alias("origin_date"), "horizon").agg(F.max("rows").alias("training_rows"), F.max("condition").alias("condition"), F.max("correlation").alias("correlation"))
+    seen = _diagnostics(grown, len(cols), len(numeric)).join(candidate_rows(features, outers, modeling_start=modeling_start), ["outer", "horizon"])
+    seen = seen.select(F.col("outer").alias("origin_date"), "horizon", "training_rows", F.col("candidate_rows").alias("candidate_training_rows"), (F.col("candidate_rows") - F.col("training_rows")).alias("excluded_training_rows"), "condition", "correlation")
     return {"forecasts": forecasts, "coefficients": shared.unionByName(each), "diagnostics": seen}
 
 
