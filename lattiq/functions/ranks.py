@@ -27,3 +27,28 @@ def running_sum(rows: DataFrame, keys: list[str], order: list[str], weight: str
     for c in same[1:]:
         on = on & c
     return d.join(sums, on).select(*[d[c] for c in rows.columns], (F.col("_within") + F.col("_before")).alias(upto), total)
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """(keys, a column for each name in ``at``): quantiles by group, linear between the two neighbouring values; nulls are left out.
+
+    Rows with equal values become one count first; the running sum over the distinct values, made range by range, tells
+    which of them hold the two ranks.  No task holds a group, and nothing but counts is shuffled after the first
+    aggregate.  Groups without a value are missing.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_value")).agg(F.count("*").alias("n"))
+    d = running_sum(counts, keys, ["_value"])
+    place = {name: (F.col("cells") - 1) * F.lit(q) for name, q in at.items()}
+    holds = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("_value")))
+    found = d.groupBy(*keys, "cells").agg(*[holds(f(p)).alias(f"_{side}_{name}") for name, p in place.items() for side, f in (("low", F.floor), ("high", F.ceil))])
+    return found.select(*keys, *[(F.col(f"_low_{name}") + (F.col(f"_high_{name}") - F.col(f"_low_{name}")) * (p - F.floor(p))).alias(name) for name, p in place.items()])
+
+
+def with_quantiles(groups: DataFrame, rows: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """``groups``, one row for each group of ``keys``, with the quantiles of the group's ``rows``; null where it has no value."""
+    q = quantiles(rows, keys, value, at).withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    on = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+        on = same if on is None else on & same
+    return groups.join(q, on, "left").drop(*[f"_key_{k}" for k in keys])

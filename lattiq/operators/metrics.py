@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattiq.errors import PanelError
-from lattiq.functions.ranks import running_sum
+from lattiq.functions.ranks import running_sum, with_quantiles
+from lattiq.sources.sinks import cut
 
 
 def with_errors(forecasts: DataFrame) -> DataFrame:
@@ -46,8 +47,9 @@ def entity_metrics(forecasts: DataFrame) -> DataFrame:
 
 def overall_metrics(forecasts: DataFrame) -> DataFrame:
     """By model and horizon, with the mean and median over entities' own MASE."""
-    own = entity_metrics(forecasts).groupBy("model", "horizon").agg(
-        F.avg("mase").alias("mean_entity_mase"), F.median("mase").alias("median_entity_mase"), F.count("mase").alias("mase_entities"))
+    mase = cut(entity_metrics(forecasts).select("model", "horizon", "mase"))
+    own = mase.groupBy("model", "horizon").agg(F.avg("mase").alias("mean_entity_mase"), F.count("mase").alias("mase_entities"))
+    own = with_quantiles(own, mase, ["model", "horizon"], "mase", {"median_entity_mase": 0.5})
     return with_errors(forecasts).groupBy("model", "horizon").agg(*record()).join(own, ["model", "horizon"], "left")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lattiq.errors import LeakageError, PanelError
 from lattiq.functions.periods import at_offset, day, label, period_start
+from lattiq.functions.ranks import with_quantiles
+from lattiq.sources.sinks import cut
 
 STATUSES = ["leading_absence", "internal_absence", "trailing_absence", "observed_null", "observed_zero", "observed_positive", "observed_masked"]
 
@@ -137,8 +139,9 @@ def seasonal_share(dev: DataFrame) -> DataFrame:
     """Each quarter's share of the year, over entity-years with four values and a positive total."""
     own = Window.partitionBy("entity", "cal_year")
     d = dev.withColumns({"n": F.count("value").over(own), "year_total": F.sum("value").over(own)}).where("n = 4 and year_total > 0")
-    share = F.col("value") / F.col("year_total")
-    return d.groupBy("cal_quarter").agg(F.median(share).alias("median"), F.percentile(share, F.lit(0.25)).alias("q25"), F.percentile(share, F.lit(0.75)).alias("q75"), F.count("*").alias("entity_years"))
+    d = cut(d.select("cal_quarter", (F.col("value") / F.col("year_total")).alias("share")))
+    years = d.groupBy("cal_quarter").agg(F.count("*").alias("entity_years"))
+    return with_quantiles(years, d, ["cal_quarter"], "share", {"median": 0.5, "q25": 0.25, "q75": 0.75})
 
 
 def concentration(dev: DataFrame, top: int = 5) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lattiq.errors import DiagnosticError, HoldoutError, PanelError
 from lattiq.functions.periods import index, period_start
-from lattiq.functions.ranks import running_sum
+from lattiq.functions.ranks import running_sum, with_quantiles
 from lattiq.operators.metrics import with_errors
 from lattiq.operators.panel import unique
 from lattiq.sources.sinks import cut
@@ -64,10 +64,11 @@ def calibration_quantiles(forecasts: DataFrame, *, development_end: str, coverag
     """Frozen quantiles by horizon and coverage, of scaled and of plain absolute errors."""
     if check and not forecasts.where(F.col("origin_date") > F.lit(period_start(development_end))).isEmpty():
         raise HoldoutError("calibration reaches past the development origins")
-    d = with_errors(forecasts).where("scored")
-    scaled = order_statistics(d, "scaled_error", ["horizon"], coverages).withColumnsRenamed({"quantile": "scaled_quantile", "cells": "scaled_cells"})
-    plain = order_statistics(d, "abs_error", ["horizon"], coverages).withColumnsRenamed({"quantile": "plain_quantile", "cells": "plain_cells"})
-    span = forecasts.groupBy("horizon").agg(F.lit(1).alias("one")).join(forecasts.agg(F.min("origin_date").alias("calibration_start"), F.max("origin_date").alias("calibration_end")), F.lit(True))
+    d = cut(with_errors(forecasts).select("horizon", "origin_date", "scored", "scaled_error", "abs_error"))
+    both = d.where("scored").select("horizon", F.explode(F.create_map(F.lit("scaled"), F.col("scaled_error"), F.lit("plain"), F.col("abs_error"))).alias("kind", "v"))
+    q = cut(order_statistics(both, "v", ["kind", "horizon"], coverages))  # both errors in one pass
+    scaled, plain = (q.where(F.col("kind") == k).select("horizon", "coverage", F.col("quantile").alias(f"{k}_quantile"), F.col("cells").alias(f"{k}_cells")) for k in ("scaled", "plain"))
+    span = d.groupBy("horizon").agg(F.lit(1).alias("one")).join(d.agg(F.min("origin_date").alias("calibration_start"), F.max("origin_date").alias("calibration_end")), F.lit(True))
     return scaled.join(plain, ["horizon", "coverage"]).join(span.drop("one"), "horizon")
 
 
@@ -128,7 +129,7 @@ def prequential_intervals(forecasts: DataFrame, *, warmup_origins: int = 8, cove
     """
     if warmup_origins < 1:
         raise PanelError("warm-up takes an origin at least")
-    e = with_errors(forecasts)
+    e = cut(with_errors(forecasts))
     origins = e.select("origin_date").distinct().withColumn("nth", F.row_number().over(Window.orderBy("origin_date")))
     past = e.where("scored").join(origins, "origin_date").select("horizon", "nth", "scaled_error", "abs_error")
     later = [r.nth for r in origins.where(F.col("nth") > warmup_origins).select("nth").orderBy("nth").collect()]  # as many as there are origins
@@ -152,13 +153,16 @@ def interval_metrics(forecasts: DataFrame, coverages=COVERAGES, *, pooled: bool
     a, lo, hi, width = F.col("actual"), F.col("lo"), F.col("hi"), F.col("hi") - F.col("lo")
     winkler = width + 2 / (1 - F.col("coverage")) * F.when(a < lo, lo - a).when(a > hi, a - hi).otherwise(0.0)
     on = lambda c: F.when(F.col("ok"), c)
+    d = cut(d.select("coverage", "horizon", "ok", "actual", "lo", "hi", on(width).alias("width")))
     aggs = [F.count_if("ok").alias("interval_cells"), F.avg(on(a.between(lo, hi).cast("double"))).alias("empirical_coverage"), F.avg(on(width)).alias("mean_width"),
-            F.median(on(width)).alias("median_width"), F.avg(on(F.when(a > 0, width / a))).alias("mean_relative_width"), F.avg(on(winkler)).alias("mean_winkler")]
-    own = d.groupBy("coverage", "horizon").agg(*aggs).withColumn("scope", F.lit("horizon"))
-    if not pooled:
-        return own
-    whole = d.groupBy("coverage").agg(*aggs).withColumns({"horizon": F.lit(None).cast("int"), "scope": F.lit("pooled")})
-    return own.unionByName(whole)
+            F.avg(on(F.when(a > 0, width / a))).alias("mean_relative_width"), F.avg(on(winkler)).alias("mean_winkler")]
+    own, keys = d.groupBy("coverage", "horizon").agg(*aggs).withColumn("scope", F.lit("horizon")), ["scope", "coverage", "horizon"]
+    widths = d.select(F.lit("horizon").alias("scope"), "coverage", "horizon", "width")
+    if pooled:
+        every = {"horizon": F.lit(None).cast("int"), "scope": F.lit("pooled")}
+        own = own.unionByName(d.groupBy("coverage").agg(*aggs).withColumns(every))
+        widths = widths.unionByName(d.select("coverage", "width").withColumns(every))
+    return with_quantiles(own, widths, keys, "width", {"median_width": 0.5})
 
 
 def guardrails(pooled: DataFrame, bounds: dict[float, tuple[float, float]]) -> DataFrame:
@@ -223,7 +227,9 @@ def residual_acf(forecasts: DataFrame, *, lags=(1, 4), minimum_pairs: int = 12)
 
 
 def acf_summary(acf: DataFrame) -> DataFrame:
-    return acf.groupBy("horizon", "lag").agg(F.count("correlation").alias("defined"), F.median("correlation").alias("median"), F.avg(F.abs("correlation")).alias("mean_abs"))
+    acf = cut(acf.select("horizon", "lag", "correlation"))
+    own = acf.groupBy("horizon", "lag").agg(F.count("correlation").alias("defined"), F.avg(F.abs("correlation")).alias("mean_abs"))
+    return with_quantiles(own, acf, ["horizon", "lag"], "correlation", {"median": 0.5})
 
 
 def binned_residuals(forecasts: DataFrame, *, column: str, bins: int = 10) -> DataFrame:

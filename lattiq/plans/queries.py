@@ -18,7 +18,7 @@ from lattiq.operators import ridge as R
 from lattiq.operators import rollup as L
 from lattiq.operators import uncertainty as U
 from lattiq.plans import tables as T
-from lattiq.plans.sql import oracles
+from lattiq.plans.sql import DELTA_ALPHAS, LOG_ALPHAS, PLACES, oracles
 from lattiq.sources.sinks import cut
 
 START = T.EVALUATION["modeling_start"]
@@ -67,10 +67,15 @@ def _features(s, d):
     return X.panel_features(_dev(s, d), modeling_start=START)
 
 
-def _candidates(s, d, response="log", alphas=(0.1, 1.0, 10.0, 100.0)):
+def _candidates(s, d, response="log", alphas=LOG_ALPHAS):
     return R.rolling_candidates(_features(s, d), _cells(s, d), alphas=alphas, modeling_start=START, response=response, check=False)
 
 
+def _ridge_forecasts(s, d, *how):
+    f = _candidates(s, d, *how)["forecasts"].withColumn("forecast", F.round("forecast", PLACES))
+    return f.select("alpha", "entity", "origin_date", "horizon", "forecast", "actual", "scored", "floored", "seen")
+
+
 def _alpha(s, d, forecasts=None):
     f = _candidates(s, d)["forecasts"] if forecasts is None else forecasts
     m = M.with_errors(f).groupBy("alpha", "horizon").agg(*M.record())
@@ -167,11 +172,11 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "binned_residuals": lambda s, d: U.binned_residuals(_baseline(s, d).where("model = 'persistence'"), column="forecast"),
     "top_contributors": lambda s, d: P.top_contributors(_drill(s, d)),
     "drilldown": lambda s, d: P.drilldown_summary(_drill(s, d)),
-    "ridge_log": lambda s, d: _candidates(s, d)["forecasts"].select("alpha", "entity", "origin_date", "horizon", "forecast", "actual", "scored", "floored", "seen"),
-    "ridge_delta": lambda s, d: _candidates(s, d, "delta", (1.0, 100.0, 10000.0, 1000000.0))["forecasts"].select("alpha", "entity", "origin_date", "horizon", "forecast", "actual", "scored", "floored", "seen"),
+    "ridge_log": lambda s, d: _ridge_forecasts(s, d),
+    "ridge_delta": lambda s, d: _ridge_forecasts(s, d, "delta", DELTA_ALPHAS),
     "ridge_coefficients": lambda s, d: _candidates(s, d)["coefficients"],
     "ridge_training_diagnostics": lambda s, d: _candidates(s, d)["diagnostics"],
-    "ridge_diagnostic_summary": lambda s, d: R.diagnostic_summary(_candidates(s, d, alphas=(1.0,))["forecasts"]),
+    "ridge_diagnostic_summary": lambda s, d: R.diagnostic_summary(_candidates(s, d, alphas=(1.0,))["forecasts"]).withColumn("mae", F.round("mae", PLACES)),
     "alpha_selection": _alpha,
     "bootstrap_skill": lambda s, d: U.bootstrap_skill(_pairs(s, d), block_length=4, replications=2000, seed=20),
 }

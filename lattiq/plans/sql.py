@@ -148,6 +148,87 @@ _log = "log_level_t, log_change_1, log_change_2, log_change_3, recent_zero_count
 _delta = "level_t, raw_change_1, raw_change_2, raw_change_3, recent_zero_count, origin_index"
 _pick = "entity, year(origin_date) || 'Q' || quarter(origin_date) AS pseudo_origin, origin_date AS pseudo_origin_date, target_date, horizon"
 
+K_NUMERIC, SIZE = 6, 12  # constant, six numbers, four quarters, response
+
+
+def ridge(response: str, alphas: tuple[float, ...]) -> str:
+    """The penalised fits, training rows copied for each origin, the entities eliminated, and eleven equations solved row by row."""
+    numeric = (_log if response == "log" else _delta).split(", ")
+    y = "ln(1+y.value)-log_level_t" if response == "log" else "y.value-level_t"
+    vector = ", ".join(["1.0", *[f"{c}::DOUBLE" for c in numeric], *[f"(target_quarter={q})::INT::DOUBLE" for q in range(1, 5)], y])
+    entry = "(a.l - sj.mean*ai.l - si.mean*ja.l + si.mean*sj.mean*aa.l)/(si.spread*sj.spread) + CASE WHEN a.i=a.j AND a.i>1 THEN a.alpha ELSE 0 END"
+    if response != "log":
+        entry = f"CASE WHEN a.i=1 OR a.j=1 THEN (a.i=a.j)::INT::DOUBLE ELSE {entry} END"
+    shift = " + ".join(f"mean[{i}]/spread[{i}]*w[{i}]" for i in range(2, K_NUMERIC + 2))
+    level = " + ".join([numeric[0], "raw[1]", *[f"{c}*raw[{i + 2}]" for i, c in enumerate(numeric)], f"raw[{K_NUMERIC + 1} + target_quarter]", "coalesce(ow.own, 0)"])
+    floor = f"greatest({level}, 0)"
+    return FEAT + f""",
+al AS (SELECT unnest({[float(a) for a in alphas]}::DOUBLE[]) AS alpha), ou AS (SELECT DISTINCT origin_date AS oo FROM cells),
+trn AS (SELECT ft.entity, ft.horizon, ft.target_date, complete AND y.value IS NOT NULL AS fit, [{vector}]::DOUBLE[] AS v FROM ft LEFT JOIN dev y ON y.entity=ft.entity AND y.quarter=ft.target_date WHERE origin_date>=DATE '1995-10-01'),
+xa AS (SELECT oo, trn.* FROM trn JOIN ou ON target_date<=oo), xr AS (SELECT * FROM xa WHERE fit),
+es AS (SELECT oo, horizon, entity, [{', '.join(f'sum(v[{i}])' for i in range(1, SIZE + 1))}] AS s FROM xr GROUP BY 1,2,3),
+ij AS (SELECT i, j FROM (SELECT unnest(range(1,{SIZE + 1})) AS i) CROSS JOIN (SELECT unnest(range(1,{SIZE + 1})) AS j)),
+gr AS (SELECT oo, horizon, i, j, sum(v[i]*v[j]) AS g, min(v[i]) AS lo, max(v[i]) AS hi FROM xr CROSS JOIN ij GROUP BY 1,2,3,4),
+st AS (SELECT d.oo, d.horizon, d.i, d.g>0 AS held, n.g AS n, d.lo<d.hi AS varied, CASE WHEN d.i BETWEEN 2 AND {K_NUMERIC + 1} THEN m.g/n.g ELSE 0 END AS mean,
+    CASE WHEN d.i BETWEEN 2 AND {K_NUMERIC + 1} AND d.lo<d.hi AND d.g/n.g-(m.g/n.g)*(m.g/n.g)>0 THEN sqrt(d.g/n.g-(m.g/n.g)*(m.g/n.g)) ELSE 1 END AS spread
+    FROM gr d JOIN gr m ON m.oo=d.oo AND m.horizon=d.horizon AND m.i=1 AND m.j=d.i JOIN gr n ON n.oo=d.oo AND n.horizon=d.horizon AND n.i=1 AND n.j=1 WHERE d.i=d.j),
+le AS (SELECT g.oo, g.horizon, alpha, g.i, g.j, g.g-t AS l FROM gr g JOIN (SELECT oo, horizon, alpha, i, j, sum(s[i]*s[j]/(s[1]+alpha)) AS t FROM es CROSS JOIN al CROSS JOIN ij GROUP BY 1,2,3,4,5) k USING (oo, horizon, i, j)),
+eqs AS (SELECT a.oo, a.horizon, a.alpha, a.i, list({entry} ORDER BY a.j) AS r FROM le a JOIN st si ON si.oo=a.oo AND si.horizon=a.horizon AND si.i=a.i JOIN st sj ON sj.oo=a.oo AND sj.horizon=a.horizon AND sj.i=a.j
+    JOIN le ai ON ai.oo=a.oo AND ai.horizon=a.horizon AND ai.alpha=a.alpha AND ai.i=a.i AND ai.j=1 JOIN le ja ON ja.oo=a.oo AND ja.horizon=a.horizon AND ja.alpha=a.alpha AND ja.i=1 AND ja.j=a.j
+    JOIN le aa ON aa.oo=a.oo AND aa.horizon=a.horizon AND aa.alpha=a.alpha AND aa.i=1 AND aa.j=1 WHERE a.i<{SIZE} GROUP BY 1,2,3,4),
+rec AS (SELECT oo, horizon, alpha, 1 AS k, list(r ORDER BY i) AS m FROM eqs GROUP BY 1,2,3
+    UNION ALL SELECT oo, horizon, alpha, k+1, list_transform(m, lambda r, i: CASE WHEN i=k THEN list_transform(r, lambda x: x/m[k][k]) ELSE list_transform(r, lambda x, j: x-r[k]*(m[k][j]/m[k][k])) END) FROM rec WHERE k<{SIZE}),
+ww AS (SELECT oo, horizon, alpha, list_transform(m, lambda r: r[{SIZE}]) AS w, mean, spread, held, n FROM rec JOIN (SELECT oo, horizon, list(mean ORDER BY i) AS mean, list(spread ORDER BY i) AS spread, list(held ORDER BY i) AS held, min(n) AS n FROM st GROUP BY 1,2) USING (oo, horizon) WHERE k={SIZE}),
+fits AS (SELECT *, list_transform(w, lambda x, i: CASE WHEN i=1 THEN x-({shift}) ELSE x/spread[i] END) AS raw FROM ww),
+own AS (SELECT oo, horizon, alpha, entity, (s[{SIZE}]-list_sum(list_transform(raw, lambda x, i: x*s[i])))/(s[1]+alpha) AS own, w FROM es JOIN fits USING (oo, horizon)),
+lv AS (SELECT c.*, z.alpha, {level} AS level, ow.own IS NOT NULL AS seen, {'exp(' + floor + ')-1' if response == 'log' else floor} AS forecast FROM cells c JOIN ft ON ft.entity=c.entity AND ft.origin_date=c.origin_date AND ft.horizon=c.horizon
+    JOIN fits z ON z.oo=c.origin_date AND z.horizon=c.horizon LEFT JOIN own ow ON ow.oo=z.oo AND ow.horizon=z.horizon AND ow.alpha=z.alpha AND ow.entity=c.entity),
+rf AS (SELECT *, level<0 AS floored, forecast IS NOT NULL AS prediction_available, forecast IS NOT NULL AND actual IS NOT NULL AS scored, forecast-actual AS error, abs(forecast-actual) AS abs_error, (forecast-actual)*(forecast-actual) AS squared_error,
+    CASE WHEN scale>0 THEN abs(forecast-actual)/scale END AS scaled_error FROM lv)"""
+
+
+def _ridge_forecasts(response: str, alphas: tuple[float, ...]) -> str:
+    return f"WITH RECURSIVE {ridge(response, alphas)}\nSELECT alpha, entity, origin_date, horizon, round(forecast, {PLACES}) AS forecast, actual, scored, floored, seen FROM rf"
+
+
+def _ridge_coefficients(alphas: tuple[float, ...]) -> str:
+    names = [f"numeric__{c}" for c in _log.split(", ")] + [f"categorical__target_quarter_{q}" for q in range(1, 5)]
+    return f"""WITH RECURSIVE {ridge("log", alphas)}
+SELECT alpha, origin_date, horizon, feature, round(coefficient, 6) AS coefficient, round(intercept, 6) AS intercept FROM (
+    SELECT alpha, oo AS origin_date, horizon, {names}[x] AS feature, w[x+1] AS coefficient, w[1] AS intercept FROM fits CROSS JOIN (SELECT unnest(range(1, {len(names) + 1})) AS x) WHERE x<={K_NUMERIC} OR held[x+1]
+    UNION ALL SELECT alpha, oo, horizon, 'categorical__entity_' || entity, own, w[1] FROM own)"""
+
+
+def _ridge_diagnostics(alphas: tuple[float, ...], sweeps: int = 8) -> str:
+    """Eigenvalues by rotations: one pair of entries becomes zero after the other."""
+    k = K_NUMERIC
+    pairs = [[p, q] for _ in range(sweeps) for p in range(1, k + 1) for q in range(p + 1, k + 1)]
+    turned = "list_transform(m, lambda r, i: CASE WHEN i=p THEN list_transform(m[p], lambda x, j: c*x-s*m[q][j]) WHEN i=q THEN list_transform(m[p], lambda x, j: s*x+c*m[q][j]) ELSE r END)"
+    return f"""WITH RECURSIVE {ridge("log", alphas)},
+cv AS (SELECT a.oo, a.horizon, a.i, a.j, a.g/si.n-si.mean*sj.mean AS cov, si.varied AND sj.varied AS varied FROM gr a JOIN st si ON si.oo=a.oo AND si.horizon=a.horizon AND si.i=a.i JOIN st sj ON sj.oo=a.oo AND sj.horizon=a.horizon AND sj.i=a.j
+    WHERE a.i BETWEEN 2 AND {k + 1} AND a.j BETWEEN 2 AND {k + 1}),
+cr AS (SELECT a.oo, a.horizon, a.i, a.j, a.varied, CASE WHEN a.i=a.j THEN 1 WHEN a.varied THEN a.cov/sqrt(b.cov*c.cov) ELSE 0 END AS r FROM cv a JOIN cv b ON b.oo=a.oo AND b.horizon=a.horizon AND b.i=a.i AND b.j=a.i JOIN cv c ON c.oo=a.oo AND c.horizon=a.horizon AND c.i=a.j AND c.j=a.j),
+jac AS (SELECT oo, horizon, 1 AS k, list(row ORDER BY i) AS m FROM (SELECT oo, horizon, i, list(r ORDER BY j) AS row FROM cr GROUP BY 1,2,3) GROUP BY 1,2
+    UNION ALL SELECT oo, horizon, k+1, list_transform({turned}, lambda r: list_transform(r, lambda x, j: CASE WHEN j=p THEN c*r[p]-s*r[q] WHEN j=q THEN s*r[p]+c*r[q] ELSE x END))
+    FROM (SELECT *, 1/sqrt(1+t*t) AS c, t/sqrt(1+t*t) AS s FROM (SELECT *, CASE WHEN m[p][q]=0 THEN 0 ELSE (CASE WHEN tau<0 THEN -1 ELSE 1 END)/(abs(tau)+sqrt(1+tau*tau)) END AS t
+    FROM (SELECT *, CASE WHEN m[p][q]=0 THEN 0 ELSE (m[q][q]-m[p][p])/(2*m[p][q]) END AS tau FROM (SELECT *, {pairs}[k][1] AS p, {pairs}[k][2] AS q FROM jac WHERE k<={len(pairs)})))))
+SELECT oo AS origin_date, horizon, n.rows AS training_rows, n.candidates AS candidate_training_rows, n.candidates-n.rows AS excluded_training_rows, round(CASE WHEN d.any_varied THEN sqrt(hi/greatest(lo, 1e-300)) END, 6) AS condition, round(CASE WHEN d.any_varied THEN d.top END, 6) AS correlation
+FROM (SELECT oo, horizon, list_max(ev) AS hi, list_min(ev) AS lo FROM (SELECT oo, horizon, list_transform(m, lambda r, i: r[i]) AS ev FROM jac WHERE k={len(pairs) + 1}))
+JOIN (SELECT oo, horizon, count(*) FILTER (WHERE fit) AS rows, count(*) AS candidates FROM xa GROUP BY 1,2) n USING (oo, horizon)
+JOIN (SELECT oo, horizon, bool_or(varied) AS any_varied, coalesce(max(abs(r)) FILTER (WHERE i<j), 0) AS top FROM cr GROUP BY 1,2) d USING (oo, horizon)"""
+
+
+def _alpha_ctes(alphas: tuple[float, ...]) -> str:
+    return ridge("log", alphas) + f""",
+om AS (SELECT model, horizon, sum(abs_error) FILTER (WHERE scored)/sum(actual) FILTER (WHERE scored) AS wape FROM e GROUP BY 1,2),
+am AS (SELECT alpha, horizon, count(*) FILTER (WHERE prediction_available)::DOUBLE/count(*) AS coverage, sum(abs_error) FILTER (WHERE scored)/sum(actual) FILTER (WHERE scored) AS wape FROM rf GROUP BY 1,2),
+asum AS (SELECT alpha, avg(1-am.wape/om.wape) AS mean_skill, min(coverage) AS min_coverage, count(DISTINCT horizon) AS horizons FROM am JOIN om USING (horizon) WHERE om.model={CHOSEN} GROUP BY 1),
+asel AS (SELECT *, min_coverage=1 AS eligible, coalesce(alpha=(SELECT max(alpha) FROM asum WHERE min_coverage=1 AND mean_skill>=(SELECT max(mean_skill) FROM asum WHERE min_coverage=1)-0.0001), false) AS selected FROM asum)"""
+
+
+#: Ridge forecasts, of millions in the panel's unit, are compared to tens: two ways of solving agree to 10 to 12 digits.
+PLACES = -1
+LOG_ALPHAS, DELTA_ALPHAS = (0.1, 1.0, 10.0, 100.0), (1.0, 100.0, 10000.0, 1000000.0)
 CHECKS = ENTITIES + ",\n" + MASTER + """,
 checks AS (SELECT 'raw_quarterly_rows' AS check_name, count(*)::VARCHAR AS observed_value FROM raw
 UNION ALL SELECT 'domain_source_rows', count(*)::VARCHAR FROM records UNION ALL SELECT 'domain_distinct_units', count(DISTINCT unit_id)::VARCHAR FROM records
@@ -227,6 +308,12 @@ def oracles() -> dict[str, str]:
         "residual_acf": q(ACF, "SELECT *" + _r("correlation") + " FROM acf"),
         "acf_summary": q(ACF, "SELECT horizon, lag, count(correlation) AS defined, round(median(correlation),6) AS median, round(avg(abs(correlation)),6) AS mean_abs FROM acf GROUP BY 1,2"),
         "binned_residuals": q(F, "SELECT horizon, bin, count(*) AS rows, round(avg(error),6) AS mean_error, round(avg(abs_error),6) AS mean_abs_error, min(forecast) AS diagnostic_min, max(forecast) AS diagnostic_max, 'forecast' AS diagnostic FROM (SELECT *, least(10, ceil(row_number() OVER (PARTITION BY horizon ORDER BY forecast, origin_date, entity)::DOUBLE/count(*) OVER (PARTITION BY horizon)*10))::INT AS bin FROM e WHERE model='persistence' AND scored) GROUP BY 1,2"),
+        "ridge_log": _ridge_forecasts("log", LOG_ALPHAS),
+        "ridge_delta": _ridge_forecasts("delta", DELTA_ALPHAS),
+        "ridge_coefficients": _ridge_coefficients(LOG_ALPHAS),
+        "ridge_training_diagnostics": _ridge_diagnostics(LOG_ALPHAS),
+        "ridge_diagnostic_summary": f"WITH RECURSIVE {ridge('log', (1.0,))}\nSELECT horizon, count(*) AS forecast_rows, count(*) FILTER (WHERE scored) AS scored_cells, round(sum(error) FILTER (WHERE scored)/sum(actual) FILTER (WHERE scored),6) AS bias, round(avg(abs_error) FILTER (WHERE scored),{PLACES}) AS mae, round(avg(scaled_error) FILTER (WHERE scored),6) AS mean_scaled_error, round(avg(floored::INT::DOUBLE),6) AS floor_rate, count(*) FILTER (WHERE NOT seen) AS unseen_rows FROM rf GROUP BY 1",
+        "alpha_selection": f"WITH RECURSIVE {_alpha_ctes(LOG_ALPHAS)}\nSELECT alpha, round(mean_skill,6) AS mean_skill, min_coverage, horizons, eligible, selected FROM asel",
         "top_contributors": q(CHANGES, "SELECT * REPLACE (round(share,6) AS share) FROM (SELECT entity, period, unit_id, value, CASE WHEN sum(value) OVER w>0 THEN value/sum(value) OVER w END AS share, row_number() OVER (PARTITION BY entity, period ORDER BY value DESC, unit_id)::INT AS rank FROM drill WHERE value IS NOT NULL WINDOW w AS (PARTITION BY entity, period)) WHERE rank<=3"),
         "drilldown": q(CHANGES, "SELECT entity, period, count(*) AS unit_rows, count(value) AS observed_units, round(sum(value),6) AS value, max(value) AS largest FROM drill GROUP BY 1,2"),
     }
