@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattiq.errors import DiagnosticError, HoldoutError, PanelError
@@ -182,27 +182,51 @@ def block_starts(n_origins: int, *, block_length: int, replications: int, seed:
     return (first[:, :, None] + np.arange(block_length)).reshape(replications, -1)[:, :n_origins]
 
 
-def bootstrap_skill(pairs: DataFrame, *, block_length: int, replications: int, seed: int) -> DataFrame:
+def drawn_blocks(spark: SparkSession, n_origins: int, *, block_length: int, replications: int, seed: int) -> DataFrame:
+    """(replication, nth, w): how often a replication takes the nth origin (from 1), its blocks' starts drawn by a hash of seed, replication and block.
+
+    Any task can make any replication's draws, so they are rows like others and nothing is drawn on the driver.
+    """
+    if not 1 <= block_length <= n_origins:
+        raise PanelError("a block has 1 to all origins")
+    if replications < 1:
+        raise PanelError("replications are positive")
+    each = spark.range(replications).select(F.col("id").cast("int").alias("replication"), F.explode(F.sequence(F.lit(0), F.lit(-(-n_origins // block_length) - 1))).alias("block"))
+    # 52 bits of the hash as a fraction of one.
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "replication", "block").cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    each = each.withColumn("start", F.floor(u * (n_origins - block_length + 1)).cast("int"))
+    at = each.select("replication", "start", F.col("block") * block_length, F.explode(F.sequence(F.lit(0), F.lit(block_length - 1))).alias("k")).toDF("replication", "start", "before", "k")
+    return at.where(F.col("before") + F.col("k") < n_origins).groupBy("replication", (F.col("start") + F.col("k") + 1).alias("nth")).agg(F.count("*").cast("int").alias("w"))
+
+
+def seeded_blocks(spark: SparkSession, n_origins: int, **how: int) -> DataFrame:
+    """The same from numpy's generator, one draw after the other as its seed defines: for figures that were published so."""
+    draws = block_starts(n_origins, **how)
+    rows = [(r, int(o) + 1, int(n)) for r, own in enumerate(draws) for o, n in zip(*np.unique(own, return_counts=True), strict=True)]
+    return spark.createDataFrame(rows, "replication int, nth int, w int")
+
+
+def bootstrap_skill(pairs: DataFrame, *, block_length: int, replications: int, seed: int, generator: str = "hash") -> DataFrame:
     """WAPE skill of candidate over comparator: point value and 95 % bootstrap bounds by horizon, and their equal-weight mean.
 
     Errors are summed by (horizon, origin) once; a replication only reweights those sums.
-    The weights are (replication, origin) rows, few whatever the panel's size.
+    The weights are (replication, origin) rows, few whatever the panel's size; ``generator`` is "hash" or "numpy".
     """
     spark = pairs.sparkSession
     d = pairs.where("actual is not null and candidate_forecast is not null and comparator_forecast is not null")
     sums = cut(d.groupBy("horizon", "origin_date").agg(F.sum(F.abs(F.col("candidate_forecast") - F.col("actual"))).alias("a"), F.sum(F.abs(F.col("comparator_forecast") - F.col("actual"))).alias("b"), F.sum("actual").alias("v")))
-    origins = sorted(r[0] for r in sums.select("origin_date").distinct().collect())
-    draws = block_starts(len(origins), block_length=block_length, replications=replications, seed=seed)
-    weights = [(r, origins[o], int(n)) for r in range(replications) for o, n in zip(*np.unique(draws[r], return_counts=True), strict=True)]
-    w = spark.createDataFrame(weights, "replication int, origin_date date, w int")
+    origins = sums.select("origin_date").distinct().withColumn("nth", F.row_number().over(Window.orderBy("origin_date")))  # quarters
+    draw = {"hash": drawn_blocks, "numpy": seeded_blocks}[generator]
+    w = draw(spark, origins.count(), block_length=block_length, replications=replications, seed=seed)
     skill = lambda a, b, v: F.when((v > 0) & (b > 0), 1 - a / b)
     point = sums.groupBy("horizon").agg(skill(F.sum("a"), F.sum("b"), F.sum("v")).alias("point_skill"))
     s = [F.sum(F.col(c) * F.col("w")) for c in ("a", "b", "v")]
-    boot = sums.join(w, "origin_date").groupBy("replication", "horizon").agg(skill(*s).alias("skill"))
-    bounds = [F.percentile("skill", F.lit(p)).alias(n) for p, n in ((0.025, "lower_95"), (0.975, "upper_95"))]
-    own = boot.groupBy("horizon").agg(*bounds).join(point, "horizon").withColumn("summary", F.concat(F.lit("horizon_"), F.col("horizon").cast("string")))
-    mean = boot.groupBy("replication").agg(F.avg("skill").alias("skill")).agg(*bounds).join(point.agg(F.avg("point_skill").alias("point_skill")), F.lit(True))
-    mean = mean.withColumns({"horizon": F.lit(None).cast("int"), "summary": F.lit("equal_weight_mean")})
+    boot = cut(sums.join(origins, "origin_date").join(w, "nth").groupBy("replication", "horizon").agg(skill(*s).alias("skill")))
+    bounds = {"lower_95": 0.025, "upper_95": 0.975}
+    own = with_quantiles(point, boot, ["horizon"], "skill", bounds).withColumn("summary", F.concat(F.lit("horizon_"), F.col("horizon").cast("string")))
+    every = boot.groupBy("replication").agg(F.avg("skill").alias("skill")).withColumn("summary", F.lit("equal_weight_mean"))
+    mean = point.agg(F.avg("point_skill").alias("point_skill")).withColumns({"horizon": F.lit(None).cast("int"), "summary": F.lit("equal_weight_mean")})
+    mean = with_quantiles(mean, every, ["summary"], "skill", bounds)
     return own.unionByName(mean).withColumn("replications", F.lit(replications))
 
 

@@ -18,7 +18,7 @@ from lattiq.operators import ridge as R
 from lattiq.operators import rollup as L
 from lattiq.operators import uncertainty as U
 from lattiq.plans import tables as T
-from lattiq.plans.sql import DELTA_ALPHAS, LOG_ALPHAS, PLACES, oracles
+from lattiq.plans.sql import BOOTSTRAP, DELTA_ALPHAS, LOG_ALPHAS, PLACES, oracles
 from lattiq.sources.sinks import cut
 
 START = T.EVALUATION["modeling_start"]
@@ -76,18 +76,18 @@ def _ridge_forecasts(s, d, *how):
     return f.select("alpha", "entity", "origin_date", "horizon", "forecast", "actual", "scored", "floored", "seen")
 
 
-def _alpha(s, d, forecasts=None):
+def _alpha(s, d, forecasts=None, base=None):
     f = _candidates(s, d)["forecasts"] if forecasts is None else forecasts
     m = M.with_errors(f).groupBy("alpha", "horizon").agg(*M.record())
-    t = M.comparator_table(M.overall_metrics(_baseline(s, d)), Z.MAPPING).select("horizon", "comparator_wape")
+    t = M.comparator_table(M.overall_metrics(_baseline(s, d) if base is None else base), Z.MAPPING).select("horizon", "comparator_wape")
     return R.select_alpha(m.join(t, "horizon"), check=False)
 
 
 def _pairs(s, d):
     """The forecasts under the penalty that is selected, beside the comparator's."""
-    f = cut(_candidates(s, d)["forecasts"])
-    best = f.join(F.broadcast(_alpha(s, d, f).where("selected").select("alpha")), "alpha")  # one row
-    return R.pair_with_comparator(best, _baseline(s, d), Z.MAPPING, check=False)
+    f, base = cut(_candidates(s, d)["forecasts"]), cut(_baseline(s, d))
+    best = f.join(F.broadcast(_alpha(s, d, f, base).where("selected").select("alpha")), "alpha")  # one row
+    return R.pair_with_comparator(best, base, Z.MAPPING, check=False)
 
 
 def _changes(s, d):
@@ -178,7 +178,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ridge_training_diagnostics": lambda s, d: _candidates(s, d)["diagnostics"],
     "ridge_diagnostic_summary": lambda s, d: R.diagnostic_summary(_candidates(s, d, alphas=(1.0,))["forecasts"]).withColumn("mae", F.round("mae", PLACES)),
     "alpha_selection": _alpha,
-    "bootstrap_skill": lambda s, d: U.bootstrap_skill(_pairs(s, d), block_length=4, replications=2000, seed=20),
+    "bootstrap_skill": lambda s, d: U.bootstrap_skill(_pairs(s, d), **BOOTSTRAP),
+    "bootstrap_baselines": lambda s, d: U.bootstrap_skill(_comparator_pairs(s, d), **BOOTSTRAP),
 }
 
 

@@ -31,7 +31,7 @@ def build_dataset(spark: SparkSession, config: dict, files: dict[str, tuple[str,
     ``files`` has ``records`` and ``master`` (path, spec); ``names`` maps the operators' field names to the files' columns.
     """
     started = dt.datetime.now(dt.UTC)
-    status = {k: validate_raw_file(p, s) for k, (p, s) in files.items()}
+    status = {k: validate_raw_file(spark, p, s) for k, (p, s) in files.items()}
     pick = lambda k, cols: scan(spark, *files[k]).select(*[F.col(f"`{names[c]}`").alias(c) for c in cols])
     raw = pick("records", RAW)
     records = typed_records(raw, config.get("domain", "C")).persist()
@@ -43,7 +43,7 @@ def build_dataset(spark: SparkSession, config: dict, files: dict[str, tuple[str,
         checks = verdict(observed, config["quality_expectations"])
         return N.write_run(
             {"unit_quarter": (units, ["quarter", "unit_id", "entity"], ["quarter"]), "entity_quarter": (entities, ["quarter", "entity"], ["quarter"])},  # a folder a quarter: what is after a cutoff isn't opened
-            runs_root, stage="build", config=config, root=root, started=started, raw=status, checks=checks, inputs={p: status[k]["sha256"] for k, (p, _) in files.items()})
+            runs_root, stage="build", config=config, root=root, started=started, raw=status, checks=checks)
     finally:
         for d in (records, units, entities):
             d.unpersist()
@@ -141,7 +141,7 @@ def selection_tables(panel: DataFrame, config: dict, candidate: dict) -> dict[st
         "cells": cells, "baseline_forecasts": base, "baseline_metrics": overall, "candidate_forecasts": f, "alpha_metrics": by_alpha, "alpha_summary": chosen, "selected_forecasts": intervals,
         "selected_metrics": selected, "selected_entity_metrics": M.entity_metrics(best), "selected_origin_metrics": M.origin_metrics(best), "selected_volume_metrics": M.volume_metrics(best), "interval_metrics": U.interval_metrics(intervals, coverages),
         "coefficients": got["coefficients"], "training_diagnostics": got["diagnostics"], "diagnostic_summary": R.diagnostic_summary(best), "residual_acf": acf, "acf_summary": U.acf_summary(acf),
-        "binned_residuals": bins[0], "pairs": pairs, "bootstrap_skill": U.bootstrap_skill(pairs, **boot),
+        "binned_residuals": bins[0], "pairs": pairs, "bootstrap_skill": U.bootstrap_skill(pairs, **boot, generator="numpy"),
         **({"promotion": R.promotion(panel.sparkSession, {f"wape_h{r.horizon}": r.wape for r in selected.collect()}, gates)} if gates else {}),
     }
 

@@ -226,6 +226,21 @@ asum AS (SELECT alpha, avg(1-am.wape/om.wape) AS mean_skill, min(coverage) AS mi
 asel AS (SELECT *, min_coverage=1 AS eligible, coalesce(alpha=(SELECT max(alpha) FROM asum WHERE min_coverage=1 AND mean_skill>=(SELECT max(mean_skill) FROM asum WHERE min_coverage=1)-0.0001), false) AS selected FROM asum)"""
 
 
+def bootstrap(pairs: str, block_length: int, replications: int, seed: int) -> str:
+    """Every replication's origins one by one, its blocks' starts from the same hash, then its skill; ``pairs`` has horizon, origin_date, actual, a and b."""
+    return f"""bp AS ({pairs}), bo AS (SELECT origin_date, row_number() OVER (ORDER BY origin_date) AS nth FROM (SELECT DISTINCT origin_date FROM bp)), bn AS (SELECT count(*) AS n FROM bo),
+bd AS (SELECT r, b, k, floor(('0x' || substr(md5('{seed}:' || r || ':' || b), 1, 13))::BIGINT / {float(1 << 52)}::DOUBLE * ((SELECT n FROM bn) - {block_length - 1}))::BIGINT + k + 1 AS nth
+    FROM (SELECT unnest(range(0, {replications})) AS r) CROSS JOIN (SELECT unnest(range(0, (SELECT ceil(n / {block_length}.0)::BIGINT FROM bn))) AS b) CROSS JOIN (SELECT unnest(range(0, {block_length})) AS k) WHERE b * {block_length} + k < (SELECT n FROM bn)),
+bs AS (SELECT horizon, origin_date, sum(abs(a-actual)) AS a, sum(abs(b-actual)) AS b, sum(actual) AS v FROM bp GROUP BY 1,2),
+br AS (SELECT r, horizon, CASE WHEN sum(v)>0 AND sum(b)>0 THEN 1-sum(a)/sum(b) END AS skill FROM (SELECT d.r, s.* FROM bd d JOIN bo USING (nth) JOIN bs s USING (origin_date)) GROUP BY 1,2),
+pt AS (SELECT horizon, CASE WHEN sum(v)>0 AND sum(b)>0 THEN 1-sum(a)/sum(b) END AS point_skill FROM bs GROUP BY 1)
+SELECT summary, horizon, round(point_skill,6) AS point_skill, round(lower_95,6) AS lower_95, round(upper_95,6) AS upper_95, {replications}::INT AS replications FROM (
+    SELECT 'horizon_' || horizon AS summary, horizon, point_skill, quantile_cont(skill, 0.025) AS lower_95, quantile_cont(skill, 0.975) AS upper_95 FROM br JOIN pt USING (horizon) GROUP BY 1,2,3
+    UNION ALL SELECT 'equal_weight_mean', NULL, (SELECT avg(point_skill) FROM pt), quantile_cont(skill, 0.025), quantile_cont(skill, 0.975) FROM (SELECT r, avg(skill) AS skill FROM br GROUP BY 1))"""
+
+
+BOOTSTRAP = {"block_length": 4, "replications": 2000, "seed": 20}
+_COMPARED = f"(SELECT * FROM f WHERE model={CHOSEN}) b ON b.entity=a.entity AND b.origin_date=a.origin_date AND b.horizon=a.horizon WHERE a.actual IS NOT NULL AND a.forecast IS NOT NULL AND b.forecast IS NOT NULL"
 #: Ridge forecasts, of millions in the panel's unit, are compared to tens: two ways of solving agree to 10 to 12 digits.
 PLACES = -1
 LOG_ALPHAS, DELTA_ALPHAS = (0.1, 1.0, 10.0, 100.0), (1.0, 100.0, 10000.0, 1000000.0)
@@ -314,6 +329,8 @@ def oracles() -> dict[str, str]:
         "ridge_training_diagnostics": _ridge_diagnostics(LOG_ALPHAS),
         "ridge_diagnostic_summary": f"WITH RECURSIVE {ridge('log', (1.0,))}\nSELECT horizon, count(*) AS forecast_rows, count(*) FILTER (WHERE scored) AS scored_cells, round(sum(error) FILTER (WHERE scored)/sum(actual) FILTER (WHERE scored),6) AS bias, round(avg(abs_error) FILTER (WHERE scored),{PLACES}) AS mae, round(avg(scaled_error) FILTER (WHERE scored),6) AS mean_scaled_error, round(avg(floored::INT::DOUBLE),6) AS floor_rate, count(*) FILTER (WHERE NOT seen) AS unseen_rows FROM rf GROUP BY 1",
         "alpha_selection": f"WITH RECURSIVE {_alpha_ctes(LOG_ALPHAS)}\nSELECT alpha, round(mean_skill,6) AS mean_skill, min_coverage, horizons, eligible, selected FROM asel",
+        "bootstrap_skill": f"WITH RECURSIVE {_alpha_ctes(LOG_ALPHAS)}, " + bootstrap(f"SELECT a.horizon, a.origin_date, a.actual, a.forecast AS a, b.forecast AS b FROM (SELECT * FROM rf WHERE alpha=(SELECT alpha FROM asel WHERE selected)) a JOIN {_COMPARED}", **BOOTSTRAP),
+        "bootstrap_baselines": q(F + ",\n", bootstrap(f"SELECT a.horizon, a.origin_date, a.actual, a.forecast AS a, b.forecast AS b FROM (SELECT * FROM f WHERE model='seasonal_naive') a JOIN {_COMPARED}", **BOOTSTRAP)),
         "top_contributors": q(CHANGES, "SELECT * REPLACE (round(share,6) AS share) FROM (SELECT entity, period, unit_id, value, CASE WHEN sum(value) OVER w>0 THEN value/sum(value) OVER w END AS share, row_number() OVER (PARTITION BY entity, period ORDER BY value DESC, unit_id)::INT AS rank FROM drill WHERE value IS NOT NULL WINDOW w AS (PARTITION BY entity, period)) WHERE rank<=3"),
         "drilldown": q(CHANGES, "SELECT entity, period, count(*) AS unit_rows, count(value) AS observed_units, round(sum(value),6) AS value, max(value) AS largest FROM drill GROUP BY 1,2"),
     }

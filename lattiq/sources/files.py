@@ -78,6 +78,21 @@ def size_of(spark: SparkSession, path: str) -> int | None:
     return fs.getFileStatus(p).getLen() if fs.exists(p) and fs.getFileStatus(p).isFile() else None
 
 
+def modified_at(spark: SparkSession, path: str) -> int:
+    fs, p = _at(spark, path)
+    return fs.getFileStatus(p).getModificationTime()
+
+
+def sha256_of(spark: SparkSession, path: str) -> str:
+    """A file's SHA-256, read as a stream by the driver's JVM."""
+    fs, p = _at(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = _at(spark, path)
     fs.delete(p, True)

@@ -1,3 +1,4 @@
+import hashlib
 import datetime as dt
 import math
 
@@ -159,12 +160,16 @@ def test_interval_metrics(spark):
     assert m[("horizon", 2)]["interval_cells"] == 0 and m[("horizon", 2)]["mean_width"] is None and m[("pooled", None)]["interval_cells"] == 2
 
 
-def test_bootstrap_against_direct(spark):
+@pytest.mark.parametrize("generator", ["numpy", "hash"])
+def test_bootstrap_against_direct(spark, generator):
     rng = np.random.default_rng(1)
     rows = [(Q.period_start(Q.shift("2019Q1", o)), e, h, 100.0, 100.0 + float(rng.normal()), 100.0 + float(rng.normal())) for o in range(8) for e in "AB" for h in (1, 2)]
     d = spark.createDataFrame(rows, "origin_date date, entity string, horizon int, actual double, candidate_forecast double, comparator_forecast double")
-    got = by(U.bootstrap_skill(d, block_length=3, replications=40, seed=9), "summary")
+    got = by(U.bootstrap_skill(d, block_length=3, replications=40, seed=9, generator=generator), "summary")
     draws = U.block_starts(8, block_length=3, replications=40, seed=9)
+    if generator == "hash":
+        start = lambda r, b: int(int(hashlib.md5(f"9:{r}:{b}".encode()).hexdigest()[:13], 16) / 2**52 * 6)
+        draws = [[start(r, b) + k for b in range(3) for k in range(3)][:8] for r in range(40)]
     f = pd.DataFrame(rows, columns=["o", "e", "h", "a", "c", "b"])
     dates = sorted(f.o.unique())
     skill = {h: [] for h in (1, 2)}
@@ -179,6 +184,23 @@ def test_bootstrap_against_direct(spark):
     assert all(r.point_skill == 0 for r in U.bootstrap_skill(same, block_length=3, replications=5, seed=1).collect())
 
 
+def test_quantiles_by_range_counts(spark):
+    from lattiq.functions.ranks import quantiles, with_quantiles
+
+    rng = np.random.default_rng(7)
+    rows = [(k, int(v) / 4) for k in ("a", "b", None) for v in rng.integers(0, 60, 300 if k != "b" else 7)] + [("c", None), ("a", None), ("d", 1.5)]
+    d = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    at = {"low": 0.0, "q": 0.3, "median": 0.5, "q9": 0.975, "high": 1.0}
+    got = {r.k: r for r in quantiles(d, ["k"], "v", at).collect()}
+    assert got.keys() == {"a", "b", None, "d"}
+    for k, r in got.items():
+        own = [v for g, v in rows if g == k and v is not None]
+        assert all(math.isclose(r[n], np.quantile(own, q)) for n, q in at.items())
+    every = with_quantiles(d.select("k").distinct(), d, ["k"], "v", {"median": 0.5})
+    assert {r.k: r.median for r in every.collect()}["c"] is None and every.count() == 5
+    assert "percentile" not in every._jdf.queryExecution().toString()
+
+
 def test_acf(spark):
     rows = [(Q.period_start(Q.shift("2015Q1", o)), e, 1, float(o if e == "A" else 5), 0.0, True) for o in range(16) for e in "AB"]
     d = spark.createDataFrame(rows, "origin_date date, entity string, horizon int, forecast double, actual double, scored boolean")

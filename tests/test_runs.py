@@ -9,7 +9,8 @@ from lattiq.operators.rollup import RAW, entity_quarters, typed_records, unit_qu
 from lattiq.plans import lineage as N
 from lattiq.plans import runs
 from lattiq.plans.holdout import Ledger
-from lattiq.sources.delimited import FileSpec, bad_lines, inspect_unquoted, read_header, scan, validate_raw_file
+from lattiq.sources.delimited import FileSpec, bad_lines, inspect_splits, inspect_unquoted, read_header, same_file, scan, validate_raw_file
+from lattiq.sources.files import sha256_of
 from lattiq.sources.sinks import content_hash, publish
 
 COLUMNS = tuple(c.upper() for c in RAW)
@@ -65,16 +66,55 @@ def test_raw_contract(spark, tmp_path):
     p.write_bytes(b"A|B\n1|before \x8f after\n2\n")
     assert inspect_unquoted(p, spec)["first_bad_lines"] == [3] and bad_lines(spark, str(p), spec).count() == 1
     with pytest.raises(ContractError):
-        validate_raw_file(p, spec)
+        validate_raw_file(spark, p, spec)
     p.write_bytes(b"A|B\n1|before \x8f after\n2|\n")
-    assert validate_raw_file(p, spec)["status"] == "passed" and read_header(p, spec) == ["A", "B"]
+    assert validate_raw_file(spark, p, spec)["status"] == "passed" and read_header(spark, str(p), spec) == ["A", "B"]
     assert [r.B for r in scan(spark, str(p), spec).orderBy("A").collect()] == ["before \x8f after", None]
     for bad in (FileSpec(("A", "C"), quote=""), FileSpec(("A", "B"), quote="", bytes_=1), FileSpec(("A", "B"), quote="", sha256="0")):
         with pytest.raises(ContractError):
-            validate_raw_file(p, bad)
+            validate_raw_file(spark, p, bad)
     (tmp_path / "e.txt").write_text("")
     with pytest.raises(ContractError):
-        read_header(tmp_path / "e.txt", spec)
+        read_header(spark, str(tmp_path / "e.txt"), spec)
+    with pytest.raises(ContractError):
+        validate_raw_file(spark, tmp_path / "gone.txt", spec)
+
+
+def test_a_file_in_many_splits_is_inspected_as_in_one_pass(spark, tmp_path):
+    lines = [f"{i}|é \x8f {'x' * (i * 7 % 90)}" + ("|" if i % 701 == 3 else "") for i in range(4000)]
+    p = tmp_path / "u.txt"
+    spec = FileSpec(("A", "B"), quote="")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    seen = set()
+    try:
+        for end in ("\n", ""):
+            p.write_bytes(("A|B\n" + "\n".join(lines) + end).encode("latin-1"))
+            want = inspect_unquoted(p, spec)
+            for size in ("1g", str(p.stat().st_size // 64), "1000"):
+                spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+                spark.conf.set("spark.sql.files.openCostInBytes", "0")
+                got = inspect_splits(spark, str(p), spec)
+                assert {k: got[k] for k in want if k != "sha256"} == {k: v for k, v in want.items() if k != "sha256"} and len(want["first_bad_lines"]) == 5
+                seen.add(got["fingerprint"])
+            assert sha256_of(spark, str(p)) == want["sha256"]
+        lines[5], lines[6] = lines[6], lines[5]
+        p.write_bytes(("A|B\n" + "\n".join(lines)).encode("latin-1"))
+        assert len(seen) == 1 and inspect_splits(spark, str(p), spec)["fingerprint"] not in seen  # order counts
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_a_declared_fingerprint_stands_for_the_hash(spark, tmp_path):
+    p = tmp_path / "u.txt"
+    p.write_bytes(b"A|B\n1|2\n")
+    mark = inspect_splits(spark, str(p), FileSpec(("A", "B"), quote=""))["fingerprint"]
+    for quote in ("", '"'):
+        record = validate_raw_file(spark, p, FileSpec(("A", "B"), quote=quote, fingerprint=mark))
+        assert "sha256" not in record and same_file(spark, record)
+        assert same_file(spark, record | {"modified": 0}) and not same_file(spark, record | {"modified": 0, "fingerprint": "0"}) and not same_file(spark, record | {"bytes": 1})
+    with pytest.raises(ContractError, match="another fingerprint"):
+        validate_raw_file(spark, p, FileSpec(("A", "B"), fingerprint="0"))
 
 
 def test_number_text(spark):
