@@ -97,47 +97,46 @@ def frozen_intervals(forecasts: DataFrame, quantiles: DataFrame, coverages=COVER
     return d.withColumn("interval_source", F.when(scaled, "entity_scale").otherwise("pooled_plain")).drop(*lacking)
 
 
-def pool_quantiles(counts: DataFrame, value: str, at: list[int], coverages, name: str) -> DataFrame:
-    """(horizon, nth, <name>_<coverage>...) from (horizon, value, n): n[i] counts the value in the pool of origin at[i].
+def pool_quantiles(errors: DataFrame, keys: list[str], value: str, later: list[int], coverages) -> DataFrame:
+    """(keys, at, q_<coverage>...): for each origin ``at`` in ``later``, conformal quantiles of the values (keys, nth, value) with nth < at.
 
-    As in ``running_sum``, ranges of values are summed on their own first.
+    Values are put in order once, range by range, and counted by range and origin.  A pool's rank lies in one range; only that range's
+    rows meet the pool, so rows met are the pools (as many as the calendar has) times a range's share of all rows.
     """
-    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = cut(counts.repartitionByRange(n, "horizon", value).withColumn("r", F.spark_partition_id()))
-    each = d.select("horizon", "r", value, F.posexplode("n").alias("i", "m")).where("m > 0")
-    sums = each.groupBy("horizon", "i", "r").agg(F.sum("m").alias("own"), F.count("*").alias("values"))
-    by = Window.partitionBy("horizon", "i")
-    sums = sums.select("horizon", "i", "r", "own", F.coalesce(F.sum("own").over(by.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("own").over(by).alias("cells"))
-    # A pool's quantile lies in the one range that its rank falls into; only these ranges are put in order.
-    ranks = F.explode(F.array(*[F.struct(F.lit(suffix(c)).alias("c"), conformal_rank(F.col("cells"), c).alias("rank")) for c in coverages])).alias("x")
-    hit = sums.select("*", ranks).select("horizon", "i", "r", "before", "x.c", "x.rank").where("rank > before").join(
-        sums.select("horizon", "i", "r", (F.col("before") + F.col("own")).alias("upto")), ["horizon", "i", "r"]).where("rank <= upto")
-    found = each.join(F.broadcast(hit), ["horizon", "i", "r"])  # a row for each horizon, origin and coverage: the calendar bounds them
-    upto = F.col("before") + F.sum("m").over(Window.partitionBy("horizon", "i", "r", "c").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    found = found.withColumn("upto", upto).where("upto >= rank").groupBy("horizon", "i").agg(*[F.min(F.when(F.col("c") == suffix(c), F.col(value))).alias(f"{name}_{suffix(c)}") for c in coverages])
-    nth = F.get(F.array(*[F.lit(k) for k in at]), F.col("i")) if at else F.lit(None).cast("int")
-    return found.withColumn("nth", nth.cast("int")).drop("i")
+    n = int(errors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = errors.groupBy(*keys, "nth", value).agg(F.count("*").alias("n"))
+    d = cut(d.repartitionByRange(n, *keys, value).withColumn("r", F.spark_partition_id()))  # equal values share a range
+    pools = F.array(*[F.struct(F.lit(at).alias("at"), F.coalesce(F.sum(F.when(F.col("nth") < at, F.col("n"))), F.lit(0)).alias("own")) for at in later]) if later else F.array().cast("array<struct<at int, own bigint>>")
+    sums = d.groupBy(*keys, "r").agg(pools.alias("pools")).select(*keys, "r", F.inline("pools")).where("own > 0")  # a row for each range and origin at most
+    by = Window.partitionBy(*keys, "at")
+    sums = sums.withColumns({"before": F.coalesce(F.sum("own").over(by.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "cells": F.sum("own").over(by)})
+    ranks = F.array(*[F.struct(F.lit(suffix(c)).alias("c"), conformal_rank(F.col("cells"), c).alias("rank")) for c in coverages])
+    hit = sums.select(*keys, "at", "r", "before", "own", F.inline(ranks)).where("rank > before and rank <= before + own")
+    met = d.join(F.broadcast(hit.drop("own")), [*keys, "r"]).where("nth < at")  # a row for each pool and coverage: the calendar bounds them
+    met = met.groupBy(*keys, "at", "c", "before", "rank", value).agg(F.sum("n").alias("n"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "at", "c").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    found = met.withColumn("upto", upto).where("upto >= rank")
+    return found.groupBy(*keys, "at").agg(*[F.min(F.when(F.col("c") == suffix(c), F.col(value))).alias(f"q_{suffix(c)}") for c in coverages])
 
 
 def prequential_intervals(forecasts: DataFrame, *, warmup_origins: int = 8, coverages=COVERAGES) -> DataFrame:
     """Intervals from the scored errors of strictly earlier origins of the same horizon.
 
-    For each horizon and origin the pool of earlier errors is summed up once and its
-    order statistics are taken by counting: distinct values are put in order once, range by range, with a
-    array of counts, one for each later origin, beside them.  Rows then look up their origin's quantiles; a row never
-    meets the errors before it one by one, and what is unfolded by origin is summed where it stands and does not travel.
+    The pools of all origins are counted over one order of the errors (``pool_quantiles``), of both kinds in one pass.  Rows then
+    look up their origin's quantiles; a row never meets the errors before it one by one.
     """
     if warmup_origins < 1:
         raise PanelError("warm-up takes an origin at least")
     e = cut(with_errors(forecasts))
-    origins = e.select("origin_date").distinct().withColumn("nth", F.row_number().over(Window.orderBy("origin_date")))
-    past = e.where("scored").join(origins, "origin_date").select("horizon", "nth", "scaled_error", "abs_error")
+    origins = cut(e.select("origin_date").distinct().withColumn("nth", F.row_number().over(Window.orderBy("origin_date"))))
     later = [r.nth for r in origins.where(F.col("nth") > warmup_origins).select("nth").orderBy("nth").collect()]  # as many as there are origins
     out = e.join(origins, "origin_date")
-    for value, name in (("scaled_error", "scaled"), ("abs_error", "plain")):
-        counts = finite(past, value).groupBy("horizon", value).agg(F.array(*[F.count_if(F.col("nth") < at) for at in later]).alias("n") if later else F.array().cast("array<bigint>").alias("n"))
-        q = pool_quantiles(counts, value, later, coverages, name)
-        out = out.join(q, ["horizon", "nth"], "left")
+    kinds = F.explode(F.create_map(F.lit("scaled"), F.col("scaled_error"), F.lit("plain"), F.col("abs_error"))).alias("kind", "v")
+    past = finite(out.where("scored").select("horizon", "nth", kinds), "v")
+    q = cut(pool_quantiles(past, ["kind", "horizon"], "v", later, coverages))
+    for kind in ("scaled", "plain"):
+        own = q.where(F.col("kind") == kind).select("horizon", F.col("at").alias("nth"), *[F.col(f"q_{suffix(c)}").alias(f"{kind}_{suffix(c)}") for c in coverages])
+        out = out.join(own, ["horizon", "nth"], "left")
     scaled = F.coalesce(F.col("scale") > 0, F.lit(False))
     out = _interval(out, {c: F.when(scaled, F.col(f"scaled_{suffix(c)}") * F.col("scale")).otherwise(F.col(f"plain_{suffix(c)}")) for c in coverages})
     some = F.col(f"interval_available_{suffix(coverages[0])}")
