@@ -25,6 +25,8 @@ from lattiq.operators.features import DELTA, LOG, prediction_features, supervise
 from lattiq.sources.sinks import cut
 
 QUARTERS = (1, 2, 3, 4)
+#: An eigenvalue of so small a share of the largest one is zero, as far as doubles can tell.
+SINGULAR = 1e-12
 
 
 def _each(n: int, value: Callable[[Column], Column]) -> Column:
@@ -115,10 +117,11 @@ def _diagnostics(grown: DataFrame, size: int, k: int) -> DataFrame:
     entry = lambda i, j: F.when(i == j, F.lit(1.0)).when(varied(i) & varied(j), cov(i, j) / F.sqrt(cov(i, i) * cov(j, j))).otherwise(0.0)
     d = d.withColumn("r", _each(k, lambda i: _each(k, lambda j: entry(i, j))))
     d = d.withColumn("values", F.array_sort(_extreme_eigenvalues(F.col("r"), k)))
+    least, most = F.get("values", F.lit(0)), F.get("values", F.lit(k - 1))
     n_varied = F.aggregate(F.zip_with("low", "high", lambda a, b: (a < b).cast("int")), F.lit(0), lambda a, x: a + x)
     off = F.array_max(F.flatten(F.transform("r", lambda row, i: F.transform(row, lambda x, j: F.when(i < j, F.abs(x)).otherwise(0.0)))))
     return d.select("outer", "horizon", F.round(g(0, 0)).cast("long").alias("training_rows"),
-                    F.when(n_varied > 0, F.sqrt(F.get("values", F.lit(k - 1)) / F.greatest(F.get("values", F.lit(0)), F.lit(1e-300)))).alias("condition"), F.when(n_varied > 0, off).alias("correlation"))
+                    F.when(n_varied > 0, F.when(least > SINGULAR * most, F.sqrt(most / least)).otherwise(float("inf"))).alias("condition"), F.when(n_varied > 0, off).alias("correlation"))
 
 
 def _products(cols: list[str], over=None) -> list:

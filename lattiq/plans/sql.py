@@ -212,7 +212,7 @@ jac AS (SELECT oo, horizon, 1 AS k, list(row ORDER BY i) AS m FROM (SELECT oo, h
     UNION ALL SELECT oo, horizon, k+1, list_transform({turned}, lambda r: list_transform(r, lambda x, j: CASE WHEN j=p THEN c*r[p]-s*r[q] WHEN j=q THEN s*r[p]+c*r[q] ELSE x END))
     FROM (SELECT *, 1/sqrt(1+t*t) AS c, t/sqrt(1+t*t) AS s FROM (SELECT *, CASE WHEN m[p][q]=0 THEN 0 ELSE (CASE WHEN tau<0 THEN -1 ELSE 1 END)/(abs(tau)+sqrt(1+tau*tau)) END AS t
     FROM (SELECT *, CASE WHEN m[p][q]=0 THEN 0 ELSE (m[q][q]-m[p][p])/(2*m[p][q]) END AS tau FROM (SELECT *, {pairs}[k][1] AS p, {pairs}[k][2] AS q FROM jac WHERE k<={len(pairs)})))))
-SELECT oo AS origin_date, horizon, n.rows AS training_rows, n.candidates AS candidate_training_rows, n.candidates-n.rows AS excluded_training_rows, round(CASE WHEN d.any_varied THEN sqrt(hi/greatest(lo, 1e-300)) END, 6) AS condition, round(CASE WHEN d.any_varied THEN d.top END, 6) AS correlation
+SELECT oo AS origin_date, horizon, n.rows AS training_rows, n.candidates AS candidate_training_rows, n.candidates-n.rows AS excluded_training_rows, CASE WHEN d.any_varied THEN CASE WHEN lo>1e-12*hi THEN round(sqrt(hi/lo), 6) ELSE 'inf'::DOUBLE END END AS condition, round(CASE WHEN d.any_varied THEN d.top END, 6) AS correlation
 FROM (SELECT oo, horizon, list_max(ev) AS hi, list_min(ev) AS lo FROM (SELECT oo, horizon, list_transform(m, lambda r, i: r[i]) AS ev FROM jac WHERE k={len(pairs) + 1}))
 JOIN (SELECT oo, horizon, count(*) FILTER (WHERE fit) AS rows, count(*) AS candidates FROM xa GROUP BY 1,2) n USING (oo, horizon)
 JOIN (SELECT oo, horizon, bool_or(varied) AS any_varied, coalesce(max(abs(r)) FILTER (WHERE i<j), 0) AS top FROM cr GROUP BY 1,2) d USING (oo, horizon)"""
