@@ -6,7 +6,8 @@ reading of SentencePiece defines it; the supplied file's scores are merge ranks,
 are used as they stand.  Sums are in double precision (the library's are in single); of equal sums the
 one whose last piece is longest wins.
 
-``search`` goes through its input once, one character a step.  It keeps the best sums of the positions that a
+``search`` goes through its input once, one character a step.  What begins at a position is followed only as long
+as some piece begins like it.  The search keeps the best sums of the positions that a
 piece can still reach back to (as many as the longest piece has characters), and for each of
 them the position where its path stood when the search last looked.  Every ``LOOK`` steps it looks whether the paths of all positions
 that can still be extended meet in one boundary; what lies before it is decided whatever follows: its ids are
@@ -67,9 +68,8 @@ class Vocabulary:
         h = np.array([poly(p) for p in names], np.uint64)
         if len(np.unique(h)) != len(h):
             raise ValueError("two pieces share a hash")
-        may = np.zeros(1 << SLOT_BITS, bool)
-        may[self.slot(h, 0)] = True
-        self.may = np.packbits(may, bitorder="little")  # a bit for each slot: some piece may have this hash
+        self.may = self.bits(h)  # some piece may have this hash
+        self.open = self.bits(np.fromiter({x for p in names for x in prefixes(p)}, np.uint64))  # some piece may begin like this
         # Slots by the top bits; pieces whose slot is taken stand in a second table, kept by other bits, or a third.
         self.tables, left = [], np.arange(len(h))
         ids, scores = np.array([self.ids[p] for p in names], np.int32), np.array([self.scores[p] for p in names])
@@ -89,11 +89,22 @@ class Vocabulary:
     def slot(h: np.ndarray, k: int) -> np.ndarray:
         return ((h >> np.uint64(64 - SLOT_BITS - 7 * k)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
 
-    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which of the hashes are pieces (flat places), with their scores and ids."""
-        h = h.ravel()
+    @classmethod
+    def bits(cls, h: np.ndarray) -> np.ndarray:
+        """A bit for each slot: whether it is one of these hashes'."""
+        held = np.zeros(1 << SLOT_BITS, bool)
+        held[cls.slot(h, 0)] = True
+        return np.packbits(held, bitorder="little")
+
+    @staticmethod
+    def among(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes whose slots are set."""
         slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
-        may = np.flatnonzero(self.may[slot >> np.uint32(3)] >> (slot.astype(np.uint8) & np.uint8(7)) & np.uint8(1))
+        return np.flatnonzero(bits[slot >> np.uint32(3)] >> (slot.astype(np.uint8) & np.uint8(7)) & np.uint8(1))
+
+    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces (places, in order), with their scores and ids."""
+        may = self.among(self.may, h)
         h = h[may]
         places, scores, ids = [], [], []
         for k, (table, own, own_ids, own_scores) in enumerate(self.tables):
@@ -103,17 +114,25 @@ class Vocabulary:
             places.append(may[hit])
             scores.append(own_scores[at])
             ids.append(own_ids[at])
-        return np.concatenate(places), np.concatenate(scores), np.concatenate(ids)
+        hit = np.concatenate(places)
+        order = np.argsort(hit, kind="stable")
+        return hit[order], np.concatenate(scores)[order], np.concatenate(ids)[order]
 
 
 PRIME = 0xD6E8FEB86659FD93
 _M64 = (1 << 64) - 1
 
 
-def poly(s: str) -> int:
+def prefixes(s: str) -> Iterator[int]:
+    """The hashes of all beginnings of a piece, itself last."""
     h = 1469598103934665603
     for c in s:
         h = ((h ^ ord(c)) * PRIME + 0x9E3779B97F4A7C15) & _M64
+        yield h
+
+
+def poly(s: str) -> int:
+    *_, h = prefixes(s)
     return h
 
 
@@ -151,42 +170,50 @@ def search(v: Vocabulary, codes: np.ndarray, starts: np.ndarray, lengths: np.nda
     """
     width, n = v.longest + 1, len(starts)
     row = np.zeros(width, np.int64)  # the position that each row of the window stands for
-    sums, hashes = np.full((width, n), -np.inf), np.zeros((width, n), np.uint64)
+    sums = np.full((width, n), -np.inf)
     root = np.zeros((width, n), np.int64)  # where a position's path stood at the last look
     sums[0] = 0
     held = 4 * max(LOOK, width)  # places for backpointers: a power of two times this
     back, ids = np.zeros((held, n), np.uint8), np.zeros((held, n), np.int32)
     done = np.zeros(n, np.int64)
-    active, ended, every = n, n, np.arange(n)  # streams [active, ended) are at their end but not given out yet
+    # Beginnings that some piece may still continue, the oldest first: lane, row of the window, hash so far.
+    lane, at, h = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint64)
+    active, ended, every = n, n, np.arange(n, dtype=np.int32)  # streams [active, ended) are at their end but not given out yet
 
     for t in range(int(lengths[0]) if n else 0):
         while active and lengths[active - 1] <= t:
             active -= 1
         new = (t + 1) % width
-        hashes[t % width, :active] = SEED
-        h = hashes[:, :active]
-        h ^= codes[starts[:active] + t].astype(np.uint64)
+        if len(lane) and active < ended:
+            here = np.flatnonzero(lane < active)
+            lane, at, h = lane[here], at[here], h[here]
+        lane, at = np.r_[lane, every[:active]], np.r_[at, np.full(active, t % width, np.int32)]
+        h = np.r_[h, np.full(active, SEED)] ^ codes[starts[:active] + t].astype(np.uint64)[lane]
         h *= np.uint64(PRIME)
         h += STEP
-        places, score, piece = v.look_up(h)
-        at, lane = np.divmod(places, active)
-        total = np.full((width, active), -np.inf)
-        total[at, lane] = sums[at, lane] + score
-        found = np.zeros((width, active), np.int32)
-        found[at, lane] = piece
-        single = total[t % width] == -np.inf
-        total[t % width, single] = sums[t % width, :active][single] + v.unknown
-        found[t % width, single] = UNKNOWN
-        # Of equal sums the earliest beginning wins; in the window it stands right after the newest row.
-        order = np.r_[new + 1 : width, 0 : new]
-        best = order[np.argmax(total[order], axis=0)]
-        lanes = every[:active]
-        sums[new, :active] = total[best, lanes]
+        live = v.among(v.open, h)
+        live = live[at[live] != new]  # that row's place is the next position's
+        lane, at, h = lane[live], at[live], h[live]
+        hit, score, piece = v.look_up(h)
+        who, begin = lane[hit], at[hit]
+        alone = np.ones(active, bool)
+        alone[who[begin == t % width]] = False
+        alone = every[:active][alone]  # whose new character is no piece
+        who, begin = np.r_[who, alone], np.r_[begin, np.full(len(alone), t % width, np.int32)]
+        piece = np.r_[piece, np.full(len(alone), UNKNOWN, np.int32)]
+        total = np.r_[score, np.full(len(alone), v.unknown)] + sums[begin, who]
+        top = np.full(active, -np.inf)
+        np.maximum.at(top, who, total)
+        # Of equal sums the earliest beginning wins: it is written last.
+        won = np.flatnonzero(total == top[who])[::-1]
+        best, found, lanes = np.zeros(active, np.int32), np.zeros(active, np.int32), every[:active]
+        best[who[won]], found[who[won]] = begin[won], piece[won]
+        sums[new, :active] = top
         root[new, :active] = root[best, lanes]
         row[new] = t + 1
         place = (t + 1) % held
         back[place, :active] = t + 1 - row[best]
-        ids[place, :active] = found[best, lanes]
+        ids[place, :active] = found
 
         if (t + 1) % LOOK and t + 1 < lengths[0]:
             continue
@@ -195,8 +222,8 @@ def search(v: Vocabulary, codes: np.ndarray, starts: np.ndarray, lengths: np.nda
         if last:  # all that is left ends here or before
             over, near = np.arange(ended), np.zeros(0, np.int64)
         elif t + 1 >= width:
-            live = np.delete(root[:, :active], (t + 2) % width, axis=0)  # all rows that a later piece can begin at
-            near = np.flatnonzero((live == live[0]).all(0))
+            ahead = np.delete(root[:, :active], (t + 2) % width, axis=0)  # all rows that a later piece can begin at
+            near = np.flatnonzero((ahead == ahead[0]).all(0))
         else:
             near = np.zeros(0, np.int64)
         to = np.r_[root[new, near], lengths[over]]
