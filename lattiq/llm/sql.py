@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from lattiq.llm.quality_rules import COMMON, N_COMMON
+from lattiq.llm.quality_rules import N_BANDS, N_COMMON
 
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
-def quality_rules_sql(min_words: int = 50, trim: float = 0.13, chars: float = 0.18, words: float = 0.50) -> str:
+def quality_rules_sql(min_words: int = 50, trim: float = 0.13, chars: float = 0.18, words: float = 0.30) -> str:
     cc = ["upper", "symbol", "mark", "blank", "other"]
-    wc = [f"w{i}" for i in range(N_COMMON)] + ["wo"]
-    known = "CASE lang " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in COMMON.items()) + " ELSE []::VARCHAR[] END"
+    wc = [f"w{i}" for i in range(N_BANDS)] + ["wo"]
     n_re = lambda p: f"len(regexp_extract_all(t, '{p}'))"
     tot = lambda cols, p="": "(" + "+".join(p + c for c in cols) + ")"
 
@@ -28,18 +27,21 @@ def quality_rules_sql(min_words: int = 50, trim: float = 0.13, chars: float = 0.
     ).replace("rr.", "q.r_")
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text,'') AS t, lang AS k,
-    regexp_extract_all(coalesce(text,''), '{WORD_RE}') AS ws, {known} AS known,
+    regexp_extract_all(coalesce(text,''), '{WORD_RE}') AS ws,
     list_filter(string_split(coalesce(text,''), chr(10)), lambda x: regexp_matches(x, '{WORD_RE}')) AS ls FROM documents),
 tri AS (SELECT rid, i, ws[i] AS a, ws[i+1] AS b, ws[i+2] AS c FROM (SELECT rid, ws, unnest(range(1, len(ws)-1)) AS i FROM d)),
 rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM tri) WHERE n > 1),
 cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i+1, i+2]) AS p FROM rep) GROUP BY rid),
+cw AS (SELECT lang, w, length(bin(r)) - 1 AS band FROM (SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) AS r
+    FROM (SELECT lang, unnest(list_distinct(ws)) AS w FROM d WHERE len(ws) >= {min_words}) GROUP BY lang, w) WHERE r <= {N_COMMON}),
+wb AS (SELECT rid, {', '.join(f"count(*) FILTER (WHERE band = {i}) AS w{i}" for i in range(N_BANDS))}
+    FROM (SELECT rid, lang, unnest(ws) AS w FROM d) x JOIN cw ON x.w = cw.w AND x.lang IS NOT DISTINCT FROM cw.lang GROUP BY rid),
 b AS (SELECT d.*, len(ws) AS n_words, len(array_to_string(ws, '')) AS word_chars, {n_re('[#*$%&|<>]')} AS symbol,
     {n_re(chr(92) + 'p{Lu}')} AS upper, {n_re('[0-9.,;:!?' + "''" + '"()-]')} AS mark, len(ls)-len(list_distinct(ls)) AS n_dup_lines,
     coalesce(cov.n, 0) AS n_repeat_words FROM d LEFT JOIN cov USING (rid)),
 h AS (SELECT *, length(t)-word_chars AS blank, word_chars-upper-symbol-mark AS other,
-    {', '.join(f"len(list_filter(ws, lambda x: x = known[{i + 1}])) AS w{i}" for i in range(N_COMMON))},
-    n_words-len(list_filter(ws, lambda x: list_contains(known, x))) AS wo,
-    (n_words < 50 OR 100*n_repeat_words > 50*n_words) AS base_failed FROM b),
+    {', '.join(f"coalesce(w{i}, 0) AS w{i}" for i in range(N_BANDS))}, n_words - ({' + '.join(f"coalesce(w{i}, 0)" for i in range(N_BANDS))}) AS wo,
+    (n_words < 50 OR 100*n_repeat_words > 50*n_words) AS base_failed FROM (SELECT b.*, wb.* EXCLUDE (rid) FROM b LEFT JOIN wb USING (rid))),
 r1 AS (SELECT k, {ref} FROM h WHERE NOT base_failed GROUP BY k),
 d1 AS ({dist('r1')}),
 r2 AS (SELECT k, {ref} FROM d1 WHERE NOT base_failed AND jc <= {trim} GROUP BY k),

@@ -71,6 +71,56 @@ def test_null_and_named_unknown_languages_are_apart(spark):
     assert quality_rules.quality_rules(d).where("js_chars > 0.15").isEmpty()  # each near its own reference
 
 
+def invented(rng, n_words=400):
+    """Words of a language that nobody speaks, from frequent to rare."""
+    letters = [rng.choice("aeiou") + rng.choice("klmnprst") for _ in range(30)]
+    words = sorted({"".join(rng.choice(letters) for _ in range(rng.randrange(1, 4))) for _ in range(n_words)})
+    rng.shuffle(words)
+    return words, [1 / (k + 2) for k in range(len(words))]
+
+
+def test_common_words_of_any_language_are_learned(spark):
+    rng = random.Random(11)
+    words, weights = invented(rng)
+    data = [(i, " ".join(rng.choices(words, weights, k=120)), "qx") for i in range(50)]
+    shuffled = lambda w: "".join(rng.sample(w, len(w))) + rng.choice("aeiou")
+    data += [(50, " ".join(shuffled(w) + "q" for w in rng.choices(words, weights, k=120)), "qx")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
+    assert not got[50].kept and got[50].js_words > 0.5 and got[50].js_chars < 0.1  # told by its words alone
+    assert all(got[i].kept and 0 < got[i].js_words < 0.3 for i in range(50))
+
+
+def test_common_words_count_documents(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    data = [(i, long + " all", "a") for i in range(4)] + [(9, "spam " * 5000 + long, "a"), (10, "short text only", "a"), (11, long, None), (12, None, "a")]
+    got = {r.k: {x.word: x.band for s in r.slots for x in s} for r in quality_rules.common_words(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
+    assert got["a"] == {w: str(len(bin(k + 1)) - 3) for k, w in enumerate([*sorted(f"w{k}" for k in range(60)), "all", "spam"])}
+    assert set(got) == {"a", None} and set(got[None]) == {f"w{k}" for k in range(60)}
+
+
+def test_sql_twins_on_rows_that_are_not_clean(spark, tmp_path):
+    import duckdb
+
+    from lattiq.llm.queries import op3_chat_format, op4_quality_rules
+    from lattiq.llm.sql import chat_sql, quality_rules_sql
+
+    rng = random.Random(12)
+    words, weights = invented(rng)
+    text = lambda n: " ".join(rng.choices(words, weights, k=n))
+    data = [(i if i % 7 else None, text(rng.randrange(20, 200)), [None, "qx", "qy", ""][i % 4]) for i in range(80)]
+    data += data[:9] + [(90, None, None), (91, "", "qx"), (92, " \t\r\x0b\n", "qz"), (93, "one line\n" * 70, "qx"), (94, text(60) + "\n" + "\u00a0\u2028É\u0301 ÄÖ 漢字 😀 " * 20, "qy"), (95, text(30_000), "qx"), (96, "x" * 300_000, None)]
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string").withColumn("k", F.lit("clash")).withColumn("slots", F.lit(1))
+    d.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    turns = [(1, 0, "user", "a"), (1, 1, "assistant", None), (1, 1, "assistant", None), (2, None, None, "b <|im_end|>"), (2, 3, "assistant", "<\\|x"), (3, 1, "a\nb%<", ""), (3, 0, "assistant", "é😀\n")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    for name, query, sql in (("documents", op4_quality_rules, quality_rules_sql()), ("conversations", op3_chat_format, chat_sql())):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        df, cur = query(spark, str(tmp_path)), con.execute(sql)
+        cols = [c[0] for c in cur.description]
+        assert sorted((str(tuple(r[c] for c in cols)) for r in df.collect())) == sorted(map(str, cur.fetchall()))
+
+
 def test_very_long_texts(spark):
     rng = random.Random(8)
     words = [f"w{rng.randrange(10**6)}" for _ in range(150_000)]
