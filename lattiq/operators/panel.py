@@ -119,8 +119,14 @@ def flag_counts(changes: DataFrame, by: str = "year") -> DataFrame:
 
 
 def drilldown(changes: DataFrame, units: DataFrame) -> DataFrame:
-    """The unit rows behind flagged entity-quarters."""
-    return units.join(changes.where("outlier").select("entity", "quarter"), ["entity", "quarter"], "left_semi")
+    """The unit rows behind flagged entity-quarters.
+
+    An inner join with the distinct flags, on a key that names an aggregate's result, so that it stays above the rollup.  A semi
+    join goes below it and has the records' text as its keys, which a sort then parses for every two records that it compares.
+    """
+    flags = changes.where("outlier").select(F.col("entity"), F.col("quarter").alias("_flagged")).distinct()
+    keyed = units.withColumn("_flagged", F.when(F.col("source_rows") > 0, F.col("quarter")))
+    return keyed.join(flags, ["entity", "_flagged"]).select(units.columns)
 
 
 def drilldown_summary(rows: DataFrame) -> DataFrame:
@@ -129,10 +135,17 @@ def drilldown_summary(rows: DataFrame) -> DataFrame:
 
 
 def top_contributors(rows: DataFrame, n: int = 3) -> DataFrame:
-    """The ``n`` largest units of each entity and period, with their shares."""
-    own = Window.partitionBy("entity", "period")
-    d = rows.where("value is not null").withColumn("share", F.when(F.sum("value").over(own) > 0, F.col("value") / F.sum("value").over(own)))
-    return d.withColumn("rank", F.row_number().over(own.orderBy(F.desc("value"), "unit_id"))).where(F.col("rank") <= n).select("entity", "period", "unit_id", "value", "share", "rank")
+    """The ``n`` largest units of each entity and period, with their shares.
+
+    Totals are combined on the map side; only the ``n`` largest need an order, and the group limit keeps that many a task.
+    """
+    d = cut(rows.where("value is not null").select("entity", "period", "unit_id", "value"))
+    totals = d.groupBy(F.col("entity").alias("_entity"), F.col("period").alias("_period")).agg(F.sum("value").alias("total"))
+    place = F.row_number().over(Window.partitionBy("entity", "period").orderBy(F.desc("value"), "unit_id"))
+    best = d.withColumn("rank", place).where(F.col("rank") <= n)
+    same = F.col("entity").eqNullSafe(F.col("_entity")) & F.col("period").eqNullSafe(F.col("_period"))
+    share = F.when(F.col("total") > 0, F.col("value") / F.col("total"))
+    return best.join(totals, same).select("entity", "period", "unit_id", "value", share.alias("share"), "rank")
 
 
 def seasonal_share(dev: DataFrame) -> DataFrame:
