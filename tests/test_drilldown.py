@@ -1,12 +1,33 @@
-"""The largest contributors need no whole group in one task."""
+"""The drill-down stays above the rollup, and the largest contributors need no whole group in one task."""
 
+import datetime as dt
 import re
 
 from lattiq.operators import panel as P
+from lattiq.operators.rollup import RAW, typed_records, unit_quarters
 
 ROWS = "entity string, period string, unit_id string, value double"
 
 
+def record(unit, entity, quarter, value):
+    return (f'"{unit}"', "Unit", f" {entity}", "s", "2020", quarter, "1", "2", value, "C")
+
+
+def test_drilldown_joins_rolled_up_units(spark):
+    raw = [record("u", "aa", "1", "1"), record("u", "aa", "1", "2"), record("v", "aa", "1", ""), record("u", "aa", "2", "4"), record("w", "bb", "1", "8"), record("w", "", "1", "9"), record("w", "bb", "7", "16")]
+    units = unit_quarters(typed_records(spark.createDataFrame(raw, RAW)))
+    first, second = dt.date(2020, 1, 1), dt.date(2020, 4, 1)
+    flags = [("AA", first, True), ("AA", first, True), ("AA", second, False), ("BB", second, True), (None, first, True), ("BB", None, True)]
+    d = P.drilldown(spark.createDataFrame(flags, "entity string, quarter date, outlier boolean"), units)
+    assert sorted(d.columns) == sorted(units.columns)
+    assert sorted((r.unit_id, r.entity, r.quarter, r.value, r.source_rows) for r in d.collect()) == [("u", "AA", first, 3.0, 2), ("v", "AA", first, None, 1)]
+    s = P.drilldown_summary(d).first()
+    assert (s.entity, s.period, s.unit_rows, s.observed_units, s.value, s.largest) == ("AA", "2020Q1", 2, 1, 3.0, 3.0)
+    # below the rollup, the join's keys would be the records' text, parsed again and again
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("Join Inner") < plan.find("Aggregate [unit_id") and "LeftSemi" not in plan
+
+
 def test_top_contributors_limits_each_task(spark):
     rows = [("AA", "2020Q1", u, v) for u, v in (("d", 1.0), ("c", 2.0), ("b", 2.0), ("a", 2.0), ("e", 3.0), ("f", None))]
     rows += [("BB", "2020Q1", "a", 0.0), ("BB", "2020Q2", "a", None), (None, "2020Q1", "a", 4.0), (None, "2020Q1", "b", 12.0), ("CC", None, "a", 5.0)]
