@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lattiq.errors import LeakageError, PanelError
 from lattiq.functions.periods import at_offset, day, label, period_start
 from lattiq.functions.ranks import with_quantiles
+from lattiq.functions.text import exact_sum
 from lattiq.sources.sinks import cut
 
 STATUSES = ["leading_absence", "internal_absence", "trailing_absence", "observed_null", "observed_zero", "observed_positive", "observed_masked"]
@@ -131,7 +132,7 @@ def drilldown(changes: DataFrame, units: DataFrame) -> DataFrame:
 
 def drilldown_summary(rows: DataFrame) -> DataFrame:
     v = F.col("value")
-    return rows.groupBy("entity", "period").agg(F.count("*").alias("unit_rows"), F.count(v).alias("observed_units"), F.sum(v).alias("value"), F.max(v).alias("largest"))
+    return rows.groupBy("entity", "period").agg(F.count("*").alias("unit_rows"), F.count(v).alias("observed_units"), exact_sum(v).alias("value"), F.max(v).alias("largest"))
 
 
 def top_contributors(rows: DataFrame, n: int = 3) -> DataFrame:

@@ -28,6 +28,11 @@ def test_drilldown_joins_rolled_up_units(spark):
     assert 0 <= plan.find("Join Inner") < plan.find("Aggregate [unit_id") and "LeftSemi" not in plan
 
 
+def test_drilldown_sums_do_not_depend_on_order(spark):
+    rows = spark.createDataFrame([("AA", "2020Q1", str(i), 0.1) for i in range(10)] + [("AA", "2020Q2", "a", None)], ROWS)  # ten times 0.1 are 0.9999999999999999 in doubles
+    assert {r.period: r.value for r in P.drilldown_summary(rows).collect()} == {"2020Q1": 1.0, "2020Q2": None}
+
+
 def test_top_contributors_limits_each_task(spark):
     rows = [("AA", "2020Q1", u, v) for u, v in (("d", 1.0), ("c", 2.0), ("b", 2.0), ("a", 2.0), ("e", 3.0), ("f", None))]
     rows += [("BB", "2020Q1", "a", 0.0), ("BB", "2020Q2", "a", None), (None, "2020Q1", "a", 4.0), (None, "2020Q1", "b", 12.0), ("CC", None, "a", 5.0)]
