@@ -29,7 +29,7 @@ def test_drilldown_joins_rolled_up_units(spark):
 
 
 def test_drilldown_sums_do_not_depend_on_order(spark):
-    rows = spark.createDataFrame([("AA", "2020Q1", str(i), 0.1) for i in range(10)] + [("AA", "2020Q2", "a", None)], ROWS)  # ten times 0.1 are 0.9999999999999999 in doubles
+    rows = spark.createDataFrame([("AA", "2020Q1", str(i), 0.1) for i in range(10)] + [("AA", "2020Q2", "a", None)], ROWS).coalesce(1)  # ten times 0.1 are 0.9999999999999999 in doubles
     assert {r.period: r.value for r in P.drilldown_summary(rows).collect()} == {"2020Q1": 1.0, "2020Q2": None}
 
 
