@@ -122,8 +122,8 @@ def flag_counts(changes: DataFrame, by: str = "year") -> DataFrame:
 def drilldown(changes: DataFrame, units: DataFrame) -> DataFrame:
     """The unit rows behind flagged entity-quarters.
 
-    An inner join with the distinct flags, on a key that names an aggregate's result, so that it stays above the rollup.  A semi
-    join goes below it and has the records' text as its keys, which a sort then parses for every two records that it compares.
+    The key names an aggregate's result, so that what the join infers about quarters stays above the rollup; pushed below, these
+    conditions parse each record's text many times more.  A semi join may go below it as a whole; an inner join with the distinct flags does not.
     """
     flags = changes.where("outlier").select(F.col("entity"), F.col("quarter").alias("_flagged")).distinct()
     keyed = units.withColumn("_flagged", F.when(F.col("source_rows") > 0, F.col("quarter")))

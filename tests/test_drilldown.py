@@ -23,7 +23,7 @@ def test_drilldown_joins_rolled_up_units(spark):
     assert sorted((r.unit_id, r.entity, r.quarter, r.value, r.source_rows) for r in d.collect()) == [("u", "AA", first, 3.0, 2), ("v", "AA", first, None, 1)]
     s = P.drilldown_summary(d).first()
     assert (s.entity, s.period, s.unit_rows, s.observed_units, s.value, s.largest) == ("AA", "2020Q1", 2, 1, 3.0, 3.0)
-    # below the rollup, the join's keys would be the records' text, parsed again and again
+    # below the rollup, the join or its conditions would parse the records' text again and again
     plan = d._jdf.queryExecution().optimizedPlan().toString()
     assert 0 <= plan.find("Join Inner") < plan.find("Aggregate [unit_id") and "LeftSemi" not in plan
 
